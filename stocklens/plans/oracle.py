@@ -17,7 +17,8 @@ WITH inv AS (
   JOIN nation n ON c.c_nationkey = n.n_nationkey
 ),
 det AS (
-  SELECT i.client_id, CAST(l.l_partkey AS VARCHAR) AS product_id, l.l_orderkey AS invoice_id,
+  SELECT i.client_id, l.l_orderkey * 100 + l.l_linenumber AS detail_id,
+         CAST(l.l_partkey AS VARCHAR) AS product_id, l.l_orderkey AS invoice_id,
          l.l_quantity AS quantity, l.l_extendedprice AS total_price,
          p.p_retailprice * 0.6 AS buy_price,
          l.l_extendedprice - (p.p_retailprice * 0.6) * l.l_quantity AS net_profit,
@@ -63,9 +64,100 @@ pf AS (
               ELSE 'Oversupplied' END AS efficiency,
          COALESCE(CAST(FLOOR((epoch_us(CAST(DATE '2001-12-31' AS TIMESTAMP)) - epoch_us(last_sale_date)) / 86400000000.0) AS INTEGER), 99999) AS days_since_last_sale
   FROM pf0
+),
+labels AS (
+  SELECT * FROM (VALUES (0, 'Undersupplied'), (1, 'Balanced'), (2, 'Oversupplied'), (3, 'N/A')) t(label_order, efficiency)
+),
+sold AS (
+  SELECT client_id, product_id, name, sales_quantity, current_stock FROM pf WHERE sales_quantity > 0
+),
+par AS (
+  SELECT s.client_id, s.product_id, s.name, s.sales_quantity, s.current_stock,
+         CAST(ROW_NUMBER() OVER w AS INTEGER) AS rank,
+         CAST(SUM(CAST(s.sales_quantity AS DECIMAL(18,4))) OVER w AS DOUBLE) / t.total * 100.0 AS cumulative_percentage
+  FROM sold s JOIN (SELECT client_id, CAST(SUM(CAST(sales_quantity AS DECIMAL(18,4))) AS DOUBLE) AS total
+                    FROM sold GROUP BY client_id) t ON s.client_id = t.client_id
+  WINDOW w AS (PARTITION BY s.client_id ORDER BY s.sales_quantity DESC, s.product_id
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+),
+pareto AS (SELECT * FROM par WHERE cumulative_percentage <= 80),
+stag AS (
+  SELECT client_id, product_id, name, current_stock, days_since_last_sale,
+         CASE WHEN days_since_last_sale < 180 THEN '3-6 months'
+              WHEN days_since_last_sale < 365 THEN '6-12 months' ELSE '>1 year' END AS days_category,
+         COALESCE(strftime(last_sale_date, '%Y-%m-%d'), 'N/A') AS last_sale_date_str
+  FROM pf WHERE days_since_last_sale >= 90 AND days_since_last_sale < 99999
+),
+owed AS (
+  SELECT client_id, user_id,
+         CAST(SUM(CAST(amount - paid_amount AS DECIMAL(18,4))) AS DOUBLE) AS outstanding_amount
+  FROM dfr WHERE invoice_type = 'Stocks\Models\BuyInvoice' AND status IN (0.0, 2.0)
+  GROUP BY client_id, user_id
+  HAVING CAST(SUM(CAST(amount - paid_amount AS DECIMAL(18,4))) AS DOUBLE) > 1e-6
+),
+top_owed AS (
+  SELECT client_id, CAST(ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY outstanding_amount DESC, user_id) AS INTEGER) AS rank,
+         user_id, outstanding_amount
+  FROM owed QUALIFY rank <= 20
+),
+mavg AS (
+  SELECT client_id, CAST(year_month || '-01' AS DATE) AS month_start,
+         CAST(SUM(CAST(total_price AS DECIMAL(18,4))) AS DOUBLE) / COUNT(*) AS avg_invoice_value
+  FROM inv GROUP BY client_id, year_month
+),
+mgrid AS (
+  SELECT client_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS month_start
+  FROM (SELECT client_id, MIN(month_start) AS lo, MAX(month_start) AS hi FROM mavg GROUP BY client_id)
+),
+monthly AS (
+  SELECT g.client_id, g.month_start, COALESCE(m.avg_invoice_value, 0.0) AS avg_invoice_value
+  FROM mgrid g LEFT JOIN mavg m ON g.client_id = m.client_id AND g.month_start = m.month_start
+),
+dgrid AS (
+  SELECT client_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date
+  FROM (SELECT client_id, MIN(day) AS lo, MAX(day) AS hi FROM det GROUP BY client_id)
+),
+dsales AS (
+  SELECT g.client_id, g.date, COALESCE(s.value, 0.0) AS value
+  FROM dgrid g LEFT JOIN (SELECT client_id, day, CAST(ROUND(SUM(CAST(total_price AS DECIMAL(18,4))), 2) AS DOUBLE) AS value
+                          FROM det GROUP BY client_id, day) s ON g.client_id = s.client_id AND g.date = s.day
+),
+dprofit AS (
+  SELECT g.client_id, g.date, COALESCE(s.value, 0.0) AS value
+  FROM dgrid g LEFT JOIN (SELECT client_id, day, CAST(ROUND(SUM(CAST(net_profit AS DECIMAL(18,4))), 2) AS DOUBLE) AS value
+                          FROM det GROUP BY client_id, day) s ON g.client_id = s.client_id AND g.date = s.day
 )
 """
 
 
 def q(body: str) -> str:
     return BASE + body
+
+
+def share_ctes(measure: str, tag: str) -> str:
+    """ANL-09/10 twin as CTEs ``{tag}_shares``: top 10 + Other (slices <= 1e-6 kept here)."""
+    return f"""
+, {tag}_top AS (
+  SELECT client_id, CAST(ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY {measure} DESC, product_id) AS INTEGER) AS rank,
+         product_id, name, {measure} AS value
+  FROM pf QUALIFY rank <= 10
+),
+{tag}_oth AS (
+  SELECT a.client_id, 11 AS rank, CAST(NULL AS VARCHAR) AS product_id, 'Other' AS name,
+         GREATEST(0.0, CAST(a.s - t.s AS DOUBLE)) AS value
+  FROM (SELECT client_id, SUM(CAST({measure} AS DECIMAL(18,4))) AS s FROM pf GROUP BY client_id) a
+  JOIN (SELECT client_id, SUM(CAST(value AS DECIMAL(18,4))) AS s FROM {tag}_top GROUP BY client_id) t
+    ON a.client_id = t.client_id
+),
+{tag}_shares AS (SELECT * FROM {tag}_top UNION ALL SELECT * FROM {tag}_oth)
+"""
+
+
+def top_share(measure: str) -> str:
+    return q(share_ctes(measure, "s") + "SELECT client_id, rank, product_id, name, value FROM s_shares WHERE value > 1e-6")
+
+
+SHARE_TABLE = q(share_ctes("sales_amount", "r") + share_ctes("net_profit", "p") + """
+SELECT client_id, rank, product_id, name, value, 'revenue' AS measure FROM r_shares WHERE value > 1e-6
+UNION ALL
+SELECT client_id, rank, product_id, name, value, 'profit' AS measure FROM p_shares WHERE value > 1e-6""")

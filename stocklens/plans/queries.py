@@ -39,3 +39,196 @@ PF_COLS = ("client_id, product_id, sales_quantity, sales_amount, net_profit, nam
 @register("product_flow", oracle.q(f"SELECT {PF_COLS} FROM pf"))
 def q_product_flow(spark, sf_dir):
     return _r(spark, sf_dir).product_flow
+
+
+@register("list_clients", oracle.q(
+    "SELECT CAST(client_id AS VARCHAR) AS client_id FROM (SELECT DISTINCT client_id FROM inv WHERE client_id IS NOT NULL)"))
+def q_list_clients(spark, sf_dir):
+    from stocklens.sources import list_clients
+    return list_clients(_r(spark, sf_dir).raw["sale_invoices"])
+
+
+@register("clean_invoices", oracle.q(
+    "SELECT client_id, invoice_id, created_at, total_price, year_month, day FROM inv"))
+def q_clean_invoices(spark, sf_dir):
+    return _r(spark, sf_dir).invoices
+
+
+@register("clean_details", oracle.q(
+    "SELECT client_id, detail_id, product_id, invoice_id, quantity, total_price, buy_price, "
+    "created_at, net_profit, day FROM det"))
+def q_clean_details(spark, sf_dir):
+    return _r(spark, sf_dir).details
+
+
+@register("product_sales", oracle.q(
+    "SELECT client_id, product_id, sales_quantity, sales_amount, net_profit, last_sale_date FROM sales"))
+def q_product_sales(spark, sf_dir):
+    from stocklens.operators.flow import product_sales
+    return product_sales(_r(spark, sf_dir).details)
+
+
+@register("efficiency_counts", oracle.q("""
+SELECT c.client_id, l.efficiency, l.label_order, CAST(COALESCE(x.n, 0) AS BIGINT) AS product_count
+FROM (SELECT DISTINCT client_id FROM pf) c CROSS JOIN labels l
+LEFT JOIN (SELECT client_id, efficiency, COUNT(*) AS n FROM pf GROUP BY client_id, efficiency) x
+  ON x.client_id = c.client_id AND x.efficiency = l.efficiency"""))
+def q_efficiency_counts(spark, sf_dir):
+    from stocklens.operators.charts import efficiency_counts
+    return efficiency_counts(_r(spark, sf_dir).product_flow)
+
+
+@register("efficiency_totals", oracle.q("""
+SELECT c.client_id, l.efficiency, l.label_order,
+       COALESCE(x.total_stock, 0.0) AS total_stock, COALESCE(x.total_sales, 0.0) AS total_sales
+FROM (SELECT DISTINCT client_id FROM pf) c CROSS JOIN labels l
+LEFT JOIN (SELECT client_id, efficiency,
+                  CAST(SUM(CAST(current_stock AS DECIMAL(18,4))) AS DOUBLE) AS total_stock,
+                  CAST(SUM(CAST(sales_quantity AS DECIMAL(18,4))) AS DOUBLE) AS total_sales
+           FROM pf WHERE efficiency IN ('Undersupplied', 'Balanced', 'Oversupplied')
+           GROUP BY client_id, efficiency) x
+  ON x.client_id = c.client_id AND x.efficiency = l.efficiency"""))
+def q_efficiency_totals(spark, sf_dir):
+    from stocklens.operators.charts import efficiency_totals
+    return efficiency_totals(_r(spark, sf_dir).product_flow)
+
+
+@register("pareto", oracle.q(
+    "SELECT client_id, product_id, name, sales_quantity, current_stock, rank, cumulative_percentage FROM pareto"))
+def q_pareto(spark, sf_dir):
+    return _r(spark, sf_dir).pareto
+
+
+@register("pareto_bands", oracle.q("""
+SELECT client_id, rank, product_id, name, sales_quantity, ROUND(cumulative_percentage, 2) AS cumulative_pct,
+       CASE WHEN cumulative_percentage >= 0 AND cumulative_percentage <= 80 THEN
+            CAST((k - 1) * 10 AS VARCHAR) || '-' || CAST(k * 10 AS VARCHAR) || '%' ELSE 'Other' END AS percentage_category
+FROM (SELECT *, CAST(GREATEST(CEIL(cumulative_percentage / 10.0), 1) AS INTEGER) AS k FROM pareto)"""))
+def q_pareto_bands(spark, sf_dir):
+    from stocklens.operators.charts import pareto_bands
+    return pareto_bands(_r(spark, sf_dir).pareto)
+
+
+@register("revenue_share", oracle.top_share("sales_amount"))
+def q_revenue_share(spark, sf_dir):
+    return _r(spark, sf_dir).revenue_share
+
+
+@register("profit_share", oracle.top_share("net_profit"))
+def q_profit_share(spark, sf_dir):
+    return _r(spark, sf_dir).profit_share
+
+
+@register("share_table", oracle.SHARE_TABLE)
+def q_share_table(spark, sf_dir):
+    from stocklens.operators.charts import share_table
+    r = _r(spark, sf_dir)
+    return share_table(r.revenue_share, r.profit_share)
+
+
+@register("stagnant", oracle.q(
+    "SELECT client_id, product_id, name, current_stock, days_since_last_sale, days_category, last_sale_date_str FROM stag"))
+def q_stagnant(spark, sf_dir):
+    return _r(spark, sf_dir).stagnant
+
+
+@register("outstanding", oracle.q("SELECT client_id, user_id, outstanding_amount FROM owed"))
+def q_outstanding(spark, sf_dir):
+    return _r(spark, sf_dir).outstanding
+
+
+@register("outstanding_total", oracle.q("""
+SELECT client_id, CAST(SUM(CAST(outstanding_amount AS DECIMAL(18,4))) AS DOUBLE) AS shown_outstanding_total,
+       COUNT(*) AS shown_suppliers
+FROM top_owed GROUP BY client_id"""))
+def q_outstanding_total(spark, sf_dir):
+    from stocklens.operators.charts import top_suppliers, top_suppliers_total
+    return top_suppliers_total(top_suppliers(_r(spark, sf_dir).outstanding))
+
+
+@register("top_suppliers", oracle.q("SELECT client_id, rank, user_id, outstanding_amount FROM top_owed"))
+def q_top_suppliers(spark, sf_dir):
+    from stocklens.operators.charts import top_suppliers
+    return top_suppliers(_r(spark, sf_dir).outstanding)
+
+
+@register("monthly_avg_invoice", oracle.q("SELECT client_id, month_start, avg_invoice_value FROM monthly"))
+def q_monthly_avg_invoice(spark, sf_dir):
+    return _r(spark, sf_dir).monthly_avg_invoice
+
+
+@register("daily_sales_actual", oracle.q("SELECT client_id, date, value FROM dsales"))
+def q_daily_sales_actual(spark, sf_dir):
+    return _r(spark, sf_dir).daily_sales_actual
+
+
+@register("daily_profit", oracle.q("SELECT client_id, date, value FROM dprofit"))
+def q_daily_profit(spark, sf_dir):
+    return _r(spark, sf_dir).daily_profit
+
+
+@register("stock_table", oracle.q(
+    "SELECT client_id, product_id, name, current_stock AS stock FROM prod"))
+def q_stock_table(spark, sf_dir):
+    return _r(spark, sf_dir).stock_table
+
+
+@register("top_products", oracle.q("""
+SELECT client_id, CAST(ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY sales_quantity DESC, product_id) AS INTEGER) AS rank,
+       product_id, name, current_stock, sales_quantity
+FROM pf QUALIFY rank <= 20"""))
+def q_top_products(spark, sf_dir):
+    from stocklens.operators.charts import top_products
+    return top_products(_r(spark, sf_dir).product_flow)
+
+
+@register("revenue_cogs", oracle.q("""
+SELECT client_id, CAST(ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY sales_amount DESC, product_id) AS INTEGER) AS rank,
+       product_id, name, sales_amount, sales_quantity * buy_price AS cogs, sales_amount - sales_quantity * buy_price AS margin
+FROM pf QUALIFY rank <= 20"""))
+def q_revenue_cogs(spark, sf_dir):
+    from stocklens.operators.charts import revenue_cogs
+    return revenue_cogs(_r(spark, sf_dir).product_flow)
+
+
+@register("price_quantity", oracle.q("""
+SELECT client_id, product_id, name, sale_price, sales_quantity FROM pf WHERE sale_price > 0 AND sales_quantity > 0"""))
+def q_price_quantity(spark, sf_dir):
+    from stocklens.operators.charts import price_quantity
+    return price_quantity(_r(spark, sf_dir).product_flow)
+
+
+@register("restock", oracle.q("""
+SELECT client_id, product_id, name, current_stock, sales_quantity FROM pf WHERE current_stock <= 10"""))
+def q_restock(spark, sf_dir):
+    from stocklens.operators.charts import restock
+    return restock(_r(spark, sf_dir).product_flow)
+
+
+@register("bottom_products", oracle.q("""
+SELECT client_id, CAST(ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY sales_quantity ASC, product_id) AS INTEGER) AS rank,
+       product_id, name, sales_quantity
+FROM pf WHERE sales_quantity > 0 QUALIFY rank <= 10"""))
+def q_bottom_products(spark, sf_dir):
+    from stocklens.operators.charts import bottom_products
+    return bottom_products(_r(spark, sf_dir).product_flow)
+
+
+@register("top_sellers", oracle.q("""
+SELECT client_id, CAST(ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY sales_quantity DESC, product_id) AS INTEGER) AS rank,
+       product_id, name, sales_quantity
+FROM pf WHERE sales_quantity > 0 QUALIFY rank <= 10"""))
+def q_top_sellers(spark, sf_dir):
+    from stocklens.operators.charts import top_sellers
+    return top_sellers(_r(spark, sf_dir).product_flow)
+
+
+@register("sales_histogram", oracle.q("""
+SELECT client_id, CAST(ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY sales_quantity ASC) AS INTEGER) AS rank,
+       sales_quantity, product_count
+FROM (SELECT client_id, sales_quantity, COUNT(*) AS product_count FROM pf WHERE sales_quantity > 0
+      GROUP BY client_id, sales_quantity)
+QUALIFY rank <= 15"""))
+def q_sales_histogram(spark, sf_dir):
+    from stocklens.operators.charts import sales_histogram
+    return sales_histogram(_r(spark, sf_dir).product_flow)

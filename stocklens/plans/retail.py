@@ -2,7 +2,7 @@
 
 ``Retail`` wires sources -> cleaning -> analytics; every property is a lazy
 DataFrame, so one action plans exactly the part it needs (Catalyst prunes the
-rest). ``persist_core`` pins the two tables that most figures share.
+rest). ``persist_core`` pins the table most figures share.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from stocklens.operators import cleaning, flow
+from stocklens.operators import analytics, cleaning, flow
 from stocklens.sources import tables
 
 # as_of used for the driver's tables (their sales end in 2001).
@@ -21,19 +21,21 @@ TPCH_AS_OF = _dt.date(2001, 12, 31)
 
 
 class Retail:
-    def __init__(self, raw: dict[str, DataFrame], as_of, days_mode: str = "floor"):
+    def __init__(self, raw: dict[str, DataFrame], as_of, days_mode: str = "floor",
+                 running_mode: str = "auto"):
         self.raw = raw
         self.as_of = as_of
         self.days_mode = days_mode
+        self.running_mode = running_mode
 
     @classmethod
-    def from_tpch(cls, spark: SparkSession, sf_dir: str, as_of=TPCH_AS_OF) -> Retail:
-        return cls(tables.tpch_retail_tables(spark, sf_dir), as_of)
+    def from_tpch(cls, spark: SparkSession, sf_dir: str, as_of=TPCH_AS_OF, **kw) -> Retail:
+        return cls(tables.tpch_retail_tables(spark, sf_dir), as_of, **kw)
 
     @classmethod
     def from_source(cls, spark: SparkSession, src: str, as_of, client_ids=None,
-                    fmt: str = "parquet", options: dict | None = None) -> Retail:
-        return cls(tables.read_tables(spark, src, client_ids, fmt, options), as_of)
+                    fmt: str = "parquet", options: dict | None = None, **kw) -> Retail:
+        return cls(tables.read_tables(spark, src, client_ids, fmt, options), as_of, **kw)
 
     # --- cleaned tables ---------------------------------------------------------
     @cached_property
@@ -58,6 +60,42 @@ class Retail:
     def product_flow(self) -> DataFrame:
         return flow.product_flow(self.details, self.products, self.as_of, self.days_mode)
 
+    @cached_property
+    def pareto(self) -> DataFrame:
+        return analytics.pareto(self.product_flow, mode=self.running_mode)
+
+    @cached_property
+    def revenue_share(self) -> DataFrame:
+        return analytics.top_share(self.product_flow, "sales_amount")
+
+    @cached_property
+    def profit_share(self) -> DataFrame:
+        return analytics.top_share(self.product_flow, "net_profit")
+
+    @cached_property
+    def stagnant(self) -> DataFrame:
+        return analytics.stagnant(self.product_flow)
+
+    @cached_property
+    def outstanding(self) -> DataFrame:
+        return analytics.outstanding(self.deferreds)
+
+    @cached_property
+    def monthly_avg_invoice(self) -> DataFrame:
+        return analytics.monthly_avg_invoice(self.invoices)
+
+    @cached_property
+    def daily_sales_actual(self) -> DataFrame:
+        return analytics.daily_sales_actual(self.details)
+
+    @cached_property
+    def daily_profit(self) -> DataFrame:
+        return analytics.daily_profit(self.details)
+
+    @cached_property
+    def stock_table(self) -> DataFrame:
+        return analytics.stock_table(self.products)
+
     def persist_core(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Retail:
         """Pin product_flow (read by most figures). Recomputed from lineage if an
         executor is lost, so it is safe on a cluster."""
