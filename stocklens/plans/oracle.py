@@ -134,6 +134,78 @@ def q(body: str) -> str:
     return BASE + body
 
 
+
+CAL_COLS = """CAST(isodow(d) - 1 AS INTEGER) AS day_of_week,
+         CAST(isodow(d) IN (5, 6) AS INTEGER) AS is_weekend,
+         CAST(month(d) AS INTEGER) AS month, CAST(quarter(d) AS INTEGER) AS quarter,
+         CAST(day(d) AS INTEGER) AS day_of_month, CAST(weekofyear(d) AS INTEGER) AS week_of_year,
+         0 AS is_holiday,
+         CAST(day(d) = 1 AS INTEGER) AS is_month_start, CAST(last_day(d) = d AS INTEGER) AS is_month_end,
+         CAST(dayofyear(d) AS INTEGER) AS day_of_year, CAST(year(d) AS INTEGER) AS year"""
+
+
+def cal(date_col: str) -> str:
+    return CAL_COLS.replace("(d)", f"({date_col})").replace("= d ", f"= {date_col} ")
+
+
+FEATURES = f"""
+, dfe AS (
+  SELECT i.client_id, i.day AS sale_date,
+         CAST(SUM(CAST(d.total_price AS DECIMAL(18,4))) AS DOUBLE) AS daily_sales,
+         COUNT(DISTINCT d.invoice_id) AS transaction_count,
+         CAST(SUM(CAST(d.quantity AS DECIMAL(18,4))) AS DOUBLE) AS total_items
+  FROM det d JOIN inv i ON d.invoice_id = i.invoice_id GROUP BY i.client_id, i.day
+),
+dfgrid AS (
+  SELECT client_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS sale_date
+  FROM (SELECT client_id, MIN(sale_date) AS lo, MAX(sale_date) AS hi FROM dfe GROUP BY client_id)
+),
+dff AS (
+  SELECT g.client_id, g.sale_date, CAST(COALESCE(e.daily_sales, 0.0) AS FLOAT) AS daily_sales,
+         CAST(COALESCE(e.transaction_count, 0) AS INTEGER) AS transaction_count,
+         CAST(COALESCE(e.total_items, 0.0) AS FLOAT) AS total_items
+  FROM dfgrid g LEFT JOIN dfe e ON g.client_id = e.client_id AND g.sale_date = e.sale_date
+),
+feat AS (
+  SELECT client_id, sale_date, daily_sales, transaction_count, total_items,
+         {cal("sale_date")},
+         CAST(LAG(daily_sales, 1) OVER w AS FLOAT) AS sales_lag_1,
+         CAST(LAG(daily_sales, 2) OVER w AS FLOAT) AS sales_lag_2,
+         CAST(LAG(daily_sales, 3) OVER w AS FLOAT) AS sales_lag_3,
+         CAST(LAG(daily_sales, 7) OVER w AS FLOAT) AS sales_lag_7,
+         CAST(LAG(daily_sales, 14) OVER w AS FLOAT) AS sales_lag_14,
+         CAST(LAG(daily_sales, 21) OVER w AS FLOAT) AS sales_lag_21,
+         CAST(LAG(daily_sales, 28) OVER w AS FLOAT) AS sales_lag_28,
+         CAST(LAG(daily_sales, 30) OVER w AS FLOAT) AS sales_lag_30,
+         CAST(LAG(daily_sales, 60) OVER w AS FLOAT) AS sales_lag_60,
+         CAST(LAG(daily_sales, 90) OVER w AS FLOAT) AS sales_lag_90
+  FROM dff WINDOW w AS (PARTITION BY client_id ORDER BY sale_date)
+),
+mfe AS (
+  SELECT client_id, month_start, CAST(avg_invoice_value AS FLOAT) AS avg_invoice_value FROM monthly
+),
+mfeat0 AS (
+  SELECT client_id, month_start, avg_invoice_value,
+         CAST(month(month_start) AS INTEGER) AS month, CAST(quarter(month_start) AS INTEGER) AS quarter,
+         CAST(year(month_start) AS INTEGER) AS year,
+         LAG(avg_invoice_value, 1) OVER w AS avg_invoice_lag_1,
+         LAG(avg_invoice_value, 2) OVER w AS avg_invoice_lag_2,
+         LAG(avg_invoice_value, 3) OVER w AS avg_invoice_lag_3,
+         LAG(avg_invoice_value, 4) OVER w AS avg_invoice_lag_4,
+         LAG(avg_invoice_value, 5) OVER w AS avg_invoice_lag_5,
+         LAG(avg_invoice_value, 6) OVER w AS avg_invoice_lag_6,
+         LAG(avg_invoice_value, 7) OVER w AS avg_invoice_lag_7,
+         LAG(avg_invoice_value, 8) OVER w AS avg_invoice_lag_8,
+         LAG(avg_invoice_value, 9) OVER w AS avg_invoice_lag_9,
+         LAG(avg_invoice_value, 10) OVER w AS avg_invoice_lag_10,
+         LAG(avg_invoice_value, 11) OVER w AS avg_invoice_lag_11,
+         LAG(avg_invoice_value, 12) OVER w AS avg_invoice_lag_12
+  FROM mfe WINDOW w AS (PARTITION BY client_id ORDER BY month_start)
+),
+mfeat AS (SELECT * FROM mfeat0 WHERE avg_invoice_lag_12 IS NOT NULL)
+"""
+
+
 def share_ctes(measure: str, tag: str) -> str:
     """ANL-09/10 twin as CTEs ``{tag}_shares``: top 10 + Other (slices <= 1e-6 kept here)."""
     return f"""

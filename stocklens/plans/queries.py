@@ -232,3 +232,104 @@ QUALIFY rank <= 15"""))
 def q_sales_histogram(spark, sf_dir):
     from stocklens.operators.charts import sales_histogram
     return sales_histogram(_r(spark, sf_dir).product_flow)
+
+
+# --- features (FEA) -----------------------------------------------------------
+
+DAILY_COLS = ("client_id, sale_date, daily_sales, transaction_count, total_items, day_of_week, is_weekend, month, "
+              "quarter, day_of_month, week_of_year, is_holiday, is_month_start, is_month_end, day_of_year, year, "
+              "sales_lag_1, sales_lag_2, sales_lag_3, sales_lag_7, sales_lag_14, sales_lag_21, sales_lag_28, sales_lag_30, sales_lag_60, sales_lag_90")
+MONTHLY_COLS = "client_id, month_start, avg_invoice_value, month, quarter, year, avg_invoice_lag_1, avg_invoice_lag_2, avg_invoice_lag_3, avg_invoice_lag_4, avg_invoice_lag_5, avg_invoice_lag_6, avg_invoice_lag_7, avg_invoice_lag_8, avg_invoice_lag_9, avg_invoice_lag_10, avg_invoice_lag_11, avg_invoice_lag_12"
+
+
+@register("daily_features", oracle.q(oracle.FEATURES + f"SELECT {DAILY_COLS} FROM feat"))
+def q_daily_features(spark, sf_dir):
+    return _r(spark, sf_dir).daily_features
+
+
+@register("calendar", oracle.q(
+    "SELECT client_id, date, " + oracle.cal("date") + " FROM dsales"))
+def q_calendar(spark, sf_dir):
+    from stocklens.operators.features import calendar
+    r = _r(spark, sf_dir)
+    return calendar(r.daily_sales_actual, "date", r.holidays).drop("value")
+
+
+@register("lag_features", oracle.q(
+    "SELECT client_id, date, value, " +
+    ", ".join(f"LAG(value, {k}) OVER (PARTITION BY client_id ORDER BY date) AS sales_lag_{k}"
+              for k in [1, 2, 3, 7, 14, 21, 28, 30, 60, 90]) + " FROM dsales"))
+def q_lag_features(spark, sf_dir):
+    from stocklens import params
+    from stocklens.operators.features import add_lags
+    return add_lags(_r(spark, sf_dir).daily_sales_actual, "value", params.DAILY_LAGS, "sales_lag_", "date")
+
+
+@register("monthly_features", oracle.q(oracle.FEATURES + f"SELECT {MONTHLY_COLS} FROM mfeat"))
+def q_monthly_features(spark, sf_dir):
+    return _r(spark, sf_dir).monthly_features
+
+
+@register("future_daily", oracle.q(oracle.FEATURES + """
+, ftail AS (
+  SELECT client_id, sale_date, daily_sales,
+         ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY sale_date DESC) AS rn FROM feat
+),
+flast AS (
+  SELECT client_id, MAX(sale_date) AS last_day,
+       CAST(COALESCE(MAX(CASE WHEN rn = 1 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_1,
+       CAST(COALESCE(MAX(CASE WHEN rn = 2 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_2,
+       CAST(COALESCE(MAX(CASE WHEN rn = 3 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_3,
+       CAST(COALESCE(MAX(CASE WHEN rn = 7 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_7,
+       CAST(COALESCE(MAX(CASE WHEN rn = 14 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_14,
+       CAST(COALESCE(MAX(CASE WHEN rn = 21 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_21,
+       CAST(COALESCE(MAX(CASE WHEN rn = 28 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_28,
+       CAST(COALESCE(MAX(CASE WHEN rn = 30 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_30,
+       CAST(COALESCE(MAX(CASE WHEN rn = 60 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_60,
+       CAST(COALESCE(MAX(CASE WHEN rn = 90 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_90
+  FROM ftail GROUP BY client_id
+),
+fdays AS (
+  SELECT *, CAST(unnest(generate_series(last_day + 1, last_day + 14, INTERVAL 1 DAY)) AS DATE) AS sale_date
+  FROM flast
+)
+SELECT client_id, sale_date, """ + oracle.cal("sale_date") + ", sales_lag_1, sales_lag_2, sales_lag_3, sales_lag_7, sales_lag_14, sales_lag_21, sales_lag_28, sales_lag_30, sales_lag_60, sales_lag_90 FROM fdays"))
+def q_future_daily(spark, sf_dir):
+    from stocklens.operators.features import future_daily
+    r = _r(spark, sf_dir)
+    return future_daily(r.daily_features, holidays=r.holidays)
+
+
+@register("future_monthly", oracle.q(oracle.FEATURES + """
+, mtail AS (
+  SELECT client_id, month_start, avg_invoice_value,
+         ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY month_start DESC) AS rn FROM mfeat
+),
+mlast AS (
+  SELECT client_id, MAX(month_start) AS last_month,
+       CAST(COALESCE(MAX(CASE WHEN rn = 1 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_1,
+       CAST(COALESCE(MAX(CASE WHEN rn = 2 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_2,
+       CAST(COALESCE(MAX(CASE WHEN rn = 3 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_3,
+       CAST(COALESCE(MAX(CASE WHEN rn = 4 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_4,
+       CAST(COALESCE(MAX(CASE WHEN rn = 5 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_5,
+       CAST(COALESCE(MAX(CASE WHEN rn = 6 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_6,
+       CAST(COALESCE(MAX(CASE WHEN rn = 7 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_7,
+       CAST(COALESCE(MAX(CASE WHEN rn = 8 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_8,
+       CAST(COALESCE(MAX(CASE WHEN rn = 9 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_9,
+       CAST(COALESCE(MAX(CASE WHEN rn = 10 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_10,
+       CAST(COALESCE(MAX(CASE WHEN rn = 11 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_11,
+       CAST(COALESCE(MAX(CASE WHEN rn = 12 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_12
+  FROM mtail GROUP BY client_id
+),
+mdays AS (
+  SELECT *, CAST(unnest(generate_series(last_month + INTERVAL 1 MONTH, last_month + INTERVAL 6 MONTH,
+                                        INTERVAL 1 MONTH)) AS DATE) AS month_start
+  FROM mlast
+)
+SELECT client_id, month_start, CAST(month(month_start) AS INTEGER) AS month,
+       CAST(quarter(month_start) AS INTEGER) AS quarter, CAST(year(month_start) AS INTEGER) AS year,
+       avg_invoice_lag_1, avg_invoice_lag_2, avg_invoice_lag_3, avg_invoice_lag_4, avg_invoice_lag_5, avg_invoice_lag_6, avg_invoice_lag_7, avg_invoice_lag_8, avg_invoice_lag_9, avg_invoice_lag_10, avg_invoice_lag_11, avg_invoice_lag_12
+FROM mdays"""))
+def q_future_monthly(spark, sf_dir):
+    from stocklens.operators.features import future_monthly
+    return future_monthly(_r(spark, sf_dir).monthly_features)

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from stocklens.operators import analytics, cleaning, flow
+from stocklens.operators import analytics, cleaning, features, flow
 from stocklens.sources import tables
 
 # as_of used for the driver's tables (their sales end in 2001).
@@ -96,6 +96,20 @@ class Retail:
     def stock_table(self) -> DataFrame:
         return analytics.stock_table(self.products)
 
+    # --- features -------------------------------------------------------------------
+    @cached_property
+    def holidays(self) -> DataFrame:
+        spark = self.raw["sale_invoices"].sparkSession
+        return features.holiday_table(spark, *features.holiday_years(self.as_of))
+
+    @cached_property
+    def daily_features(self) -> DataFrame:
+        return features.daily_features(self.details, self.invoices, self.holidays)
+
+    @cached_property
+    def monthly_features(self) -> DataFrame:
+        return features.monthly_features(self.monthly_avg_invoice)
+
     def persist_core(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Retail:
         """Pin product_flow (read by most figures). Recomputed from lineage if an
         executor is lost, so it is safe on a cluster."""
