@@ -115,3 +115,19 @@ def clean_regressors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         bad = v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
         df = df.withColumn(c, F.when(bad, F.lit(0.0)).otherwise(v))
     return df
+
+
+def dirty_dates(invoices: DataFrame) -> DataFrame:
+    """Mixed-quality date inputs derived from clean invoices (for CLN-03 checks): every
+    invoice date written as text in one of five layouts, and as a spreadsheet serial
+    with an hour fraction. All rows are kept; the layout is picked by invoice id."""
+    ts = F.col("created_at")
+    layout = F.col("invoice_id") % 5
+    text = (F.when(layout == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+            .when(layout == 1, F.date_format(ts, "yyyyMMdd"))
+            .when(layout == 2, F.date_format(ts, "MM/dd/yyyy"))
+            .when(layout == 3, F.date_format(ts, "dd/MM/yyyy"))
+            .otherwise(F.date_format(ts, "MMM d yyyy")))
+    serial = (F.datediff(F.to_date(ts), F.lit("1899-12-30").cast("date")).cast("double")
+              + (F.col("invoice_id") % 24).cast("double") / 24.0)
+    return invoices.select("client_id", "invoice_id", text.alias("date_text"), serial.alias("date_serial"))

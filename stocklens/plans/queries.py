@@ -333,3 +333,64 @@ FROM mdays"""))
 def q_future_monthly(spark, sf_dir):
     from stocklens.operators.features import future_monthly
     return future_monthly(_r(spark, sf_dir).monthly_features)
+
+
+# --- cleaning checks on derived dirty inputs (CLN-03, CLN-10) -------------------------
+
+@register("mixed_dates", oracle.q(r"""
+, dd AS (
+  SELECT client_id, invoice_id,
+         CASE invoice_id % 5 WHEN 0 THEN strftime(created_at, '%Y-%m-%d %H:%M:%S')
+                             WHEN 1 THEN strftime(created_at, '%Y%m%d')
+                             WHEN 2 THEN strftime(created_at, '%m/%d/%Y')
+                             WHEN 3 THEN strftime(created_at, '%d/%m/%Y')
+                             ELSE strftime(created_at, '%b %-d %Y') END AS date_text,
+         CAST(date_diff('day', DATE '1899-12-30', CAST(created_at AS DATE)) AS DOUBLE)
+           + CAST(invoice_id % 24 AS DOUBLE) / 24.0 AS date_serial
+  FROM inv
+)
+SELECT client_id, invoice_id, date_text, date_serial,
+       CASE WHEN date_text IS NULL OR trim(date_text) = '' THEN NULL
+            WHEN regexp_full_match(trim(date_text), '[0-9]+') THEN
+                 CASE WHEN length(trim(date_text)) = 8 THEN try_strptime(trim(date_text), '%Y%m%d')
+                      WHEN length(trim(date_text)) = 4 THEN try_strptime(trim(date_text), '%Y') END
+            ELSE COALESCE(TRY_CAST(trim(date_text) AS TIMESTAMP),
+                          try_strptime(trim(date_text), '%m/%d/%Y'),
+                          try_strptime(trim(date_text), '%d/%m/%Y'),
+                          try_strptime(trim(date_text), '%b %d %Y')) END AS parsed_text,
+       CASE WHEN date_serial > 1 AND date_serial < 2958466 AND date_serial <> 60
+            THEN make_timestamp(CAST(ROUND((date_serial - 25569) * 86400000000) AS BIGINT)) END AS parsed_serial
+FROM dd"""))
+def q_mixed_dates(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from stocklens.functions import parse_mixed_date
+    from stocklens.operators.cleaning import dirty_dates
+    d = dirty_dates(_r(spark, sf_dir).invoices)
+    return d.select("*",
+                    parse_mixed_date("date_text", d.schema["date_text"].dataType).alias("parsed_text"),
+                    parse_mixed_date("date_serial", d.schema["date_serial"].dataType).alias("parsed_serial"))
+
+
+@register("ffill", oracle.q("""
+, itot AS (
+  SELECT client_id, day, CAST(SUM(CAST(total_price AS DECIMAL(18,4))) AS DOUBLE) AS total FROM inv GROUP BY client_id, day
+),
+igrid AS (
+  SELECT client_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day
+  FROM (SELECT client_id, MIN(day) AS lo, MAX(day) AS hi FROM itot GROUP BY client_id)
+),
+ig AS (SELECT g.client_id, g.day, t.total FROM igrid g LEFT JOIN itot t ON g.client_id = t.client_id AND g.day = t.day)
+SELECT client_id, day,
+       COALESCE(LAST_VALUE(total IGNORE NULLS) OVER (PARTITION BY client_id ORDER BY day
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                FIRST_VALUE(total IGNORE NULLS) OVER (PARTITION BY client_id ORDER BY day
+                  ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0.0) AS total
+FROM ig"""))
+def q_ffill(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from stocklens.functions import money_sum
+    from stocklens.operators.analytics import fill_grid
+    from stocklens.operators.cleaning import ffill_bfill0
+    per_day = _r(spark, sf_dir).invoices.groupBy("client_id", "day").agg(money_sum("total_price").alias("total"))
+    gapped = fill_grid(per_day, "day", [], "day")
+    return ffill_bfill0(gapped, ["total"], "day")
