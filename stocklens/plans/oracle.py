@@ -233,3 +233,66 @@ SHARE_TABLE = q(share_ctes("sales_amount", "r") + share_ctes("net_profit", "p")
 SELECT client_id, rank, product_id, name, value, 'revenue' AS measure FROM r_shares WHERE value > 1e-6
 UNION ALL
 SELECT client_id, rank, product_id, name, value, 'profit' AS measure FROM p_shares WHERE value > 1e-6""")
+
+
+def seasonal_naive_ctes(tag: str, src: str, date_col: str, value_col: str, m: int, horizon: int,
+                        monthly: bool) -> str:
+    """FCS-07 twin as CTE ``{tag}``: client_id, date, horizon, forecast, lower_ci, upper_ci."""
+    step = (f"CAST(last_d + to_months(CAST(h AS INTEGER)) AS DATE)" if monthly
+            else "last_d + CAST(h AS INTEGER)")
+    return f"""
+, {tag}_s AS (
+  SELECT client_id, {date_col} AS d, CAST({value_col} AS DOUBLE) AS y FROM {src}
+  WHERE client_id IN (SELECT client_id FROM {src} GROUP BY client_id HAVING COUNT(*) >= {max(2 * m, 10)})
+),
+{tag}_sig AS (
+  SELECT client_id, SQRT(CAST(SUM(dd * dd) AS DOUBLE) / COUNT(*)) AS sigma
+  FROM (SELECT client_id, CAST(y AS DECIMAL(18,4)) - CAST(LAG(y, {m}) OVER (PARTITION BY client_id ORDER BY d) AS DECIMAL(18,4)) AS dd
+        FROM {tag}_s)
+  WHERE dd IS NOT NULL GROUP BY client_id
+),
+{tag}_tail AS (
+  SELECT client_id, d, y, ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY d DESC) AS rn
+  FROM {tag}_s QUALIFY rn <= {m}
+),
+{tag}_hs AS (
+  SELECT client_id, last_d, h, {m} - (h - 1) % {m} AS rn, CAST(CEIL(h / {m}.0) AS DOUBLE) AS k
+  FROM (SELECT client_id, MAX(d) AS last_d, unnest(generate_series(1, {horizon})) AS h FROM {tag}_tail GROUP BY client_id)
+),
+{tag}_raw AS (
+  SELECT hs.client_id, {step} AS date, CAST(hs.h AS INTEGER) AS horizon, t.y AS forecast,
+         t.y - {Z95} * g.sigma * SQRT(hs.k) AS lower_ci, t.y + {Z95} * g.sigma * SQRT(hs.k) AS upper_ci
+  FROM {tag}_hs hs JOIN {tag}_tail t ON hs.client_id = t.client_id AND hs.rn = t.rn
+  JOIN {tag}_sig g ON hs.client_id = g.client_id
+),
+{tag} AS (
+  SELECT client_id, date, horizon, GREATEST(forecast, 0.0) AS forecast,
+         GREATEST(lower_ci, 0.0) AS lower_ci,
+         CASE WHEN lower_ci < 0 THEN GREATEST(0.0, upper_ci) ELSE upper_ci END AS upper_ci
+  FROM {tag}_raw
+)
+"""
+
+
+Z95 = "1.959963984540054"
+
+SN_DAILY = seasonal_naive_ctes("snd", "feat", "sale_date", "daily_sales", 7, 14, False)
+SN_MONTHLY = seasonal_naive_ctes("snm", "mfeat", "month_start", "avg_invoice_value", 12, 6, True)
+
+FIG11 = """
+, f11 AS (
+  SELECT client_id, date, ROUND(value, 2) AS value, 'actual' AS type,
+         CAST(NULL AS DOUBLE) AS lower_ci, CAST(NULL AS DOUBLE) AS upper_ci FROM dsales
+  UNION ALL
+  SELECT client_id, date, ROUND(forecast, 2), 'forecast', ROUND(lower_ci, 2), ROUND(upper_ci, 2) FROM snd
+)
+"""
+
+PARETO_BANDS = """
+, pb AS (
+  SELECT client_id, rank, product_id, name, sales_quantity, ROUND(cumulative_percentage, 2) AS cumulative_pct,
+         CASE WHEN cumulative_percentage >= 0 AND cumulative_percentage <= 80 THEN
+              CAST((k - 1) * 10 AS VARCHAR) || '-' || CAST(k * 10 AS VARCHAR) || '%' ELSE 'Other' END AS percentage_category
+  FROM (SELECT *, CAST(GREATEST(CEIL(cumulative_percentage / 10.0), 1) AS INTEGER) AS k FROM pareto)
+)
+"""

@@ -394,3 +394,83 @@ def q_ffill(spark, sf_dir):
     per_day = _r(spark, sf_dir).invoices.groupBy("client_id", "day").agg(money_sum("total_price").alias("total"))
     gapped = fill_grid(per_day, "day", [], "day")
     return ffill_bfill0(gapped, ["total"], "day")
+
+
+# --- forecasting (FCS) and serving (SRV) ----------------------------------------------
+
+FC_COLS = "client_id, date, horizon, forecast, lower_ci, upper_ci"
+
+
+@register("seasonal_naive", oracle.q(oracle.FEATURES + oracle.SN_DAILY + f"SELECT {FC_COLS} FROM snd"))
+def q_seasonal_naive(spark, sf_dir):
+    return _r(spark, sf_dir).naive_daily
+
+
+@register("seasonal_naive_monthly", oracle.q(oracle.FEATURES + oracle.SN_MONTHLY + f"SELECT {FC_COLS} FROM snm"))
+def q_seasonal_naive_monthly(spark, sf_dir):
+    return _r(spark, sf_dir).naive_monthly
+
+
+@register("recent_actuals", oracle.q(oracle.FEATURES + oracle.SN_DAILY + oracle.FIG11 + """
+, lat AS (SELECT client_id, MAX(date) AS latest FROM f11 WHERE type = 'actual' GROUP BY client_id)
+SELECT f.client_id, f.date, f.value, f.type, f.lower_ci, f.upper_ci
+FROM f11 f LEFT JOIN lat l ON f.client_id = l.client_id
+WHERE f.type <> 'actual' OR l.latest IS NULL OR f.date >= l.latest - 89"""))
+def q_recent_actuals(spark, sf_dir):
+    from stocklens.operators.serving import recent_actuals
+    return recent_actuals(_r(spark, sf_dir).fig11_naive)
+
+
+@register("forecast_bridge", oracle.q(oracle.FEATURES + oracle.SN_DAILY + oracle.FIG11 + """
+SELECT client_id, arg_max(date, date) AS date, arg_max(value, date) AS value,
+       CAST(NULL AS DOUBLE) AS lower_ci, CAST(NULL AS DOUBLE) AS upper_ci, 'bridge' AS segment
+FROM f11 WHERE type = 'actual' AND client_id IN (SELECT client_id FROM f11 WHERE type = 'forecast')
+GROUP BY client_id
+UNION ALL
+SELECT client_id, date, value, lower_ci, upper_ci, 'forecast' FROM f11 WHERE type = 'forecast'"""))
+def q_forecast_bridge(spark, sf_dir):
+    from stocklens.operators.serving import forecast_bridge
+    return forecast_bridge(_r(spark, sf_dir).fig11_naive)
+
+
+@register("confidence_band", oracle.q(oracle.FEATURES + oracle.SN_DAILY + oracle.FIG11 + """
+SELECT client_id, date, value, type, lower_ci, upper_ci FROM f11
+WHERE type = 'forecast' AND lower_ci IS NOT NULL AND upper_ci IS NOT NULL"""))
+def q_confidence_band(spark, sf_dir):
+    from stocklens.operators.serving import confidence_band
+    return confidence_band(_r(spark, sf_dir).fig11_naive)
+
+
+@register("pareto_segments", oracle.q(oracle.PARETO_BANDS + """
+, st AS (SELECT client_id, percentage_category, MIN(rank) AS lo, MAX(rank) AS hi FROM pb GROUP BY client_id, percentage_category),
+pv AS (SELECT client_id, percentage_category, LAG(hi) OVER (PARTITION BY client_id ORDER BY lo) AS prev_hi FROM st)
+SELECT client_id, rank, product_id, name, sales_quantity, cumulative_pct, percentage_category, false AS carried FROM pb
+UNION ALL
+SELECT pb.client_id, pb.rank, pb.product_id, pb.name, pb.sales_quantity, pb.cumulative_pct, pv.percentage_category, true
+FROM pb JOIN pv ON pb.client_id = pv.client_id AND pb.rank = pv.prev_hi"""))
+def q_pareto_segments(spark, sf_dir):
+    from stocklens.operators.charts import pareto_bands
+    from stocklens.operators.serving import pareto_segments
+    return pareto_segments(pareto_bands(_r(spark, sf_dir).pareto))
+
+
+@register("monthly_chart", oracle.q(oracle.FEATURES + oracle.SN_MONTHLY + """
+SELECT client_id, strftime(month_start, '%Y-%m') AS date, ROUND(avg_invoice_value, 2) AS value, 'actual' AS type,
+       CAST(NULL AS DOUBLE) AS lower_ci, CAST(NULL AS DOUBLE) AS upper_ci FROM monthly
+UNION ALL
+SELECT client_id, strftime(date, '%Y-%m'), ROUND(forecast, 2), 'forecast', ROUND(lower_ci, 2), ROUND(upper_ci, 2) FROM snm"""))
+def q_monthly_chart(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from stocklens.operators.serving import fig12_rows
+    r = _r(spark, sf_dir)
+    return fig12_rows(r.monthly_avg_invoice, r.naive_monthly.withColumn("date", F.date_format("date", "yyyy-MM")))
+
+
+@register("forecast_daily")
+def q_forecast_daily(spark, sf_dir):
+    return _r(spark, sf_dir).forecast_daily
+
+
+@register("forecast_monthly")
+def q_forecast_monthly(spark, sf_dir):
+    return _r(spark, sf_dir).forecast_monthly

@@ -13,7 +13,8 @@ from functools import cached_property
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from stocklens.operators import analytics, cleaning, features, flow
+from stocklens import params
+from stocklens.operators import analytics, cleaning, features, flow, forecast, serving
 from stocklens.sources import tables
 
 # as_of used for the driver's tables (their sales end in 2001).
@@ -110,6 +111,40 @@ class Retail:
     def monthly_features(self) -> DataFrame:
         return features.monthly_features(self.monthly_avg_invoice)
 
+    # --- forecasts ----------------------------------------------------------------
+    @cached_property
+    def naive_daily(self) -> DataFrame:
+        return forecast.seasonal_naive(self.daily_features, "sale_date", "daily_sales",
+                                       params.SEASON_DAILY, params.FORECAST_HORIZON_DAILY)
+
+    @cached_property
+    def naive_monthly(self) -> DataFrame:
+        return forecast.seasonal_naive(self.monthly_features, "month_start", "avg_invoice_value",
+                                       params.SEASON_MONTHLY, params.FORECAST_HORIZON_MONTHLY, step="month")
+
+    @cached_property
+    def forecast_daily(self) -> DataFrame:
+        fut = features.future_daily(self.daily_features, holidays=self.holidays)
+        return forecast.forecast_daily(self.daily_features, fut)
+
+    @cached_property
+    def forecast_monthly(self) -> DataFrame:
+        fut = features.future_monthly(self.monthly_features)
+        return forecast.forecast_monthly(self.monthly_features, fut)
+
+    @cached_property
+    def fig11_naive(self) -> DataFrame:
+        """Chart 11 rows with the seasonal-naive forecast (exactly checkable)."""
+        return serving.fig11_rows(self.daily_sales_actual, self.naive_daily)
+
+    @cached_property
+    def fig11(self) -> DataFrame:
+        return serving.fig11_rows(self.daily_sales_actual, self.forecast_daily)
+
+    @cached_property
+    def fig12(self) -> DataFrame:
+        return serving.fig12_rows(self.monthly_avg_invoice, self.forecast_monthly)
+
     def persist_core(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Retail:
         """Pin product_flow (read by most figures). Recomputed from lineage if an
         executor is lost, so it is safe on a cluster."""
