@@ -474,3 +474,59 @@ def q_forecast_daily(spark, sf_dir):
 @register("forecast_monthly")
 def q_forecast_monthly(spark, sf_dir):
     return _r(spark, sf_dir).forecast_monthly
+
+
+# --- eligibility guards (GRD) ----------------------------------------------------------
+
+def _status_sql() -> str:
+    from stocklens.operators.status import RULES
+    parts = []
+    for fig, checks, note in RULES:
+        case = "CASE " + " ".join(f"WHEN {c} THEN '{code}'" for c, code in checks) + " END"
+        note_sql = f"CASE WHEN {note[0]} THEN '{note[1]}' END" if note else "CAST(NULL AS VARCHAR)"
+        parts.append(f"SELECT client_id, '{fig}' AS figure, ({case}) IS NULL AS ok, {case} AS code, {note_sql} AS note FROM stats")
+    return oracle.q(oracle.FEATURES + oracle.share_ctes("sales_amount", "r") + oracle.share_ctes("net_profit", "p") + """
+, clients AS (SELECT DISTINCT client_id FROM inv UNION SELECT DISTINCT client_id FROM prod),
+pf_s AS (
+  SELECT client_id, COUNT(*) AS n_pf,
+         CAST(SUM(CAST(sales_quantity AS DECIMAL(18,4))) AS DOUBLE) AS sold_total,
+         COUNT(CASE WHEN sales_quantity > 0 THEN 1 END) AS n_sold,
+         COUNT(CASE WHEN efficiency <> 'N/A' THEN 1 END) AS n_valid_eff,
+         CAST(SUM(CAST(sales_amount AS DECIMAL(18,4))) AS DOUBLE) AS revenue,
+         COUNT(buy_price) AS n_cost,
+         CAST(SUM(CASE WHEN efficiency IN ('Undersupplied', 'Balanced', 'Oversupplied')
+                       THEN CAST(current_stock + sales_quantity AS DECIMAL(18,4)) END) AS DOUBLE) AS eff_total,
+         COUNT(CASE WHEN sale_price > 0 AND sales_quantity > 0 THEN 1 END) AS n_scatter,
+         COUNT(CASE WHEN current_stock <= 10 THEN 1 END) AS n_restock,
+         COUNT(CASE WHEN days_since_last_sale >= 90 AND days_since_last_sale < 99999 THEN 1 END) AS n_stagnant,
+         CAST(FLOOR((epoch_us(MAX(last_sale_date)) - epoch_us(MIN(last_sale_date))) / 86400000000.0) AS BIGINT) AS last_span_days
+  FROM pf GROUP BY client_id
+),
+det_s AS (
+  SELECT client_id, COUNT(*) AS n_details,
+         CAST(FLOOR((epoch_us(MAX(created_at)) - epoch_us(MIN(created_at))) / 86400000000.0) AS BIGINT) AS detail_span_days,
+         CAST(date_diff('day', MIN(day), MAX(day)) + 1 AS BIGINT) AS n_days
+  FROM det GROUP BY client_id
+),
+stats AS (
+  SELECT c.client_id,
+         COALESCE(n_pf, 0) AS n_pf, COALESCE(sold_total, 0) AS sold_total, COALESCE(n_sold, 0) AS n_sold,
+         COALESCE(n_valid_eff, 0) AS n_valid_eff, COALESCE(revenue, 0) AS revenue, COALESCE(n_cost, 0) AS n_cost,
+         COALESCE(eff_total, 0) AS eff_total, COALESCE(n_scatter, 0) AS n_scatter, COALESCE(n_restock, 0) AS n_restock,
+         COALESCE(n_stagnant, 0) AS n_stagnant, last_span_days,
+         COALESCE((SELECT COUNT(*) FROM pareto x WHERE x.client_id = c.client_id), 0) AS n_pareto,
+         COALESCE((SELECT COUNT(*) FROM r_shares x WHERE x.client_id = c.client_id AND x.value > 1e-6), 0)
+           + COALESCE((SELECT COUNT(*) FROM p_shares x WHERE x.client_id = c.client_id AND x.value > 1e-6), 0) AS n_shares,
+         COALESCE(n_details, 0) AS n_details, detail_span_days, COALESCE(n_days, 0) AS n_days,
+         COALESCE((SELECT COUNT(*) FROM feat x WHERE x.client_id = c.client_id), 0) AS n_feature_days,
+         COALESCE((SELECT COUNT(*) FROM monthly x WHERE x.client_id = c.client_id), 0) AS n_months,
+         COALESCE((SELECT COUNT(*) FROM dfr x WHERE x.client_id = c.client_id), 0) AS n_deferred,
+         COALESCE((SELECT COUNT(*) FROM owed x WHERE x.client_id = c.client_id), 0) AS n_outstanding
+  FROM clients c LEFT JOIN pf_s USING (client_id) LEFT JOIN det_s USING (client_id)
+)
+""" + "\nUNION ALL\n".join(parts))
+
+
+@register("chart_status", _status_sql())
+def q_chart_status(spark, sf_dir):
+    return _r(spark, sf_dir).chart_status

@@ -14,7 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from stocklens import params
-from stocklens.operators import analytics, cleaning, features, flow, forecast, serving
+from stocklens.operators import analytics, charts, cleaning, features, flow, forecast, serving, status
 from stocklens.sources import tables
 
 # as_of used for the driver's tables (their sales end in 2001).
@@ -145,6 +145,20 @@ class Retail:
     def fig12(self) -> DataFrame:
         return serving.fig12_rows(self.monthly_avg_invoice, self.forecast_monthly)
 
+    # --- eligibility --------------------------------------------------------------
+    @cached_property
+    def clients(self) -> DataFrame:
+        return (self.invoices.select("client_id").union(self.products.select("client_id"))
+                .distinct())
+
+    @cached_property
+    def chart_status(self) -> DataFrame:
+        shares = charts.share_table(self.revenue_share, self.profit_share)
+        stats = status.client_stats(self.clients, self.product_flow, self.pareto, shares, self.details,
+                                    self.daily_features, self.monthly_avg_invoice, self.deferreds,
+                                    self.outstanding)
+        return status.chart_status(stats)
+
     def persist_core(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Retail:
         """Pin product_flow (read by most figures). Recomputed from lineage if an
         executor is lost, so it is safe on a cluster."""
