@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
-from stocklens import params
-
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 # Days between the spreadsheet epoch (1899-12-30) and the Unix epoch.
@@ -19,17 +17,22 @@ _SHEET_SERIAL_BAD = 60
 _UNIX_WINDOW_SECONDS = 1e10
 
 
-def _dtype(df_or_type, name: str | None = None):
-    if isinstance(df_or_type, T.DataType):
-        return df_or_type
-    return df_or_type.schema[name].dataType
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-def num_or_null(c: Column | str) -> Column:
-    """Number or null; works on text and numbers; ANSI-safe."""
-    c = F.col(c) if isinstance(c, str) else c
-    v = _try_double(c)
-    return F.when(~F.isnan(v), v)
+def _kind(dtype) -> str:
+    """'int', 'num' (fractional), 'text' or 'any' (unknown: take the generic text path)."""
+    if isinstance(dtype, _INTEGRAL):
+        return "int"
+    if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return "num"
+    if isinstance(dtype, T.StringType):
+        return "text"
+    return "any"
+
+
+def _col(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
 def _try_double(c: Column) -> Column:
@@ -37,28 +40,44 @@ def _try_double(c: Column) -> Column:
     return F.trim(c.cast("string")).try_cast("double")
 
 
-def num0(c: Column | str) -> Column:
+def num_or_null(c: Column | str, dtype: T.DataType | None = None) -> Column:
+    """Number or null (NaN is null); ANSI-safe. Typed numeric input skips the text path."""
+    c = _col(c)
+    v = c.cast("double") if _kind(dtype) in ("int", "num") else _try_double(c)
+    return F.when(~F.isnan(v), v)
+
+
+def num0(c: Column | str, dtype: T.DataType | None = None) -> Column:
     """CLN-01: unparsable or null becomes 0."""
-    c = F.col(c) if isinstance(c, str) else c
-    v = _try_double(c)
+    c = _col(c)
+    v = c.cast("double") if _kind(dtype) in ("int", "num") else _try_double(c)
     return F.when(v.isNull() | F.isnan(v), F.lit(0.0)).otherwise(v)
 
 
-def key_int(c: Column | str) -> Column:
+def key_int(c: Column | str, dtype: T.DataType | None = None) -> Column:
     """CLN-02: invoice ids as nullable bigint ('12', 12.0 and '12.0' all give 12)."""
-    c = F.col(c) if isinstance(c, str) else c
-    v = _try_double(c)
+    c = _col(c)
+    kind = _kind(dtype)
+    if kind == "int":
+        return c.cast("long")
+    v = c.cast("double") if kind == "num" else _try_double(c)
     whole = v.isNotNull() & ~F.isnan(v) & (F.floor(v) == v)
     return F.when(whole, v.cast("long"))
 
 
-def key_text(c: Column | str, null_text: str | None = None) -> Column:
+def key_text(c: Column | str, null_text: str | None = None, dtype: T.DataType | None = None) -> Column:
     """CLN-02 + D5/D6: ids as text; whole numbers as plain integer text.
 
     ``null_text`` replaces a null key (products use ``'nan'``)."""
-    c = F.col(c) if isinstance(c, str) else c
-    s = F.trim(c.cast("string"))
-    s = F.regexp_replace(s, r"^(-?\d+)\.0+$", "$1")
+    c = _col(c)
+    kind = _kind(dtype)
+    if kind == "int":
+        s = c.cast("string")
+    elif kind == "num":
+        v = c.cast("double")
+        s = F.when(~F.isnan(v) & (F.floor(v) == v), v.cast("long").cast("string")).otherwise(c.cast("string"))
+    else:
+        s = F.regexp_replace(F.trim(c.cast("string")), r"^(-?\d+)\.0+$", "$1")
     if null_text is not None:
         s = F.coalesce(s, F.lit(null_text))
     return s

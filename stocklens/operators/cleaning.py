@@ -14,8 +14,16 @@ def _date_expr(df: DataFrame, name: str):
     return parse_mixed_date(F.col(name), df.schema[name].dataType)
 
 
+def _typed(df: DataFrame):
+    """Bind the coercion functions to the input column types (typed input skips text paths)."""
+    t = {f.name: f.dataType for f in df.schema.fields}
+    return (lambda c: num0(c, t.get(c)), lambda c, n=None: key_text(c, n, t.get(c)),
+            lambda c: key_int(c, t.get(c)), lambda c: num_or_null(c, t.get(c)))
+
+
 def clean_products(products: DataFrame) -> DataFrame:
     """CLN-04: keys as text, numbers coerced (bad gives 0)."""
+    num0, key_text, _, _ = _typed(products)
     return products.select(
         F.col("client_id").cast("long").alias("client_id"),
         key_text("id", params.NULL_PRODUCT_KEY).alias("product_id"),
@@ -28,6 +36,7 @@ def clean_products(products: DataFrame) -> DataFrame:
 
 def clean_invoices(invoices: DataFrame) -> DataFrame:
     """CLN-05: drop null id and unparsable date; add ``year_month`` and ``day``."""
+    num0, _, key_int, _ = _typed(invoices)
     return (invoices.select(
                 F.col("client_id").cast("long").alias("client_id"),
                 key_int("id").alias("invoice_id"),
@@ -43,6 +52,7 @@ def clean_details(scoped_details: DataFrame) -> DataFrame:
     invoice's raw date): own date first, else the invoice date; rows without a date
     or invoice id are dropped; ``net_profit = total - buy_price * quantity``."""
     d = scoped_details
+    num0, key_text, key_int, _ = _typed(d)
     created = F.coalesce(_date_expr(d, "created_at"), _date_expr(d, "invoice_created_at"))
     out = (d.select(
                 F.col("client_id").cast("long").alias("client_id"),
@@ -67,6 +77,7 @@ def clean_deferreds(deferreds: DataFrame) -> DataFrame:
         for c in need:
             if c not in deferreds.columns:
                 deferreds = deferreds.withColumn(c, F.lit(None).cast("string"))
+    num0, key_text, _, num_or_null = _typed(deferreds)
     client = F.col("client_id").cast("long") if "client_id" in deferreds.columns else F.lit(None).cast("long")
     return deferreds.select(
         client.alias("client_id"),
@@ -111,7 +122,7 @@ def clean_regressors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for c in cols:
         if c not in df.columns:
             continue
-        v = num_or_null(F.col(c))
+        v = num_or_null(F.col(c), df.schema[c].dataType)
         bad = v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
         df = df.withColumn(c, F.when(bad, F.lit(0.0)).otherwise(v))
     return df

@@ -43,17 +43,39 @@ def holiday_years(as_of) -> tuple[int, int]:
 
 
 def holiday_table(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
-    """``(holiday_date date, name string)`` for the fixed-date holidays of the years.
-    Size is bounded by construction (years x fixed list)."""
-    rows = [(_dt.date(y, m, d), name) for y in range(first_year, last_year + 1)
-            for (m, d, since, name) in FIXED_HOLIDAYS if y >= since]
-    return spark.createDataFrame(rows, "holiday_date date, name string")
-
-
-def flag_holidays(df: DataFrame, date_col: str, holidays: DataFrame | None) -> DataFrame:
-    """FEA-04: ``is_holiday`` from a holiday table (left semi-style flag join)."""
+    """``(holiday_date date, name string)`` of the fixed-date holidays of the years,
+    built JVM-side; size bounded by construction (years x fixed list)."""
+    years = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("y"))
+    rows = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(d).alias("d"), F.lit(since).alias("since"),
+                              F.lit(name).alias("name")) for (m, d, since, name) in FIXED_HOLIDAYS])
+    return (years.select("y", F.explode(rows).alias("h"))
+                 .filter(F.col("y") >= F.col("h.since"))
+                 .select(F.make_date("y", "h.m", "h.d").alias("holiday_date"), F.col("h.name").alias("name")))
+
+
+class HolidayRule:
+    """The default calendar as an expression (no join): fixed-date holidays of the
+    years in ``[first_year, last_year]``."""
+
+    def __init__(self, first_year: int, last_year: int):
+        self.first_year, self.last_year = first_year, last_year
+
+    def flag(self, d) -> "F.Column":
+        cond = F.lit(False)
+        for (m, day, since, _name) in FIXED_HOLIDAYS:
+            lo = max(since, self.first_year)
+            cond = cond | ((F.month(d) == m) & (F.dayofmonth(d) == day) &
+                           (F.year(d) >= lo) & (F.year(d) <= self.last_year))
+        return cond.cast("int")
+
+
+def flag_holidays(df: DataFrame, date_col: str, holidays) -> DataFrame:
+    """FEA-04: ``is_holiday`` from the default rule (an expression) or from a holiday
+    table given by the user (equi-join on the date; Spark broadcasts it when small)."""
     if holidays is None:
         return df.withColumn("is_holiday", F.lit(0))
+    if isinstance(holidays, HolidayRule):
+        return df.withColumn("is_holiday", holidays.flag(F.col(date_col)))
     h = holidays.select(F.col("holiday_date").cast("date").alias("_hd")).distinct() \
                 .withColumn("_h", F.lit(1))
     return (df.join(h, df[date_col] == h["_hd"], "left")

@@ -130,42 +130,62 @@ def _choose_D(y: np.ndarray, m: int) -> int:
     return int((z[m:] @ z[:-m]) / den > 0.64)
 
 
-def _fit_hr(z: np.ndarray, X: np.ndarray | None, p: int, q: int, P: int, Q: int, m: int, start: int):
-    """Hannan-Rissanen: long AR for innovations, then OLS of z on lags of z, lags of
-    the innovations and the regressors. Returns (coef dict, sigma2, aic) on rows >= start."""
+def _design(z: np.ndarray, X: np.ndarray | None, grid: dict, m: int):
+    """Hannan-Rissanen design shared by all candidates of one series.
+
+    Stage 1: a long autoregression (same for every candidate) estimates the
+    innovations. Stage 2 columns: intercept, regressors, every AR lag and every MA
+    (innovation) lag any candidate can use. Rows start after the longest lag, so all
+    candidates are scored on a common sample and their AICs are comparable."""
     n = len(z)
-    long_order = min(max(p + q, P * m + 1, Q * m + 1, 8), n // 3)
+    pmax, qmax, Pmax, Qmax = max(grid["p"]), max(grid["q"]), max(grid["P"]), max(grid["Q"])
+    long_order = max(min(max(pmax + qmax, Pmax * m + 1, Qmax * m + 1, 8), n // 3), 1)
+    B = np.column_stack([np.ones(n)] + ([X] if X is not None else []))
     L = _lagmat(z, range(1, long_order + 1))
     ok = ~np.isnan(L).any(axis=1)
-    base = [np.ones(n)] + ([X] if X is not None else [])
-    B = np.column_stack(base)
     A1 = np.column_stack([B, L])[ok]
     b1, *_ = np.linalg.lstsq(A1, z[ok], rcond=None)
     e = np.zeros(n)
     e[ok] = z[ok] - A1 @ b1
-    ar_lags = list(range(1, p + 1)) + [j * m for j in range(1, P + 1)]
-    ma_lags = list(range(1, q + 1)) + [j * m for j in range(1, Q + 1)]
-    cols = [B]
-    if ar_lags:
-        cols.append(_lagmat(z, ar_lags))
-    if ma_lags:
-        cols.append(_lagmat(e, ma_lags))
-    A = np.column_stack(cols)[start:]
-    t = z[start:]
-    good = ~np.isnan(A).any(axis=1)
-    A, t = A[good], t[good]
-    if len(t) <= A.shape[1] + 2:
-        raise np.linalg.LinAlgError("too few rows")
-    beta, *_ = np.linalg.lstsq(A, t, rcond=None)
-    resid = t - A @ beta
+    ar_lags = list(range(1, pmax + 1)) + [j * m for j in range(1, Pmax + 1)]
+    ma_lags = list(range(1, qmax + 1)) + [j * m for j in range(1, Qmax + 1)]
+    full = np.column_stack([B, _lagmat(z, ar_lags), _lagmat(e, ma_lags)])
+    start = long_order + max(ar_lags + ma_lags + [0])
+    A, t = full[start:], z[start:]
+    if len(t) < 3 or np.isnan(A).any():
+        raise np.linalg.LinAlgError("series too short for the order grid")
+    return A, t, e, B.shape[1], ar_lags, ma_lags
+
+
+def _search(A: np.ndarray, t: np.ndarray, nb: int, ar_lags, ma_lags, grid: dict, m: int):
+    """Score every candidate on the common sample from one Gram matrix; return the best."""
+    G, g, tt = A.T @ A, A.T @ t, float(t @ t)
     nobs = len(t)
-    sigma2 = float(resid @ resid / nobs)
-    k = A.shape[1] + 1
-    aic = nobs * math.log(max(sigma2, 1e-300)) + 2 * k
-    nb = B.shape[1]
-    coef = {"b": beta[:nb], "ar": dict(zip(ar_lags, beta[nb:nb + len(ar_lags)])),
-            "ma": dict(zip(ma_lags, beta[nb + len(ar_lags):]))}
-    return coef, sigma2, aic, e
+    best = None
+    for p, q, P, Q in itertools.product(grid["p"], grid["q"], grid["P"], grid["Q"]):
+        ar = sorted(set([k for k in range(1, p + 1)] + [j * m for j in range(1, P + 1)]))
+        ma = sorted(set([k for k in range(1, q + 1)] + [j * m for j in range(1, Q + 1)]))
+        idx = list(range(nb)) + [nb + ar_lags.index(k) for k in ar] + \
+              [nb + len(ar_lags) + ma_lags.index(k) for k in ma]
+        if len(idx) >= nobs - 2:
+            continue
+        Gs, gs = G[np.ix_(idx, idx)], g[idx]
+        beta, *_ = np.linalg.lstsq(Gs, gs, rcond=None)
+        rss = tt - 2.0 * float(beta @ gs) + float(beta @ Gs @ beta)
+        if not np.isfinite(rss):
+            continue
+        if rss <= 1e-12 * max(tt, 1.0):
+            rss = float(np.sum((t - A[:, idx] @ beta) ** 2))
+        sigma2 = max(rss / nobs, 1e-300)
+        aic = nobs * math.log(sigma2) + 2 * (len(idx) + 1)
+        if best is None or aic < best[0]:
+            best = (aic, idx, beta, sigma2, ar, ma)
+    if best is None:
+        raise np.linalg.LinAlgError("no candidate fitted")
+    _, idx, beta, sigma2, ar, ma = best
+    coef = {"b": beta[:nb], "ar": dict(zip(ar, beta[nb:nb + len(ar)])),
+            "ma": dict(zip(ma, beta[nb + len(ar):]))}
+    return coef, sigma2
 
 
 def _forecast_one(y: np.ndarray, X: np.ndarray | None, Xf: np.ndarray | None, m: int, horizon: int,
@@ -179,21 +199,8 @@ def _forecast_one(y: np.ndarray, X: np.ndarray | None, Xf: np.ndarray | None, m:
         keep = Xz.std(axis=0) > 1e-12
         Xz = Xz[:, keep] if keep.any() else None
         Xf = Xf[:, keep] if (Xf is not None and keep.any()) else None
-    max_lag = max(max(grid["p"]) + 0, max(grid["P"]) * m, max(grid["Q"]) * m, max(grid["q"]))
-    long_max = min(max(max(grid["p"]) + max(grid["q"]), max(grid["P"]) * m + 1, max(grid["Q"]) * m + 1, 8),
-                   len(z) // 3)
-    start = max_lag + long_max  # common sample: AICs are comparable
-    best = None
-    for p, q, P, Q in itertools.product(grid["p"], grid["q"], grid["P"], grid["Q"]):
-        try:
-            coef, s2, aic, e = _fit_hr(z, Xz, p, q, P, Q, m, start)
-        except (np.linalg.LinAlgError, ValueError):
-            continue
-        if np.isfinite(aic) and (best is None or aic < best[2]):
-            best = (coef, s2, aic, e)
-    if best is None:
-        raise np.linalg.LinAlgError("no candidate fitted")
-    coef, s2, _, e = best
+    A, t, e, nb, ar_lags, ma_lags = _design(z, Xz, grid, m)
+    coef, s2 = _search(A, t, nb, ar_lags, ma_lags, grid, m)
     # recursive prediction on the differenced scale (future innovations are 0)
     zz = list(z)
     ee = list(e)
@@ -207,9 +214,7 @@ def _forecast_one(y: np.ndarray, X: np.ndarray | None, Xf: np.ndarray | None, m:
         zz.append(v)
         ee.append(0.0)
     zf = np.array(zz[len(z):])
-    # undo differencing
     yf = _integrate(y, zf, d, D, m)
-    # psi weights of the integrated ARMA for the forecast variance
     psi = _psi(coef, d, D, m, horizon)
     var = s2 * np.cumsum(psi ** 2)
     return yf, np.sqrt(var)

@@ -23,7 +23,7 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], keys: Sequence[str] =
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
-def _largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     r = df.groupBy(*keys).count().agg(F.max("count").alias("m")).first()
     return int(r["m"] or 0)
 
@@ -37,7 +37,7 @@ def running_sum(df: DataFrame, values: dict[str, Column], order: Sequence[Column
     mode: ``window`` (one window per key), ``two_stage`` or ``auto`` (two-stage when
     the largest key has more than ``params.RUNNING_TOTAL_ROWS_MAX`` rows)."""
     if mode == "auto":
-        mode = "two_stage" if _largest_group(df, keys) > params.RUNNING_TOTAL_ROWS_MAX else "window"
+        mode = "two_stage" if largest_group(df, keys) > params.RUNNING_TOTAL_ROWS_MAX else "window"
     if mode == "window":
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         for name, v in values.items():

@@ -63,7 +63,7 @@ class Retail:
 
     @cached_property
     def pareto(self) -> DataFrame:
-        return analytics.pareto(self.product_flow, mode=self.running_mode)
+        return analytics.pareto(self.product_flow, mode=self._running_mode())
 
     @cached_property
     def revenue_share(self) -> DataFrame:
@@ -97,11 +97,23 @@ class Retail:
     def stock_table(self) -> DataFrame:
         return analytics.stock_table(self.products)
 
+    def _running_mode(self) -> str:
+        """Two-stage running totals when the largest client's catalogue exceeds the limit.
+        Sized from the products table (one column scan), so product_flow is not computed
+        twice; both modes give identical results."""
+        if self.running_mode != "auto":
+            return self.running_mode
+        if "_mode" not in self.__dict__:
+            from stocklens.operators.windows import largest_group
+            big = largest_group(self.products.select("client_id"), ["client_id"]) > params.RUNNING_TOTAL_ROWS_MAX
+            self.__dict__["_mode"] = "two_stage" if big else "window"
+        return self.__dict__["_mode"]
+
     # --- features -------------------------------------------------------------------
     @cached_property
-    def holidays(self) -> DataFrame:
-        spark = self.raw["sale_invoices"].sparkSession
-        return features.holiday_table(spark, *features.holiday_years(self.as_of))
+    def holidays(self):
+        """Default holiday calendar: the contract's fixed-date rule over its year window."""
+        return features.HolidayRule(*features.holiday_years(self.as_of))
 
     @cached_property
     def daily_features(self) -> DataFrame:
