@@ -20,6 +20,14 @@ def money_sum(c: Column | str) -> Column:
     return F.sum(money(c)).cast("double")
 
 
+def round_half_even(c: Column | str, digits: int = 2) -> Column:
+    """numpy-style rounding: ``rint(x * 10^d) / 10^d`` (ties to even on the scaled value).
+    Same bits as the pandas contract and as any engine doing the same IEEE steps."""
+    c = F.col(c) if isinstance(c, str) else c
+    k = float(10 ** digits)
+    return F.rint(c.cast("double") * F.lit(k)) / F.lit(k)
+
+
 def efficiency_bucket(ratio: Column | str) -> Column:
     """ANL-04: [0,0.8) / [0.8,1.2) / [1.2,inf) ; null or negative gives N/A."""
     r = F.col(ratio) if isinstance(ratio, str) else ratio

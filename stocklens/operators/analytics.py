@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stocklens import params
-from stocklens.functions import money, money_sum, stagnant_bucket
+from stocklens.functions import money, money_sum, round_half_even, stagnant_bucket
 from stocklens.operators.windows import running_sum, top_k
 
 def _BY_QTY_DESC():
@@ -111,7 +111,7 @@ def monthly_avg_invoice(invoices: DataFrame) -> DataFrame:
 def daily_sum(details: DataFrame, value: str, out: str) -> DataFrame:
     """ANL-15/16: daily sum of ``value`` by detail date, full day grid, gaps 0, round 2."""
     d = (details.groupBy("client_id", F.col("day").alias("date"))
-         .agg(F.round(F.sum(money(value)), 2).cast("double").alias(out)))
+         .agg(round_half_even(F.sum(money(value)), 2).alias(out)))
     return fill_grid(d, "date", [out], "day")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from stocklens import params
-from stocklens.functions import money, money_sum
+from stocklens.functions import money, money_sum, round_half_even
 from stocklens.operators import analytics
 from stocklens.operators.windows import top_k
 
@@ -66,7 +66,7 @@ def efficiency_totals(pf: DataFrame) -> DataFrame:
 def pareto_bands(pareto: DataFrame) -> DataFrame:
     """FIG-06: Pareto rows with the band label and the share rounded to 2."""
     return pareto.select("client_id", "rank", "product_id", "name", "sales_quantity",
-                         F.round("cumulative_percentage", 2).alias("cumulative_pct"),
+                         round_half_even("cumulative_percentage", 2).alias("cumulative_pct"),
                          analytics.pareto_band().alias("percentage_category"))
 
 

@@ -119,12 +119,12 @@ dgrid AS (
 ),
 dsales AS (
   SELECT g.client_id, g.date, COALESCE(s.value, 0.0) AS value
-  FROM dgrid g LEFT JOIN (SELECT client_id, day, CAST(ROUND(SUM(CAST(total_price AS DECIMAL(18,4))), 2) AS DOUBLE) AS value
+  FROM dgrid g LEFT JOIN (SELECT client_id, day, CAST((round_even(CAST(SUM(CAST(total_price AS DECIMAL(18,4))) AS DOUBLE) * 100, 0) / 100) AS DOUBLE) AS value
                           FROM det GROUP BY client_id, day) s ON g.client_id = s.client_id AND g.date = s.day
 ),
 dprofit AS (
   SELECT g.client_id, g.date, COALESCE(s.value, 0.0) AS value
-  FROM dgrid g LEFT JOIN (SELECT client_id, day, CAST(ROUND(SUM(CAST(net_profit AS DECIMAL(18,4))), 2) AS DOUBLE) AS value
+  FROM dgrid g LEFT JOIN (SELECT client_id, day, CAST((round_even(CAST(SUM(CAST(net_profit AS DECIMAL(18,4))) AS DOUBLE) * 100, 0) / 100) AS DOUBLE) AS value
                           FROM det GROUP BY client_id, day) s ON g.client_id = s.client_id AND g.date = s.day
 )
 """
@@ -281,16 +281,16 @@ SN_MONTHLY = seasonal_naive_ctes("snm", "mfeat", "month_start", "avg_invoice_val
 
 FIG11 = """
 , f11 AS (
-  SELECT client_id, date, ROUND(value, 2) AS value, 'actual' AS type,
+  SELECT client_id, date, (round_even(CAST(value AS DOUBLE) * 100, 0) / 100) AS value, 'actual' AS type,
          CAST(NULL AS DOUBLE) AS lower_ci, CAST(NULL AS DOUBLE) AS upper_ci FROM dsales
   UNION ALL
-  SELECT client_id, date, ROUND(forecast, 2), 'forecast', ROUND(lower_ci, 2), ROUND(upper_ci, 2) FROM snd
+  SELECT client_id, date, (round_even(CAST(forecast AS DOUBLE) * 100, 0) / 100), 'forecast', (round_even(CAST(lower_ci AS DOUBLE) * 100, 0) / 100), (round_even(CAST(upper_ci AS DOUBLE) * 100, 0) / 100) FROM snd
 )
 """
 
 PARETO_BANDS = """
 , pb AS (
-  SELECT client_id, rank, product_id, name, sales_quantity, ROUND(cumulative_percentage, 2) AS cumulative_pct,
+  SELECT client_id, rank, product_id, name, sales_quantity, (round_even(CAST(cumulative_percentage AS DOUBLE) * 100, 0) / 100) AS cumulative_pct,
          CASE WHEN cumulative_percentage >= 0 AND cumulative_percentage <= 80 THEN
               CAST((k - 1) * 10 AS VARCHAR) || '-' || CAST(k * 10 AS VARCHAR) || '%' ELSE 'Other' END AS percentage_category
   FROM (SELECT *, CAST(GREATEST(CEIL(cumulative_percentage / 10.0), 1) AS INTEGER) AS k FROM pareto)

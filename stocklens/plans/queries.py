@@ -100,7 +100,7 @@ def q_pareto(spark, sf_dir):
 
 
 @register("pareto_bands", oracle.q("""
-SELECT client_id, rank, product_id, name, sales_quantity, ROUND(cumulative_percentage, 2) AS cumulative_pct,
+SELECT client_id, rank, product_id, name, sales_quantity, (round_even(CAST(cumulative_percentage AS DOUBLE) * 100, 0) / 100) AS cumulative_pct,
        CASE WHEN cumulative_percentage >= 0 AND cumulative_percentage <= 80 THEN
             CAST((k - 1) * 10 AS VARCHAR) || '-' || CAST(k * 10 AS VARCHAR) || '%' ELSE 'Other' END AS percentage_category
 FROM (SELECT *, CAST(GREATEST(CEIL(cumulative_percentage / 10.0), 1) AS INTEGER) AS k FROM pareto)"""))
@@ -455,10 +455,10 @@ def q_pareto_segments(spark, sf_dir):
 
 
 @register("monthly_chart", oracle.q(oracle.FEATURES + oracle.SN_MONTHLY + """
-SELECT client_id, strftime(month_start, '%Y-%m') AS date, ROUND(avg_invoice_value, 2) AS value, 'actual' AS type,
+SELECT client_id, strftime(month_start, '%Y-%m') AS date, (round_even(CAST(avg_invoice_value AS DOUBLE) * 100, 0) / 100) AS value, 'actual' AS type,
        CAST(NULL AS DOUBLE) AS lower_ci, CAST(NULL AS DOUBLE) AS upper_ci FROM monthly
 UNION ALL
-SELECT client_id, strftime(date, '%Y-%m'), ROUND(forecast, 2), 'forecast', ROUND(lower_ci, 2), ROUND(upper_ci, 2) FROM snm"""))
+SELECT client_id, strftime(date, '%Y-%m'), (round_even(CAST(forecast AS DOUBLE) * 100, 0) / 100), 'forecast', (round_even(CAST(lower_ci AS DOUBLE) * 100, 0) / 100), (round_even(CAST(upper_ci AS DOUBLE) * 100, 0) / 100) FROM snm"""))
 def q_monthly_chart(spark, sf_dir):
     from pyspark.sql import functions as F
     from stocklens.operators.serving import fig12_rows
