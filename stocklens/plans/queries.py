@@ -530,3 +530,33 @@ stats AS (
 @register("chart_status", _status_sql())
 def q_chart_status(spark, sf_dir):
     return _r(spark, sf_dir).chart_status
+
+
+# --- documents, localisation and sinks (LOC, SNK) --------------------------------------
+
+@register("chart_docs")
+def q_chart_docs(spark, sf_dir):
+    from stocklens.operators.docs import chart_docs
+    return chart_docs(_r(spark, sf_dir))
+
+
+@register("chart_records")
+def q_chart_records(spark, sf_dir):
+    """Localised data records of every list-shaped figure (before paging)."""
+    from stocklens.operators.docs import records
+    return records(_r(spark, sf_dir))
+
+
+@register("translated_labels", oracle.q("""
+, tr(lang, efficiency, label) AS (VALUES ('en', 'Undersupplied', 'Undersupplied'), ('en', 'Balanced', 'Balanced'),
+    ('en', 'Oversupplied', 'Oversupplied'), ('en', 'N/A', 'N/A'))
+SELECT p.client_id, p.product_id, p.efficiency, t.label
+FROM pf p JOIN tr t ON p.efficiency = t.efficiency"""))
+def q_translated_labels(spark, sf_dir):
+    """LOC-02: product efficiency labels translated through the (lang, key, text) table."""
+    from pyspark.sql import functions as F
+    from stocklens.operators.i18n import translate, translations
+    pf = _r(spark, sf_dir).product_flow.select("client_id", "product_id", "efficiency")
+    t = translate(pf.withColumn("_lang", F.lit("en")), F.concat(F.lit("efficiency_labels."), F.col("efficiency")),
+                  F.col("_lang"), translations(spark), F.col("efficiency"), out="label")
+    return t.drop("_lang")

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference is a batch job: it has no watermark, event-time window, state store
+or late-data handling anywhere, so there is no streaming operator to rebuild. A
+scheduled batch run (``stocklens.plans.batch.run``) over newly landed files is the
+equivalent of its refresh cycle.
+"""
