@@ -560,3 +560,28 @@ def q_translated_labels(spark, sf_dir):
     t = translate(pf.withColumn("_lang", F.lit("en")), F.concat(F.lit("efficiency_labels."), F.col("efficiency")),
                   F.col("_lang"), translations(spark), F.col("efficiency"), out="label")
     return t.drop("_lang")
+
+
+# --- remaining cleaning operators and the V2 day count ----------------------------------
+
+@register("clean_products", oracle.q(
+    "SELECT client_id, product_id, name, buy_price, sale_price, current_stock FROM prod"))
+def q_clean_products(spark, sf_dir):
+    return _r(spark, sf_dir).products
+
+
+@register("clean_deferreds", oracle.q(
+    "SELECT client_id, invoice_type, status, amount, paid_amount, user_id FROM dfr"))
+def q_clean_deferreds(spark, sf_dir):
+    return _r(spark, sf_dir).deferreds
+
+
+@register("days_since_by_date", oracle.q("""
+SELECT client_id, product_id, last_sale_date,
+       COALESCE(CAST(date_diff('day', CAST(last_sale_date AS DATE), DATE '2001-12-31') AS INTEGER), 99999) AS days_since_last_sale
+FROM sales"""))
+def q_days_since_by_date(spark, sf_dir):
+    """ANL-06 with mode="date" (plain date difference, the V2 variant)."""
+    from stocklens.plans.retail import TPCH_AS_OF
+    r = Retail(_r(spark, sf_dir).raw, TPCH_AS_OF, days_mode="date")
+    return r.product_flow.select("client_id", "product_id", "last_sale_date", "days_since_last_sale")
