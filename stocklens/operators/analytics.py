@@ -23,13 +23,11 @@ def pareto(pf: DataFrame, threshold: float = params.PARETO_THRESHOLD, mode: str
     sold = pf.filter(F.col("sales_quantity") > 0).select(
         "client_id", "product_id", "name", "sales_quantity", "current_stock")
     run = running_sum(sold, {"_cum": money("sales_quantity"), "rank": F.lit(1)},
-                      _BY_QTY_DESC(), mode=mode)
-    tot = client_totals(sold, "sales_quantity", "_total")
-    out = (run.join(tot, "client_id")
-              .withColumn("cumulative_percentage",
-                          F.col("_cum").cast("double") / F.col("_total") * 100.0)
+                      _BY_QTY_DESC(), mode=mode, totals=["_cum"])
+    out = (run.withColumn("cumulative_percentage",
+                          F.col("_cum").cast("double") / F.col("_cum_total").cast("double") * 100.0)
               .withColumn("rank", F.col("rank").cast("int")))
-    return out.filter(F.col("cumulative_percentage") <= threshold).drop("_cum", "_total")
+    return out.filter(F.col("cumulative_percentage") <= threshold).drop("_cum", "_cum_total")
 
 
 def pareto_band(cum: str = "cumulative_percentage"):

@@ -169,6 +169,8 @@ def _ordered(df: DataFrame, order: list[Column], mode: str) -> DataFrame:
 def records(r, langs: list[str] | None = None, mode: str = "auto") -> DataFrame:
     """All list-shaped figures of a ``Retail`` job as localised records."""
     langs = langs or languages()
+    if mode == "auto":
+        mode = r.running_total_mode()   # sized once from the catalogue, not per figure
     pf = r.product_flow
     parts = [
         _records(charts.top_products(pf), "fig1", F.col("rank"), langs),

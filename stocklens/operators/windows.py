@@ -30,9 +30,10 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 def running_sum(df: DataFrame, values: dict[str, Column], order: Sequence[Column],
                 keys: Sequence[str] = ("client_id",), mode: str = "auto",
-                n_blocks: int | None = None) -> DataFrame:
+                n_blocks: int | None = None, totals: Sequence[str] = ()) -> DataFrame:
     """Add ``running`` columns: for each name -> value, the sum of value over all rows of
     the same key up to and including this one in ``order`` (which must be total).
+    For each name in ``totals`` also add ``{name}_total``, the key's grand total.
 
     mode: ``window`` (one window per key), ``two_stage`` or ``auto`` (two-stage when
     the largest key has more than ``params.RUNNING_TOTAL_ROWS_MAX`` rows)."""
@@ -40,8 +41,11 @@ def running_sum(df: DataFrame, values: dict[str, Column], order: Sequence[Column
         mode = "two_stage" if largest_group(df, keys) > params.RUNNING_TOTAL_ROWS_MAX else "window"
     if mode == "window":
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        whole = Window.partitionBy(*keys)
         for name, v in values.items():
             df = df.withColumn(name, F.sum(v).over(w))
+            if name in totals:
+                df = df.withColumn(f"{name}_total", F.sum(v).over(whole))
         return df
     if mode != "two_stage":
         raise ValueError(f"unknown mode {mode!r}")
@@ -67,6 +71,9 @@ def running_sum(df: DataFrame, values: dict[str, Column], order: Sequence[Column
     w_pre = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*keys, "_blk", *[F.sum(f"_tot{v}").over(w_pre).alias(f"_off{v}") for v in vals])
     out = local.join(offs, [*keys, "_blk"])
+    if totals:
+        grand = tot.groupBy(*keys).agg(*[F.sum(f"_tot_v_{n}").alias(f"{n}_total") for n in totals])
+        out = out.join(grand, list(keys))
     for name in values:
         v = f"_v_{name}"
         out = out.withColumn(name, F.col(f"_loc{v}") + F.coalesce(F.col(f"_off{v}"), F.lit(0)))

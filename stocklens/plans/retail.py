@@ -63,7 +63,7 @@ class Retail:
 
     @cached_property
     def pareto(self) -> DataFrame:
-        return analytics.pareto(self.product_flow, mode=self._running_mode())
+        return analytics.pareto(self.product_flow, mode=self.running_total_mode())
 
     @cached_property
     def revenue_share(self) -> DataFrame:
@@ -97,7 +97,7 @@ class Retail:
     def stock_table(self) -> DataFrame:
         return analytics.stock_table(self.products)
 
-    def _running_mode(self) -> str:
+    def running_total_mode(self) -> str:
         """Two-stage running totals when the largest client's catalogue exceeds the limit.
         Sized from the products table (one column scan), so product_flow is not computed
         twice; both modes give identical results."""
