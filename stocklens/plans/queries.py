@@ -585,3 +585,12 @@ def q_days_since_by_date(spark, sf_dir):
     from stocklens.plans.retail import TPCH_AS_OF
     r = Retail(_r(spark, sf_dir).raw, TPCH_AS_OF, days_mode="date")
     return r.product_flow.select("client_id", "product_id", "last_sale_date", "days_since_last_sale")
+
+
+@register("feature_dates", oracle.q(
+    "SELECT client_id, invoice_id, CAST(created_at AS DATE) AS sale_date FROM inv"))
+def q_feature_dates(spark, sf_dir):
+    """CLN-09: strict date column for the feature table (unparsable dates dropped)."""
+    from stocklens.operators.cleaning import feature_dates
+    inv = _r(spark, sf_dir).raw["sale_invoices"]
+    return feature_dates(inv.withColumnRenamed("id", "invoice_id")).select("client_id", "invoice_id", "sale_date")

@@ -118,7 +118,7 @@ def list_clients(invoices: DataFrame) -> DataFrame:
 _DIM_ROWS_MAX = 10_000  # region/nation are fixed dimensions; refuse anything larger
 
 
-_DIM_CHECKED: dict[tuple, int] = {}
+_DIM_KEYS: dict[tuple, list] = {}
 _READERS: dict[tuple, DataFrame] = {}
 
 
@@ -130,14 +130,16 @@ def _read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return _READERS[key]
 
 
-def _checked_dimension(df: DataFrame, name: str) -> DataFrame:
-    key = (df.sparkSession.sparkContext.applicationId, name, df.inputFiles() and tuple(df.inputFiles()))
-    if key not in _DIM_CHECKED:
-        _DIM_CHECKED[key] = df.count()
-    n = _DIM_CHECKED[key]
-    if n > _DIM_ROWS_MAX:
-        raise ValueError(f"{name} has {n} rows; it is broadcast as a dimension (max {_DIM_ROWS_MAX})")
-    return F.broadcast(df)
+def _dimension_keys(df: DataFrame, col: str, name: str) -> list:
+    """Keys of a small fixed dimension (region: 5 rows). The size is checked before the
+    keys are taken (at most ``_DIM_ROWS_MAX``), so this never grows with the data."""
+    key = (df.sparkSession.sparkContext.applicationId, name, tuple(df.inputFiles()))
+    if key not in _DIM_KEYS:
+        keys = [r[0] for r in df.select(col).distinct().limit(_DIM_ROWS_MAX + 1).collect()]
+        if len(keys) > _DIM_ROWS_MAX:
+            raise ValueError(f"{name} has more than {_DIM_ROWS_MAX} keys; it is not a small dimension")
+        _DIM_KEYS[key] = sorted(keys)
+    return _DIM_KEYS[key]
 
 
 def tpch_retail_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -172,8 +174,10 @@ def tpch_retail_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]
                    (F.col("p_retailprice") * 0.6).alias("buyPrice"),
                    F.col("l_shipdate").alias("created_at"),
                ))
-    # products: every part is listed by every client (region is a checked, broadcast dimension)
-    products = (part.crossJoin(_checked_dimension(region, "region"))
+    # products: every part is listed by every client; the client keys come from the
+    # (checked, tiny) region dimension and are exploded per part (no join, no shuffle)
+    regions = _dimension_keys(region, "r_regionkey", "region")
+    products = (part.select("*", F.explode(F.array(*[F.lit(k) for k in regions])).alias("r_regionkey"))
                 .select(
                     F.col("p_partkey").alias("id"),
                     F.col("p_name").alias("name"),

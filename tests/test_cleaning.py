@@ -71,3 +71,26 @@ def test_contracts(spark):
         check_columns(bad, "products")
     empty = read_optional(spark, "/nonexistent/dir", "invoice_deferreds")
     assert empty.count() == 0 and "paid_amount" in empty.columns
+
+
+def test_include_unsold(spark):
+    from stocklens.operators.flow import product_flow
+    r = _retail(spark)
+    pf = {p["product_id"]: p for p in product_flow(r.details, r.products, r.as_of, include_unsold=True).collect()}
+    assert pf["3"]["sales_quantity"] == 0.0 and pf["3"]["efficiency"] == "N/A"
+    assert pf["3"]["days_since_last_sale"] == 99999
+
+
+def test_days_mode_date(spark):
+    r = _retail(spark)
+    r.days_mode = "date"
+    pf = {p["product_id"]: p for p in r.product_flow.collect()}
+    assert pf["1"]["days_since_last_sale"] == 0
+
+
+def test_tpch_products_adapter(spark):
+    from stocklens.plans.retail import Retail
+    r = Retail.from_tpch(spark, "/root/testdata/sf0.001")
+    n_part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+    assert r.products.count() == 5 * n_part
+    assert r.products.select("client_id").distinct().count() == 5

@@ -78,3 +78,23 @@ def test_chart11_window(spark):
     assert got == {"actual": 90, "forecast": 14}
     bridge = serving.forecast_bridge(serving.fig11_rows(actual, fc)).filter("segment = 'bridge'").collect()
     assert len(bridge) == 1 and bridge[0]["date"] == last
+
+
+def test_holidays_rule_and_table(spark):
+    s = _daily(spark, range(0, 60), start=dt.date(2023, 2, 1))
+    rule = features.HolidayRule(2022, 2025)
+    flagged = features.calendar(s, "sale_date", rule).filter("is_holiday = 1").collect()
+    assert [r["sale_date"] for r in flagged] == [dt.date(2023, 2, 22)]
+    table = spark.createDataFrame([(dt.date(2023, 3, 1), "user holiday")], "holiday_date date, name string")
+    flagged = features.calendar(s, "sale_date", table).filter("is_holiday = 1").collect()
+    assert [r["sale_date"] for r in flagged] == [dt.date(2023, 3, 1)]
+    # outside the contract's year window nothing is flagged
+    assert features.calendar(s, "sale_date", features.HolidayRule(2024, 2026)).filter("is_holiday = 1").count() == 0
+    assert features.holiday_table(spark, 2022, 2023).count() == 4
+
+
+def test_calendar_columns(spark):
+    s = _daily(spark, [0], start=dt.date(2024, 3, 1))   # a Friday, first of the month
+    r = features.calendar(s, "sale_date", None).first()
+    assert (r["day_of_week"], r["is_weekend"], r["is_month_start"], r["is_month_end"], r["week_of_year"],
+            r["quarter"], r["day_of_year"]) == (4, 1, 1, 0, 9, 1, 61)
