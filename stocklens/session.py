@@ -32,13 +32,17 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only set our own where it is unset (tests)."""
+    """Use the cluster's ``spark.checkpoint.dir`` (a shared folder). Only a local-mode
+    session (tests) without one gets a temporary folder of its own; a cluster session
+    without one is an error, never a machine-local folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set; point it at a shared folder (HDFS/S3/DBFS)")
         configured = tempfile.mkdtemp(prefix="stocklens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -154,7 +154,7 @@ def tpch_retail_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]
     lineitem = rd("lineitem")
     part = rd("part").select("p_partkey", "p_name", "p_retailprice")
 
-    cust_client = (customer.join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
+    cust_client = (customer.join(nation, customer.c_nationkey == nation.n_nationkey)
                    .select("c_custkey", F.col("n_regionkey").cast("long").alias("client_id")))
     order_client = orders.join(cust_client, orders.o_custkey == cust_client.c_custkey)
 
