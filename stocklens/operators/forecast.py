@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import sys
 from collections.abc import Sequence
 
 import numpy as np
@@ -139,7 +140,7 @@ def _design(z: np.ndarray, X: np.ndarray | None, grid: dict, m: int):
     candidates are scored on a common sample and their AICs are comparable."""
     n = len(z)
     pmax, qmax, Pmax, Qmax = max(grid["p"]), max(grid["q"]), max(grid["P"]), max(grid["Q"])
-    long_order = max(min(max(pmax + qmax, Pmax * m + 1, Qmax * m + 1, 8), n // 3), 1)
+    long_order = max(min(max(pmax + qmax, Pmax * m + 1, Qmax * m + 1, 8), n // 4), 1)
     B = np.column_stack([np.ones(n)] + ([X] if X is not None else []))
     L = _lagmat(z, range(1, long_order + 1))
     ok = ~np.isnan(L).any(axis=1)
@@ -167,7 +168,7 @@ def _search(A: np.ndarray, t: np.ndarray, nb: int, ar_lags, ma_lags, grid: dict,
         ma = sorted(set([k for k in range(1, q + 1)] + [j * m for j in range(1, Q + 1)]))
         idx = list(range(nb)) + [nb + ar_lags.index(k) for k in ar] + \
               [nb + len(ar_lags) + ma_lags.index(k) for k in ma]
-        if len(idx) >= nobs - 2:
+        if len(idx) > max(nobs // 2, 1):
             continue
         Gs, gs = G[np.ix_(idx, idx)], g[idx]
         beta, *_ = np.linalg.lstsq(Gs, gs, rcond=None)
@@ -188,8 +189,17 @@ def _search(A: np.ndarray, t: np.ndarray, nb: int, ar_lags, ma_lags, grid: dict,
     return coef, sigma2
 
 
+def _feasible_grid(grid: dict, n: int, m: int) -> dict:
+    """Keep only orders the sample can support: every lag at most n // 4 (seasonal lags
+    too), so short series (24 months) still get a fitted model."""
+    cap = max(n // 4, 1)
+    g = {"p": [p for p in grid["p"] if p <= cap], "q": [q for q in grid["q"] if q <= cap],
+         "P": [P for P in grid["P"] if P * m <= cap], "Q": [Q for Q in grid["Q"] if Q * m <= cap]}
+    return {k: (v or [0]) for k, v in g.items()}
+
+
 def _forecast_one(y: np.ndarray, X: np.ndarray | None, Xf: np.ndarray | None, m: int, horizon: int,
-                  grid: dict) -> tuple[np.ndarray, np.ndarray]:
+                  grid: dict, lag_cols: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     d = _choose_d(y)
     D = _choose_D(_difference(y, d, 0, m) if d else y, m)
     z = _difference(y, d, D, m)
@@ -197,8 +207,12 @@ def _forecast_one(y: np.ndarray, X: np.ndarray | None, Xf: np.ndarray | None, m:
     Xz = X[cut:] if X is not None else None
     if Xz is not None:
         keep = Xz.std(axis=0) > 1e-12
+        # lagged-target regressors duplicate AR terms; drop them when the sample is short
+        if lag_cols is not None and keep.sum() + 1 > len(z) // 4:
+            keep &= ~lag_cols
         Xz = Xz[:, keep] if keep.any() else None
         Xf = Xf[:, keep] if (Xf is not None and keep.any()) else None
+    grid = _feasible_grid(grid, len(z), m)
     A, t, e, nb, ar_lags, ma_lags = _design(z, Xz, grid, m)
     coef, s2 = _search(A, t, nb, ar_lags, ma_lags, grid, m)
     # recursive prediction on the differenced scale (future innovations are 0)
@@ -296,8 +310,9 @@ def make_forecaster(date_col: str, value_col: str, regressors: list[str], m: int
                 return empty
             X = hist[regressors].astype(float).to_numpy() if regressors else None
             Xf = fut[regressors].astype(float).to_numpy() if regressors else None
+            lag_cols = np.array(["_lag_" in c for c in regressors]) if regressors else None
             try:
-                yf, se = _forecast_one(y, X, Xf, m, horizon, grid)
+                yf, se = _forecast_one(y, X, Xf, m, horizon, grid, lag_cols)
                 if not (np.all(np.isfinite(yf)) and np.all(np.isfinite(se))):
                     raise ValueError("non-finite forecast")
             except (np.linalg.LinAlgError, ValueError, FloatingPointError):
@@ -332,9 +347,21 @@ def forecast_series(history: DataFrame, future: DataFrame, date_col: str, value_
     both = (forecastable(h, min_obs).withColumn("_future", F.lit(False))
             .unionByName(f.withColumn("_future", F.lit(True))))
     fn = make_forecaster(date_col, value_col, regs, m, horizon, grid, min_obs)
+    _ship_by_value()
     return both.groupBy("client_id").applyInPandas(fn, FORECAST_SCHEMA)
 
 
+def _ship_by_value() -> None:
+    """Serialise this package's code into the task (executors need no install or
+    --py-files): the grouped function and its helpers travel by value."""
+    from pyspark import cloudpickle
+    pkg = sys.modules[__name__.split(".")[0]]
+    try:
+        cloudpickle.register_pickle_by_value(pkg)
+    except ValueError:
+        pass  # already registered
+
+
 def forecast_daily(features: DataFrame, future: DataFrame,
                    horizon: int = params.FORECAST_HORIZON_DAILY, m: int = params.SEASON_DAILY) -> DataFrame:
     """FCS-05: daily forecast with calendar and lag regressors; >= 360 days required."""
