@@ -24,9 +24,9 @@ def pareto(pf: DataFrame, threshold: float = params.PARETO_THRESHOLD, mode: str
         "client_id", "product_id", "name", "sales_quantity", "current_stock")
     run = running_sum(sold, {"_cum": money("sales_quantity"), "rank": F.lit(1)},
                       _BY_QTY_DESC(), mode=mode, totals=["_cum"])
-    out = (run.withColumn("cumulative_percentage",
-                          F.col("_cum").cast("double") / F.col("_cum_total").cast("double") * 100.0)
-              .withColumn("rank", F.col("rank").cast("int")))
+    out = run.withColumns({
+        "cumulative_percentage": F.col("_cum").cast("double") / F.col("_cum_total").cast("double") * 100.0,
+        "rank": F.col("rank").cast("int")})
     return out.filter(F.col("cumulative_percentage") <= threshold).drop("_cum", "_cum_total")
 
 
@@ -91,9 +91,7 @@ def fill_grid(series: DataFrame, date_col: str, value_cols: list[str], step: str
     rng = series.groupBy("client_id").agg(F.min(date_col).alias("_lo"), F.max(date_col).alias("_hi"))
     grid = _month_grid(rng, "_lo", "_hi", step, date_col)
     out = grid.join(series, ["client_id", date_col], "left")
-    for c in value_cols:
-        out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0.0)))
-    return out
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in value_cols}) if value_cols else out
 
 
 def monthly_avg_invoice(invoices: DataFrame) -> DataFrame:

@@ -43,8 +43,8 @@ def clean_invoices(invoices: DataFrame) -> DataFrame:
                 _date_expr(invoices, "created_at").alias("created_at"),
                 num0("totalPrice").alias("total_price"))
             .filter(F.col("invoice_id").isNotNull() & F.col("created_at").isNotNull())
-            .withColumn("year_month", F.date_format("created_at", "yyyy-MM"))
-            .withColumn("day", F.to_date("created_at")))
+            .withColumns({"year_month": F.date_format("created_at", "yyyy-MM"),
+                          "day": F.to_date("created_at")}))
 
 
 def clean_details(scoped_details: DataFrame) -> DataFrame:
@@ -64,8 +64,8 @@ def clean_details(scoped_details: DataFrame) -> DataFrame:
                 num0("buyPrice").alias("buy_price"),
                 created.alias("created_at"))
            .filter(F.col("created_at").isNotNull() & F.col("invoice_id").isNotNull()))
-    return (out.withColumn("net_profit", F.col("total_price") - F.col("buy_price") * F.col("quantity"))
-               .withColumn("day", F.to_date("created_at")))
+    return out.withColumns({"net_profit": F.col("total_price") - F.col("buy_price") * F.col("quantity"),
+                            "day": F.to_date("created_at")})
 
 
 def clean_deferreds(deferreds: DataFrame) -> DataFrame:
@@ -105,11 +105,9 @@ def ffill_bfill0(df: DataFrame, cols: Sequence[str], order_col: str,
     w = Window.partitionBy(*keys).orderBy(order_col)
     back = w.rowsBetween(Window.unboundedPreceding, 0)
     fwd = w.rowsBetween(0, Window.unboundedFollowing)
-    for c in cols:
-        df = df.withColumn(c, F.coalesce(F.last(c, ignorenulls=True).over(back),
+    return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(back),
                                          F.first(c, ignorenulls=True).over(fwd),
-                                         F.lit(0.0)))
-    return df
+                                         F.lit(0.0)) for c in cols})
 
 
 LEAKAGE_COLUMNS = ("transaction_count", "total_items")
@@ -119,13 +117,14 @@ def clean_regressors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """CLN-11/12: infinities and NaN become null, then 0; text regressors coerced;
     leakage columns dropped."""
     df = df.drop(*[c for c in LEAKAGE_COLUMNS if c in df.columns])
+    fixed = {}
     for c in cols:
         if c not in df.columns:
             continue
         v = num_or_null(F.col(c), df.schema[c].dataType)
         bad = v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
-        df = df.withColumn(c, F.when(bad, F.lit(0.0)).otherwise(v))
-    return df
+        fixed[c] = F.when(bad, F.lit(0.0)).otherwise(v)
+    return df.withColumns(fixed) if fixed else df
 
 
 def dirty_dates(invoices: DataFrame) -> DataFrame:

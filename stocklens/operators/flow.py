@@ -43,6 +43,6 @@ def product_flow(details: DataFrame, products: DataFrame, as_of,
         "last_sale_date",
     )
     ratio = F.when(F.col("sales_quantity") > params.EPS, F.col("current_stock") / F.col("sales_quantity"))
-    return (pf.withColumn("efficiency_ratio", ratio)
-              .withColumn("efficiency", efficiency_bucket("efficiency_ratio"))
-              .withColumn("days_since_last_sale", days_since("last_sale_date", as_of, days_mode)))
+    return pf.withColumns({"efficiency_ratio": ratio,
+                           "efficiency": efficiency_bucket(ratio),
+                           "days_since_last_sale": days_since("last_sale_date", as_of, days_mode)})

@@ -42,10 +42,10 @@ def forecastable(series: DataFrame, min_obs: int, keys: Sequence[str] = ("client
 def clip_bounds(df: DataFrame) -> DataFrame:
     """FCS-04: negatives to 0; when lower was clipped, upper = max(lower, upper)."""
     clipped = F.col("lower_ci") < 0
-    return (df.withColumn("forecast", F.greatest(F.col("forecast"), F.lit(0.0)))
-              .withColumn("upper_ci", F.when(clipped, F.greatest(F.lit(0.0), F.col("upper_ci")))
-                          .otherwise(F.col("upper_ci")))
-              .withColumn("lower_ci", F.greatest(F.col("lower_ci"), F.lit(0.0))))
+    return df.withColumns({
+        "forecast": F.greatest(F.col("forecast"), F.lit(0.0)),
+        "upper_ci": F.when(clipped, F.greatest(F.lit(0.0), F.col("upper_ci"))).otherwise(F.col("upper_ci")),
+        "lower_ci": F.greatest(F.col("lower_ci"), F.lit(0.0))})
 
 
 # --- seasonal naive (FCS-07) -------------------------------------------------------

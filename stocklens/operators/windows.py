@@ -42,11 +42,9 @@ def running_sum(df: DataFrame, values: dict[str, Column], order: Sequence[Column
     if mode == "window":
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         whole = Window.partitionBy(*keys)
-        for name, v in values.items():
-            df = df.withColumn(name, F.sum(v).over(w))
-            if name in totals:
-                df = df.withColumn(f"{name}_total", F.sum(v).over(whole))
-        return df
+        cols = {name: F.sum(v).over(w) for name, v in values.items()}
+        cols.update({f"{name}_total": F.sum(v).over(whole) for name, v in values.items() if name in totals})
+        return df.withColumns(cols)
     if mode != "two_stage":
         raise ValueError(f"unknown mode {mode!r}")
 
@@ -63,9 +61,7 @@ def running_sum(df: DataFrame, values: dict[str, Column], order: Sequence[Column
     # 2. running sums inside each (key, block): a block holds about 1/n of the data.
     w_in = (Window.partitionBy(*keys, "_blk").orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, 0))
-    local = ranged
-    for vname in vals:
-        local = local.withColumn(f"_loc{vname}", F.sum(vname).over(w_in))
+    local = ranged.withColumns({f"_loc{vname}": F.sum(vname).over(w_in) for vname in vals})
     # 3. offsets: totals of all earlier blocks of the same key (at most n rows per key).
     tot = ranged.groupBy(*keys, "_blk").agg(*[F.sum(v).alias(f"_tot{v}") for v in vals])
     w_pre = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,8 +70,7 @@ def running_sum(df: DataFrame, values: dict[str, Column], order: Sequence[Column
     if totals:
         grand = tot.groupBy(*keys).agg(*[F.sum(f"_tot_v_{n}").alias(f"{n}_total") for n in totals])
         out = out.join(grand, list(keys))
-    for name in values:
-        v = f"_v_{name}"
-        out = out.withColumn(name, F.col(f"_loc{v}") + F.coalesce(F.col(f"_off{v}"), F.lit(0)))
+    out = out.withColumns({name: F.col(f"_loc_v_{name}") + F.coalesce(F.col(f"_off_v_{name}"), F.lit(0))
+                           for name in values})
     drop = ["_blk"] + [c for v in vals for c in (v, f"_loc{v}", f"_off{v}")]
     return out.drop(*drop)
