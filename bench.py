@@ -42,8 +42,13 @@ def main() -> None:
     r = Retail.from_tpch(spark, sf_dir)
     times["product_flow"] = timed(lambda: run(r.product_flow))
     times["pareto"] = timed(lambda: run(Retail.from_tpch(spark, sf_dir).pareto))
-    times["daily_features"] = timed(lambda: run(Retail.from_tpch(spark, sf_dir).daily_features))
-    times["monthly_features"] = timed(lambda: run(Retail.from_tpch(spark, sf_dir).monthly_features))
+    def features(name: str) -> None:
+        rf = Retail.from_tpch(spark, sf_dir)
+        run(getattr(rf, name))
+        rf.unpersist()
+
+    times["daily_features"] = timed(lambda: features("daily_features"))
+    times["monthly_features"] = timed(lambda: features("monthly_features"))
 
     def all_charts() -> None:
         rc = Retail.from_tpch(spark, sf_dir).persist_core()
@@ -58,10 +63,15 @@ def main() -> None:
         ]
         for t in tables:
             run(t)
-        pf.unpersist()
+        rc.unpersist()
 
     times["all_charts"] = timed(all_charts)
-    times["forecast_daily"] = timed(lambda: run(Retail.from_tpch(spark, sf_dir).forecast_daily))
+    def forecast() -> None:
+        rf = Retail.from_tpch(spark, sf_dir)
+        run(rf.forecast_daily)
+        rf.unpersist()
+
+    times["forecast_daily"] = timed(forecast)
 
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({

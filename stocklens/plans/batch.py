@@ -40,7 +40,7 @@ def run(r: Retail, out: str, mode: str = "overwrite") -> None:
         sinks.write_chart_docs(chart_docs(r), f"{out}/docs", mode)
         sinks.write_forecast_csv(r.forecast_daily, f"{out}/forecast_daily_csv", mode)
     finally:
-        r.product_flow.unpersist()
+        r.unpersist()
 
 
 def main(argv=None) -> None:

@@ -115,13 +115,27 @@ class Retail:
         """Default holiday calendar: the contract's fixed-date rule over its year window."""
         return features.HolidayRule(*features.holiday_years(self.as_of))
 
+    # The feature tables hold one row per client per day/month: bounded by the calendar,
+    # not by data volume. They feed the history, the future rows, the baselines and the
+    # guards, so they are persisted (recomputed from lineage if an executor is lost).
     @cached_property
     def daily_features(self) -> DataFrame:
-        return features.daily_features(self.details, self.invoices, self.holidays)
+        return self._keep(features.daily_features(self.details, self.invoices, self.holidays))
 
     @cached_property
     def monthly_features(self) -> DataFrame:
-        return features.monthly_features(self.monthly_avg_invoice)
+        return self._keep(features.monthly_features(self.monthly_avg_invoice))
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.__dict__.setdefault("_persisted", []).append(df)
+        return df
+
+    def unpersist(self) -> None:
+        for df in self.__dict__.pop("_persisted", []):
+            df.unpersist()
+        if "product_flow" in self.__dict__:
+            self.product_flow.unpersist()
 
     # --- forecasts ----------------------------------------------------------------
     @cached_property
@@ -175,4 +189,5 @@ class Retail:
         """Pin product_flow (read by most figures). Recomputed from lineage if an
         executor is lost, so it is safe on a cluster."""
         self.__dict__["product_flow"] = self.product_flow.persist(level)
+        self.__dict__.setdefault("_persisted", []).append(self.__dict__["product_flow"])
         return self
