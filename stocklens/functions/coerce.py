@@ -109,8 +109,11 @@ def _parse_text_date(s: Column) -> Column:
 def _parse_number_date(x: Column) -> Column:
     """Spreadsheet serial (fraction kept) or Unix seconds near now; else null."""
     micros_per_day = 86400 * 1_000_000
-    sheet = F.timestamp_micros(F.round((x - F.lit(_SHEET_EPOCH_OFFSET)) * F.lit(micros_per_day)).cast("long"))
-    unix = F.timestamp_micros(F.round(x * F.lit(1_000_000)).cast("long"))
+    # Both encodings give naive wall-clock times (UTC wall clock); keep that wall clock
+    # whatever the session time zone is.
+    wall = lambda micros: F.to_utc_timestamp(F.timestamp_micros(micros), F.current_timezone())
+    sheet = wall(F.round((x - F.lit(_SHEET_EPOCH_OFFSET)) * F.lit(micros_per_day)).cast("long"))
+    unix = wall(F.round(x * F.lit(1_000_000)).cast("long"))
     now_s = F.unix_micros(F.current_timestamp()) / F.lit(1_000_000)
     return (
         F.when(x.isNull() | F.isnan(x), F.lit(None).cast("timestamp"))
