@@ -28,6 +28,12 @@ def round_half_even(c: Column | str, digits: int = 2) -> Column:
     return F.rint(c.cast("double") * F.lit(k)) / F.lit(k)
 
 
+def whole_days_between(lo: Column, hi: Column) -> Column:
+    """floor((hi - lo) / 1 day) on the wall clock (DST-safe), as bigint."""
+    tod = lambda c: F.date_format(c, "HH:mm:ss.SSSSSS")
+    return (F.datediff(hi.cast("date"), lo.cast("date")) - F.when(tod(hi) < tod(lo), 1).otherwise(0)).cast("long")
+
+
 def efficiency_bucket(ratio: Column | str) -> Column:
     """ANL-04: [0,0.8) / [0.8,1.2) / [1.2,inf) ; null or negative gives N/A."""
     r = F.col(ratio) if isinstance(ratio, str) else ratio
@@ -70,8 +76,11 @@ def days_since(last: Column | str, as_of, mode: str = "floor") -> Column:
     if mode == "date":
         d = F.datediff(day, last.cast("date"))
     elif mode == "floor":
-        micros = F.unix_micros(day.cast("timestamp")) - F.unix_micros(last.cast("timestamp"))
-        d = F.floor(micros / F.lit(86400 * 1_000_000)).cast("int")
+        # floor((midnight - last) / 1 day) on the wall clock (DST-safe): the date
+        # difference, one less when the sale was after midnight
+        last_ts = last.cast("timestamp")
+        after_midnight = last_ts != last_ts.cast("date").cast("timestamp")
+        d = (F.datediff(day, last_ts.cast("date")) - F.when(after_midnight, 1).otherwise(0)).cast("int")
     else:
         raise ValueError(f"unknown mode {mode!r}")
     return F.coalesce(d, F.lit(params.NO_SALE_DAYS))

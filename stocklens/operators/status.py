@@ -43,7 +43,8 @@ STAT_COLUMNS = ["n_pf", "sold_total", "n_sold", "n_valid_eff", "revenue", "n_cos
 
 
 def _span_days(lo, hi):
-    return F.floor((F.unix_micros(hi) - F.unix_micros(lo)) / F.lit(86400 * 1_000_000)).cast("long")
+    from stocklens.functions.labels import whole_days_between
+    return whole_days_between(lo, hi)
 
 
 def client_stats(clients: DataFrame, pf: DataFrame, pareto: DataFrame, shares: DataFrame,
