@@ -199,9 +199,12 @@ def _feasible_grid(grid: dict, n: int, m: int) -> dict:
 
 
 def _forecast_one(y: np.ndarray, X: np.ndarray | None, Xf: np.ndarray | None, m: int, horizon: int,
-                  grid: dict, lag_cols: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    d = _choose_d(y)
-    D = _choose_D(_difference(y, d, 0, m) if d else y, m)
+                  grid: dict, lag_cols: np.ndarray | None = None, d: int | None = None,
+                  D: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    if d is None:
+        d = _choose_d(y)
+    if D is None:
+        D = _choose_D(_difference(y, d, 0, m) if d else y, m)
     z = _difference(y, d, D, m)
     cut = len(y) - len(z)
     Xz = X[cut:] if X is not None else None
@@ -241,7 +244,7 @@ def _integrate(y: np.ndarray, zf: np.ndarray, d: int, D: int, m: int) -> np.ndar
     for _ in range(d):
         levels.append(levels[-1][1:] - levels[-1][:-1])
     fut = zf
-    steps = ["d"] * d + ["D"] * D
+    steps = ["D"] * D + ["d"] * d   # order applied by _difference; undone in reverse
     for i, kind in enumerate(reversed(steps)):
         prev = levels[len(steps) - 1 - i]
         hist = list(prev)
@@ -293,7 +296,7 @@ def _naive_rows(y: np.ndarray, m: int, horizon: int) -> tuple[np.ndarray, np.nda
 
 
 def make_forecaster(date_col: str, value_col: str, regressors: list[str], m: int, horizon: int,
-                    grid: dict, min_obs: int):
+                    grid: dict, min_obs: int, fallback: dict):
     """Build the per-client pandas function used by ``applyInPandas``."""
 
     def fit_predict(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -311,12 +314,18 @@ def make_forecaster(date_col: str, value_col: str, regressors: list[str], m: int
             X = hist[regressors].astype(float).to_numpy() if regressors else None
             Xf = fut[regressors].astype(float).to_numpy() if regressors else None
             lag_cols = np.array(["_lag_" in c for c in regressors]) if regressors else None
-            try:
-                yf, se = _forecast_one(y, X, Xf, m, horizon, grid, lag_cols)
-                if not (np.all(np.isfinite(yf)) and np.all(np.isfinite(se))):
+            def finite(res):
+                if not (np.all(np.isfinite(res[0])) and np.all(np.isfinite(res[1]))):
                     raise ValueError("non-finite forecast")
+                return res
+
+            try:   # order search
+                yf, se = finite(_forecast_one(y, X, Xf, m, horizon, grid, lag_cols))
             except (np.linalg.LinAlgError, ValueError, FloatingPointError):
-                yf, se = _naive_rows(y, m, horizon)
+                try:   # the contract's fixed fallback orders
+                    yf, se = finite(_forecast_one(y, X, Xf, m, horizon, fallback, lag_cols, d=1, D=0))
+                except (np.linalg.LinAlgError, ValueError, FloatingPointError):
+                    yf, se = _naive_rows(y, m, horizon)
             lower, upper = yf - Z95 * se, yf + Z95 * se
             out = pd.DataFrame({"client_id": np.repeat(int(pdf["client_id"].iloc[0]), horizon),
                                 "date": fut[date_col].to_numpy(),
@@ -332,12 +341,16 @@ def make_forecaster(date_col: str, value_col: str, regressors: list[str], m: int
     return fit_predict
 
 
+# The order search space and the fallback orders (p, q, P, Q; d=1, D=0).
 DAILY_GRID = {"p": [0, 1, 2, 3], "q": [0, 1, 2, 3], "P": [0, 1, 2], "Q": [0, 1, 2]}
 MONTHLY_GRID = {"p": [0, 1, 2, 3], "q": [0, 1, 2, 3], "P": [0, 1, 2], "Q": [0, 1]}
+DAILY_FALLBACK = {"p": [1], "q": [1], "P": [1], "Q": [1]}
+MONTHLY_FALLBACK = {"p": [1], "q": [1], "P": [1], "Q": [0]}
 
 
 def forecast_series(history: DataFrame, future: DataFrame, date_col: str, value_col: str,
-                    regressors: list[str], m: int, horizon: int, grid: dict, min_obs: int) -> DataFrame:
+                    regressors: list[str], m: int, horizon: int, grid: dict, min_obs: int,
+                    fallback: dict | None = None) -> DataFrame:
     """Fit and predict every client's series in one job (one group per client)."""
     regs = [c for c in regressors if c not in LEAKAGE_COLUMNS]
     h = clean_regressors(history, regs).select("client_id", date_col, F.col(value_col).cast("double").alias(value_col),
@@ -346,7 +359,7 @@ def forecast_series(history: DataFrame, future: DataFrame, date_col: str, value_
                                               *[F.col(c).cast("double").alias(c) for c in regs])
     both = (forecastable(h, min_obs).withColumn("_future", F.lit(False))
             .unionByName(f.withColumn("_future", F.lit(True))))
-    fn = make_forecaster(date_col, value_col, regs, m, horizon, grid, min_obs)
+    fn = make_forecaster(date_col, value_col, regs, m, horizon, grid, min_obs, fallback or DAILY_FALLBACK)
     _ship_by_value()
     return both.groupBy("client_id").applyInPandas(fn, FORECAST_SCHEMA)
 
@@ -367,7 +380,7 @@ def forecast_daily(features: DataFrame, future: DataFrame,
     """FCS-05: daily forecast with calendar and lag regressors; >= 360 days required."""
     regs = [c for c in future.columns if c not in ("client_id", "sale_date")]
     return forecast_series(features, future, "sale_date", "daily_sales", regs, m, horizon,
-                           DAILY_GRID, params.MIN_DAILY_OBS)
+                           DAILY_GRID, params.MIN_DAILY_OBS, DAILY_FALLBACK)
 
 
 def forecast_monthly(features: DataFrame, future: DataFrame,
@@ -376,5 +389,5 @@ def forecast_monthly(features: DataFrame, future: DataFrame,
     Dates are returned as ``yyyy-MM`` text."""
     regs = [c for c in future.columns if c not in ("client_id", "month_start")]
     out = forecast_series(features, future, "month_start", "avg_invoice_value", regs, m, horizon,
-                          MONTHLY_GRID, 2 * params.MIN_MONTHLY_OBS)
+                          MONTHLY_GRID, 2 * params.MIN_MONTHLY_OBS, MONTHLY_FALLBACK)
     return out.withColumn("date", F.date_format("date", "yyyy-MM"))
