@@ -33,7 +33,11 @@ def analytics_tables(r: Retail) -> dict:
     }
 
 
-def run(r: Retail, out: str, mode: str = "overwrite") -> None:
+def run(r: Retail, out: str, mode: str = "overwrite", stage: bool = True) -> None:
+    """Stage the cleaned source tables once (one pass over the line items), persist
+    product_flow, then write everything."""
+    if stage:
+        r.stage()
     r.persist_core()
     try:
         sinks.write_analytics(analytics_tables(r), f"{out}/analytics", mode)

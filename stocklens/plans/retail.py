@@ -185,6 +185,22 @@ class Retail:
                                     self.outstanding)
         return status.chart_status(stats)
 
+    def stage(self, path: str | None = None) -> Retail:
+        """Write the cleaned line-item, invoice and catalogue tables once (Parquet, in the
+        cluster's shared ``spark.checkpoint.dir`` unless ``path`` is given) and read them
+        back, so every later table scans a compact columnar copy instead of re-running
+        the source joins. Cuts lineage: a lost executor re-reads files, not the sources."""
+        import uuid
+
+        from stocklens.session import ensure_checkpoint_dir
+        spark = self.raw["sale_invoices"].sparkSession
+        root = (path or ensure_checkpoint_dir(spark)).rstrip("/") + f"/stocklens-stage-{uuid.uuid4().hex[:12]}"
+        for name in ("details", "invoices", "products"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{root}/{name}")
+            self.__dict__[name] = spark.read.parquet(f"{root}/{name}")
+        self.__dict__["staged_at"] = root
+        return self
+
     def persist_core(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Retail:
         """Pin product_flow (read by most figures). Recomputed from lineage if an
         executor is lost, so it is safe on a cluster."""

@@ -34,3 +34,5 @@ def test_csv_sources_to_outputs(spark):
     assert spark.read.parquet(os.path.join(out, "analytics", "pareto")).count() == 3
     assert os.path.isdir(os.path.join(out, "docs", "client_id=185", "lang=ar"))
     assert os.path.isdir(os.path.join(out, "forecast_daily_csv"))
+    # staged copies live in the checkpoint folder and feed the outputs
+    assert "stocklens-stage-" in r.staged_at and r.details.count() == 6
