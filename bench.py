@@ -21,7 +21,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     from stocklens.session import build_session
-    shuffle = 2 * cpus
+    shuffle = int(os.environ.get("BENCH_SHUFFLE", cpus))   # one partition per core locally
     spark = build_session(f"local[{cpus}]", shuffle_partitions=shuffle, app_name="stocklens-bench")
 
     from stocklens.operators import charts
