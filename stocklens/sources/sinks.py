@@ -36,15 +36,20 @@ def read_chart_docs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def read_chart_doc(docs: DataFrame, client_id, figure: str, lang: str | None) -> DataFrame:
+def read_chart_doc(docs: DataFrame, client_id, figure: str, lang: str | None,
+                   merge: bool = True) -> DataFrame:
     """SNK-03: one document in the requested language, else in ``en``; pages joined in
-    order. Works on one client's pages only (partition-pruned when read from disk)."""
+    order. Works on one client's pages only (partition-pruned when read from disk).
+    ``merge=False`` returns the pages as ordered rows instead of one string, for
+    documents too large to hold in one value."""
     want = (lang or params.DEFAULT_LANGUAGE).lower()
     d = docs.filter((F.col("client_id") == F.lit(client_id)) & (F.col("figure") == figure) &
                     F.col("lang").isin(want, params.DEFAULT_LANGUAGE))
     d = d.withColumn("_pref", F.when(F.col("lang") == want, 0).otherwise(1))
     best = d.groupBy("client_id", "figure").agg(F.min("_pref").alias("_pref"))
     d = d.join(best, ["client_id", "figure", "_pref"])
+    if not merge:
+        return d.select("client_id", "figure", "lang", "page", "metadata", "data").orderBy("page")
     g = d.groupBy("client_id", "figure", "lang").agg(
         F.first("metadata").alias("metadata"),
         F.array_sort(F.collect_list(F.struct("page", "data"))).alias("_p"))
@@ -79,3 +84,19 @@ def docs_for_frequency(docs: DataFrame, frequency: str, lang: str | None = None)
          .withColumn("_pref", F.when(F.col("lang") == want, 0).otherwise(1))
     best = d.groupBy("client_id", "figure").agg(F.min("_pref").alias("_pref"))
     return d.join(best, ["client_id", "figure", "_pref"]).drop("_pref")
+
+
+def bundle_status(docs: DataFrame, frequency: str, clients: DataFrame) -> DataFrame:
+    """SNK-05 status per client: how many of the group's figures exist, and the
+    "nothing found" case when none does."""
+    spark = docs.sparkSession
+    dim = frequency_dimension(spark).filter(F.col("frequency_group") == frequency.lower())
+    found = (docs.select("client_id", "figure").distinct()
+                 .join(F.broadcast(dim), "figure", "left_semi")
+                 .groupBy("client_id").agg(F.count(F.lit(1)).alias("figures_found")))
+    expected = len(params.REFRESH_GROUPS.get(frequency.lower(), []))
+    return (clients.select("client_id").distinct().join(found, "client_id", "left")
+            .select("client_id", F.lit(frequency.lower()).alias("frequency"),
+                    F.coalesce("figures_found", F.lit(0)).alias("figures_found"),
+                    F.lit(expected).alias("figures_expected"),
+                    (F.coalesce("figures_found", F.lit(0)) == 0).alias("nothing_found")))

@@ -46,6 +46,12 @@ def test_golden_docs_roundtrip(spark, golden):
     assert [r["percentage_category"] for r in rows] == ["30-40%", "60-70%", "70-80%"]
     weekly = sinks.docs_for_frequency(back, "weekly", "ar")
     assert sorted(r["figure"] for r in weekly.collect()) == ["fig1", "fig4", "fig9"]
+    pages = sinks.read_chart_doc(back, 185, "fig7", "ar", merge=False).collect()
+    assert [p["page"] for p in pages] == [0] and pages[0]["lang"] == "ar"
+    clients = spark.createDataFrame([(185,), (999,)], "client_id long")
+    st = {r["client_id"]: (r["figures_found"], r["nothing_found"])
+          for r in sinks.bundle_status(back, "quarterly", clients).collect()}
+    assert st == {185: (1, False), 999: (0, True)}
     docs.unpersist()
 
 
