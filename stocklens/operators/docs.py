@@ -191,7 +191,8 @@ def records(r, langs: list[str] | None = None, mode: str = "auto") -> DataFrame:
                  F.months_between(F.to_date(F.concat(F.col("date"), F.lit("-01"))), F.lit("1900-01-01").cast("date"))
                  * 2 + (F.col("type") == "forecast").cast("int"), langs),
         _records(charts.bottom_products(pf), "fig13", F.col("rank"), langs),
-        _records(charts.sales_histogram(pf), "fig14", F.col("rank"), langs),
+        _records(charts.sales_histogram(pf).withColumn("product_count", F.col("product_count").cast("double")),
+                 "fig14", F.col("rank"), langs),   # counts are written as numbers with a fraction
         _records(charts.top_sellers(pf), "fig15", F.col("rank"), langs),
         _records(charts.top_suppliers(r.outstanding), "fig17", F.col("rank"), langs),
     ]
