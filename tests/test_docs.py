@@ -61,3 +61,21 @@ def test_paged_document_reassembles(spark):
         "client_id long, figure string, lang string, page int, data string").withColumn("metadata", F.lit(None))
     doc = sinks.read_chart_doc(pages, 1, "fig7", "en").first()
     assert json.loads(doc["data"]) == [{"a": 1}, {"a": 2}, {"a": 3}]
+
+
+def test_golden_records_by_figure(golden):
+    """Records of client 185 with the saved documents' keys and values (FIXTURES F2;
+    product names are English stand-ins)."""
+    docs = D.chart_docs(golden, langs=["en"], mode="window").cache()
+    data = {r["figure"]: json.loads(r["data"]) for r in docs.collect()}
+    assert data["fig3"][0] == {"Product": "apple", "Revenue": 1770.0, "COGS": 1050.0, "Margin": 720.0}
+    assert [(r["Efficiency Category"], round(r["Total Stock"], 2), r["Total Sales"]) for r in data["fig5"]] == [
+        ("Undersupplied", 29.97, 64.0), ("Balanced", 0.0, 0.0), ("Oversupplied", 29.97, 20.0), ("N/A", 0.0, 0.0)]
+    assert data["fig10"][0] == {"Product": "juice A", "Days Since Last Sale": 373, "Stagnancy Period": "> 1 year",
+                                "Last Sale": "2024-04-18", "Stock": 9.99, "ID": "321"}
+    assert [r["ID"] for r in data["fig10"]] == ["321", "323", "397", "438", "396", "398"]
+    assert data["fig13"][0] == {"Product": "juice A", "Quantity Sold": 5.0}
+    assert data["fig14"][0] == {"Quantity Sold": 5.0, "Number of Products": 1.0}
+    assert data["fig17"] == [{"Supplier (ID)": "100", "Outstanding Amount": 1390.0}]
+    assert [r["Current Stock"] for r in data["fig9"]] == [9.99] * 6
+    docs.unpersist()
