@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from stocklens import params
 from stocklens.functions import money, money_sum, round_half_even, stagnant_bucket
@@ -75,18 +75,27 @@ def outstanding(deferreds: DataFrame) -> DataFrame:
              .filter(F.col("outstanding_amount") > params.EPS))
 
 
-def _month_grid(per_client_range: DataFrame, lo: str, hi: str, step: str, out: str) -> DataFrame:
-    return per_client_range.select(
-        "client_id", F.explode(F.sequence(F.col(lo), F.col(hi), F.expr(f"interval 1 {step}"))).alias(out))
-
-
 def fill_grid(series: DataFrame, date_col: str, value_cols: list[str], step: str = "day") -> DataFrame:
-    """ANL-14/15, FEA-02/11: every step from the client's first to last date; gaps 0.
-    The grid is bounded by the calendar, not by data volume."""
-    rng = series.groupBy("client_id").agg(F.min(date_col).alias("_lo"), F.max(date_col).alias("_hi"))
-    grid = _month_grid(rng, "_lo", "_hi", step, date_col)
-    out = grid.join(series, ["client_id", date_col], "left")
-    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in value_cols}) if value_cols else out
+    """ANL-14/15, FEA-02/11: every step from the client's first to last date. Each row
+    covers the gap up to the next observed date: its own date keeps the values, the
+    gap rows get 0 for ``value_cols`` and null for any other column. One pass, one
+    window per client over a calendar-bounded series, no self-join."""
+    w = Window.partitionBy("client_id").orderBy(date_col)
+    nxt = F.lead(date_col).over(w)
+    if step == "day":
+        until = F.when(nxt.isNull(), F.col(date_col)).otherwise(F.date_sub(nxt, 1))
+    else:
+        until = F.when(nxt.isNull(), F.col(date_col)).otherwise(F.add_months(nxt, -1))
+    others = [c for c in series.columns if c not in ("client_id", date_col)]
+    spans = (series.select("*", F.col(date_col).alias("_obs"), until.alias("_until"))
+                   .select("*", F.explode(F.sequence(F.col("_obs"), F.col("_until"),
+                                                     F.expr(f"interval 1 {step}"))).alias("_d")))
+    own = F.col("_d") == F.col("_obs")
+    cols = [F.col("client_id"), F.col("_d").alias(date_col)]
+    for c in others:
+        gap = F.lit(0.0) if c in value_cols else F.lit(None)
+        cols.append(F.when(own, F.col(c)).otherwise(gap.cast(series.schema[c].dataType)).alias(c))
+    return spans.select(*cols)
 
 
 def monthly_avg_invoice(invoices: DataFrame) -> DataFrame:
