@@ -23,7 +23,13 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], keys: Sequence[str] =
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+def largest_group(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> int:
+    """Rows of the largest key. With ``limit``, a plain count first: when the whole
+    table is within it no key can exceed it, and the per-key maximum is skipped."""
+    if limit is not None:
+        n = df.count()
+        if n <= limit:
+            return n
     r = df.groupBy(*keys).count().agg(F.max("count").alias("m")).first()
     return int(r["m"] or 0)
 
@@ -38,7 +44,8 @@ def running_sum(df: DataFrame, values: dict[str, Column], order: Sequence[Column
     mode: ``window`` (one window per key), ``two_stage`` or ``auto`` (two-stage when
     the largest key has more than ``params.RUNNING_TOTAL_ROWS_MAX`` rows)."""
     if mode == "auto":
-        mode = "two_stage" if largest_group(df, keys) > params.RUNNING_TOTAL_ROWS_MAX else "window"
+        limit = params.RUNNING_TOTAL_ROWS_MAX
+        mode = "two_stage" if largest_group(df, keys, limit) > limit else "window"
     if mode == "window":
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         whole = Window.partitionBy(*keys)

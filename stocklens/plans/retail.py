@@ -105,7 +105,8 @@ class Retail:
             return self.running_mode
         if "_mode" not in self.__dict__:
             from stocklens.operators.windows import largest_group
-            big = largest_group(self.products.select("client_id"), ["client_id"]) > params.RUNNING_TOTAL_ROWS_MAX
+            limit = params.RUNNING_TOTAL_ROWS_MAX
+            big = largest_group(self.products.select("client_id"), ["client_id"], limit) > limit
             self.__dict__["_mode"] = "two_stage" if big else "window"
         return self.__dict__["_mode"]
 
