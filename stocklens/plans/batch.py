@@ -52,6 +52,7 @@ def main(argv=None) -> None:
     ap.add_argument("--src")
     ap.add_argument("--tpch")
     ap.add_argument("--format", default="parquet")
+    ap.add_argument("--pattern", default="{table}", help="path of each table under --src, e.g. '{table}.csv'")
     ap.add_argument("--as-of")
     ap.add_argument("--clients", help="comma-separated client ids (tenant filter pushed to the scan)")
     ap.add_argument("--out", required=True)
@@ -64,7 +65,7 @@ def main(argv=None) -> None:
         r = Retail.from_tpch(spark, a.tpch, as_of or TPCH_AS_OF)
     else:
         clients = [int(x) for x in a.clients.split(",")] if a.clients else None
-        r = Retail.from_source(spark, a.src, as_of or dt.date.today(), clients, a.format)
+        r = Retail.from_source(spark, a.src, as_of or dt.date.today(), clients, a.format, pattern=a.pattern)
     run(r, a.out)
 
 

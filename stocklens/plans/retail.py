@@ -35,8 +35,9 @@ class Retail:
 
     @classmethod
     def from_source(cls, spark: SparkSession, src: str, as_of, client_ids=None,
-                    fmt: str = "parquet", options: dict | None = None, **kw) -> Retail:
-        return cls(tables.read_tables(spark, src, client_ids, fmt, options), as_of, **kw)
+                    fmt: str = "parquet", options: dict | None = None, pattern: str = "{table}",
+                    **kw) -> Retail:
+        return cls(tables.read_tables(spark, src, client_ids, fmt, options, pattern), as_of, **kw)
 
     # --- cleaned tables ---------------------------------------------------------
     @cached_property

@@ -49,24 +49,26 @@ def empty_like(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], RAW_SCHEMAS[table])
 
 
-def _reader(spark: SparkSession, src: str, table: str, fmt: str, options: dict | None):
+def _reader(spark: SparkSession, src: str, table: str, fmt: str, options: dict | None,
+            pattern: str = "{table}"):
+    """Read one table. Paths are ``{src}/{pattern}`` (default: a directory or file named
+    after the table, e.g. ``s3://bucket/retail/products``); JDBC reads ``dbtable``."""
     if fmt == "jdbc":
         opts = dict(options or {})
         opts.setdefault("dbtable", table)
         return spark.read.format("jdbc").options(**opts).load()
-    path = os.path.join(src, table if fmt != "parquet" or os.path.isdir(os.path.join(src, table))
-                        else f"{table}.parquet")
+    path = f"{src.rstrip('/')}/{pattern.format(table=table)}"
     if fmt == "csv":
         # SRC-06: spreadsheet exports; every column arrives as text and is coerced by cleaning.
-        return spark.read.option("header", True).csv(path if os.path.exists(path) else path + ".csv")
+        return spark.read.options(**(options or {})).option("header", True).csv(path)
     return spark.read.format(fmt).options(**(options or {})).load(path)
 
 
 def read_optional(spark: SparkSession, src: str, table: str, fmt: str = "parquet",
-                  options: dict | None = None) -> DataFrame:
+                  options: dict | None = None, pattern: str = "{table}") -> DataFrame:
     """SRC-04: a missing or unreadable optional table becomes an empty table."""
     try:
-        df = _reader(spark, src, table, fmt, options)
+        df = _reader(spark, src, table, fmt, options, pattern)
         check_columns(df, table)
         return df
     except Exception:  # noqa: BLE001 - the contract: any failure means "absent"
@@ -74,7 +76,8 @@ def read_optional(spark: SparkSession, src: str, table: str, fmt: str = "parquet
 
 
 def read_tables(spark: SparkSession, src: str, client_ids: Iterable[int] | None = None,
-                fmt: str = "parquet", options: dict | None = None) -> dict[str, DataFrame]:
+                fmt: str = "parquet", options: dict | None = None,
+                pattern: str = "{table}") -> dict[str, DataFrame]:
     """SRC-01: read products, invoices, details (scoped, SRC-02) and deferreds.
 
     ``client_ids`` becomes an ``isin`` filter that Spark pushes into the scan (and
@@ -82,9 +85,9 @@ def read_tables(spark: SparkSession, src: str, client_ids: Iterable[int] | None
     out: dict[str, DataFrame] = {}
     for table in ("products", "sale_invoices", "sale_invoices_details", "invoice_deferreds"):
         if table in _OPTIONAL:
-            df = read_optional(spark, src, table, fmt, options)
+            df = read_optional(spark, src, table, fmt, options, pattern)
         else:
-            df = check_columns(_reader(spark, src, table, fmt, options), table)
+            df = check_columns(_reader(spark, src, table, fmt, options, pattern), table)
         if client_ids is not None and table in _CLIENT_TABLES:
             df = df.filter(F.col("client_id").isin(list(client_ids)))
         out[table] = df

@@ -25,7 +25,7 @@ def test_csv_sources_to_outputs(spark):
                ["id", "product_id", "invoice_id", "quantity", "totalPrice", "buyPrice", "created_at"],
                [(k + 1, g[0], k + 1, g[5], g[6], 0, g[7]) for k, g in enumerate(GOLDEN_185)])
     # invoice_deferreds absent -> empty table, no error
-    r = Retail.from_source(spark, src, AS_OF_185, client_ids=[185], fmt="csv")
+    r = Retail.from_source(spark, src, AS_OF_185, client_ids=[185], fmt="csv", pattern="{table}.csv")
     assert r.invoices.count() == 6
     assert r.product_flow.count() == 6 and r.deferreds.count() == 0
     out = tempfile.mkdtemp(prefix="stocklens-out-")
