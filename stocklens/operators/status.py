@@ -16,7 +16,7 @@ from stocklens import params
 RULES = [
     ("fig1", [("n_pf = 0", "no_product_flow"), ("sold_total <= 0", "no_sales")],
      ("last_span_days < 30", "short_sales_period")),
-    ("fig2", [("n_valid_eff = 0", "no_efficiency_data")], None),
+    ("fig2", [("n_pf = 0", "no_product_flow"), ("n_valid_eff = 0", "no_efficiency_data")], None),
     ("fig3", [("n_pf = 0", "no_product_flow"), ("revenue <= 0", "no_sales"), ("n_cost = 0", "missing_cost_data")], None),
     ("fig4", [("n_pf = 0", "no_product_flow"), ("sold_total <= 0", "no_sales")],
      ("last_span_days < 30", "short_sales_period")),

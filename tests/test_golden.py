@@ -83,3 +83,20 @@ def test_shares_add_up(golden):
     total = golden.product_flow.agg(F.sum("sales_amount")).first()[0]
     assert abs(sum(r["value"] for r in rows) - total) < 1e-6
     assert all(r["name"] != "Other" for r in rows)  # only 6 products: no Other slice
+
+
+def test_chart_status_golden_and_empty_client(spark, golden):
+    from stocklens.operators import status as S
+    st = {r["figure"]: (r["ok"], r["code"], r["note"]) for r in golden.chart_status.collect()}
+    assert st["fig1"][0] and st["fig6"][0] and st["fig17"][0]
+    assert st["fig13"] == (False, "insufficient_product_count", None)      # 6 sold products <= 10
+    assert st["fig14"] == (True, None, "low_product_variety")
+    assert st["fig11"][2] == "forecast_unavailable_data"                  # 1 day of history
+    # a client with invoices but nothing else
+    stats = spark.createDataFrame([(7,)], "client_id long")
+    for c in S.STAT_COLUMNS:
+        from pyspark.sql import functions as F
+        stats = stats.withColumn(c, F.lit(0).cast("double"))
+    empty = {r["figure"]: r["code"] for r in S.chart_status(stats).collect()}
+    assert empty["fig2"] == "no_product_flow" and empty["fig17"] == "no_deferred_data"
+    assert empty["fig11"] == "no_details_data" and empty["fig12"] == "no_ts_data"
