@@ -24,7 +24,7 @@ def main() -> None:
     shuffle = int(os.environ.get("BENCH_SHUFFLE", cpus))   # one partition per core locally
     spark = build_session(f"local[{cpus}]", shuffle_partitions=shuffle, app_name="stocklens-bench")
 
-    from stocklens.operators import charts
+    from stocklens.operators.docs import records
     from stocklens.plans.retail import Retail
 
     def run(df) -> None:
@@ -41,18 +41,10 @@ def main() -> None:
         rf.unpersist()
 
     def all_charts() -> None:
+        # every chart table (figures 1-17, both languages, actual rows of 11/12) as one
+        # union written by one job, over a persisted product_flow
         rc = Retail.from_tpch(spark, sf_dir).persist_core()
-        pf = rc.product_flow
-        tables = [
-            charts.top_products(pf), charts.efficiency_counts(pf), charts.revenue_cogs(pf),
-            charts.efficiency_totals(pf), charts.pareto_bands(rc.pareto), charts.price_quantity(pf),
-            charts.restock(pf), charts.stagnant_rows(rc.stagnant), charts.bottom_products(pf),
-            charts.sales_histogram(pf), charts.top_sellers(pf),
-            charts.share_table(rc.revenue_share, rc.profit_share), charts.top_suppliers(rc.outstanding),
-            rc.daily_sales_actual, rc.monthly_avg_invoice,
-        ]
-        for t in tables:
-            run(t)
+        run(records(rc, forecasts=False))
         rc.unpersist()
 
     def forecast() -> None:

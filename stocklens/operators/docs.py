@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stocklens import params
-from stocklens.operators import charts
+from stocklens.operators import charts, serving
 from stocklens.operators.i18n import fallback_title, get_translation, languages, localize_label
 from stocklens.operators.windows import running_sum
 
@@ -166,8 +166,10 @@ def _ordered(df: DataFrame, order: list[Column], mode: str) -> DataFrame:
     return running_sum(df, {"_seq": F.lit(1)}, order, mode=mode)
 
 
-def records(r, langs: list[str] | None = None, mode: str = "auto") -> DataFrame:
-    """All list-shaped figures of a ``Retail`` job as localised records."""
+def records(r, langs: list[str] | None = None, mode: str = "auto", forecasts: bool = True) -> DataFrame:
+    """All list-shaped figures of a ``Retail`` job as localised records, in one DataFrame
+    (one job writes every chart). ``forecasts=False`` keeps only the actual rows in
+    charts 11 and 12 (no model fit)."""
     langs = langs or languages()
     if mode == "auto":
         mode = r.running_total_mode()   # sized once from the catalogue, not per figure
@@ -184,10 +186,11 @@ def records(r, langs: list[str] | None = None, mode: str = "auto") -> DataFrame:
         _records(_ordered(charts.stagnant_rows(r.stagnant),
                           [F.col("days_since_last_sale").desc(), F.col("product_id")], mode),
                  "fig10", F.col("_seq"), langs),
-        _records(r.fig11.withColumn("date", F.col("date").cast("string")), "fig11",
+        _records((r.fig11 if forecasts else serving.fig11_rows(r.daily_sales_actual, None))
+                 .withColumn("date", F.col("date").cast("string")), "fig11",
                  F.datediff(F.col("date").cast("date"), F.lit("1900-01-01").cast("date")) * 2
                  + (F.col("type") == "forecast").cast("int"), langs),
-        _records(r.fig12, "fig12",
+        _records(r.fig12 if forecasts else serving.fig12_rows(r.monthly_avg_invoice, None), "fig12",
                  F.months_between(F.to_date(F.concat(F.col("date"), F.lit("-01"))), F.lit("1900-01-01").cast("date"))
                  * 2 + (F.col("type") == "forecast").cast("int"), langs),
         _records(charts.bottom_products(pf), "fig13", F.col("rank"), langs),

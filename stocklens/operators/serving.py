@@ -11,21 +11,27 @@ from stocklens import params
 from stocklens.functions import round_half_even
 
 
-def fig11_rows(actual: DataFrame, forecast: DataFrame) -> DataFrame:
-    """FIG-11: actual daily rows and forecast rows with type and bounds, rounded 2."""
+def fig11_rows(actual: DataFrame, forecast: DataFrame | None) -> DataFrame:
+    """FIG-11: actual daily rows and forecast rows with type and bounds, rounded 2.
+    Without a forecast (``None``) only the actual rows."""
     a = actual.select("client_id", "date", round_half_even("value", 2).alias("value"), F.lit("actual").alias("type"),
                       F.lit(None).cast("double").alias("lower_ci"), F.lit(None).cast("double").alias("upper_ci"))
+    if forecast is None:
+        return a
     f = forecast.select("client_id", "date", round_half_even("forecast", 2).alias("value"), F.lit("forecast").alias("type"),
                         round_half_even("lower_ci", 2).alias("lower_ci"), round_half_even("upper_ci", 2).alias("upper_ci"))
     return a.unionByName(f)
 
 
-def fig12_rows(actual_monthly: DataFrame, forecast_monthly: DataFrame) -> DataFrame:
-    """FIG-12: actual monthly means and the monthly forecast, month as ``yyyy-MM``."""
+def fig12_rows(actual_monthly: DataFrame, forecast_monthly: DataFrame | None) -> DataFrame:
+    """FIG-12: actual monthly means and the monthly forecast, month as ``yyyy-MM``.
+    Without a forecast (``None``) only the actual rows."""
     a = actual_monthly.select("client_id", F.date_format("month_start", "yyyy-MM").alias("date"),
                               round_half_even("avg_invoice_value", 2).alias("value"), F.lit("actual").alias("type"),
                               F.lit(None).cast("double").alias("lower_ci"),
                               F.lit(None).cast("double").alias("upper_ci"))
+    if forecast_monthly is None:
+        return a
     f = forecast_monthly.select("client_id", F.col("date").cast("string").alias("date"),
                                 round_half_even("forecast", 2).alias("value"), F.lit("forecast").alias("type"),
                                 round_half_even("lower_ci", 2).alias("lower_ci"), round_half_even("upper_ci", 2).alias("upper_ci"))
