@@ -35,7 +35,7 @@ prod AS (
 dfr AS (
   SELECT i.client_id,
          CASE WHEN l.l_returnflag = 'R' THEN 'Stocks\Models\BuyInvoice' ELSE 'Stocks\Models\SaleInvoice' END AS invoice_type,
-         CASE i.order_status WHEN 'O' THEN 0.0 WHEN 'P' THEN 2.0 ELSE 1.0 END AS status,
+         CAST(CASE i.order_status WHEN 'O' THEN 0.0 WHEN 'P' THEN 2.0 ELSE 1.0 END AS DOUBLE) AS status,
          l.l_extendedprice AS amount, l.l_extendedprice * (1 - l.l_discount) AS paid_amount,
          CAST(l.l_suppkey AS VARCHAR) AS user_id
   FROM lineitem l JOIN inv i ON l.l_orderkey = i.invoice_id

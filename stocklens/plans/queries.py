@@ -19,9 +19,21 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
 
 
+def naive_timestamps(df: DataFrame) -> DataFrame:
+    """Return timestamps as ``timestamp_ntz`` (the same wall clock), like the source
+    tables, so results compare the same way whatever the reader's time zone."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+    ts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)]
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ts}) if ts else df
+
+
 def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
-        QUERIES[name] = fn
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return naive_timestamps(fn(spark, sf_dir))
+        query.__name__, query.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[name] = query
         if sql is not None:
             ORACLE[name] = sql
         return fn

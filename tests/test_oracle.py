@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as E  # noqa: E402
-from compare import compare, duck  # noqa: E402
+from compare import arrow_types, compare, duck  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +27,4 @@ def test_query_matches_oracle(spark, con, name):
         return
     res = compare(sdf, con.execute(sql).df())
     assert res == "OK", res
+    assert arrow_types(E.queries()[name](spark, SF), con, sql) == {}
