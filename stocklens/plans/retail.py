@@ -117,21 +117,16 @@ class Retail:
         """Default holiday calendar: the contract's fixed-date rule over its year window."""
         return features.HolidayRule(*features.holiday_years(self.as_of))
 
-    # The feature tables hold one row per client per day/month: bounded by the calendar,
-    # not by data volume. They feed the history, the future rows, the baselines and the
-    # guards, so they are persisted (recomputed from lineage if an executor is lost).
+    # The feature tables hold one row per client per day/month (bounded by the calendar).
+    # Within one query the history and future branches share their exchanges, so they
+    # are not persisted: nothing cached outlives the query that used it.
     @cached_property
     def daily_features(self) -> DataFrame:
-        return self._keep(features.daily_features(self.details, self.invoices, self.holidays))
+        return features.daily_features(self.details, self.invoices, self.holidays)
 
     @cached_property
     def monthly_features(self) -> DataFrame:
-        return self._keep(features.monthly_features(self.monthly_avg_invoice))
-
-    def _keep(self, df: DataFrame) -> DataFrame:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        self.__dict__.setdefault("_persisted", []).append(df)
-        return df
+        return features.monthly_features(self.monthly_avg_invoice)
 
     def unpersist(self) -> None:
         for df in self.__dict__.pop("_persisted", []):
