@@ -60,13 +60,11 @@ class HolidayRule:
     def __init__(self, first_year: int, last_year: int):
         self.first_year, self.last_year = first_year, last_year
 
-    def flag(self, d) -> "F.Column":
-        cond = F.lit(False)
-        for (m, day, since, _name) in FIXED_HOLIDAYS:
-            lo = max(since, self.first_year)
-            cond = cond | ((F.month(d) == m) & (F.dayofmonth(d) == day) &
-                           (F.year(d) >= lo) & (F.year(d) <= self.last_year))
-        return cond.cast("int")
+    def sql(self, d: str) -> str:
+        terms = [f"(month({d}) = {m} AND dayofmonth({d}) = {day} AND year({d}) BETWEEN "
+                 f"{max(since, self.first_year)} AND {self.last_year})"
+                 for (m, day, since, _name) in FIXED_HOLIDAYS]
+        return f"CAST({' OR '.join(terms) or 'false'} AS INT)"
 
 
 def flag_holidays(df: DataFrame, date_col: str, holidays) -> DataFrame:
@@ -75,7 +73,7 @@ def flag_holidays(df: DataFrame, date_col: str, holidays) -> DataFrame:
     if holidays is None:
         return df.withColumn("is_holiday", F.lit(0))
     if isinstance(holidays, HolidayRule):
-        return df.withColumn("is_holiday", holidays.flag(F.col(date_col)))
+        return df.selectExpr("*", f"{holidays.sql(date_col)} AS is_holiday")
     h = holidays.select(F.col("holiday_date").cast("date").alias("_hd")).distinct() \
                 .withColumn("_h", F.lit(1))
     return (df.join(h, df[date_col] == h["_hd"], "left")
@@ -85,30 +83,30 @@ def flag_holidays(df: DataFrame, date_col: str, holidays) -> DataFrame:
 
 # --- calendar ------------------------------------------------------------------
 
-def calendar(df: DataFrame, date_col: str = "sale_date", holidays: DataFrame | None = None) -> DataFrame:
+def calendar_exprs(d: str) -> list[str]:
+    """FEA-03 as SQL expressions over date column ``d`` (one JVM call builds them all)."""
+    return [f"weekday({d}) AS day_of_week",
+            f"CAST(weekday({d}) IN (4, 5) AS INT) AS is_weekend",
+            f"month({d}) AS month",
+            f"quarter({d}) AS quarter",
+            f"dayofmonth({d}) AS day_of_month",
+            f"weekofyear({d}) AS week_of_year",
+            f"CAST(dayofmonth({d}) = 1 AS INT) AS is_month_start",
+            f"CAST(last_day({d}) = {d} AS INT) AS is_month_end",
+            f"dayofyear({d}) AS day_of_year",
+            f"year({d}) AS year"]
+
+
+def calendar(df: DataFrame, date_col: str = "sale_date", holidays=None) -> DataFrame:
     """FEA-03: Monday=0 weekday, Fri/Sat weekend, ISO week, month start/end, etc."""
-    d = F.col(date_col)
-    out = df.select(
-        "*",
-        F.weekday(d).alias("day_of_week"),
-        F.weekday(d).isin(4, 5).cast("int").alias("is_weekend"),
-        F.month(d).alias("month"),
-        F.quarter(d).alias("quarter"),
-        F.dayofmonth(d).alias("day_of_month"),
-        F.weekofyear(d).alias("week_of_year"),
-        (F.dayofmonth(d) == 1).cast("int").alias("is_month_start"),
-        (F.last_day(d) == d).cast("int").alias("is_month_end"),
-        F.dayofyear(d).alias("day_of_year"),
-        F.year(d).alias("year"),
-    )
-    return flag_holidays(out, date_col, holidays)
+    return flag_holidays(df.selectExpr("*", *calendar_exprs(date_col)), date_col, holidays)
 
 
 def add_lags(df: DataFrame, value_col: str, lags: Sequence[int], prefix: str, order_col: str,
              keys: Sequence[str] = ("client_id",)) -> DataFrame:
     """FEA-05/08: ``lag(value, k)`` per client in date order (null when k >= length)."""
-    w = Window.partitionBy(*keys).orderBy(order_col)
-    return df.select("*", *[F.lag(value_col, k).over(w).alias(f"{prefix}{k}") for k in lags])
+    over = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY {order_col})"
+    return df.selectExpr("*", *[f"lag({value_col}, {k}) {over} AS {prefix}{k}" for k in lags])
 
 
 # --- daily ---------------------------------------------------------------------
@@ -130,13 +128,11 @@ def daily_sales_features(details: DataFrame, invoices: DataFrame) -> DataFrame:
 
 def finalize_daily(df: DataFrame, lags: Sequence[int] = params.DAILY_LAGS) -> DataFrame:
     """FEA-06: final columns and narrow types (float sales/lags, int calendar)."""
-    cols = [F.col("client_id"), F.col("sale_date"),
-            F.col("daily_sales").cast("float").alias("daily_sales"),
-            F.col("transaction_count").cast("int").alias("transaction_count"),
-            F.col("total_items").cast("float").alias("total_items")]
-    cols += [F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in CALENDAR_COLUMNS]
-    cols += [F.col(c).cast("float").alias(c) for c in daily_lag_columns(lags)]
-    return df.filter(F.col("daily_sales").isNotNull()).select(*cols)
+    exprs = ["client_id", "sale_date", "CAST(daily_sales AS FLOAT) AS daily_sales",
+             "CAST(transaction_count AS INT) AS transaction_count", "CAST(total_items AS FLOAT) AS total_items"]
+    exprs += [f"CAST(coalesce({c}, 0) AS INT) AS {c}" for c in CALENDAR_COLUMNS]
+    exprs += [f"CAST({c} AS FLOAT) AS {c}" for c in daily_lag_columns(lags)]
+    return df.filter("daily_sales IS NOT NULL").selectExpr(*exprs)
 
 
 def daily_features(details: DataFrame, invoices: DataFrame, holidays: DataFrame | None = None,
@@ -191,9 +187,8 @@ def future_daily(features: DataFrame, horizon: int = params.FORECAST_HORIZON_DAI
     days = last.select("*", F.explode(F.sequence(F.date_add("_last", 1), F.date_add("_last", horizon)))
                        .alias("sale_date"))
     cal = calendar(days, "sale_date", holidays)
-    return cal.select("client_id", "sale_date",
-                      *[F.col(c).cast("int").alias(c) for c in CALENDAR_COLUMNS],
-                      *daily_lag_columns(lags))
+    return cal.selectExpr("client_id", "sale_date", *[f"CAST({c} AS INT) AS {c}" for c in CALENDAR_COLUMNS],
+                          *daily_lag_columns(lags))
 
 
 def future_monthly(features: DataFrame, horizon: int = params.FORECAST_HORIZON_MONTHLY,

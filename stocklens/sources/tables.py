@@ -145,10 +145,21 @@ def _dimension_keys(df: DataFrame, col: str, name: str) -> list:
     return _DIM_KEYS[key]
 
 
+_ADAPTED: dict[tuple, dict[str, DataFrame]] = {}
+
+
 def tpch_retail_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Raw retail tables over the driver's tables: client = region of the customer's
     nation, invoices = orders, details = lineitem, products = part per region,
-    deferreds = lineitem by supplier. Lazy; nothing is read until an action."""
+    deferreds = lineitem by supplier. Lazy; nothing is read until an action. Built
+    once per (session, folder): DataFrames are immutable, so jobs share them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ADAPTED:
+        _ADAPTED[key] = _build_tpch_retail_tables(spark, sf_dir)
+    return dict(_ADAPTED[key])
+
+
+def _build_tpch_retail_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     rd = lambda t: _read_parquet(spark, os.path.join(sf_dir, f"{t}.parquet"))
     region = rd("region").select("r_regionkey")
     nation = rd("nation").select("n_nationkey", "n_regionkey")
