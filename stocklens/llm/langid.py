@@ -314,3 +314,18 @@ def detect(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[s
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep),
                         "lang_pred string, score double, cross_entropy double, rejected boolean"])
     return map_batches(df.select(*keep, text_of(text).alias("__text")), predictor, schema)
+
+
+def accepted_rows(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose language is known, all columns kept; nothing is shuffled."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+        m = sent.value
+        for batch in batches:
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            rejected = m.predict(texts)[3] if m is not None else np.ones(len(texts), dtype=bool)
+            yield batch.filter(pa.array(~rejected))
+
+    return df.mapInArrow(run, df.schema)

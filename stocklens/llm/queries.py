@@ -72,3 +72,46 @@ SELECT page_id, host, path, m.r AS rule,
 def q_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stocklens.llm import url_filter as op
     return op.filter_urls(table(spark, sf_dir, "pages"))
+
+
+@register("op6_near_dedup")
+def q_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stocklens.llm import near_dedup as op
+    return op.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op8_mix_sources")
+def q_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stocklens.llm import mixing as op
+    docs = table(spark, sf_dir, "documents")
+    return op.mixture(docs, op.make_plan(docs))
+
+
+@register("op1_lm_scoring")
+def q_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stocklens.llm import lm_scoring as op
+    from stocklens.llm.common import text_of
+    docs = table(spark, sf_dir, "documents").withColumn("__held", crc_mod("doc_id", 7) == 2)
+    trained = op.train(docs.filter(~F.col("__held")).select(text_of().alias("text")))
+    out = op.score(docs, trained, keep=("doc_id", "__held"))
+    return out.select("doc_id", F.col("__held").alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                      "base_score", "score")
+
+
+@register("op4_fingerprints")
+def q_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stocklens.llm import fingerprints as op
+    return op.fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
+@register("op5_license_scan")
+def q_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stocklens.llm import licenses as op
+    docs = table(spark, sf_dir, "documents")
+    return op.scan(docs, op.train(docs))
+
+
+@register("op10_html_extract")
+def q_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stocklens.llm import html_extract as op
+    return op.main_text(table(spark, sf_dir, "pages"))
