@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from stocklens.llm.common import staged, text_of
 
 LOW, HIGH = 0.001, 0.1
-RATES = [0] + [1] * 5 + [2] * 5 + [3] * 5 + [4] * 4 + [5] * 4 + [6] * 4 + [7] * 4
+RATES = [0, 1, 1, 2, 2, 3, 3, 3] + [4] * 5 + [5] * 7 + [6] * 9 + [7] * 10 + [8] * 10 + [9] * 10
 ROWS_PER_BLOCK = 20_000    # rows of one block of the id order
 MAX_BLOCKS = 2_000
 
@@ -53,7 +53,7 @@ def row_key(doc_id: str, text: str) -> Column:
 
 def nonzero(items: Column) -> Column:
     """A 32-bit hash that is never 0."""
-    h = F.shiftrightunsigned(F.xxhash64(F.array_join(items, " ")), 32).cast("int")
+    h = F.shiftright(F.xxhash64(F.array_join(items, " ")), 32).cast("int")
     return F.when(h == 0, F.lit(1)).otherwise(h)
 
 
@@ -109,22 +109,24 @@ def fingerprint_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     body = docs.join(chain.select("row", "doc_id", "n_chars", "copies", "next"), "row").join(heads, "row")
     edited = F.concat(F.expr("substring(text, 1, int(n_chars - floor(n_chars / 3)))"), F.col("head"))
 
-    # one array of (side, term) pairs per row; grouping by row again needs no further shuffle
+    # one array of (side, term) pairs per row, and one element that carries what the row keeps;
+    # grouping by row again needs no further shuffle
     tagged = body.withColumn("edited", edited).withColumns({"own": terms(F.col("text")), "new": terms(F.col("edited"))})
-    side = lambda c, s: F.transform(c, lambda t: F.struct(F.lit(s).alias("side"), t.alias("term")))
-    every = F.concat(side(F.col("own"), 0), side(F.col("new"), 1), F.array(F.struct(F.lit(2).alias("side"), F.lit(None).cast("string").alias("term"))))
-    flat = tagged.select(
-        "row", "doc_id", "n_chars", "copies", "next", F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-        nonzero(F.col("own")).alias("h_own"), nonzero(F.col("new")).alias("h_new"), F.explode(every).alias("x"))
-    flat = flat.select("*", F.col("x.side").alias("side"), F.col("x.term").alias("term")).drop("x")
+    kept = F.struct("doc_id", "n_chars", "copies", "next", F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+                    nonzero(F.col("own")).alias("h_own"), nonzero(F.col("new")).alias("h_new"))
+    tagged = tagged.select("row", "own", "new", kept.alias("kept"))
+    none = F.lit(None).cast(tagged.schema["kept"].dataType)
+    element = lambda s, t, k: F.struct(F.lit(s).alias("side"), t.alias("term"), k.alias("kept"))
+    flat = tagged.select("row", F.explode(F.concat(
+        F.transform("own", lambda t: element(0, t, none)), F.transform("new", lambda t: element(1, t, none)),
+        F.array(element(2, F.lit(None).cast("string"), F.col("kept"))))).alias("x")).select("row", "x.*")
     found = flat.join(lex, "term", "left").filter((F.col("side") == 2) | F.col("mask").isNotNull())
     pick = lambda s: F.array_sort(F.collect_set(F.when(F.col("side") == s, F.struct("term", "mask"))))
-    grouped = found.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.first("copies").alias("copies"), F.first("next").alias("next"),
-        F.first("edited_sha256").alias("edited_sha256"), F.first("h_own").alias("h_own"), F.first("h_new").alias("h_new"),
-        pick(0).alias("own"), pick(1).alias("new"))
-    signed = staged(grouped.select("row", "doc_id", "n_chars", "copies", "next", "edited_sha256",
-                                   parts_of("own", "h_own").alias("fp"), parts_of("new", "h_new").alias("efp")), "prints")
+    grouped = found.groupBy("row").agg(F.first("kept", ignorenulls=True).alias("kept"), pick(0).alias("own"), pick(1).alias("new"))
+    grouped = grouped.withColumns({f"{c}_{t}": F.filter(c, lambda x, m=m: x["mask"].bitwiseAND(F.lit(m)) != 0)
+                                   for c in ("own", "new") for t, m in (("mid", _tier(4, 6)), ("far", _tier(7, 99)))})
+    signed = staged(grouped.select("row", "kept.*", parts_of("own", "kept.h_own").alias("fp"),
+                                   parts_of("new", "kept.h_new").alias("efp")).drop("h_own", "h_new"), "prints")
     following = signed.select(F.col("row").alias("next"), F.col("fp").alias("nfp"))
     out = signed.join(following, "next").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select("doc_id", "n_chars", "edited_sha256", rendered(F.col("fp")).alias("fingerprint"),
@@ -132,12 +134,19 @@ def fingerprint_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                       likeness(F.col("fp"), F.col("nfp")).alias("near_next"))
 
 
+def _tier(low: int, high: int) -> int:
+    """Mask of the lexicons whose rate is within the bounds."""
+    return sum(1 << k for k, rate in enumerate(RATES) if low <= rate <= high)
+
+
 def parts_of(kept: str, whole: str) -> Column:
-    """The parts from the sorted (term, mask) pairs; ``whole``: hash of all terms."""
-    def one(k: int) -> Column:
-        own = F.filter(F.col(kept), lambda x: x["mask"].bitwiseAND(F.lit(1 << k)) != 0)
+    """The parts from the sorted (term, mask) pairs; ``whole``: hash of all terms. Sparse
+    lexicons look at the pairs that any lexicon of their tier keeps."""
+    def one(k: int, rate: int) -> Column:
+        among = F.col(kept if rate < 4 else f"{kept}_mid" if rate < 7 else f"{kept}_far")
+        own = F.filter(among, lambda x: x["mask"].bitwiseAND(F.lit(1 << k)) != 0)
         return F.when(F.size(own) > 0, nonzero(F.transform(own, lambda x: x["term"]))).otherwise(F.lit(0))
 
-    band = F.array(*[one(k) for k in range(len(RATES))], F.lit(0))
+    band = F.array(*[one(k, rate) for k, rate in enumerate(RATES)], F.lit(0))
     bare = F.array(*[F.lit(0)] * len(RATES), F.col(whole))
-    return F.when(F.size(kept) > 0, band).otherwise(bare)
+    return F.when(F.size(F.col(kept)) > 0, band).otherwise(bare)

@@ -152,7 +152,7 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", negatives:
         label = F.when(F.col("family") == f, F.lit(float(k))).otherwise(label)
     data = spans.unionByName(rest.filter(F.pmod("h", F.lit(2)) == 0).select(F.lit(UNKNOWN).alias("family"), "words"))
     fitted = LogisticRegression(maxIter=40, regParam=0.002, family="multinomial").fit(
-        features(data).select("features", label.alias("label")))
+        features(data).select("features", label.alias("label")).coalesce(4))
     probe = fitted.transform(features(rest.filter(F.pmod("h", F.lit(2)) == 1).select("words")))
     p = F.lit(1.0) - vector_to_array("probability")[0]
     at = probe.agg(F.percentile(p, 1 - FALSE_ACCEPTS)).first()[0]
