@@ -10,8 +10,9 @@
    ``MISS``. Survivors are verified on their full sets.
 4. Verified links give connected components. Buckets whose nodes are all in one component
    are finished. In the others, nodes of different components are compared as in 3, block by
-   block inside tasks; only pairs that pass the Bayesian test leave a task. Together with
-   the new links this gives the final components: every two nodes that share a bucket are
+   block inside tasks: first each node with its most similar one, which merges a group that
+   hangs together by linearly many pairs; then all pairs that are left, verified inside the
+   tasks, so that only links leave them. In the end every two nodes that share a bucket are
    either in one component or have been compared.
 
 A link of similarity 0.85 shares no band with probability (1 - 0.85^6)^24 = 1.2e-5.
@@ -45,6 +46,7 @@ BANDS, ROWS = 24, 6
 BATCH = 16                 # hashes compared between two looks at the posterior
 MISS = 1e-6                # posterior below which a pair is dropped
 BLOCK = 256                # nodes of a bucket in one block of step 4
+ROUNDS = 2                 # rounds of best partners before all open pairs are verified
 _CHUNK = 4096
 
 
@@ -204,41 +206,116 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "comp")
 
 
-def residual_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Bayesian survivors among the nodes of a bucket that are in different components.
-    ``members``: (key, node, comp). The nodes of a bucket are dealt into blocks of about
-    BLOCK; each pair of blocks is one group of at most 2 * BLOCK rows or so."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = (members.join(sizes.select("key", "blocks"), "key")
+def bucket_runs(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, i, j, block, node, comp, n_shingles, sig): the nodes of a bucket are dealt into
+    blocks of about BLOCK, and every two blocks i <= j meet in one run of at most about
+    2 * BLOCK rows. ``members``: (key, node, comp)."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    rows = (members.join(sizes, "key")
             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
             .join(nodes.select("node", "n_shingles", "sig"), "node"))
-    # block i meets every block j: the group is named (smaller, larger)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+    return rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                        "block", "node", "comp", "n_shingles", "sig")
 
-    def test(key, pdf):
-        import pandas as pd
-        pdf = pdf.sort_values("node")
-        i, j = key[1], key[2]
-        left = pdf[pdf.block == i]
-        right = pdf[pdf.block == j]
-        rule, out = least_matches(), []
-        ls, rs = _matrix(left.sig.tolist()), _matrix(right.sig.tolist())
-        ln, rn = left.node.to_numpy(), right.node.to_numpy()
-        lc, rc = left.comp.to_numpy(), right.comp.to_numpy()
-        lz, rz = left.n_shingles.to_numpy(), right.n_shingles.to_numpy()
-        for x in range(len(ln)):
-            ok = (rc != lc[x]) & (100 * np.minimum(rz, lz[x]) >= THRESHOLD * np.maximum(rz, lz[x]))
-            ok &= (rn > ln[x]) if i == j else True
-            at = np.flatnonzero(ok)
-            if len(at):
-                at = at[surviving(np.broadcast_to(ls[x], (len(at), ls.shape[1])), rs[at], rule)]
-                out.append(pd.DataFrame({"a": np.minimum(ln[x], rn[at]), "b": np.maximum(ln[x], rn[at])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-
-    return rows.groupBy("key", "i", "j").applyInPandas(test, "a long, b long").distinct()
+
+def per_run(rows: DataFrame, fn, schema: str) -> DataFrame:
+    """Apply ``fn`` (columns of one run -> tuple of arrays or None) to every run of
+    (key, i, j), in tasks that stream through their runs."""
+    names = rows.columns
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "i", "j")
+    fields = [f.split()[0] for f in schema.split(", ")]
+
+    def column(batch, c):
+        if c == "sig":
+            return _matrix(batch.column(c).to_pylist())
+        if c == "hashes":
+            out = np.empty(batch.num_rows, dtype=object)
+            out[:] = [np.asarray(v.values) for v in batch.column(c)]
+            return out
+        return batch.column(c).to_numpy(zero_copy_only=False)
+
+    def batch_of(found):
+        import pyarrow as pa
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=fields)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            cols = {c: column(batch, c) for c in names}
+            if held is not None:
+                cols = {c: np.concatenate([held[c], cols[c]]) for c in names}
+            name = np.stack([cols["key"], cols["i"], cols["j"]], axis=1)
+            edges = np.concatenate([[0], np.flatnonzero((name[1:] != name[:-1]).any(axis=1)) + 1])
+            found = [x for a, b in zip(edges[:-1], edges[1:]) if (x := fn({c: v[a:b] for c, v in cols.items()})) is not None]
+            held = {c: v[edges[-1]:] for c, v in cols.items()}       # the last run may go on in the next batch
+            if found:
+                yield batch_of(found)
+        if held is not None and (x := fn(held)) is not None:
+            yield batch_of([x])
+
+    return dealt.sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
+
+
+def open_pairs(run: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the pairs of a run that are in different components and that neither size nor
+    signatures rule out."""
+    i, j, block, node, comp, size = (run[c] for c in ("i", "j", "block", "node", "comp", "n_shingles"))
+    x, y = (g.ravel() for g in np.meshgrid(np.flatnonzero(block == i), np.flatnonzero(block == j), indexing="ij"))
+    ok = (comp[x] != comp[y]) & (100 * np.minimum(size[x], size[y]) >= THRESHOLD * np.maximum(size[x], size[y]))
+    if len(i) and i[0] == j[0]:
+        ok &= node[x] < node[y]
+    x, y = x[ok], y[ok]
+    if not len(x):
+        return x, y
+    rule, sig = least_matches(), run["sig"]
+    alive = np.concatenate([k + surviving(sig[x[k:k + 4096]], sig[y[k:k + 4096]], rule) for k in range(0, len(x), 4096)])
+    return x[alive], y[alive]
+
+
+def _ordered(node, x, y):
+    return np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+
+
+def best_partners(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): each node of a run with the open partner of most equal hashes."""
+    def best(run):
+        x, y = open_pairs(run)
+        if not len(x):
+            return None
+        sig = run["sig"]
+        same = np.concatenate([(sig[x[k:k + 4096]] == sig[y[k:k + 4096]]).sum(axis=1) for k in range(0, len(x), 4096)])
+        who, at = np.concatenate([x, y]), np.tile(np.arange(len(x)), 2)
+        order = np.lexsort((-same[at], who))
+        first = np.flatnonzero(np.concatenate([[True], who[order][1:] != who[order][:-1]]))
+        take = np.unique(at[order][first])
+        return _ordered(run["node"], x[take], y[take])
+
+    return per_run(bucket_runs(members, nodes), best, "a long, b long").distinct()
+
+
+def all_links(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): every link among the open pairs, verified inside the tasks on full sets. Only
+    nodes that have an open pair in their run travel with their sets."""
+    def busy(run):
+        x, y = open_pairs(run)
+        if not len(x):
+            return None
+        own = np.unique(np.concatenate([x, y]))
+        return tuple(run[c][own] for c in ("key", "i", "j", "block", "node", "comp"))
+
+    def verify(run):
+        x, y = open_pairs(run)
+        sets_, ok = run["hashes"], np.zeros(len(x), dtype=bool)
+        for k, (p, q) in enumerate(zip(x.tolist(), y.tolist())):
+            a, b = sets_[p], sets_[q]
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            ok[k] = 100 * both >= THRESHOLD * (len(a) + len(b) - both)
+        return _ordered(run["node"], x[ok], y[ok]) if ok.any() else None
+
+    rows = staged(per_run(bucket_runs(members, nodes), busy, "key long, i int, j int, block int, node long, comp long"), "busy")
+    rows = rows.join(nodes.select("node", "n_shingles", "sig"), "node").join(sets, "node")
+    return per_run(rows, verify, "a long, b long").distinct()
 
 
 def shingle_sets(df: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -284,14 +361,23 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     links = staged(verified(bayes(led, nodes), sets), "verified")
     comps = components(links)
 
-    # buckets with more than one component left
-    tagged = (members.select("key", "node").join(comps, "node", "left")
-              .select("key", "node", F.coalesce("comp", "node").alias("comp")))
-    mixed = staged(tagged.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-                   .filter("x <> y").select("key"), "mixed")
-    rest = staged(residual_pairs(staged(tagged.join(mixed, "key"), "open"), nodes), "rest")
-    more = staged(verified(rest.join(led, ["a", "b"], "left_anti"), sets), "verified")
-    comps = components(links.union(more)) if not more.isEmpty() else comps
+    def open_members() -> DataFrame:
+        """(key, node, comp) of the buckets with more than one component left."""
+        tagged = (members.select("key", "node").join(comps, "node", "left")
+                  .select("key", "node", F.coalesce("comp", "node").alias("comp")))
+        mixed = staged(tagged.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+                       .filter("x <> y").select("key"), "mixed")
+        return staged(tagged.join(mixed, "key"), "open")
+
+    for _ in range(ROUNDS):
+        more = staged(verified(best_partners(open_members(), nodes).join(links, ["a", "b"], "left_anti"), sets), "verified")
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        comps = components(links)
+    more = staged(all_links(open_members(), nodes, sets), "verified")
+    if not more.isEmpty():
+        comps = components(links.union(more))
 
     named = nodes.select("node", "first_doc").join(comps, "node", "left").select(
         "node", "first_doc", F.coalesce("comp", "node").alias("comp"))
@@ -311,7 +397,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 def kept_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, all columns kept: that of the smallest doc_id; if several
     have it, one of them by hash. Of rows without words repeated ones are dropped only."""
+    name = "__key"
+    while name in df.columns:
+        name += "_"
     stay = staged(classes(df, doc_id, text).filter("kept").groupBy(F.coalesce("comp", "key").alias("comp"))
-                  .agg(F.min("key").alias("__key")).select("__key"), "stay")
-    rows = df.withColumn("__key", row_key(doc_id, text))
-    return rows.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+                  .agg(F.min("key").alias(name)).select(name), "stay")
+    rows = df.withColumn(name, row_key(doc_id, text))
+    return rows.join(stay, name, "left_semi").dropDuplicates([name]).drop(name)
