@@ -197,10 +197,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = (both.join(labels.select(F.col("node").alias("b"), "comp"), "b")
                 .groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m")))
-        spread = staged(labels.join(near, "node").select("node", F.col("comp").alias("old"),
-                                                         F.least("comp", "m").alias("comp")), "labels")
-        jump = spread.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        new = staged(spread.join(jump, "comp").select("node", "old", F.col("far").alias("comp")), "labels")
+        spread = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("near"))
+        jump = labels.select(F.col("node").alias("near"), F.col("comp").alias("far"))
+        new = staged(spread.join(jump, "near").select("node", "old", F.least("near", "far").alias("comp")), "labels")
         if new.filter("old <> comp").isEmpty():
             return new.select("node", "comp")
         labels = new.select("node", "comp")
