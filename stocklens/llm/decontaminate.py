@@ -51,6 +51,46 @@ def allowed(length: int, similarity: float) -> int:
     return int(math.floor((1 - similarity) * length + 1e-9))
 
 
+_EDGES = ".,;:!?\"'()[]{}*%$&#-"
+
+
+class TokenIds(dict):
+    """Chunk of text between white space -> id of its word, 0 if the vocabulary has it not;
+    chunks without a word are -1, those of several words point into ``several``."""
+
+    def __init__(self, vocab: dict[str, int], limit: int = 1 << 19):
+        super().__init__()
+        self.vocab, self.limit, self.several = vocab, limit, []
+
+    def __missing__(self, chunk: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+            self.several.clear()
+        bare = chunk.strip(_EDGES)
+        if bare.isalnum():                   # the usual case: one word between punctuation
+            v = self.vocab.get(bare, 0)
+        else:
+            ws = words(chunk)
+            if len(ws) > 1:
+                self.several.append([self.vocab.get(w, 0) for w in ws])
+            v = self.vocab.get(ws[0], 0) if len(ws) == 1 else -1 - len(self.several) if ws else -1
+        self[chunk] = v
+        return v
+
+    def of(self, text: str) -> np.ndarray:
+        """Ids of the words of a text, as ``words`` would split it."""
+        chunks = text.lower().split()
+        if len(self) + len(chunks) >= self.limit:      # nothing may be forgotten inside a text
+            self.clear()
+            self.several.clear()
+            self.limit = max(self.limit, 2 * len(chunks))
+        ids = np.fromiter(map(self.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+        if len(ids) and ids.min() < -1:
+            parts = [self.several[-2 - v] if v < -1 else [v] for v in ids.tolist()]
+            ids = np.array([x for p in parts for x in p], dtype=np.int64)
+        return ids[ids >= 0]
+
+
 class Walks:
     """The random functions: for repetition t, ``BITS`` sampled steps per item length, and
     one random bit for each (step, symbol): 64 steps share a hashed word per symbol."""
@@ -91,6 +131,7 @@ class Index:
         self.similarity = similarity
         self.vocab: dict[str, int] = {}
         self.ids = [i for i, _ in items]
+        self.token_ids: TokenIds | None = None      # filled by the worker
         self.seqs = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], dtype=np.int64)
                      for _, ws in items]
         by_length: dict[int, list[int]] = {}
@@ -100,18 +141,25 @@ class Index:
         self.by_length = {n: by_length[n] for n in sorted(by_length)}
         self.base = len(self.vocab) + 2
         self.pad = len(self.vocab) + 1
-        self.pairs = {n: np.unique(np.concatenate([self.seqs[k][:-1] * self.base + self.seqs[k][1:] for k in group]))
-                      for n, group in self.by_length.items() if n > 1}
-        self.all_pairs = np.unique(np.concatenate([*self.pairs.values(), np.zeros(0, dtype=np.int64)]))
+        # word pairs with the item that has them (-1: several items)
+        code = np.concatenate([np.unique(q[:-1] * self.base + q[1:]) for q in self.seqs] or [np.zeros(0, dtype=np.int64)])
+        owner = np.concatenate([np.full(len(np.unique(q[:-1] * self.base + q[1:])), k) for k, q in enumerate(self.seqs)] or [code])
+        self.pairs, first, times = np.unique(code, return_index=True, return_counts=True)
+        self.owner = np.where(times == 1, owner[first], -1) if len(first) else first
+        # word pairs of an item that others have too; where they are fewer than the pairs needed,
+        # a match also holds a pair of the item alone
+        common = self.pairs[self.owner == -1]
+        self.shared = [int(np.isin(q[:-1] * self.base + q[1:], common).sum()) for q in self.seqs]
+        self.by_shared = {k for k, q in enumerate(self.seqs) if len(q) > 1 and self.shared[k] >= self._need(len(q))}
         self.walks = Walks(self._repeats(recall), self.pad)
-        self.tables = {}
+        self.signed = np.zeros((self.walks.repeats, len(self.seqs)), dtype=np.uint64)
         for n, group in self.by_length.items():
             for t in range(self.walks.repeats):
-                table: dict[int, list[int]] = {}
-                for k, sig in zip(group, self._sign(self.walks, [self.seqs[k] for k in group], n, t).tolist()):
-                    table.setdefault(sig, []).append(k)
-                keys = np.array(sorted(table), dtype=np.uint64)
-                self.tables[n, t] = keys, [table[x] for x in keys.tolist()]
+                self.signed[t, group] = self._sign(self.walks, [self.seqs[k] for k in group], n, t)
+
+    def _need(self, n: int) -> int:
+        """Pairs that a window within the allowed distance of an item of n words shares with it."""
+        return max(1, n - 1 - 2 * allowed(n, self.similarity))
 
     def _sign(self, walks: Walks, seqs: list[np.ndarray], length: int, t: int) -> np.ndarray:
         """Signatures of whole sequences, as windows of ``length``."""
@@ -148,78 +196,81 @@ class Index:
         """For each text (item index, first word, words, edits): the best window of each
         item found. Windows of all the texts are signed together."""
         found: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
-        get, parts, spans = self.vocab.get, [], []      # spans: (text, offset, length) of texts with pairs
-        windows: dict[int, list[tuple[int, np.ndarray]]] = {}
+        parts, spans = [], []           # spans: (text, offset, length) of texts with pairs
+        if self.token_ids is None:
+            self.token_ids = TokenIds(self.vocab)
+        windows: dict[int, list[tuple[int, int, np.ndarray]]] = {}     # by length: (span, item, starts)
         total = 0
         for d, text in enumerate(texts):
-            ws = words(text)
-            tokens = np.fromiter((get(w, 0) for w in ws), dtype=np.int64, count=len(ws))
+            tokens = self.token_ids.of(text)
             for i in self.by_length.get(1, ()):
                 for s in np.flatnonzero(tokens == self.seqs[i][0])[:1].tolist():
                     found[d][i] = (0, s, 1)
             at = np.flatnonzero((tokens[:-1] > 0) & (tokens[1:] > 0))
+            if not len(at) or not len(self.pairs):
+                continue
             code = tokens[at] * self.base + tokens[at + 1]
-            at, code = self._among(self.all_pairs, at, code)
+            spot = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+            hit = self.pairs[spot] == code
+            at, owner = at[hit], self.owner[spot[hit]]
+            counts = np.bincount(owner[owner >= 0], minlength=1)
+            items = set(np.flatnonzero(counts).tolist()) | (self.by_shared if (owner < 0).any() else set())
             used = False
-            for n, pairs in self.pairs.items():
-                k = allowed(n, self.similarity)
-                need = max(1, n - 1 - 2 * k)
-                if len(at) < need:
+            for i in items:
+                n = len(self.seqs[i])
+                need, k = self._need(n), allowed(n, self.similarity)
+                if (counts[i] if i < len(counts) else 0) < need - self.shared[i]:
                     continue
-                own, _ = self._among(pairs, at, code)
-                if len(own) < need:
+                mine = at[(owner == i) | (owner == -1)]
+                if len(mine) < need:
                     continue
-                # starts s with at least ``need`` pairs within [s, s + n + k)
-                near = np.flatnonzero(own[need - 1:] - own[:len(own) - need + 1] < n + k)
-                if not len(near):
-                    continue
-                starts = np.unique(np.concatenate(
-                    [np.arange(max(0, own[j + need - 1] - n - k + 1), own[j] + 1) for j in near]))
-                windows.setdefault(n, []).append((len(spans), starts))
-                used = True
+                # starts s with at least ``need`` of the pairs within [s, s + n + k)
+                near = np.flatnonzero(mine[need - 1:] - mine[:len(mine) - need + 1] < n + k)
+                if len(near):
+                    starts = np.unique(np.concatenate(
+                        [np.arange(max(0, mine[j + need - 1] - n - k + 1), mine[j] + 1) for j in near]))
+                    windows.setdefault(n, []).append((len(spans), i, starts))
+                    used = True
             if used:
                 spans.append((d, total, len(tokens)))
                 parts.append(tokens)
                 total += len(tokens)
-        if not spans:
-            return [[(i, s, size, e) for i, (e, s, size) in sorted(f.items())] for f in found]
-        tokens = np.concatenate([*parts, [self.pad]])
+        if spans:
+            self._search(np.concatenate([*parts, [self.pad]]), spans, windows, found)
+        return [[(i, s, size, e) for i, (e, s, size) in sorted(f.items())] for f in found]
+
+    def _search(self, tokens, spans, windows, found) -> None:
+        """Candidates are windows whose sampled walk equals their item's in one repetition;
+        they are verified, and the best window of each item is kept in ``found``."""
+        text, offset, length = (np.array(x) for x in zip(*spans))
         for n, group in windows.items():
             k = allowed(n, self.similarity)
-            owner = np.concatenate([np.full(len(st), j) for j, st in group])
-            first = np.array([x[1] for x in spans])[owner]
-            starts = np.concatenate([st for _, st in group]) + first
-            stop = first + np.array([x[2] for x in spans])[owner]
-            ends = np.minimum(starts + n, stop)
-            candidates: set[tuple[int, int]] = set()
+            span = np.concatenate([np.full(len(st), j) for j, _, st in group])
+            item = np.concatenate([np.full(len(st), i) for _, i, st in group])
+            starts = np.concatenate([st for _, _, st in group]) + offset[span]
+            stop = offset[span] + length[span]
+            left, tried = np.arange(len(starts)), np.zeros(len(starts), dtype=bool)
             for t in range(self.walks.repeats):
-                keys, groups = self.tables[n, t]
-                sig = self.walks.signatures(tokens, starts, ends, n, t)
-                spot = np.minimum(np.searchsorted(keys, sig), len(keys) - 1)
-                for j in np.flatnonzero(keys[spot] == sig).tolist():
-                    candidates.update((j, i) for i in groups[spot[j]])
-            rest = []
-            for j, i in sorted(candidates):               # verbatim windows first: nothing beats them
-                best = found[spans[owner[j]][0]]
-                if best.get(i, (1,))[0] and ends[j] - starts[j] == n and np.array_equal(tokens[starts[j]:ends[j]], self.seqs[i]):
-                    best[i] = 0, int(starts[j] - first[j]), n
-                else:
-                    rest.append((j, i))
-            for j, i in rest:
-                best = found[spans[owner[j]][0]]
+                ends = np.minimum(starts[left] + n, stop[left])
+                sig = self.walks.signatures(tokens, starts[left], ends, n, t)
+                new = left[sig == self.signed[t, item[left]]]
+                tried[new] = True
+                for j in new.tolist():                       # verbatim: nothing beats it
+                    if stop[j] - starts[j] >= n and np.array_equal(tokens[starts[j]:starts[j] + n], self.seqs[item[j]]):
+                        best = found[text[span[j]]]
+                        if best.get(int(item[j]), (1,))[0]:
+                            best[int(item[j])] = 0, int(starts[j] - offset[span[j]]), n
+                done = np.array([found[text[span[j]]].get(int(item[j]), (1,))[0] == 0 for j in left.tolist()], dtype=bool)
+                left = left[~tried[left] & ~done]
+                if not len(left):
+                    break
+            for j in np.flatnonzero(tried).tolist():
+                best, i = found[text[span[j]]], int(item[j])
                 limit = min(k, best[i][0] - 1) if i in best else k
                 if limit >= 0:
                     got = self._verify(tokens[starts[j]:min(starts[j] + n + k, stop[j])], i, k, limit)
                     if got:
-                        best[i] = got[0], int(starts[j] - first[j]), got[1]
-        return [[(i, s, size, e) for i, (e, s, size) in sorted(f.items())] for f in found]
-
-    @staticmethod
-    def _among(keys: np.ndarray, at: np.ndarray, code: np.ndarray):
-        if not len(keys) or not len(at):
-            return at[:0], code[:0]
-        hit = keys[np.minimum(np.searchsorted(keys, code), len(keys) - 1)] == code
-        return at[hit], code[hit]
+                        best[i] = got[0], int(starts[j] - offset[span[j]]), got[1]
 
     def _verify(self, window: np.ndarray, i: int, k: int, limit: int) -> tuple[int, int] | None:
         """(edits, words) of the best prefix of ``window`` against item i, if within ``limit``
