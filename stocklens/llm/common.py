@@ -43,6 +43,17 @@ def crc_mod(name: str, m: int) -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % F.lit(m)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, wherever the optimizer moves it: as a
+    lambda's argument it cannot be repeated inside another lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
+def draw(salt: str, *cols: Column) -> Column:
+    """A number in [0, 1) from a hash: which rows a bounded sample takes, whatever their order."""
+    return F.shiftrightunsigned(F.xxhash64(*cols, F.lit(salt)), 11).cast("double") / F.lit(float(1 << 53))
+
+
 def words_of(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as UTF-8 bytes. ``bytes.lower``
     and ``bytes.split`` are exactly these ASCII rules."""

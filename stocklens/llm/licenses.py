@@ -21,12 +21,12 @@ from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stocklens.llm.common import staged, text_of
+from stocklens.llm.common import draw, let, staged, text_of
 
 UNKNOWN = "unknown"
-FEATURES = 1 << 14
+FEATURES = 1 << 13
 NEGATIVES = 4_000          # corpus paragraphs that train and calibrate the unknown class
-FALSE_ACCEPTS = 0.001
+FALSE_ACCEPTS = 0.01
 CONFIRM = 0.5
 SPAN = 8                   # words of a training span
 
@@ -102,9 +102,9 @@ def tokens(paragraph: Column) -> Column:
 
 def grams(words: Column, n: int) -> Column:
     """Word n-grams, joined by a space; none if there are fewer words."""
-    return F.when(F.size(words) >= n, F.transform(
-        F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    ).otherwise(F.array().cast("array<string>"))
+    return let(words, lambda w: F.when(F.size(w) >= n, F.transform(
+        F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+    ).otherwise(F.array().cast("array<string>")))
 
 
 def features(df: DataFrame) -> DataFrame:
@@ -140,18 +140,17 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", negatives:
     spans = spans.select("family", F.slice("words", F.col("i"), SPAN).alias("words")).unionByName(known.select("family", "words"))
     ours = [r["g"] for r in known.select(F.explode(grams(F.col("words"), 3)).alias("g")).distinct().collect()]
 
-    # one paragraph of each document of the smallest id hashes
-    h = F.xxhash64(F.col(doc_id).cast("string"), F.lit("paragraphs"))
-    top = df.select(h.alias("h")).orderBy("h").limit(negatives).agg(F.max("h")).first()[0]
-    some = paragraphs(df.withColumn("__h", h).filter(F.col("__h") <= F.lit(top)), text, "__h")
-    some = some.select(F.xxhash64("__h", "paragraph").alias("h"), tokens(F.col("paragraph")).alias("words"))
+    # paragraphs of about as many documents, drawn by a hash of their id
+    own = F.col(doc_id).cast("string")
+    some = paragraphs(df.filter(draw("paragraphs", own) < negatives / max(1, df.count())), text)
+    some = some.select(F.xxhash64("paragraph").alias("h"), tokens(F.col("paragraph")).alias("words"))
     clean = some.filter(~F.arrays_overlap(grams(F.col("words"), 3), F.array(*[F.lit(g) for g in ours])))
     rest = staged(clean.orderBy("h").limit(negatives), "paragraphs")
     label = F.lit(0.0)
     for k, f in enumerate(FAMILIES):
         label = F.when(F.col("family") == f, F.lit(float(k))).otherwise(label)
     data = spans.unionByName(rest.filter(F.pmod("h", F.lit(2)) == 0).select(F.lit(UNKNOWN).alias("family"), "words"))
-    fitted = LogisticRegression(maxIter=40, regParam=0.002, family="multinomial").fit(
+    fitted = LogisticRegression(maxIter=25, regParam=0.002, family="multinomial").fit(
         features(data).select("features", label.alias("label")).coalesce(4))
     probe = fitted.transform(features(rest.filter(F.pmod("h", F.lit(2)) == 1).select("words")))
     p = F.lit(1.0) - vector_to_array("probability")[0]
@@ -170,11 +169,10 @@ def scan_paragraphs(df: DataFrame, scanner: Scanner, text: str, *keep: str) -> D
         *keep, "place", "paragraph", "words", "family", "probability")
     forms = notices(spark).select("family", F.array_distinct(grams(F.col("words"), 3)).alias("form"))
     forms = forms.groupBy("family").agg(F.collect_list("form").alias("forms"))
-    own = F.array_distinct(grams(F.col("words"), 3))
-    shared = lambda f: F.size(F.array_intersect(F.col("own"), f)) / F.greatest(
-        F.least(F.size("own"), F.size(f)), F.lit(1))
-    return (likely.join(F.broadcast(forms), "family").withColumn("own", own)
-            .filter(F.exists("forms", lambda f: shared(f) >= CONFIRM)).select(*keep, "place", "paragraph", "family", "probability"))
+    shared = lambda own, f: F.size(F.array_intersect(own, f)) / F.greatest(
+        F.least(F.size(own), F.size(f)), F.lit(1))
+    confirmed = let(F.array_distinct(grams(F.col("words"), 3)), lambda own: F.exists("forms", lambda f: shared(own, f) >= CONFIRM))
+    return (likely.join(F.broadcast(forms), "family").filter(confirmed).select(*keep, "place", "paragraph", "family", "probability"))
 
 
 def scan(df: DataFrame, scanner: Scanner, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
