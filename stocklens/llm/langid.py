@@ -7,8 +7,8 @@ probabilities (and of back-off weights) per language. A text gets the language o
 cross-entropy per character. ``score`` is the calibrated posterior of that language;
 ``rejected`` marks texts whose cross-entropy no training language explains.
 
-Models are fitted on at most ``docs_per_lang`` whole labelled texts per language (those of
-the smallest hash of their id); a quarter of these only calibrates. Prediction covers every
+Models are fitted on about ``docs_per_lang`` whole labelled texts per language, drawn by a
+hash of their id; a quarter of these only calibrates. Prediction covers every
 row and reads nothing but the text.
 
 Defined cases: null, empty and letterless texts get ``und``, score 0, rejected; ties go to
@@ -23,9 +23,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from stocklens.llm.common import MASK64, map_batches, text_of
+from stocklens.llm.common import MASK64, draw, map_batches, text_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -213,22 +213,19 @@ def build_model(counts: dict[str, dict[str, int]]) -> Model:
 
 
 def _sample(df: DataFrame, doc_id: str, text: str, lang: str, docs_per_lang: int) -> DataFrame:
-    """(lang, text, part): the labelled rows of the smallest id hashes; part 3 calibrates.
-    Only ids are ranked; texts are read once the hash limit of each language is known."""
+    """(lang, text, part): about ``docs_per_lang`` labelled rows of each language, by a hash of
+    the id; part 3 calibrates. Only counts are gathered, nothing is ranked."""
+    own = F.col(doc_id).cast("string")
     rows = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id).cast("string")).alias("h"),
-        F.col(text).cast("string").alias("text"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    limits = (rows.select("lang", "h").withColumn("r", rank).filter(F.col("r") <= docs_per_lang)
-              .groupBy("lang").agg(F.max("h").alias("top")).limit(MAX_LANGS + 1).collect())
-    if len(limits) > MAX_LANGS:
+        F.col(lang).cast("string").alias("lang"), draw("language", own, F.col(text)).alias("u"), F.xxhash64(own, F.col(text)).alias("key"),
+        F.pmod(F.xxhash64(own, F.lit("part")), F.lit(4)).alias("part"), F.col(text).cast("string").alias("text"))
+    counts = rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
+    if len(counts) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages; their models are bounded")
-    if not limits:
-        return rows.select("lang", "text", F.lit(0).alias("part")).limit(0)
     within = F.lit(False)
-    for r in limits:
-        within = within | ((F.col("lang") == r["lang"]) & (F.col("h") <= r["top"]))
-    return rows.filter(within).select("lang", "text", F.pmod(F.xxhash64("h"), F.lit(4)).alias("part"))
+    for r in counts:
+        within = within | ((F.col("lang") == r["lang"]) & (F.col("u") < docs_per_lang / r["count"]))
+    return rows.filter(within).dropDuplicates(["key"]).select("lang", "text", "part")    # copies count once
 
 
 def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
