@@ -94,7 +94,9 @@ def frequent_pieces(texts: DataFrame, conf: str, sample_rows: int, table_size: i
             return {"piece": best, "n": [pieces[p] for p in best]}
         return step
 
-    rows = map_batches(texts.limit(sample_rows).coalesce(1), top, "piece string, n long").collect()
+    share = min(1.0, 2.0 * sample_rows / max(1, texts.count()))      # so that no task sends more than it must
+    sample = texts.sample(share, seed=7).limit(sample_rows).coalesce(1)
+    rows = map_batches(sample, top, "piece string, n long").collect()
     out: dict[str, int] = {}
     for r in reversed(rows):     # the last batch saw the whole sample: it goes first
         if len(out) < table_size:
