@@ -33,7 +33,8 @@ ORDER = 4
 DOCS_PER_LANG = 1_200
 MAX_LANGS = 1_000          # a bound on the models that are broadcast
 UND = "und"
-SLACK = 1.15               # a text is rejected above this multiple of the highest calibration entropy
+SLACK = 1.5                # a text is rejected above this multiple of the highest calibration entropy;
+                           # a mixture of two known languages stays below it, another script far above
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SLICE = 1 << 18           # characters scored at once
 
