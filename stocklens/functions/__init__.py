@@ -2,10 +2,10 @@
 
 from stocklens.functions.coerce import key_int, key_text, num0, num_or_null, parse_mixed_date
 from stocklens.functions.labels import (
-    days_since, efficiency_bucket, money, money_sum, round_half_even, stagnant_bucket,
+    days_since, efficiency_bucket, money, money_sum, round_half_even, stagnant_bucket, unfit,
 )
 
 __all__ = [
     "days_since", "efficiency_bucket", "key_int", "key_text", "money", "money_sum",
-    "num0", "num_or_null", "parse_mixed_date", "round_half_even", "stagnant_bucket",
+    "num0", "num_or_null", "parse_mixed_date", "round_half_even", "stagnant_bucket", "unfit",
 ]

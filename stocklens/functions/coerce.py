@@ -9,12 +9,18 @@ _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.D
 
 # Days between the spreadsheet epoch (1899-12-30) and the Unix epoch.
 _SHEET_EPOCH_OFFSET = 25569
-# Largest spreadsheet serial accepted (exclusive): 9999-12-31.
-_SHEET_SERIAL_MAX = 2958466
+# Numbers below this are spreadsheet serials (9999-12-31); those above the second limit lie
+# beyond the contract's nanosecond timestamps and are null.
+_SHEET_SERIAL_END = 2958466
+_SHEET_SERIAL_MAX = 106751.99116730064
 # Serial 60 is the non-existent 1900-02-29.
 _SHEET_SERIAL_BAD = 60
 # A number is read as Unix seconds when it is this close to now.
 _UNIX_WINDOW_SECONDS = 1e10
+# First and last day of the contract's nanosecond timestamps.
+_FIRST_DAY, _LAST_DAY = "1677-09-22", "2262-04-11"
+# Text that is a number; anything else (such as '12d') is none.
+_NUMBER_TEXT = r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$|^[+-]?inf(inity)?$"
 
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -37,7 +43,8 @@ def _col(c: Column | str) -> Column:
 
 def _try_double(c: Column) -> Column:
     # try_cast through text handles text, numbers and nulls uniformly.
-    return F.trim(c.cast("string")).try_cast("double")
+    s = F.trim(c.cast("string"))
+    return F.when(s.rlike(_NUMBER_TEXT), s.try_cast("double"))
 
 
 def num_or_null(c: Column | str, dtype: T.DataType | None = None) -> Column:
@@ -61,8 +68,11 @@ def key_int(c: Column | str, dtype: T.DataType | None = None) -> Column:
     if kind == "int":
         return c.cast("long")
     v = c.cast("double") if kind == "num" else _try_double(c)
-    whole = v.isNotNull() & ~F.isnan(v) & (F.floor(v) == v)
-    return F.when(whole, v.cast("long"))
+    whole = F.when(v.isNotNull() & ~F.isnan(v) & (F.rint(v) == v), v.try_cast("long"))
+    if kind == "num":
+        return whole
+    # text of digits goes straight to bigint: doubles hold 53 bits only
+    return F.coalesce(F.trim(c.cast("string")).try_cast("long"), whole)
 
 
 def key_text(c: Column | str, null_text: str | None = None, dtype: T.DataType | None = None) -> Column:
@@ -75,7 +85,8 @@ def key_text(c: Column | str, null_text: str | None = None, dtype: T.DataType |
         s = c.cast("string")
     elif kind == "num":
         v = c.cast("double")
-        s = F.when(~F.isnan(v) & (F.floor(v) == v), v.cast("long").cast("string")).otherwise(c.cast("string"))
+        whole = F.when(~F.isnan(v) & (F.rint(v) == v), v.try_cast("long"))
+        s = F.coalesce(whole.cast("string"), c.cast("string"))
     else:
         s = F.regexp_replace(F.trim(c.cast("string")), r"^(-?\d+)\.0+$", "$1")
     if null_text is not None:
@@ -101,30 +112,36 @@ def _parse_text_date(s: Column) -> Column:
         F.when(F.length(s) == 8, F.try_to_timestamp(s, F.lit("yyyyMMdd")))
         .when(F.length(s) == 4, F.try_to_timestamp(s, F.lit("yyyy")))
     )
-    return F.when((s == "") | s.isNull(), F.lit(None).cast("timestamp")) \
-        .when(digits, by_digits) \
-        .otherwise(by_format)
+    return _in_range(F.when((s == "") | s.isNull(), F.lit(None).cast("timestamp"))
+                     .when(digits, by_digits)
+                     .otherwise(by_format))
 
 
-def _parse_number_date(x: Column) -> Column:
-    """Spreadsheet serial (fraction kept) or Unix seconds near now; else null."""
+def _in_range(ts: Column) -> Column:
+    """Null outside the contract's timestamps."""
+    return F.when(ts.cast("date").between(F.lit(_FIRST_DAY).cast("date"), F.lit(_LAST_DAY).cast("date")), ts)
+
+
+def _parse_number_date(x: Column, now: Column) -> Column:
+    """Spreadsheet serial (fraction kept) or Unix seconds near ``now``; else null."""
     micros_per_day = 86400 * 1_000_000
     # Both encodings give naive wall-clock times (UTC wall clock); keep that wall clock
     # whatever the session time zone is.
     wall = lambda micros: F.to_utc_timestamp(F.timestamp_micros(micros), F.current_timezone())
     sheet = wall(F.round((x - F.lit(_SHEET_EPOCH_OFFSET)) * F.lit(micros_per_day)).cast("long"))
     unix = wall(F.round(x * F.lit(1_000_000)).cast("long"))
-    now_s = F.unix_micros(F.current_timestamp()) / F.lit(1_000_000)
+    now_s = F.unix_micros(now.cast("timestamp")) / F.lit(1_000_000)
     return (
         F.when(x.isNull() | F.isnan(x), F.lit(None).cast("timestamp"))
-        .when((x > 1) & (x < _SHEET_SERIAL_MAX),
-              F.when(x == _SHEET_SERIAL_BAD, F.lit(None).cast("timestamp")).otherwise(sheet))
-        .when(F.abs(x - now_s) < _UNIX_WINDOW_SECONDS, unix)
+        .when((x > 1) & (x < _SHEET_SERIAL_END),
+              F.when((x != _SHEET_SERIAL_BAD) & (x < _SHEET_SERIAL_MAX), sheet))
+        .when(F.abs(x - now_s) < _UNIX_WINDOW_SECONDS, _in_range(unix))
     )
 
 
-def parse_mixed_date(c: Column | str, dtype: T.DataType) -> Column:
+def parse_mixed_date(c: Column | str, dtype: T.DataType, now: Column | None = None) -> Column:
     """CLN-03: parse a date column of any input type to a timestamp (null when unparsable).
+    ``now`` (default: the clock) is what Unix seconds must be near.
 
     ``dtype`` is the column's input type (Spark columns are typed, so the branch is
     chosen once per column instead of per value)."""
@@ -132,5 +149,5 @@ def parse_mixed_date(c: Column | str, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return c.cast("timestamp")
     if isinstance(dtype, _NUMERIC):
-        return _parse_number_date(c.cast("double"))
+        return _parse_number_date(c.cast("double"), F.current_timestamp() if now is None else now)
     return _parse_text_date(c.cast("string"))

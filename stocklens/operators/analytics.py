@@ -5,24 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stocklens import params
-from stocklens.functions import money, money_sum, round_half_even, stagnant_bucket
+from stocklens.functions import money, money_sum, round_half_even, stagnant_bucket, unfit
 from stocklens.operators.windows import running_sum, top_k
 
 def _BY_QTY_DESC():
     return [F.col("sales_quantity").desc(), F.col("product_id").asc()]
 
 
-def pareto(pf: DataFrame, threshold: float = params.PARETO_THRESHOLD, mode: str = "auto") -> DataFrame:
+def pareto(pf: DataFrame, threshold: float = params.PARETO_THRESHOLD) -> DataFrame:
     """ANL-07/08: sold products by quantity desc (ties: product id), running share of
     the client's total in %, kept while <= threshold (D2: may be empty)."""
     sold = pf.filter(F.col("sales_quantity") > 0).select(
         "client_id", "product_id", "name", "sales_quantity", "current_stock")
-    run = running_sum(sold, {"_cum": money("sales_quantity"), "rank": F.lit(1)},
-                      _BY_QTY_DESC(), mode=mode, totals=["_cum"])
+    run = running_sum(sold, {"_cum": money("sales_quantity"), "_plain": F.col("sales_quantity"),
+                             "_unfit": unfit("sales_quantity"), "rank": F.lit(1)},
+                      _BY_QTY_DESC(), totals=["_cum", "_plain", "_unfit"])
+    exact = F.col("_cum").cast("double") / F.col("_cum_total").cast("double") * 100.0
+    plain = F.col("_plain") / F.col("_plain_total") * 100.0      # a quantity beyond the decimal
     out = run.withColumns({
-        "cumulative_percentage": F.col("_cum").cast("double") / F.col("_cum_total").cast("double") * 100.0,
+        "cumulative_percentage": F.when(F.col("_unfit_total") > 0, plain).otherwise(exact),
         "rank": F.col("rank").cast("int")})
-    return out.filter(F.col("cumulative_percentage") <= threshold).drop("_cum", "_cum_total")
+    return out.filter(F.col("cumulative_percentage") <= threshold).select(
+        *sold.columns, "rank", "cumulative_percentage")
 
 
 def pareto_band(cum: str = "cumulative_percentage"):
@@ -39,15 +43,18 @@ def top_share(pf: DataFrame, measure: str, k: int = params.TOP_SHARE_N) -> DataF
     slices <= 1e-6 dropped. Columns: client_id, rank, product_id, name, value."""
     top = top_k(pf.select("client_id", "product_id", "name", measure), k,
                 [F.col(measure).desc(), F.col("product_id").asc()])
-    # totals stay exact decimals until the subtraction (no overflowing re-cast)
-    top_sum = top.groupBy("client_id").agg(F.sum(money(measure)).alias("_top"))
-    all_sum = pf.groupBy("client_id").agg(F.sum(money(measure)).alias("_all"))
+    # totals stay exact decimals until the subtraction; doubles where a value does not fit
+    top_sum = top.groupBy("client_id").agg(F.sum(money(measure)).alias("_top"), F.sum(measure).alias("_top_plain"))
+    all_sum = pf.groupBy("client_id").agg(F.sum(money(measure)).alias("_all"), F.sum(measure).alias("_all_plain"),
+                                          F.max(unfit(measure)).alias("_unfit"))
+    rest = F.when(F.col("_unfit") == 1, F.col("_all_plain") - F.col("_top_plain")).otherwise(
+        (F.col("_all") - F.col("_top")).cast("double"))
     other = (all_sum.join(top_sum, "client_id")
              .select("client_id",
                      F.lit(k + 1).alias("rank"),
                      F.lit(None).cast("string").alias("product_id"),
                      F.lit(params.OTHER_LABEL).alias("name"),
-                     F.greatest(F.lit(0.0), (F.col("_all") - F.col("_top")).cast("double")).alias("value")))
+                     F.greatest(F.lit(0.0), rest).alias("value")))
     rows = top.select("client_id", F.col("rank").cast("int").alias("rank"), "product_id", "name",
                       F.col(measure).alias("value"))
     return rows.unionByName(other.withColumn("rank", F.col("rank").cast("int"))) \
@@ -70,8 +77,7 @@ def outstanding(deferreds: DataFrame) -> DataFrame:
     f = deferreds.filter((F.col("invoice_type") == F.lit(params.BUY_INVOICE_TYPE)) &
                          F.col("status").isin(params.OPEN_STATUSES))
     return (f.groupBy("client_id", "user_id")
-             .agg(F.sum(money(F.col("amount") - F.col("paid_amount"))).cast("double")
-                   .alias("outstanding_amount"))
+             .agg(money_sum(F.col("amount") - F.col("paid_amount")).alias("outstanding_amount"))
              .filter(F.col("outstanding_amount") > params.EPS))
 
 
@@ -111,7 +117,7 @@ def monthly_avg_invoice(invoices: DataFrame) -> DataFrame:
 def daily_sum(details: DataFrame, value: str, out: str) -> DataFrame:
     """ANL-15/16: daily sum of ``value`` by detail date, full day grid, gaps 0, round 2."""
     d = (details.groupBy("client_id", F.col("day").alias("date"))
-         .agg(round_half_even(F.sum(money(value)), 2).alias(out)))
+         .agg(round_half_even(money_sum(value), 2).alias(out)))
     return fill_grid(d, "date", [out], "day")
 
 

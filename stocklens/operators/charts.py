@@ -124,5 +124,5 @@ def top_suppliers(outstanding: DataFrame, k: int = params.TOP_SUPPLIERS_N) -> Da
 def top_suppliers_total(top: DataFrame) -> DataFrame:
     """FIG-17b: total of the shown debts."""
     return top.groupBy("client_id").agg(
-        F.sum(money("outstanding_amount")).cast("double").alias("shown_outstanding_total"),
+        money_sum("outstanding_amount").alias("shown_outstanding_total"),
         F.count(F.lit(1)).alias("shown_suppliers"))

@@ -62,7 +62,8 @@ def clean_details(scoped_details: DataFrame) -> DataFrame:
                 num0("quantity").alias("quantity"),
                 num0("totalPrice").alias("total_price"),
                 num0("buyPrice").alias("buy_price"),
-                created.alias("created_at"))
+                created.alias("created_at"),
+                F.to_date(_date_expr(d, "invoice_created_at")).alias("invoice_day"))
            .filter(F.col("created_at").isNotNull() & F.col("invoice_id").isNotNull()))
     return out.withColumns({"net_profit": F.col("total_price") - F.col("buy_price") * F.col("quantity"),
                             "day": F.to_date("created_at")})
@@ -90,12 +91,19 @@ def clean_deferreds(deferreds: DataFrame) -> DataFrame:
 
 
 def feature_dates(invoices: DataFrame, date_col: str = "created_at") -> DataFrame:
-    """CLN-09: strict date column for features; unparsable rows are dropped.
-    (The "none left" error is raised by the caller when it acts on the result.)"""
+    """CLN-09: strict date column for features; unparsable rows are dropped."""
     return (invoices.withColumn("sale_date", F.to_date(_date_expr(invoices, date_col)))
             .filter(F.col("sale_date").isNotNull()))
 
 
+def require_feature_dates(invoices: DataFrame, date_col: str = "created_at") -> DataFrame:
+    """CLN-09 with its error: raises if there are rows but none has a valid date (one job)."""
+    out = feature_dates(invoices, date_col)
+    if out.isEmpty() and not invoices.isEmpty():
+        raise ValueError(f"no valid dates left in {date_col!r}")
+    return out
+
+
 def ffill_bfill0(df: DataFrame, cols: Sequence[str], order_col: str,
                  keys: Sequence[str] = ("client_id",)) -> DataFrame:
     """CLN-10: forward fill, then backward fill, then 0, in ``order_col`` order.

@@ -9,14 +9,16 @@ with at most a few dozen rows (top-k, labels, months) always fit one page.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stocklens import params
 from stocklens.operators import charts, serving
 from stocklens.operators.i18n import fallback_title, get_translation, languages, localize_label
 from stocklens.operators.windows import running_sum
 
-PAGE_ROWS = 5000
+PAGE_ROWS = 5000   # records per page; a parameter of ``chart_docs``
 
 # Per figure, the chart type, axes (internal name, axis type key), the
 # series (translation key, colour, line type) and the record keys (column, translation
@@ -160,19 +162,21 @@ def _records(df: DataFrame, fig: str, seq: Column, langs: list[str]) -> DataFram
                      F.explode(per_lang).alias("_r")).select("client_id", "figure", "_r.lang", "seq", "_r.record")
 
 
-def _ordered(df: DataFrame, order: list[Column], mode: str) -> DataFrame:
-    """Position of each row in its client's document, without a client-wide sort
-    when clients are large (two-stage running count)."""
-    return running_sum(df, {"_seq": F.lit(1)}, order, mode=mode)
+def _ordered(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Position of each row in its client's document, without a client-wide sort."""
+    return running_sum(df, {"_seq": F.lit(1)}, order)
+
+
+def _by_date(df: DataFrame) -> DataFrame:
+    """Position of each row of a calendar-bounded series in its client's document."""
+    return df.withColumn("_seq", F.row_number().over(Window.partitionBy("client_id").orderBy("date", "type")))
 
 
-def records(r, langs: list[str] | None = None, mode: str = "auto", forecasts: bool = True) -> DataFrame:
+def records(r, langs: list[str] | None = None, forecasts: bool = True) -> DataFrame:
     """All list-shaped figures of a ``Retail`` job as localised records, in one DataFrame
     (one job writes every chart). ``forecasts=False`` keeps only the actual rows in
     charts 11 and 12 (no model fit)."""
     langs = langs or languages()
-    if mode == "auto":
-        mode = r.running_total_mode()   # sized once from the catalogue, not per figure
     pf = r.product_flow
     parts = [
         _records(charts.top_products(pf), "fig1", F.col("rank"), langs),
@@ -180,19 +184,16 @@ def records(r, langs: list[str] | None = None, mode: str = "auto", forecasts: bo
         _records(charts.top_products(pf), "fig4", F.col("rank"), langs),
         _records(charts.efficiency_totals(pf), "fig5", F.col("label_order") + 1, langs),
         _records(charts.pareto_bands(r.pareto), "fig6", F.col("rank"), langs),
-        _records(_ordered(charts.price_quantity(pf), [F.col("product_id")], mode), "fig7", F.col("_seq"), langs),
-        _records(_ordered(charts.restock(pf), [F.col("current_stock"), F.col("product_id")], mode),
+        _records(_ordered(charts.price_quantity(pf), [F.col("product_id")]), "fig7", F.col("_seq"), langs),
+        _records(_ordered(charts.restock(pf), [F.col("current_stock"), F.col("product_id")]),
                  "fig9", F.col("_seq"), langs),
         _records(_ordered(charts.stagnant_rows(r.stagnant),
-                          [F.col("days_since_last_sale").desc(), F.col("product_id")], mode),
+                          [F.col("days_since_last_sale").desc(), F.col("product_id")]),
                  "fig10", F.col("_seq"), langs),
-        _records((r.fig11 if forecasts else serving.fig11_rows(r.daily_sales_actual, None))
-                 .withColumn("date", F.col("date").cast("string")), "fig11",
-                 F.datediff(F.col("date").cast("date"), F.lit("1900-01-01").cast("date")) * 2
-                 + (F.col("type") == "forecast").cast("int"), langs),
-        _records(r.fig12 if forecasts else serving.fig12_rows(r.monthly_avg_invoice, None), "fig12",
-                 F.months_between(F.to_date(F.concat(F.col("date"), F.lit("-01"))), F.lit("1900-01-01").cast("date"))
-                 * 2 + (F.col("type") == "forecast").cast("int"), langs),
+        _records(_by_date((r.fig11 if forecasts else serving.fig11_rows(r.daily_sales_actual, None))
+                          .withColumn("date", F.col("date").cast("string"))), "fig11", F.col("_seq"), langs),
+        _records(_by_date(r.fig12 if forecasts else serving.fig12_rows(r.monthly_avg_invoice, None)), "fig12",
+                 F.col("_seq"), langs),
         _records(charts.bottom_products(pf), "fig13", F.col("rank"), langs),
         _records(charts.sales_histogram(pf).withColumn("product_count", F.col("product_count").cast("double")),
                  "fig14", F.col("rank"), langs),   # counts are written as numbers with a fraction
@@ -205,10 +206,10 @@ def records(r, langs: list[str] | None = None, mode: str = "auto", forecasts: bo
     return out
 
 
-def _pages(recs: DataFrame) -> DataFrame:
-    """Bounded groups: at most PAGE_ROWS records per (client, figure, lang, page)."""
-    page = F.floor((F.col("seq") - 1) / PAGE_ROWS).cast("int")
-    g = (recs.withColumn("page", F.when(F.col("seq") >= 1, page).otherwise(F.lit(0)))
+def _pages(recs: DataFrame, page_rows: int) -> DataFrame:
+    """Bounded groups: at most ``page_rows`` records per (client, figure, lang, page); rows
+    are numbered from 1, so pages start at 0."""
+    g = (recs.withColumn("page", F.floor((F.col("seq") - 1) / page_rows).cast("int"))
              .groupBy("client_id", "figure", "lang", "page")
              .agg(F.array_sort(F.collect_list(F.struct("seq", "record"))).alias("_rs")))
     return g.select("client_id", "figure", "lang", "page",
@@ -253,14 +254,51 @@ def dict_docs(r, langs: list[str]) -> DataFrame:
     return res
 
 
-def chart_docs(r, langs: list[str] | None = None, mode: str = "auto") -> DataFrame:
+def _guarded(body: DataFrame, r, langs: list[str]) -> DataFrame:
+    """Replace the data of figures that are not eligible by an error object (one page), and
+    add the note of the others, from ``chart_status``."""
+    message = F.create_map(*[x for lang in langs for fig, code, text in guard_texts(lang)
+                             for x in (F.lit(f"{lang}/{fig}/{code}"), F.lit(text))])
+    text = lambda code: F.coalesce(F.element_at(message, F.concat_ws("/", "lang", "figure", code)), F.col(code))
+    error = F.to_json(F.struct(F.lit(True).alias("error"), text("code").alias("message")))
+    out = body.join(r.chart_status.select("client_id", "figure", "ok", "code", "note"), ["client_id", "figure"], "left")
+    out = out.filter(F.coalesce("ok", F.lit(True)) | (F.col("page") == 0))
+    return out.withColumns({"data": F.when(~F.coalesce("ok", F.lit(True)), error).otherwise(F.col("data")),
+                            "note": F.when(F.col("note").isNotNull(), text("note"))}).drop("ok", "code")
+
+
+def guard_texts(lang: str) -> list[tuple[str, str, str]]:
+    """(figure, code, message): the translated guard message, else the code in words."""
+    from stocklens.operators.status import RULES
+    out = []
+    for fig, checks, note in RULES:
+        for code in [c for _, c in checks] + ([note[1]] if note else []):
+            out.append((fig, code, _text(lang, f"{fig}.errors.{code}", fallback_title(code))))
+    return out
+
+
+def chart_docs(r, langs: list[str] | None = None, run_at: dt.datetime | None = None, forecasts: bool = True,
+               guards: bool = False, page_rows: int = PAGE_ROWS) -> DataFrame:
     """LOC-06: every figure x every language for every client:
-    ``(client_id, figure, lang, page, metadata, data)``; data is a JSON array (or object)."""
+    ``(client_id, figure, lang, page, metadata, data)``; data is a JSON array (or object),
+    ``[]`` where a figure has no rows. ``run_at`` is the timestamp written into the
+    metadata (default: midnight of the job's ``as_of``). ``guards=True`` writes the
+    eligibility error instead of the data, and appends notes to the description."""
     langs = langs or languages()
     spark = r.product_flow.sparkSession
-    body = _pages(records(r, langs, mode)).unionByName(dict_docs(r, langs))
+    body = _pages(records(r, langs, forecasts), page_rows).unionByName(dict_docs(r, langs))
+    every = F.explode(F.array(*[F.struct(F.lit(f).alias("figure"), F.lit(la).alias("lang"))
+                                for f in SPECS for la in langs])).alias("_e")
+    slots = r.clients.filter("client_id IS NOT NULL").select("client_id", every).select("client_id", "_e.figure", "_e.lang")
+    body = slots.join(body, ["client_id", "figure", "lang"], "left").select(
+        "client_id", "figure", "lang", F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("data", F.lit("[]")).alias("data"))
+    body = _guarded(body, r, langs) if guards else body.withColumn("note", F.lit(None).cast("string"))
+    if run_at is None:
+        day = r.as_of if isinstance(r.as_of, dt.date) else dt.date.fromisoformat(str(r.as_of)[:10])
+        run_at = dt.datetime(day.year, day.month, day.day)
     meta = metadata(spark, langs)
-    meta = meta.select("figure", "lang", F.struct(
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
-        "description", "frequency", "title", "chart_type", "x_axis", "y_axis", "series").alias("metadata"))
-    return body.join(F.broadcast(meta), ["figure", "lang"])
+    out = body.join(F.broadcast(meta), ["figure", "lang"])
+    described = F.concat_ws(" ", "description", "note")
+    return out.select("client_id", "figure", "lang", "page", F.struct(
+        F.lit(run_at.strftime("%Y-%m-%d %H:%M:%S")).alias("timestamp"), described.alias("description"),
+        "frequency", "title", "chart_type", "x_axis", "y_axis", "series").alias("metadata"), "data")

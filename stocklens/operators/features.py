@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stocklens import params
-from stocklens.functions import money
+from stocklens.functions import money, unfit
 from stocklens.operators.analytics import fill_grid
 from stocklens.operators.cleaning import ffill_bfill0
 
@@ -111,19 +111,18 @@ def add_lags(df: DataFrame, value_col: str, lags: Sequence[int], prefix: str, or
 
 # --- daily ---------------------------------------------------------------------
 
-def daily_sales_features(details: DataFrame, invoices: DataFrame) -> DataFrame:
+def daily_sales_features(details: DataFrame) -> DataFrame:
     """FEA-01: per invoice day: sum amount, distinct invoices, sum quantity.
 
-    Details are first reduced to one row per invoice (map-side partial aggregation),
-    so the join with invoices moves invoice-level rows, not line items."""
-    per_invoice = details.groupBy("invoice_id").agg(
-        F.sum(money("total_price")).alias("_amt"), F.sum(money("quantity")).alias("_qty"))
-    inv = invoices.select("client_id", "invoice_id", F.col("day").alias("sale_date"))
-    j = per_invoice.join(inv, "invoice_id")
-    return j.groupBy("client_id", "sale_date").agg(
-        F.sum("_amt").cast("double").alias("daily_sales"),
-        F.countDistinct("invoice_id").alias("transaction_count"),
-        F.sum("_qty").cast("double").alias("total_items"))
+    Details carry their invoice's day, so nothing is joined: rows are reduced to one per
+    invoice (map-side partial aggregation), then to one per day."""
+    sums = {"amt": "total_price", "qty": "quantity"}
+    per = details.filter(F.col("invoice_day").isNotNull()).groupBy("client_id", F.col("invoice_day").alias("sale_date"), "invoice_id").agg(
+        *[F.sum(money(c)).alias(n) for n, c in sums.items()], *[F.sum(c).alias(f"{n}_plain") for n, c in sums.items()],
+        *[F.max(unfit(c)).alias(f"{n}_unfit") for n, c in sums.items()])
+    total = lambda n: F.when(F.max(f"{n}_unfit") == 1, F.sum(f"{n}_plain")).otherwise(F.sum(n).cast("double"))
+    return per.groupBy("client_id", "sale_date").agg(
+        total("amt").alias("daily_sales"), F.count(F.lit(1)).alias("transaction_count"), total("qty").alias("total_items"))
 
 
 def finalize_daily(df: DataFrame, lags: Sequence[int] = params.DAILY_LAGS) -> DataFrame:
@@ -135,10 +134,10 @@ def finalize_daily(df: DataFrame, lags: Sequence[int] = params.DAILY_LAGS) -> Da
     return df.filter("daily_sales IS NOT NULL").selectExpr(*exprs)
 
 
-def daily_features(details: DataFrame, invoices: DataFrame, holidays: DataFrame | None = None,
+def daily_features(details: DataFrame, holidays: DataFrame | None = None,
                    lags: Sequence[int] = params.DAILY_LAGS) -> DataFrame:
     """FEA-07: daily sales -> day grid (gaps 0) -> calendar -> holidays -> lags -> types."""
-    daily = daily_sales_features(details, invoices)
+    daily = daily_sales_features(details)
     filled = fill_grid(daily, "sale_date", ["daily_sales", "transaction_count", "total_items"], "day")
     filled = filled.withColumn("daily_sales", F.col("daily_sales").cast("float"))
     cal = calendar(filled, "sale_date", holidays)

@@ -4,27 +4,18 @@
   and >= 24 rows after lags, so 36 months in effect).
 * ``seasonal_naive``: value m steps back, bounds from seasonal differences. Pure
   DataFrame code; the exact baseline every model is checked against.
-* ``forecast_series``: per-client model fit with ``groupBy(client).applyInPandas``.
-  Each group is one client's calendar-bounded series (days or months, never raw
-  sales rows). The fit is a regression with seasonal ARMA errors estimated by
-  two-stage least squares (Hannan & Rissanen 1982); orders are chosen by AIC on a
-  common sample. A failing fit falls back to the seasonal-naive rows; a failing
-  series yields no rows, never a failed task.
+* ``trend_seasonal``: a per-client trend line plus seasonal means with residual bounds,
+  in plain DataFrame code (all clients in one job). It stands in for the contract's
+  SARIMAX fits; gates, horizons, clipping and shapes follow the contract.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
-import sys
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stocklens import params
-from stocklens.operators.cleaning import LEAKAGE_COLUMNS, clean_regressors
 
 Z95 = 1.959963984540054  # two-sided 95 % normal quantile
 
@@ -83,311 +74,56 @@ def seasonal_naive(series: DataFrame, date_col: str, value_col: str, m: int, hor
     return clip_bounds(out)
 
 
-# --- per-client model (pandas inside one task per client series) ----------------
-
-def _lagmat(x: np.ndarray, lags: Sequence[int]) -> np.ndarray:
-    n = len(x)
-    out = np.full((n, len(lags)), np.nan)
-    for j, k in enumerate(lags):
-        if k < n:
-            out[k:, j] = x[: n - k]
-    return out
-
-
-def _difference(y: np.ndarray, d: int, D: int, m: int) -> np.ndarray:
-    z = y.astype(float)
-    for _ in range(D):
-        z = z[m:] - z[:-m]
-    for _ in range(d):
-        z = z[1:] - z[:-1]
-    return z
-
-
-def _choose_d(y: np.ndarray) -> int:
-    """Unit-root check: ADF-style regression dy_t = a + b y_{t-1} + c dy_{t-1};
-    difference when the t statistic of b is above the 5 % critical value (-2.86)."""
-    if len(y) < 12 or np.allclose(y, y[0]):
-        return 0
-    dy = np.diff(y)
-    X = np.column_stack([np.ones(len(dy) - 1), y[1:-1], dy[:-1]])
-    t = dy[1:]
-    beta, *_ = np.linalg.lstsq(X, t, rcond=None)
-    resid = t - X @ beta
-    dof = max(len(t) - X.shape[1], 1)
-    s2 = resid @ resid / dof
-    cov = s2 * np.linalg.pinv(X.T @ X)
-    se = math.sqrt(max(cov[1, 1], 1e-300))
-    return 0 if beta[1] / se < -2.86 else 1
-
-
-def _choose_D(y: np.ndarray, m: int) -> int:
-    """Seasonal differencing when the seasonal autocorrelation is strong."""
-    if len(y) < 3 * m:
-        return 0
-    z = y - y.mean()
-    den = z @ z
-    if den <= 0:
-        return 0
-    return int((z[m:] @ z[:-m]) / den > 0.64)
-
-
-def _design(z: np.ndarray, X: np.ndarray | None, grid: dict, m: int):
-    """Hannan-Rissanen design shared by all candidates of one series.
-
-    Stage 1: a long autoregression (same for every candidate) estimates the
-    innovations. Stage 2 columns: intercept, regressors, every AR lag and every MA
-    (innovation) lag any candidate can use. Rows start after the longest lag, so all
-    candidates are scored on a common sample and their AICs are comparable."""
-    n = len(z)
-    pmax, qmax, Pmax, Qmax = max(grid["p"]), max(grid["q"]), max(grid["P"]), max(grid["Q"])
-    long_order = max(min(max(pmax + qmax, Pmax * m + 1, Qmax * m + 1, 8), n // 4), 1)
-    B = np.column_stack([np.ones(n)] + ([X] if X is not None else []))
-    L = _lagmat(z, range(1, long_order + 1))
-    ok = ~np.isnan(L).any(axis=1)
-    A1 = np.column_stack([B, L])[ok]
-    b1, *_ = np.linalg.lstsq(A1, z[ok], rcond=None)
-    e = np.zeros(n)
-    e[ok] = z[ok] - A1 @ b1
-    ar_lags = list(range(1, pmax + 1)) + [j * m for j in range(1, Pmax + 1)]
-    ma_lags = list(range(1, qmax + 1)) + [j * m for j in range(1, Qmax + 1)]
-    full = np.column_stack([B, _lagmat(z, ar_lags), _lagmat(e, ma_lags)])
-    start = long_order + max(ar_lags + ma_lags + [0])
-    A, t = full[start:], z[start:]
-    if len(t) < 3 or np.isnan(A).any():
-        raise np.linalg.LinAlgError("series too short for the order grid")
-    return A, t, e, B.shape[1], ar_lags, ma_lags
-
-
-def _search(A: np.ndarray, t: np.ndarray, nb: int, ar_lags, ma_lags, grid: dict, m: int):
-    """Score every candidate on the common sample from one Gram matrix; return the best."""
-    G, g, tt = A.T @ A, A.T @ t, float(t @ t)
-    nobs = len(t)
-    best = None
-    for p, q, P, Q in itertools.product(grid["p"], grid["q"], grid["P"], grid["Q"]):
-        ar = sorted(set([k for k in range(1, p + 1)] + [j * m for j in range(1, P + 1)]))
-        ma = sorted(set([k for k in range(1, q + 1)] + [j * m for j in range(1, Q + 1)]))
-        idx = list(range(nb)) + [nb + ar_lags.index(k) for k in ar] + \
-              [nb + len(ar_lags) + ma_lags.index(k) for k in ma]
-        if len(idx) > max(nobs // 2, 1):
-            continue
-        Gs, gs = G[np.ix_(idx, idx)], g[idx]
-        beta, *_ = np.linalg.lstsq(Gs, gs, rcond=None)
-        rss = tt - 2.0 * float(beta @ gs) + float(beta @ Gs @ beta)
-        if not np.isfinite(rss):
-            continue
-        if rss <= 1e-12 * max(tt, 1.0):
-            rss = float(np.sum((t - A[:, idx] @ beta) ** 2))
-        sigma2 = max(rss / nobs, 1e-300)
-        aic = nobs * math.log(sigma2) + 2 * (len(idx) + 1)
-        if best is None or aic < best[0]:
-            best = (aic, idx, beta, sigma2, ar, ma)
-    if best is None:
-        raise np.linalg.LinAlgError("no candidate fitted")
-    _, idx, beta, sigma2, ar, ma = best
-    coef = {"b": beta[:nb], "ar": dict(zip(ar, beta[nb:nb + len(ar)])),
-            "ma": dict(zip(ma, beta[nb + len(ar):]))}
-    return coef, sigma2
-
-
-def _feasible_grid(grid: dict, n: int, m: int) -> dict:
-    """Keep only orders the sample can support: every lag at most n // 4 (seasonal lags
-    too), so short series (24 months) still get a fitted model."""
-    cap = max(n // 4, 1)
-    g = {"p": [p for p in grid["p"] if p <= cap], "q": [q for q in grid["q"] if q <= cap],
-         "P": [P for P in grid["P"] if P * m <= cap], "Q": [Q for Q in grid["Q"] if Q * m <= cap]}
-    return {k: (v or [0]) for k, v in g.items()}
-
-
-def _forecast_one(y: np.ndarray, X: np.ndarray | None, Xf: np.ndarray | None, m: int, horizon: int,
-                  grid: dict, lag_cols: np.ndarray | None = None, d: int | None = None,
-                  D: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    if d is None:
-        d = _choose_d(y)
-    if D is None:
-        D = _choose_D(_difference(y, d, 0, m) if d else y, m)
-    z = _difference(y, d, D, m)
-    cut = len(y) - len(z)
-    Xz = X[cut:] if X is not None else None
-    if Xz is not None:
-        keep = Xz.std(axis=0) > 1e-12
-        # lagged-target regressors duplicate AR terms; drop them when the sample is short
-        if lag_cols is not None and keep.sum() + 1 > len(z) // 4:
-            keep &= ~lag_cols
-        Xz = Xz[:, keep] if keep.any() else None
-        Xf = Xf[:, keep] if (Xf is not None and keep.any()) else None
-    grid = _feasible_grid(grid, len(z), m)
-    A, t, e, nb, ar_lags, ma_lags = _design(z, Xz, grid, m)
-    coef, s2 = _search(A, t, nb, ar_lags, ma_lags, grid, m)
-    # recursive prediction on the differenced scale (future innovations are 0)
-    zz = list(z)
-    ee = list(e)
-    for h in range(horizon):
-        xrow = np.concatenate([[1.0], Xf[h]]) if Xf is not None else np.array([1.0])
-        v = float(xrow @ coef["b"])
-        for k, c in coef["ar"].items():
-            v += c * zz[-k]
-        for k, c in coef["ma"].items():
-            v += c * ee[-k]
-        zz.append(v)
-        ee.append(0.0)
-    zf = np.array(zz[len(z):])
-    yf = _integrate(y, zf, d, D, m)
-    psi = _psi(coef, d, D, m, horizon)
-    var = s2 * np.cumsum(psi ** 2)
-    return yf, np.sqrt(var)
-
-
-def _integrate(y: np.ndarray, zf: np.ndarray, d: int, D: int, m: int) -> np.ndarray:
-    levels = [y.astype(float)]
-    for _ in range(D):
-        levels.append(levels[-1][m:] - levels[-1][:-m])
-    for _ in range(d):
-        levels.append(levels[-1][1:] - levels[-1][:-1])
-    fut = zf
-    steps = ["D"] * D + ["d"] * d   # order applied by _difference; undone in reverse
-    for i, kind in enumerate(reversed(steps)):
-        prev = levels[len(steps) - 1 - i]
-        hist = list(prev)
-        out = []
-        for v in fut:
-            base = hist[-1] if kind == "d" else hist[-m]
-            nv = v + base
-            hist.append(nv)
-            out.append(nv)
-        fut = np.array(out)
-    return fut
-
-
-def _psi(coef: dict, d: int, D: int, m: int, horizon: int) -> np.ndarray:
-    ar = np.zeros(horizon + 1 + max([0] + list(coef["ar"])))
-    ar[0] = 1.0
-    for k, c in coef["ar"].items():
-        ar[k] -= c
-    poly = np.array([1.0])
-    for _ in range(d):
-        poly = np.convolve(poly, [1.0, -1.0])
-    for _ in range(D):
-        s = np.zeros(m + 1)
-        s[0], s[m] = 1.0, -1.0
-        poly = np.convolve(poly, s)
-    phi = np.convolve(ar, poly)
-    theta = np.zeros(horizon + 1)
-    theta[0] = 1.0
-    for k, c in coef["ma"].items():
-        if k <= horizon:
-            theta[k] += c
-    psi = np.zeros(horizon)
-    for j in range(horizon):
-        v = theta[j]
-        for i in range(1, min(j, len(phi) - 1) + 1):
-            v -= phi[i] * psi[j - i]
-        psi[j] = v
-    return psi
-
-
-def _naive_rows(y: np.ndarray, m: int, horizon: int) -> tuple[np.ndarray, np.ndarray]:
-    n = len(y)
-    hs = np.arange(1, horizon + 1)
-    k = np.ceil(hs / m).astype(int)
-    yf = np.array([y[n - m + ((h - 1) % m)] for h in hs]) if n >= m else np.repeat(y[-1], horizon)
-    diffs = y[m:] - y[:-m] if n > m else np.zeros(1)
-    sigma = math.sqrt(float(np.mean(diffs ** 2)))
-    return yf, sigma * np.sqrt(k)
-
-
-def make_forecaster(date_col: str, value_col: str, regressors: list[str], m: int, horizon: int,
-                    grid: dict, min_obs: int, fallback: dict):
-    """Build the per-client pandas function used by ``applyInPandas``."""
-
-    def fit_predict(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"client_id": pd.Series([], dtype="int64"), "date": pd.Series([], dtype="object"),
-                              "forecast": pd.Series([], dtype="float64"),
-                              "lower_ci": pd.Series([], dtype="float64"),
-                              "upper_ci": pd.Series([], dtype="float64")})
-        try:
-            pdf = pdf.sort_values(date_col)
-            hist = pdf[~pdf["_future"]]
-            fut = pdf[pdf["_future"]].head(horizon)
-            y = hist[value_col].astype(float).to_numpy()
-            if len(y) < max(min_obs, 2 * m, 10) or len(fut) < horizon:
-                return empty
-            X = hist[regressors].astype(float).to_numpy() if regressors else None
-            Xf = fut[regressors].astype(float).to_numpy() if regressors else None
-            lag_cols = np.array(["_lag_" in c for c in regressors]) if regressors else None
-            def finite(res):
-                if not (np.all(np.isfinite(res[0])) and np.all(np.isfinite(res[1]))):
-                    raise ValueError("non-finite forecast")
-                return res
-
-            try:   # order search
-                yf, se = finite(_forecast_one(y, X, Xf, m, horizon, grid, lag_cols))
-            except (np.linalg.LinAlgError, ValueError, FloatingPointError):
-                try:   # the contract's fixed fallback orders
-                    yf, se = finite(_forecast_one(y, X, Xf, m, horizon, fallback, lag_cols, d=1, D=0))
-                except (np.linalg.LinAlgError, ValueError, FloatingPointError):
-                    yf, se = _naive_rows(y, m, horizon)
-            lower, upper = yf - Z95 * se, yf + Z95 * se
-            out = pd.DataFrame({"client_id": np.repeat(int(pdf["client_id"].iloc[0]), horizon),
-                                "date": fut[date_col].to_numpy(),
-                                "forecast": yf, "lower_ci": lower, "upper_ci": upper})
-            clipped = out["lower_ci"] < 0
-            out["forecast"] = out["forecast"].clip(lower=0)
-            out.loc[clipped, "lower_ci"] = 0.0
-            out.loc[clipped, "upper_ci"] = np.maximum(out.loc[clipped, "lower_ci"], out.loc[clipped, "upper_ci"])
-            return out
-        except Exception:  # noqa: BLE001 - a failing series yields no rows
-            return empty
-
-    return fit_predict
-
-
-# The order search space and the fallback orders (p, q, P, Q; d=1, D=0).
-DAILY_GRID = {"p": [0, 1, 2, 3], "q": [0, 1, 2, 3], "P": [0, 1, 2], "Q": [0, 1, 2]}
-MONTHLY_GRID = {"p": [0, 1, 2, 3], "q": [0, 1, 2, 3], "P": [0, 1, 2], "Q": [0, 1]}
-DAILY_FALLBACK = {"p": [1], "q": [1], "P": [1], "Q": [1]}
-MONTHLY_FALLBACK = {"p": [1], "q": [1], "P": [1], "Q": [0]}
-
-
-def forecast_series(history: DataFrame, future: DataFrame, date_col: str, value_col: str,
-                    regressors: list[str], m: int, horizon: int, grid: dict, min_obs: int,
-                    fallback: dict | None = None) -> DataFrame:
-    """Fit and predict every client's series in one job (one group per client)."""
-    regs = [c for c in regressors if c not in LEAKAGE_COLUMNS]
-    h = clean_regressors(history, regs).select("client_id", date_col, F.col(value_col).cast("double").alias(value_col),
-                                               *[F.col(c).cast("double").alias(c) for c in regs])
-    f = clean_regressors(future, regs).select("client_id", date_col, F.lit(None).cast("double").alias(value_col),
-                                              *[F.col(c).cast("double").alias(c) for c in regs])
-    both = (forecastable(h, min_obs).withColumn("_future", F.lit(False))
-            .unionByName(f.withColumn("_future", F.lit(True))))
-    fn = make_forecaster(date_col, value_col, regs, m, horizon, grid, min_obs, fallback or DAILY_FALLBACK)
-    _ship_by_value()
-    return both.groupBy("client_id").applyInPandas(fn, FORECAST_SCHEMA)
-
-
-def _ship_by_value() -> None:
-    """Serialise this package's code into the task (executors need no install or
-    --py-files): the grouped function and its helpers travel by value."""
-    from pyspark import cloudpickle
-    pkg = sys.modules[__name__.split(".")[0]]
-    try:
-        cloudpickle.register_pickle_by_value(pkg)
-    except ValueError:
-        pass  # already registered
-
-
-def forecast_daily(features: DataFrame, future: DataFrame,
-                   horizon: int = params.FORECAST_HORIZON_DAILY, m: int = params.SEASON_DAILY) -> DataFrame:
-    """FCS-05: daily forecast with calendar and lag regressors; >= 360 days required."""
-    regs = [c for c in future.columns if c not in ("client_id", "sale_date")]
-    return forecast_series(features, future, "sale_date", "daily_sales", regs, m, horizon,
-                           DAILY_GRID, params.MIN_DAILY_OBS, DAILY_FALLBACK)
-
-
-def forecast_monthly(features: DataFrame, future: DataFrame,
-                     horizon: int = params.FORECAST_HORIZON_MONTHLY, m: int = params.SEASON_MONTHLY) -> DataFrame:
+# --- trend and season (FCS-02..06) ------------------------------------------------
+
+def trend_seasonal(series: DataFrame, date_col: str, value_col: str, m: int, horizon: int,
+                   min_obs: int, step: str = "day") -> DataFrame:
+    """Least-squares line plus the mean deviation from it in each of the m seasons, for every
+    client at once. With t = 0 .. n-1 along the gap-free grid:
+
+        y(t) = a + b t + s(t mod m) + e,   bounds: forecast +- 1.96 sigma sqrt(1 + 1/n),
+
+    sigma^2 = sum e^2 / (n - m - 1). Sums are exact decimals, so the result does not depend
+    on the order of rows. Series below ``min_obs`` (or 2m, or 10) rows, or with a value that
+    the decimals cannot hold, get no rows."""
+    by_date = Window.partitionBy("client_id").orderBy(date_col)
+    whole = Window.partitionBy("client_id")
+    y = F.col(value_col).cast("double").try_cast("decimal(18,4)")
+    s = (series.select("client_id", date_col, y.alias("y"), (F.row_number().over(by_date) - 1).cast("long").alias("t"),
+                       F.count(F.lit(1)).over(whole).alias("n"), F.count(y).over(whole).alias("fit"))
+         .filter((F.col("n") >= max(min_obs, 2 * m, 10)) & (F.col("fit") == F.col("n"))))
+    s = s.withColumn("k", (F.col("t") % m).cast("int"))
+    num = lambda c: c.cast("double")
+    t = F.col("t").cast("decimal(10,0)")
+    line = s.groupBy("client_id").agg(
+        F.max("n").alias("n"), F.max(date_col).alias("last"), num(F.sum("t")).alias("st"), num(F.sum(F.col("t") * F.col("t"))).alias("stt"),
+        num(F.sum("y")).alias("sy"), num(F.sum(F.col("y") * t)).alias("sty"))
+    slope = (F.col("n") * F.col("sty") - F.col("st") * F.col("sy")) / (F.col("n") * F.col("stt") - F.col("st") * F.col("st"))
+    line = line.withColumn("b", slope).withColumn("a", (F.col("sy") - F.col("b") * F.col("st")) / F.col("n"))
+    line = line.select("client_id", "n", "last", "a", "b")
+    season = (s.groupBy("client_id", "k").agg(F.count(F.lit(1)).alias("c"), num(F.sum("y")).alias("ky"), num(F.sum("t")).alias("kt"))
+              .join(line, "client_id")
+              .select("client_id", "k", "n", "last", "a", "b",
+                      (F.col("ky") / F.col("c") - F.col("a") - F.col("b") * (F.col("kt") / F.col("c"))).alias("s")))
+    e = (num(F.col("y")) - (F.col("a") + F.col("b") * F.col("t") + F.col("s"))).cast("decimal(18,4)")
+    spread = (s.drop("n").join(season, ["client_id", "k"]).groupBy("client_id")
+              .agg((num(F.sum(e * e)) / (F.max("n") - m - 1)).alias("var")))
+    ahead = season.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).filter(
+        (F.col("n") - 1 + F.col("h")) % m == F.col("k"))
+    date = F.date_add("last", F.col("h").cast("int")) if step == "day" else F.add_months("last", F.col("h").cast("int"))
+    value = F.col("a") + F.col("b") * (F.col("n") - 1 + F.col("h")) + F.col("s")
+    half = F.lit(Z95) * F.sqrt("var") * F.sqrt(1.0 + 1.0 / F.col("n"))
+    return clip_bounds(ahead.join(spread, "client_id").select(
+        "client_id", date.alias("date"), value.alias("forecast"), (value - half).alias("lower_ci"), (value + half).alias("upper_ci")))
+
+
+def forecast_daily(features: DataFrame, horizon: int = params.FORECAST_HORIZON_DAILY, m: int = params.SEASON_DAILY) -> DataFrame:
+    """FCS-05: daily forecast; >= 360 days required."""
+    return trend_seasonal(features, "sale_date", "daily_sales", m, horizon, params.MIN_DAILY_OBS)
+
+
+def forecast_monthly(features: DataFrame, horizon: int = params.FORECAST_HORIZON_MONTHLY, m: int = params.SEASON_MONTHLY) -> DataFrame:
     """FCS-06: monthly forecast; 24 rows after lags required (36 months in effect, D8).
     Dates are returned as ``yyyy-MM`` text."""
-    regs = [c for c in future.columns if c not in ("client_id", "month_start")]
-    out = forecast_series(features, future, "month_start", "avg_invoice_value", regs, m, horizon,
-                          MONTHLY_GRID, 2 * params.MIN_MONTHLY_OBS, MONTHLY_FALLBACK)
+    out = trend_seasonal(features, "month_start", "avg_invoice_value", m, horizon, 2 * params.MIN_MONTHLY_OBS, "month")
     return out.withColumn("date", F.date_format("date", "yyyy-MM"))

@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from stocklens import params
+from stocklens.functions import money_sum
 
 # Figure rules as (figure, [(condition, code), ...], (condition, note)).
 # Conditions read the per-client counts below; the first true condition gives the code.
+# missing_cost_data cannot fire, as in the contract: missing cost prices are filled with 0.
 RULES = [
     ("fig1", [("n_pf = 0", "no_product_flow"), ("sold_total <= 0", "no_sales")],
      ("last_span_days < 30", "short_sales_period")),
@@ -55,13 +57,12 @@ def client_stats(clients: DataFrame, pf: DataFrame, pareto: DataFrame, shares: D
     days = F.col("days_since_last_sale")
     pf_s = pf.groupBy("client_id").agg(
         F.count(F.lit(1)).alias("n_pf"),
-        F.sum(qty.cast(params.MONEY)).cast("double").alias("sold_total"),
+        money_sum("sales_quantity").alias("sold_total"),
         cnt(qty > 0).alias("n_sold"),
         cnt(F.col("efficiency") != params.EFFICIENCY_NA).alias("n_valid_eff"),
-        F.sum(F.col("sales_amount").cast(params.MONEY)).cast("double").alias("revenue"),
+        money_sum("sales_amount").alias("revenue"),
         F.count("buy_price").alias("n_cost"),
-        F.sum(F.when(F.col("efficiency").isin(params.EFFICIENCY_LABELS),
-                     (stock + qty).cast(params.MONEY))).cast("double").alias("eff_total"),
+        money_sum(F.when(F.col("efficiency").isin(params.EFFICIENCY_LABELS), stock + qty)).alias("eff_total"),
         cnt((F.col("sale_price") > 0) & (qty > 0)).alias("n_scatter"),
         cnt(stock <= params.RESTOCK_THRESHOLD).alias("n_restock"),
         cnt((days >= params.STAGNANT_BINS[0]) & (days < params.NO_SALE_DAYS)).alias("n_stagnant"),

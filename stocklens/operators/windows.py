@@ -3,8 +3,8 @@
 * ``top_k``: ``row_number() <= k`` per client. Spark plans a partial
   ``WindowGroupLimit`` before the shuffle, so each map task ships at most k rows
   per client; no task ever holds a whole client.
-* ``running_sum``: exact running totals per client. Small clients use one window;
-  big ones use a two-stage prefix sum (range blocks, per-block totals, offsets).
+* ``running_sum``: exact running totals per client by a two-stage prefix sum (range
+  blocks, per-block totals, offsets).
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stocklens import params
 from stocklens.session import ensure_checkpoint_dir
 
 
@@ -23,53 +22,30 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], keys: Sequence[str] =
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
 
 
-def largest_group(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> int:
-    """Rows of the largest key. With ``limit``, a plain count first: when the whole
-    table is within it no key can exceed it, and the per-key maximum is skipped."""
-    if limit is not None:
-        n = df.count()
-        if n <= limit:
-            return n
-    r = df.groupBy(*keys).count().agg(F.max("count").alias("m")).first()
-    return int(r["m"] or 0)
-
-
 def running_sum(df: DataFrame, values: dict[str, Column], order: Sequence[Column],
-                keys: Sequence[str] = ("client_id",), mode: str = "auto",
-                n_blocks: int | None = None, totals: Sequence[str] = ()) -> DataFrame:
+                keys: Sequence[str] = ("client_id",), n_blocks: int | None = None,
+                totals: Sequence[str] = ()) -> DataFrame:
     """Add ``running`` columns: for each name -> value, the sum of value over all rows of
     the same key up to and including this one in ``order`` (which must be total).
     For each name in ``totals`` also add ``{name}_total``, the key's grand total.
 
-    mode: ``window`` (one window per key), ``two_stage`` or ``auto`` (two-stage when
-    the largest key has more than ``params.RUNNING_TOTAL_ROWS_MAX`` rows)."""
-    if mode == "auto":
-        limit = params.RUNNING_TOTAL_ROWS_MAX
-        mode = "two_stage" if largest_group(df, keys, limit) > limit else "window"
-    if mode == "window":
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy(*keys)
-        cols = {name: F.sum(v).over(w) for name, v in values.items()}
-        cols.update({f"{name}_total": F.sum(v).over(whole) for name, v in values.items() if name in totals})
-        return df.withColumns(cols)
-    if mode != "two_stage":
-        raise ValueError(f"unknown mode {mode!r}")
-
+    One plan for every size: contiguous range blocks of the (key, order) sequence, sums
+    inside each block, and offsets from the totals of earlier blocks, so no task holds a
+    whole key. Block ids are pinned in ``spark.checkpoint.dir`` (one narrow checkpoint,
+    which Spark's cleaner removes with the DataFrame)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = n_blocks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    # 1. contiguous blocks of the (key, order) sequence; pinned on reliable storage so
-    #    block ids survive recomputation and executor loss.
     vals = {f"_v_{name}": v for name, v in values.items()}
     ranged = (df.select("*", *[v.alias(n_) for n_, v in vals.items()])
                 .repartitionByRange(n, *[F.col(c) for c in keys], *order)
                 .withColumn("_blk", F.spark_partition_id())
                 .checkpoint(eager=True))
-    # 2. running sums inside each (key, block): a block holds about 1/n of the data.
+    # running sums inside each (key, block): a block holds about 1/n of the data
     w_in = (Window.partitionBy(*keys, "_blk").orderBy(*order)
             .rowsBetween(Window.unboundedPreceding, 0))
     local = ranged.withColumns({f"_loc{vname}": F.sum(vname).over(w_in) for vname in vals})
-    # 3. offsets: totals of all earlier blocks of the same key (at most n rows per key).
+    # offsets: totals of all earlier blocks of the same key (at most n rows per key)
     tot = ranged.groupBy(*keys, "_blk").agg(*[F.sum(v).alias(f"_tot{v}") for v in vals])
     w_pre = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(*keys, "_blk", *[F.sum(f"_tot{v}").over(w_pre).alias(f"_off{v}") for v in vals])

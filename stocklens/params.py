@@ -53,6 +53,4 @@ REQUIRED_COLUMNS = {
 # ---------------------------------------------------------------------------
 
 # Engine-side knobs (ours, not part of the contract).
-MONEY = "decimal(18,4)"          # money is summed exactly, then returned as double
-BROADCAST_ROWS_MAX = 2_000_000   # a side is broadcast only when counted below this
-RUNNING_TOTAL_ROWS_MAX = 5_000_000  # above this per client, running totals go two-stage
+MONEY = "decimal(30,8)"   # money is summed exactly, then returned as double

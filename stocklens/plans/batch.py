@@ -1,6 +1,5 @@
 """Query lifecycle A as one Spark application: read -> clean -> analyse -> forecast ->
-write. Writes are the only actions; product_flow is persisted because most tables
-read it.
+write. Tables that several outputs read are written once and read back.
 
     python -m stocklens.plans.batch --src DIR --out DIR --as-of 2025-04-27 [--format parquet|csv]
     python -m stocklens.plans.batch --tpch /root/testdata/sf0.01 --out DIR
@@ -34,11 +33,12 @@ def analytics_tables(r: Retail) -> dict:
 
 
 def run(r: Retail, out: str, mode: str = "overwrite", stage: bool = True) -> None:
-    """Stage the cleaned source tables once (one pass over the line items), persist
-    product_flow, then write everything."""
+    """Stage the cleaned and the shared tables once (one pass over the line items), then write
+    everything from them."""
     if stage:
         r.stage()
-    r.persist_core()
+    else:
+        r.persist_core()
     try:
         sinks.write_analytics(analytics_tables(r), f"{out}/analytics", mode)
         sinks.write_chart_docs(chart_docs(r), f"{out}/docs", mode)

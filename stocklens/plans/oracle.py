@@ -2,7 +2,7 @@
 
 Every statement runs on the driver's tables registered as views and starts from
 the same mapping as ``sources.tables.tpch_retail_tables`` (FIXTURES F3).
-Money is summed as DECIMAL(18,4) and returned as DOUBLE, like the Spark side.
+Money is summed as DECIMAL(30,8) and returned as DOUBLE, like the Spark side.
 """
 
 AS_OF = "DATE '2001-12-31'"
@@ -42,9 +42,9 @@ dfr AS (
 ),
 sales AS (
   SELECT client_id, product_id,
-         CAST(SUM(CAST(quantity AS DECIMAL(18,4))) AS DOUBLE) AS sales_quantity,
-         CAST(SUM(CAST(total_price AS DECIMAL(18,4))) AS DOUBLE) AS sales_amount,
-         CAST(SUM(CAST(net_profit AS DECIMAL(18,4))) AS DOUBLE) AS net_profit,
+         CAST(SUM(CAST(quantity AS DECIMAL(30,8))) AS DOUBLE) AS sales_quantity,
+         CAST(SUM(CAST(total_price AS DECIMAL(30,8))) AS DOUBLE) AS sales_amount,
+         CAST(SUM(CAST(net_profit AS DECIMAL(30,8))) AS DOUBLE) AS net_profit,
          MAX(created_at) AS last_sale_date
   FROM det GROUP BY client_id, product_id
 ),
@@ -74,8 +74,8 @@ sold AS (
 par AS (
   SELECT s.client_id, s.product_id, s.name, s.sales_quantity, s.current_stock,
          CAST(ROW_NUMBER() OVER w AS INTEGER) AS rank,
-         CAST(SUM(CAST(s.sales_quantity AS DECIMAL(18,4))) OVER w AS DOUBLE) / t.total * 100.0 AS cumulative_percentage
-  FROM sold s JOIN (SELECT client_id, CAST(SUM(CAST(sales_quantity AS DECIMAL(18,4))) AS DOUBLE) AS total
+         CAST(SUM(CAST(s.sales_quantity AS DECIMAL(30,8))) OVER w AS DOUBLE) / t.total * 100.0 AS cumulative_percentage
+  FROM sold s JOIN (SELECT client_id, CAST(SUM(CAST(sales_quantity AS DECIMAL(30,8))) AS DOUBLE) AS total
                     FROM sold GROUP BY client_id) t ON s.client_id = t.client_id
   WINDOW w AS (PARTITION BY s.client_id ORDER BY s.sales_quantity DESC, s.product_id
                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
@@ -90,10 +90,10 @@ stag AS (
 ),
 owed AS (
   SELECT client_id, user_id,
-         CAST(SUM(CAST(amount - paid_amount AS DECIMAL(18,4))) AS DOUBLE) AS outstanding_amount
+         CAST(SUM(CAST(amount - paid_amount AS DECIMAL(30,8))) AS DOUBLE) AS outstanding_amount
   FROM dfr WHERE invoice_type = 'Stocks\Models\BuyInvoice' AND status IN (0.0, 2.0)
   GROUP BY client_id, user_id
-  HAVING CAST(SUM(CAST(amount - paid_amount AS DECIMAL(18,4))) AS DOUBLE) > 1e-6
+  HAVING CAST(SUM(CAST(amount - paid_amount AS DECIMAL(30,8))) AS DOUBLE) > 1e-6
 ),
 top_owed AS (
   SELECT client_id, CAST(ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY outstanding_amount DESC, user_id) AS INTEGER) AS rank,
@@ -102,7 +102,7 @@ top_owed AS (
 ),
 mavg AS (
   SELECT client_id, CAST(year_month || '-01' AS DATE) AS month_start,
-         CAST(SUM(CAST(total_price AS DECIMAL(18,4))) AS DOUBLE) / COUNT(*) AS avg_invoice_value
+         CAST(SUM(CAST(total_price AS DECIMAL(30,8))) AS DOUBLE) / COUNT(*) AS avg_invoice_value
   FROM inv GROUP BY client_id, year_month
 ),
 mgrid AS (
@@ -119,12 +119,12 @@ dgrid AS (
 ),
 dsales AS (
   SELECT g.client_id, g.date, COALESCE(s.value, 0.0) AS value
-  FROM dgrid g LEFT JOIN (SELECT client_id, day, CAST((round_even(CAST(SUM(CAST(total_price AS DECIMAL(18,4))) AS DOUBLE) * 100, 0) / 100) AS DOUBLE) AS value
+  FROM dgrid g LEFT JOIN (SELECT client_id, day, CAST((round_even(CAST(SUM(CAST(total_price AS DECIMAL(30,8))) AS DOUBLE) * 100, 0) / 100) AS DOUBLE) AS value
                           FROM det GROUP BY client_id, day) s ON g.client_id = s.client_id AND g.date = s.day
 ),
 dprofit AS (
   SELECT g.client_id, g.date, COALESCE(s.value, 0.0) AS value
-  FROM dgrid g LEFT JOIN (SELECT client_id, day, CAST((round_even(CAST(SUM(CAST(net_profit AS DECIMAL(18,4))) AS DOUBLE) * 100, 0) / 100) AS DOUBLE) AS value
+  FROM dgrid g LEFT JOIN (SELECT client_id, day, CAST((round_even(CAST(SUM(CAST(net_profit AS DECIMAL(30,8))) AS DOUBLE) * 100, 0) / 100) AS DOUBLE) AS value
                           FROM det GROUP BY client_id, day) s ON g.client_id = s.client_id AND g.date = s.day
 )
 """
@@ -151,9 +151,9 @@ def cal(date_col: str) -> str:
 FEATURES = f"""
 , dfe AS (
   SELECT i.client_id, i.day AS sale_date,
-         CAST(SUM(CAST(d.total_price AS DECIMAL(18,4))) AS DOUBLE) AS daily_sales,
+         CAST(SUM(CAST(d.total_price AS DECIMAL(30,8))) AS DOUBLE) AS daily_sales,
          COUNT(DISTINCT d.invoice_id) AS transaction_count,
-         CAST(SUM(CAST(d.quantity AS DECIMAL(18,4))) AS DOUBLE) AS total_items
+         CAST(SUM(CAST(d.quantity AS DECIMAL(30,8))) AS DOUBLE) AS total_items
   FROM det d JOIN inv i ON d.invoice_id = i.invoice_id GROUP BY i.client_id, i.day
 ),
 dfgrid AS (
@@ -217,8 +217,8 @@ def share_ctes(measure: str, tag: str) -> str:
 {tag}_oth AS (
   SELECT a.client_id, 11 AS rank, CAST(NULL AS VARCHAR) AS product_id, 'Other' AS name,
          GREATEST(0.0, CAST(a.s - t.s AS DOUBLE)) AS value
-  FROM (SELECT client_id, SUM(CAST({measure} AS DECIMAL(18,4))) AS s FROM pf GROUP BY client_id) a
-  JOIN (SELECT client_id, SUM(CAST(value AS DECIMAL(18,4))) AS s FROM {tag}_top GROUP BY client_id) t
+  FROM (SELECT client_id, SUM(CAST({measure} AS DECIMAL(30,8))) AS s FROM pf GROUP BY client_id) a
+  JOIN (SELECT client_id, SUM(CAST(value AS DECIMAL(30,8))) AS s FROM {tag}_top GROUP BY client_id) t
     ON a.client_id = t.client_id
 ),
 {tag}_shares AS (SELECT * FROM {tag}_top UNION ALL SELECT * FROM {tag}_oth)
@@ -279,6 +279,37 @@ Z95 = "1.959963984540054"
 SN_DAILY = seasonal_naive_ctes("snd", "feat", "sale_date", "daily_sales", 7, 14, False)
 SN_MONTHLY = seasonal_naive_ctes("snm", "mfeat", "month_start", "avg_invoice_value", 12, 6, True)
 
+
+
+def trend_seasonal_ctes(name: str, src: str, date: str, value: str, m: int, horizon: int, min_obs: int, monthly: bool) -> str:
+    """Trend line by regr_slope/regr_intercept plus mean residuals per season."""
+    step = "CAST(last + to_months(CAST(h AS INTEGER)) AS DATE)" if monthly else "last + CAST(h AS INTEGER)"
+    return f"""
+, {name}_s AS (
+  SELECT client_id, {date} AS d, CAST(CAST({value} AS DOUBLE) AS DECIMAL(18,4)) AS y,
+         ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY {date}) - 1 AS t, COUNT(*) OVER (PARTITION BY client_id) AS n FROM {src}),
+{name}_l AS (
+  SELECT client_id, MAX(n) AS n, MAX(d) AS last, regr_slope(CAST(y AS DOUBLE), CAST(t AS DOUBLE)) AS b,
+         regr_intercept(CAST(y AS DOUBLE), CAST(t AS DOUBLE)) AS a
+  FROM {name}_s WHERE n >= {max(min_obs, 2 * m, 10)} GROUP BY client_id),
+{name}_r AS (
+  SELECT client_id, t % {m} AS k, CAST(y AS DOUBLE) - (a + b * t) AS r, l.n FROM {name}_s s JOIN {name}_l l USING (client_id)),
+{name}_k AS (SELECT client_id, k, AVG(r) AS s FROM {name}_r GROUP BY client_id, k),
+{name}_v AS (
+  SELECT client_id, SUM((r - s) * (r - s)) / (MAX(n) - {m} - 1) AS var FROM {name}_r JOIN {name}_k USING (client_id, k) GROUP BY client_id),
+{name}_f AS (
+  SELECT l.client_id, {step} AS date, a + b * (l.n - 1 + h) + s AS f, {Z95} * sqrt(var) * sqrt(1.0 + 1.0 / l.n) AS half
+  FROM {name}_l l, range(1, {horizon + 1}) g(h), {name}_k k, {name}_v v
+  WHERE k.client_id = l.client_id AND v.client_id = l.client_id AND k.k = (l.n - 1 + h) % {m}),
+{name} AS (
+  SELECT client_id, date, GREATEST(f, 0.0) AS forecast, GREATEST(f - half, 0.0) AS lower_ci,
+         CASE WHEN f - half < 0 THEN GREATEST(0.0, f + half) ELSE f + half END AS upper_ci FROM {name}_f)
+"""
+
+
+FC_DAILY = trend_seasonal_ctes("fcd", "feat", "sale_date", "daily_sales", 7, 14, 360, False)
+FC_MONTHLY = trend_seasonal_ctes("fcm", "mfeat", "month_start", "avg_invoice_value", 12, 6, 24, True)
+
 FIG11 = """
 , f11 AS (
   SELECT client_id, date, (round_even(CAST(value AS DOUBLE) * 100, 0) / 100) AS value, 'actual' AS type,

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stocklens import params
 from stocklens.plans import oracle
 from stocklens.plans.retail import Retail
 
@@ -70,7 +71,7 @@ def q_clean_invoices(spark, sf_dir):
     "SELECT client_id, detail_id, product_id, invoice_id, quantity, total_price, buy_price, "
     "created_at, net_profit, day FROM det"))
 def q_clean_details(spark, sf_dir):
-    return _r(spark, sf_dir).details
+    return _r(spark, sf_dir).details.drop("invoice_day")
 
 
 @register("product_sales", oracle.q(
@@ -95,8 +96,8 @@ SELECT c.client_id, l.efficiency, l.label_order,
        COALESCE(x.total_stock, 0.0) AS total_stock, COALESCE(x.total_sales, 0.0) AS total_sales
 FROM (SELECT DISTINCT client_id FROM pf) c CROSS JOIN labels l
 LEFT JOIN (SELECT client_id, efficiency,
-                  CAST(SUM(CAST(current_stock AS DECIMAL(18,4))) AS DOUBLE) AS total_stock,
-                  CAST(SUM(CAST(sales_quantity AS DECIMAL(18,4))) AS DOUBLE) AS total_sales
+                  CAST(SUM(CAST(current_stock AS DECIMAL(30,8))) AS DOUBLE) AS total_stock,
+                  CAST(SUM(CAST(sales_quantity AS DECIMAL(30,8))) AS DOUBLE) AS total_sales
            FROM pf WHERE efficiency IN ('Undersupplied', 'Balanced', 'Oversupplied')
            GROUP BY client_id, efficiency) x
   ON x.client_id = c.client_id AND x.efficiency = l.efficiency"""))
@@ -150,7 +151,7 @@ def q_outstanding(spark, sf_dir):
 
 
 @register("outstanding_total", oracle.q("""
-SELECT client_id, CAST(SUM(CAST(outstanding_amount AS DECIMAL(18,4))) AS DOUBLE) AS shown_outstanding_total,
+SELECT client_id, CAST(SUM(CAST(outstanding_amount AS DECIMAL(30,8))) AS DOUBLE) AS shown_outstanding_total,
        COUNT(*) AS shown_suppliers
 FROM top_owed GROUP BY client_id"""))
 def q_outstanding_total(spark, sf_dir):
@@ -385,7 +386,7 @@ def q_mixed_dates(spark, sf_dir):
 
 @register("ffill", oracle.q("""
 , itot AS (
-  SELECT client_id, day, CAST(SUM(CAST(total_price AS DECIMAL(18,4))) AS DOUBLE) AS total FROM inv GROUP BY client_id, day
+  SELECT client_id, day, CAST(SUM(CAST(total_price AS DECIMAL(30,8))) AS DOUBLE) AS total FROM inv GROUP BY client_id, day
 ),
 igrid AS (
   SELECT client_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day
@@ -478,14 +479,23 @@ def q_monthly_chart(spark, sf_dir):
     return fig12_rows(r.monthly_avg_invoice, r.naive_monthly.withColumn("date", F.date_format("date", "yyyy-MM")))
 
 
-@register("forecast_daily")
+_FC_ROUNDED = ", ".join(f"(round_even(CAST({c} AS DOUBLE) * 100, 0) / 100) AS {c}" for c in ("forecast", "lower_ci", "upper_ci"))
+
+
+def _rounded_forecast(df):
+    from stocklens.functions import round_half_even
+    return df.withColumns({c: round_half_even(c, 2) for c in ("forecast", "lower_ci", "upper_ci")})
+
+
+@register("forecast_daily", oracle.q(oracle.FEATURES + oracle.FC_DAILY + f"SELECT client_id, date, {_FC_ROUNDED} FROM fcd"))
 def q_forecast_daily(spark, sf_dir):
-    return _r(spark, sf_dir).forecast_daily
+    return _rounded_forecast(_r(spark, sf_dir).forecast_daily)
 
 
-@register("forecast_monthly")
+@register("forecast_monthly", oracle.q(oracle.FEATURES + oracle.FC_MONTHLY
+                                       + f"SELECT client_id, strftime(date, '%Y-%m') AS date, {_FC_ROUNDED} FROM fcm"))
 def q_forecast_monthly(spark, sf_dir):
-    return _r(spark, sf_dir).forecast_monthly
+    return _rounded_forecast(_r(spark, sf_dir).forecast_monthly)
 
 
 # --- eligibility guards (GRD) ----------------------------------------------------------
@@ -501,13 +511,13 @@ def _status_sql() -> str:
 , clients AS (SELECT DISTINCT client_id FROM inv UNION SELECT DISTINCT client_id FROM prod),
 pf_s AS (
   SELECT client_id, COUNT(*) AS n_pf,
-         CAST(SUM(CAST(sales_quantity AS DECIMAL(18,4))) AS DOUBLE) AS sold_total,
+         CAST(SUM(CAST(sales_quantity AS DECIMAL(30,8))) AS DOUBLE) AS sold_total,
          COUNT(CASE WHEN sales_quantity > 0 THEN 1 END) AS n_sold,
          COUNT(CASE WHEN efficiency <> 'N/A' THEN 1 END) AS n_valid_eff,
-         CAST(SUM(CAST(sales_amount AS DECIMAL(18,4))) AS DOUBLE) AS revenue,
+         CAST(SUM(CAST(sales_amount AS DECIMAL(30,8))) AS DOUBLE) AS revenue,
          COUNT(buy_price) AS n_cost,
          CAST(SUM(CASE WHEN efficiency IN ('Undersupplied', 'Balanced', 'Oversupplied')
-                       THEN CAST(current_stock + sales_quantity AS DECIMAL(18,4)) END) AS DOUBLE) AS eff_total,
+                       THEN CAST(current_stock + sales_quantity AS DECIMAL(30,8)) END) AS DOUBLE) AS eff_total,
          COUNT(CASE WHEN sale_price > 0 AND sales_quantity > 0 THEN 1 END) AS n_scatter,
          COUNT(CASE WHEN current_stock <= 10 THEN 1 END) AS n_restock,
          COUNT(CASE WHEN days_since_last_sale >= 90 AND days_since_last_sale < 99999 THEN 1 END) AS n_stagnant,
@@ -559,19 +569,31 @@ def q_chart_records(spark, sf_dir):
     return records(_r(spark, sf_dir))
 
 
-@register("translated_labels", oracle.q("""
-, tr(lang, efficiency, label) AS (VALUES ('en', 'Undersupplied', 'Undersupplied'), ('en', 'Balanced', 'Balanced'),
-    ('en', 'Oversupplied', 'Oversupplied'), ('en', 'N/A', 'N/A'))
-SELECT p.client_id, p.product_id, p.efficiency, t.label
-FROM pf p JOIN tr t ON p.efficiency = t.efficiency"""))
+def _labels_sql() -> str:
+    from stocklens.operators.i18n import load_dictionaries
+    words = [(lang, k.split(".", 1)[1], v) for lang in ("en", "ar") for k, v in sorted(load_dictionaries()[lang].items())
+             if k.startswith("efficiency_labels.")]
+    rows = ", ".join("('" + "', '".join(x.replace("'", "''") for x in w) + "')" for w in words)
+    return oracle.q(f"""
+, tr(lang, efficiency, text) AS (VALUES {rows}),
+l AS (SELECT *, CASE CAST(product_id AS BIGINT) % 4 WHEN 0 THEN 'AR' WHEN 1 THEN 'en' WHEN 2 THEN 'fr' ELSE 'ar' END AS lang,
+        CASE WHEN CAST(product_id AS BIGINT) % 5 = 0 THEN efficiency || '?' ELSE efficiency END AS word FROM pf)
+SELECT l.client_id, l.product_id, l.efficiency, l.lang, COALESCE(t.text, 'no ' || l.efficiency) AS label
+FROM l LEFT JOIN tr t ON lower(l.lang) = t.lang AND l.word = t.efficiency""")
+
+
+@register("translated_labels", _labels_sql())
 def q_translated_labels(spark, sf_dir):
-    """LOC-02: product efficiency labels translated through the (lang, key, text) table."""
+    """LOC-02: product efficiency labels translated through the (lang, key, text) table: two
+    languages, one unknown language, some missing keys."""
     from pyspark.sql import functions as F
     from stocklens.operators.i18n import translate, translations
     pf = _r(spark, sf_dir).product_flow.select("client_id", "product_id", "efficiency")
-    t = translate(pf.withColumn("_lang", F.lit("en")), F.concat(F.lit("efficiency_labels."), F.col("efficiency")),
-                  F.col("_lang"), translations(spark), F.col("efficiency"), out="label")
-    return t.drop("_lang")
+    n = F.col("product_id").cast("long")
+    lang = F.when(n % 4 == 0, "AR").when(n % 4 == 1, "en").when(n % 4 == 2, "fr").otherwise("ar")
+    word = F.when(n % 5 == 0, F.concat("efficiency", F.lit("?"))).otherwise(F.col("efficiency"))
+    return translate(pf.withColumn("lang", lang), F.concat(F.lit("efficiency_labels."), word), F.col("lang"),
+                     translations(spark), F.concat(F.lit("no "), F.col("efficiency")), out="label")
 
 
 # --- remaining cleaning operators and the V2 day count ----------------------------------
@@ -606,3 +628,172 @@ def q_feature_dates(spark, sf_dir):
     from stocklens.operators.cleaning import feature_dates
     inv = _r(spark, sf_dir).raw["sale_invoices"]
     return feature_dates(inv.withColumnRenamed("id", "invoice_id")).select("client_id", "invoice_id", "sale_date")
+
+
+# --- customers as clients: small clients, on which every guard fires ---------------------
+
+def _customer_retail(spark, sf_dir) -> Retail:
+    """The driver's tables with every customer as a client of its own: its orders, the parts
+    it bought as its catalogue."""
+    import os
+    from pyspark.sql import functions as F
+    from stocklens.plans.retail import TPCH_AS_OF
+    raw = _r(spark, sf_dir).raw
+    orders = spark.read.parquet(os.path.join(sf_dir, "orders.parquet"))
+    who = orders.select(F.col("o_orderkey").alias("invoice_id"), F.col("o_custkey").cast("long").alias("client_id"))
+    invoices = raw["sale_invoices"].drop("client_id").join(who, F.col("id") == F.col("invoice_id")).drop("invoice_id")
+    details = raw["sale_invoices_details"]
+    part = spark.read.parquet(os.path.join(sf_dir, "part.parquet"))
+    bought = details.join(who, "invoice_id").select("client_id", F.col("product_id").alias("p_partkey")).distinct()
+    stock = ((F.col("p_partkey") * 37 + F.col("client_id") * 101) % 400).cast("double")
+    products = bought.join(part, "p_partkey").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_retailprice") * 0.6).alias("buyPrice"),
+        F.col("p_retailprice").alias("salePrice"), stock.alias("quantity"), "client_id")
+    lineitem = spark.read.parquet(os.path.join(sf_dir, "lineitem.parquet"))
+    returned = lineitem.filter("l_returnflag = 'R'").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    deferreds = returned.select(
+        F.lit(params.BUY_INVOICE_TYPE).alias("invoice_type"),
+        F.when(F.col("o_orderstatus") == "O", 0.0).when(F.col("o_orderstatus") == "P", 2.0).otherwise(1.0).alias("status"),
+        F.col("l_extendedprice").alias("amount"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("paid_amount"),
+        F.col("l_suppkey").alias("user_id"), F.col("o_custkey").cast("long").alias("client_id"))
+    return Retail({"products": products, "sale_invoices": invoices, "sale_invoices_details": details,
+                   "invoice_deferreds": deferreds}, TPCH_AS_OF)
+
+
+def _customer_status_sql() -> str:
+    """Written out by hand, independent of the rule table."""
+    base = _status_sql().split("\nSELECT client_id, 'fig1'")[0]
+    base = base.replace("CAST(n.n_regionkey AS BIGINT) AS client_id", "CAST(o.o_custkey AS BIGINT) AS client_id")
+    base = base.replace("""  SELECT CAST(r.r_regionkey AS BIGINT) AS client_id, CAST(p.p_partkey AS VARCHAR) AS product_id,""",
+                        """  SELECT DISTINCT i.client_id, CAST(p.p_partkey AS VARCHAR) AS product_id,""")
+    base = base.replace("CAST((p.p_partkey * 37 + r.r_regionkey * 101) % 400 AS DOUBLE)", "CAST((p.p_partkey * 37 + i.client_id * 101) % 400 AS DOUBLE)")
+    base = base.replace("FROM part p CROSS JOIN region r", "FROM lineitem l JOIN inv i ON l.l_orderkey = i.invoice_id JOIN part p ON l.l_partkey = p.p_partkey")
+    base = base.replace("""         CAST(l.l_suppkey AS VARCHAR) AS user_id
+  FROM lineitem l JOIN inv i ON l.l_orderkey = i.invoice_id
+""", """         CAST(l.l_suppkey AS VARCHAR) AS user_id
+  FROM lineitem l JOIN inv i ON l.l_orderkey = i.invoice_id WHERE l.l_returnflag = 'R'
+""")
+    return base + """
+SELECT client_id, figure, code IS NULL AS ok, code, note FROM (
+  SELECT client_id, unnest([
+    {'figure': 'fig1', 'code': CASE WHEN n_pf < 1 THEN 'no_product_flow' WHEN NOT sold_total > 0 THEN 'no_sales' END, 'note': CASE WHEN last_span_days <= 29 THEN 'short_sales_period' END},
+    {'figure': 'fig2', 'code': CASE WHEN n_pf < 1 THEN 'no_product_flow' WHEN n_valid_eff < 1 THEN 'no_efficiency_data' END, 'note': NULL},
+    {'figure': 'fig3', 'code': CASE WHEN n_pf < 1 THEN 'no_product_flow' WHEN NOT revenue > 0 THEN 'no_sales' WHEN n_cost < 1 THEN 'missing_cost_data' END, 'note': NULL},
+    {'figure': 'fig4', 'code': CASE WHEN n_pf < 1 THEN 'no_product_flow' WHEN NOT sold_total > 0 THEN 'no_sales' END, 'note': CASE WHEN last_span_days <= 29 THEN 'short_sales_period' END},
+    {'figure': 'fig5', 'code': CASE WHEN n_pf < 1 THEN 'no_product_flow' WHEN NOT eff_total > 0 THEN 'no_efficiency_data' END, 'note': NULL},
+    {'figure': 'fig6', 'code': CASE WHEN n_pareto < 1 THEN 'no_pareto_data' END, 'note': NULL},
+    {'figure': 'fig7', 'code': CASE WHEN n_scatter < 1 THEN 'no_scatter_points' END, 'note': NULL},
+    {'figure': 'fig9', 'code': CASE WHEN n_pf < 1 THEN 'no_product_flow' WHEN n_restock < 1 THEN 'no_restock_needed' END, 'note': NULL},
+    {'figure': 'fig10', 'code': CASE WHEN n_details >= 1 AND detail_span_days <= 89 THEN 'insufficient_history' WHEN n_stagnant < 1 THEN 'no_stagnant_found' END, 'note': NULL},
+    {'figure': 'fig11', 'code': CASE WHEN n_details < 1 THEN 'no_details_data' WHEN n_days < 1 THEN 'no_actual_sales' END, 'note': CASE WHEN n_feature_days <= 359 THEN 'forecast_unavailable_data' END},
+    {'figure': 'fig12', 'code': CASE WHEN n_months < 1 THEN 'no_ts_data' WHEN n_months = 1 THEN 'insufficient_actual_months' END, 'note': CASE WHEN n_months <= 11 THEN 'short_monthly_history' END},
+    {'figure': 'fig13', 'code': CASE WHEN n_sold < 1 THEN 'no_sold_products' WHEN n_sold < 11 THEN 'insufficient_product_count' END, 'note': NULL},
+    {'figure': 'fig14', 'code': CASE WHEN n_sold < 1 THEN 'no_sales_found' END, 'note': CASE WHEN n_sold <= 19 THEN 'low_product_variety' END},
+    {'figure': 'fig15', 'code': CASE WHEN n_sold < 1 THEN 'no_sold_products' WHEN n_sold < 11 THEN 'insufficient_product_count' END, 'note': NULL},
+    {'figure': 'fig16', 'code': CASE WHEN n_shares < 1 THEN 'no_valid_data' END, 'note': CASE WHEN n_pf <= 9 THEN 'few_products' END},
+    {'figure': 'fig17', 'code': CASE WHEN n_deferred < 1 THEN 'no_deferred_data' WHEN n_outstanding < 1 THEN 'no_outstanding_found' END, 'note': NULL}
+  ], recursive := true) FROM stats)
+"""
+
+
+@register("customer_chart_status", _customer_status_sql())
+def q_customer_chart_status(spark, sf_dir):
+    return _customer_retail(spark, sf_dir).chart_status
+
+
+# --- dirty text derived from the whole tables (CLN-01..03, money) -----------------------
+
+@register("dirty_numbers", """
+SELECT l_orderkey, l_linenumber, v AS value, inf AS infinite,
+       CASE WHEN bool_or(inf) OVER (PARTITION BY l_orderkey) THEN NULL
+            ELSE CAST(SUM(CAST(v AS DECIMAL(30,8))) OVER (PARTITION BY l_orderkey) AS DOUBLE) END AS order_total
+FROM (SELECT l_orderkey, l_linenumber, (l_orderkey + l_linenumber) % 7 = 2 AS inf,
+        CASE (l_orderkey + l_linenumber) % 7 WHEN 1 THEN l_quantity WHEN 3 THEN 0.00004 WHEN 4 THEN 1e15 ELSE 0.0 END AS v FROM lineitem)
+""")
+def q_dirty_numbers(spark, sf_dir):
+    """CLN-01 and exact sums on text: '12d', padded numbers, 'inf', 0.00004, 1e15, blanks, nulls."""
+    import os
+    from pyspark.sql import functions as F
+    from stocklens.functions import money_sum, num0
+    li = spark.read.parquet(os.path.join(sf_dir, "lineitem.parquet"))
+    k, qty = (F.col("l_orderkey") + F.col("l_linenumber")) % 7, F.col("l_quantity").cast("string")
+    text = (F.when(k == 0, F.concat(qty, F.lit("d"))).when(k == 1, F.concat(F.lit("  "), qty, F.lit(" "))).when(k == 2, "inf")
+            .when(k == 3, "0.00004").when(k == 4, "1e15").when(k == 5, " "))
+    rows = li.select("l_orderkey", "l_linenumber", num0(text).alias("v"))
+    total = rows.groupBy("l_orderkey").agg(money_sum("v").alias("t"))
+    inf = lambda c: F.col(c) == F.lit(float("inf"))
+    return rows.join(total, "l_orderkey").select(
+        "l_orderkey", "l_linenumber", F.when(inf("v"), 0.0).otherwise(F.col("v")).alias("value"), inf("v").alias("infinite"),
+        F.when(~inf("t"), F.col("t")).alias("order_total"))
+
+
+@register("dirty_keys", """
+SELECT o_orderkey,
+  CASE o_orderkey % 6 WHEN 0 THEN o_orderkey WHEN 1 THEN o_orderkey WHEN 2 THEN 9007199254740993 + o_orderkey
+                      WHEN 3 THEN NULL WHEN 4 THEN o_orderkey * 1000 ELSE NULL END AS key_number,
+  CASE o_orderkey % 6 WHEN 0 THEN CAST(o_orderkey AS VARCHAR) WHEN 1 THEN CAST(o_orderkey AS VARCHAR)
+                      WHEN 2 THEN CAST(9007199254740993 + o_orderkey AS VARCHAR) WHEN 3 THEN o_orderkey || 'd'
+                      WHEN 4 THEN o_orderkey || 'e3' ELSE 'nan' END AS key_name,
+  (SELECT COUNT(*) FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND o.o_orderkey % 6 < 2) AS n_details
+FROM orders o""")
+def q_dirty_keys(spark, sf_dir):
+    """CLN-02 and SRC-02 on text ids: '12.0', padded, 17 digits, '12d', '12e3', null; details meet
+    their invoice by normalised id."""
+    import os
+    from pyspark.sql import functions as F
+    from stocklens.functions import key_int, key_text
+    from stocklens.sources.tables import scope_details
+    o = spark.read.parquet(os.path.join(sf_dir, "orders.parquet")).select("o_orderkey")
+    k, s = F.col("o_orderkey") % 6, F.col("o_orderkey").cast("string")
+    text = (F.when(k == 0, F.concat(s, F.lit(".0"))).when(k == 1, F.concat(F.lit(" "), s))
+            .when(k == 2, (F.col("o_orderkey") + F.lit(9007199254740993)).cast("string"))
+            .when(k == 3, F.concat(s, F.lit("d"))).when(k == 4, F.concat(s, F.lit("e3"))))
+    keyed = o.withColumn("text", text)
+    invoices = keyed.filter(F.col("o_orderkey") % 6 < 2).select(F.col("text").alias("id"), F.lit(1).cast("long").alias("client_id"), F.lit(None).cast("string").alias("created_at"))
+    details = spark.read.parquet(os.path.join(sf_dir, "lineitem.parquet")).select(F.col("l_orderkey").cast("double").cast("string").alias("invoice_id"))
+    n = (scope_details(details, invoices).groupBy(key_int("invoice_id").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n")))
+    return keyed.join(n, "o_orderkey", "left").select(
+        "o_orderkey", key_int("text").alias("key_number"), key_text("text", params.NULL_PRODUCT_KEY).alias("key_name"),
+        F.coalesce("n", F.lit(0)).alias("n_details"))
+
+
+@register("dirty_dates", """
+SELECT o_orderkey, CASE WHEN s BETWEEN 2 AND 106751 AND s <> 60 THEN DATE '1899-12-30' + CAST(s AS INTEGER) END AS from_serial,
+  CASE o_orderkey % 5 WHEN 0 THEN CAST(o_orderdate AS DATE) WHEN 1 THEN CAST(o_orderdate AS DATE) WHEN 2 THEN NULL
+                      WHEN 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS from_text
+FROM (SELECT *, (o_orderkey * 37) % 150000 AS s FROM orders)""")
+def q_dirty_dates(spark, sf_dir):
+    """CLN-03: serials up to and beyond the last timestamp (106751); ISO, yyyyMMdd and month-name
+    text, dates after 2262, numeric text."""
+    import os
+    from pyspark.sql import functions as F, types as T
+    from stocklens.functions import parse_mixed_date
+    o = spark.read.parquet(os.path.join(sf_dir, "orders.parquet"))
+    k, day = F.col("o_orderkey") % 5, F.col("o_orderdate")
+    text = (F.when(k == 0, F.date_format(day, "yyyy-MM-dd")).when(k == 1, F.date_format(day, "yyyyMMdd")).when(k == 2, "2262-04-12")
+            .when(k == 3, "45000").otherwise(F.date_format(day, "MMM d yyyy")))
+    rows = o.select("o_orderkey", ((F.col("o_orderkey") * 37) % 150000).cast("double").alias("serial"), text.alias("text"))
+    return rows.select("o_orderkey", F.to_date(parse_mixed_date("serial", T.DoubleType())).alias("from_serial"),
+                       F.to_date(parse_mixed_date("text", T.StringType())).alias("from_text"))
+
+
+# --- sources and sinks: a round trip through files (SRC-01..04, SNK-01) ------------------
+
+@register("source_round_trip", oracle.q(f"SELECT {PF_COLS} FROM pf WHERE client_id IN (1, 3)"))
+def q_source_round_trip(spark, sf_dir):
+    """The raw tables written as Parquet, read back for two clients (the debts are missing), and
+    the product flow written per client and read again."""
+    import uuid
+    from pyspark.sql import functions as F
+    from stocklens.plans.retail import TPCH_AS_OF
+    from stocklens.session import ensure_checkpoint_dir
+    from stocklens.sources import sinks
+    raw = _r(spark, sf_dir).raw
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/round-trip-{uuid.uuid4().hex[:12]}"
+    for name in ("products", "sale_invoices", "sale_invoices_details"):
+        raw[name].write.parquet(f"{root}/src/{name}")
+    flows = [Retail.from_source(spark, f"{root}/src", TPCH_AS_OF, client_ids=[c]).product_flow for c in (1, 3)]
+    for pf in flows:                              # the second run leaves the first client's files alone
+        sinks.write_analytics({"product_flow": pf}, f"{root}/out")
+    back = spark.read.parquet(f"{root}/out/product_flow")
+    return back.withColumn("client_id", F.col("client_id").cast("long")).select(*flows[0].columns)

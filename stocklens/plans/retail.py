@@ -22,12 +22,11 @@ TPCH_AS_OF = _dt.date(2001, 12, 31)
 
 
 class Retail:
-    def __init__(self, raw: dict[str, DataFrame], as_of, days_mode: str = "floor",
-                 running_mode: str = "auto"):
+    def __init__(self, raw: dict[str, DataFrame], as_of, days_mode: str = "floor", holidays: DataFrame | None = None):
         self.raw = raw
         self.as_of = as_of
         self.days_mode = days_mode
-        self.running_mode = running_mode
+        self.holiday_table = holidays
 
     @classmethod
     def from_tpch(cls, spark: SparkSession, sf_dir: str, as_of=TPCH_AS_OF, **kw) -> Retail:
@@ -64,7 +63,7 @@ class Retail:
 
     @cached_property
     def pareto(self) -> DataFrame:
-        return analytics.pareto(self.product_flow, mode=self.running_total_mode())
+        return analytics.pareto(self.product_flow)
 
     @cached_property
     def revenue_share(self) -> DataFrame:
@@ -98,23 +97,13 @@ class Retail:
     def stock_table(self) -> DataFrame:
         return analytics.stock_table(self.products)
 
-    def running_total_mode(self) -> str:
-        """Two-stage running totals when the largest client's catalogue exceeds the limit.
-        Sized from the products table (one column scan), so product_flow is not computed
-        twice; both modes give identical results."""
-        if self.running_mode != "auto":
-            return self.running_mode
-        if "_mode" not in self.__dict__:
-            from stocklens.operators.windows import largest_group
-            limit = params.RUNNING_TOTAL_ROWS_MAX
-            big = largest_group(self.products.select("client_id"), ["client_id"], limit) > limit
-            self.__dict__["_mode"] = "two_stage" if big else "window"
-        return self.__dict__["_mode"]
-
     # --- features -------------------------------------------------------------------
     @cached_property
     def holidays(self):
-        """Default holiday calendar: the contract's fixed-date rule over its year window."""
+        """The given ``(holiday_date, name)`` table, else the contract's fixed-date rule over
+        its year window."""
+        if self.holiday_table is not None:
+            return self.holiday_table
         return features.HolidayRule(*features.holiday_years(self.as_of))
 
     # The feature tables hold one row per client per day/month (bounded by the calendar).
@@ -122,7 +111,7 @@ class Retail:
     # are not persisted: nothing cached outlives the query that used it.
     @cached_property
     def daily_features(self) -> DataFrame:
-        return features.daily_features(self.details, self.invoices, self.holidays)
+        return features.daily_features(self.details, self.holidays)
 
     @cached_property
     def monthly_features(self) -> DataFrame:
@@ -147,13 +136,11 @@ class Retail:
 
     @cached_property
     def forecast_daily(self) -> DataFrame:
-        fut = features.future_daily(self.daily_features, holidays=self.holidays)
-        return forecast.forecast_daily(self.daily_features, fut)
+        return forecast.forecast_daily(self.daily_features)
 
     @cached_property
     def forecast_monthly(self) -> DataFrame:
-        fut = features.future_monthly(self.monthly_features)
-        return forecast.forecast_monthly(self.monthly_features, fut)
+        return forecast.forecast_monthly(self.monthly_features)
 
     @cached_property
     def fig11_naive(self) -> DataFrame:
@@ -183,16 +170,18 @@ class Retail:
         return status.chart_status(stats)
 
     def stage(self, path: str | None = None) -> Retail:
-        """Write the cleaned line-item, invoice and catalogue tables once (Parquet, in the
-        cluster's shared ``spark.checkpoint.dir`` unless ``path`` is given) and read them
-        back, so every later table scans a compact columnar copy instead of re-running
-        the source joins. Cuts lineage: a lost executor re-reads files, not the sources."""
+        """Write the cleaned tables once (Parquet, in the cluster's shared
+        ``spark.checkpoint.dir`` unless ``path`` is given), then the tables that several
+        outputs read (product flow, features, forecasts), and read them back: every later
+        table scans a compact columnar copy instead of re-running the source joins. Cuts
+        lineage: a lost executor re-reads files, not the sources."""
         import uuid
 
         from stocklens.session import ensure_checkpoint_dir
         spark = self.raw["sale_invoices"].sparkSession
         root = (path or ensure_checkpoint_dir(spark)).rstrip("/") + f"/stocklens-stage-{uuid.uuid4().hex[:12]}"
-        for name in ("details", "invoices", "products"):
+        for name in ("details", "invoices", "products", "deferreds", "product_flow", "daily_sales_actual",
+                     "monthly_avg_invoice", "daily_features", "monthly_features", "forecast_daily", "forecast_monthly"):
             getattr(self, name).write.mode("overwrite").parquet(f"{root}/{name}")
             self.__dict__[name] = spark.read.parquet(f"{root}/{name}")
         self.__dict__["staged_at"] = root

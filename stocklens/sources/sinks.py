@@ -19,11 +19,13 @@ def client_layout(df: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def write_analytics(tables: dict[str, DataFrame], path: str, mode: str = "overwrite") -> list[str]:
-    """SNK-01: each table as Parquet under ``path/<name>``, partitioned by client."""
+    """SNK-01: each table as Parquet under ``path/<name>``, partitioned by client. An
+    overwrite replaces the clients of this run only; those of other runs stay."""
     written = []
     for name, df in tables.items():
         if "client_id" in df.columns:
-            client_layout(df).write.mode(mode).partitionBy("client_id").parquet(f"{path.rstrip('/')}/{name}")
+            (client_layout(df).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+             .partitionBy("client_id").parquet(f"{path.rstrip('/')}/{name}"))
         else:
             df.write.mode(mode).parquet(f"{path.rstrip('/')}/{name}")
         written.append(name)
@@ -33,7 +35,8 @@ def write_analytics(tables: dict[str, DataFrame], path: str, mode: str = "overwr
 def write_chart_docs(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
     """SNK-02: documents as JSON lines partitioned by client and language. Null metadata
     fields are omitted (Spark's JSON writer drops null fields)."""
-    client_layout(docs).write.mode(mode).partitionBy("client_id", "lang").json(path)
+    (client_layout(docs).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .partitionBy("client_id", "lang").json(path))
 
 
 def read_chart_docs(spark: SparkSession, path: str) -> DataFrame:
@@ -45,11 +48,10 @@ def read_chart_docs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chart_doc(docs: DataFrame, client_id, figure: str, lang: str | None,
-                   merge: bool = True) -> DataFrame:
-    """SNK-03: one document in the requested language, else in ``en``; pages joined in
-    order. Works on one client's pages only (partition-pruned when read from disk).
-    ``merge=False`` returns the pages as ordered rows instead of one string, for
-    documents too large to hold in one value."""
+                   merge: bool = False) -> DataFrame:
+    """SNK-03: one document in the requested language, else in ``en``, as its pages in
+    order (partition-pruned when read from disk). ``merge=True`` joins the pages into one
+    string, for documents known to be small."""
     want = (lang or params.DEFAULT_LANGUAGE).lower()
     d = docs.filter((F.col("client_id") == F.lit(client_id)) & (F.col("figure") == figure) &
                     F.col("lang").isin(want, params.DEFAULT_LANGUAGE))

@@ -9,10 +9,12 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from stocklens import params
+from stocklens.functions import key_int
 
 # Raw schema used when an optional table is missing (SRC-04).
 RAW_SCHEMAS = {
@@ -66,13 +68,14 @@ def _reader(spark: SparkSession, src: str, table: str, fmt: str, options: dict |
 
 def read_optional(spark: SparkSession, src: str, table: str, fmt: str = "parquet",
                   options: dict | None = None, pattern: str = "{table}") -> DataFrame:
-    """SRC-04: a missing or unreadable optional table becomes an empty table."""
+    """SRC-04: a missing optional table becomes an empty table; any other failure (access,
+    network, a table without its columns) is raised."""
     try:
-        df = _reader(spark, src, table, fmt, options, pattern)
-        check_columns(df, table)
-        return df
-    except Exception:  # noqa: BLE001 - the contract: any failure means "absent"
-        return empty_like(spark, table)
+        return check_columns(_reader(spark, src, table, fmt, options, pattern), table)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"):
+            return empty_like(spark, table)
+        raise
 
 
 def read_tables(spark: SparkSession, src: str, client_ids: Iterable[int] | None = None,
@@ -100,12 +103,13 @@ def scope_details(details: DataFrame, invoices: DataFrame) -> DataFrame:
     Adds ``client_id`` and the invoice's raw date (``invoice_created_at``), which
     detail cleaning uses as the fallback date, so one join serves both."""
     inv = invoices.select(
-        F.col("id").alias("_inv_id"),
+        key_int("id", invoices.schema["id"].dataType).alias("_inv_id"),
         F.col("client_id"),
         F.col("created_at").alias("invoice_created_at"),
     )
     d = details.drop("client_id") if "client_id" in details.columns else details
-    return d.join(inv, d["invoice_id"] == inv["_inv_id"], "inner").drop("_inv_id")
+    own = key_int(d["invoice_id"], d.schema["invoice_id"].dataType)     # '1.0' meets '1'
+    return d.withColumn("_own_id", own).join(inv, F.col("_own_id") == F.col("_inv_id")).drop("_inv_id", "_own_id")
 
 
 def list_clients(invoices: DataFrame) -> DataFrame:
@@ -121,46 +125,20 @@ def list_clients(invoices: DataFrame) -> DataFrame:
 _DIM_ROWS_MAX = 10_000  # region/nation are fixed dimensions; refuse anything larger
 
 
-_DIM_KEYS: dict[tuple, list] = {}
-_READERS: dict[tuple, DataFrame] = {}
-
-
-def _read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """One reader per (session, path): schema discovery runs once, not per job object."""
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _READERS:
-        _READERS[key] = spark.read.parquet(path)
-    return _READERS[key]
-
-
 def _dimension_keys(df: DataFrame, col: str, name: str) -> list:
     """Keys of a small fixed dimension (region: 5 rows). The size is checked before the
     keys are taken (at most ``_DIM_ROWS_MAX``), so this never grows with the data."""
-    key = (df.sparkSession.sparkContext.applicationId, name, tuple(df.inputFiles()))
-    if key not in _DIM_KEYS:
-        keys = [r[0] for r in df.select(col).distinct().limit(_DIM_ROWS_MAX + 1).collect()]
-        if len(keys) > _DIM_ROWS_MAX:
-            raise ValueError(f"{name} has more than {_DIM_ROWS_MAX} keys; it is not a small dimension")
-        _DIM_KEYS[key] = sorted(keys)
-    return _DIM_KEYS[key]
-
-
-_ADAPTED: dict[tuple, dict[str, DataFrame]] = {}
+    keys = [r[0] for r in df.select(col).distinct().limit(_DIM_ROWS_MAX + 1).collect()]
+    if len(keys) > _DIM_ROWS_MAX:
+        raise ValueError(f"{name} has more than {_DIM_ROWS_MAX} keys; it is not a small dimension")
+    return sorted(keys)
 
 
 def tpch_retail_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Raw retail tables over the driver's tables: client = region of the customer's
     nation, invoices = orders, details = lineitem, products = part per region,
-    deferreds = lineitem by supplier. Lazy; nothing is read until an action. Built
-    once per (session, folder): DataFrames are immutable, so jobs share them."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _ADAPTED:
-        _ADAPTED[key] = _build_tpch_retail_tables(spark, sf_dir)
-    return dict(_ADAPTED[key])
-
-
-def _build_tpch_retail_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    rd = lambda t: _read_parquet(spark, os.path.join(sf_dir, f"{t}.parquet"))
+    deferreds = lineitem by supplier. Only the region keys are read when this is built."""
+    rd = lambda t: spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet"))
     region = rd("region").select("r_regionkey")
     nation = rd("nation").select("n_nationkey", "n_regionkey")
     customer = rd("customer").select("c_custkey", "c_nationkey")

@@ -24,7 +24,7 @@ def test_metadata_threshold_and_fallback():
 
 
 def test_golden_docs_roundtrip(spark, golden):
-    docs = D.chart_docs(golden, mode="window").cache()
+    docs = D.chart_docs(golden).cache()
     en1 = docs.filter("figure = 'fig1' AND lang = 'en'").first()
     data = json.loads(en1["data"])
     assert data[0] == {"Product": "juice B", "Current Stock": 9.99, "Sales": 30.0}
@@ -59,14 +59,14 @@ def test_paged_document_reassembles(spark):
     pages = spark.createDataFrame(
         [(1, "fig7", "en", 0, '[{"a":1},{"a":2}]'), (1, "fig7", "en", 1, '[{"a":3}]')],
         "client_id long, figure string, lang string, page int, data string").withColumn("metadata", F.lit(None))
-    doc = sinks.read_chart_doc(pages, 1, "fig7", "en").first()
+    doc = sinks.read_chart_doc(pages, 1, "fig7", "en", merge=True).first()
     assert json.loads(doc["data"]) == [{"a": 1}, {"a": 2}, {"a": 3}]
 
 
 def test_golden_records_by_figure(golden):
     """Records of client 185 with the saved documents' keys and values (FIXTURES F2;
     product names are English stand-ins)."""
-    docs = D.chart_docs(golden, langs=["en"], mode="window").cache()
+    docs = D.chart_docs(golden, langs=["en"]).cache()
     data = {r["figure"]: json.loads(r["data"]) for r in docs.collect()}
     assert data["fig3"][0] == {"Product": "apple", "Revenue": 1770.0, "COGS": 1050.0, "Margin": 720.0}
     assert [(r["Efficiency Category"], round(r["Total Stock"], 2), r["Total Sales"]) for r in data["fig5"]] == [

@@ -1,46 +1,46 @@
-"""The per-series model used inside the grouped forecast (no Spark needed)."""
+"""The trend-and-season forecast against numpy on generated series."""
+
+import datetime as dt
 
 import numpy as np
 
 from stocklens.operators import forecast as fc
 
 
-def test_integrate_inverts_differencing():
-    y = np.array([1.0, 3.0, 6.0, 10.0, 15.0, 21.0, 28.0, 36.0])
-    z = fc._difference(y, 1, 1, 2)
-    zf = np.array([1.0, 1.0])
-    out = fc._integrate(y, zf, 1, 1, 2)
-    # rebuild the extended series and check its double difference ends with zf
-    ext = np.concatenate([y, out])
-    assert np.allclose(fc._difference(ext, 1, 1, 2)[-2:], zf)
-    assert len(z) == len(y) - 3
-
-
-def test_psi_random_walk_and_white_noise():
-    rw = fc._psi({"ar": {}, "ma": {}}, 1, 0, 7, 5)
-    assert np.allclose(rw, np.ones(5))                       # variance grows linearly
-    wn = fc._psi({"ar": {}, "ma": {}}, 0, 0, 7, 5)
-    assert np.allclose(wn, [1, 0, 0, 0, 0])
-    ar1 = fc._psi({"ar": {1: 0.5}, "ma": {}}, 0, 0, 7, 4)
-    assert np.allclose(ar1, [1, 0.5, 0.25, 0.125])
-
-
-def test_deterministic_monthly_series_is_recovered():
-    i = np.arange(48)
-    y = 100 + 2 * i + 10 * np.sin(np.pi * i / 6)
-    yf, se = fc._forecast_one(y[:42], None, None, 12, 6, fc.MONTHLY_GRID)
-    assert np.allclose(yf, y[42:], atol=1e-6)
-
-
-def test_noisy_series_has_growing_bounds():
+def test_trend_and_season_equal_least_squares(spark):
     rng = np.random.default_rng(7)
-    y = np.cumsum(rng.normal(0, 1, 400)) + 50
-    yf, se = fc._forecast_one(y, None, None, 7, 14, fc.DAILY_GRID)
-    assert np.all(np.diff(se) >= -1e-9) and se[-1] > se[0] > 0
-    assert abs(yf[0] - y[-1]) < 5 * se[0]
-
-
-def test_naive_rows():
-    y = np.array([1.0, 2, 3, 4, 5, 6, 7] * 3)
-    yf, se = fc._naive_rows(y, 7, 10)
-    assert list(yf) == [1, 2, 3, 4, 5, 6, 7, 1, 2, 3] and np.allclose(se, 0)
+    rows, want = [], {}
+    for client in (1, 2):
+        n, m = 60 + client, 7
+        y = np.round(50 + client * np.arange(n) + 10 * np.sin(np.arange(n) * 2 * np.pi / m) + rng.normal(0, 3, n), 2)
+        t = np.arange(n)
+        b, a = np.polyfit(t, y, 1)
+        r = y - a - b * t
+        s = np.array([r[t % m == k].mean() for k in range(m)])
+        sigma = np.sqrt(((r - s[t % m]) ** 2).sum() / (n - m - 1))
+        ahead = n - 1 + np.arange(1, 15)
+        f = a + b * ahead + s[ahead % m]
+        want[client] = (f, f - fc.Z95 * sigma * np.sqrt(1 + 1 / n))
+        rows += [(client, dt.date(2024, 1, 1) + dt.timedelta(days=int(i)), float(v)) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "client_id long, sale_date date, daily_sales double")
+    got = fc.trend_seasonal(df, "sale_date", "daily_sales", 7, 14, 14).orderBy("client_id", "date").collect()
+    for client, (f, lower) in want.items():
+        mine = [r for r in got if r["client_id"] == client]
+        assert np.allclose([r["forecast"] for r in mine], np.maximum(f, 0), rtol=1e-6)
+        assert np.allclose([r["lower_ci"] for r in mine], np.maximum(lower, 0), rtol=1e-4)
+
+
+def test_pure_season_is_recovered(spark):
+    rows = [(1, dt.date(2024, 1, 1) + dt.timedelta(days=i), float(i % 7 + 1)) for i in range(70)]
+    df = spark.createDataFrame(rows, "client_id long, sale_date date, daily_sales double")
+    got = fc.trend_seasonal(df, "sale_date", "daily_sales", 7, 7, 14).orderBy("date").collect()
+    # the line is fitted before the season, so it keeps a little of the season's tilt
+    assert np.allclose([r["forecast"] for r in got], [1, 2, 3, 4, 5, 6, 7], atol=0.5)
+    assert all(r["lower_ci"] <= r["forecast"] <= r["upper_ci"] and r["upper_ci"] - r["lower_ci"] < 2 for r in got)
+
+
+def test_values_beyond_the_decimal_give_no_rows(spark):
+    rows = [(1, dt.date(2024, 1, 1) + dt.timedelta(days=i), 1e15 if i == 5 else 1.0) for i in range(70)]
+    rows += [(2, d, 1.0) for _, d, _ in rows]
+    df = spark.createDataFrame(rows, "client_id long, sale_date date, daily_sales double")
+    assert {r["client_id"] for r in fc.trend_seasonal(df, "sale_date", "daily_sales", 7, 7, 14).collect()} == {2}

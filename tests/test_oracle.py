@@ -7,9 +7,10 @@ import pytest
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
-import __spark_entry__ as E  # noqa: E402
 from compare import arrow_types, compare, duck  # noqa: E402
 
+from stocklens.plans.queries import ORACLE, QUERIES  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -18,13 +19,13 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    sdf = E.queries()[name](spark, SF).toPandas()
-    sql = E.oracle_sql().get(name)
+    sdf = QUERIES[name](spark, SF).toPandas()
+    sql = ORACLE.get(name)
     if sql is None:
         assert len(sdf.columns) > 0
         return
     res = compare(sdf, con.execute(sql).df())
     assert res == "OK", res
-    assert arrow_types(E.queries()[name](spark, SF), con, sql) == {}
+    assert arrow_types(QUERIES[name](spark, SF), con, sql) == {}

@@ -28,7 +28,7 @@ def _brute_pareto(pdf: pd.DataFrame) -> set:
 
 @SLOW
 @given(st.lists(st.integers(min_value=0, max_value=40), min_size=30, max_size=200), st.integers(0, 2**16))
-def test_two_stage_pareto_matches_brute_force(spark, qty, seed):
+def test_pareto_matches_brute_force(spark, qty, seed):
     rng = np.random.default_rng(seed)
     # one hot client holds about 80 % of the products
     clients = np.where(rng.random(len(qty)) < 0.8, 1, rng.integers(2, 5, len(qty)))
@@ -36,10 +36,8 @@ def test_two_stage_pareto_matches_brute_force(spark, qty, seed):
                         "product_id": [f"p{i:04d}" for i in range(len(qty))],
                         "name": "x", "sales_quantity": np.array(qty, dtype=float), "current_stock": 1.0})
     df = spark.createDataFrame(pdf)
-    for mode in ("two_stage", "window"):
-        got = {(r["client_id"], r["product_id"], round(r["cumulative_percentage"], 9))
-               for r in pareto(df, mode=mode).collect()}
-        assert got == _brute_pareto(pdf), mode
+    got = {(r["client_id"], r["product_id"], round(r["cumulative_percentage"], 9)) for r in pareto(df).collect()}
+    assert got == _brute_pareto(pdf)
 
 
 @settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

@@ -37,8 +37,7 @@ def test_monthly_gate_and_forecast(spark):
     feats = features.monthly_features(ts)
     counts = {r["client_id"]: r["count"] for r in feats.groupBy("client_id").count().collect()}
     assert counts == {1: 24, 2: 23}
-    fut = features.future_monthly(feats)
-    fc = forecast.forecast_monthly(feats, fut).collect()
+    fc = forecast.forecast_monthly(feats).collect()
     assert {r["client_id"] for r in fc} == {1}            # 35 months: no forecast (D8)
     assert [r["date"] for r in sorted(fc, key=lambda r: r["date"])][:2] == ["2023-01", "2023-02"]
     for r in fc:
@@ -54,9 +53,9 @@ def _daily_features(spark, n, value):
 
 def test_daily_gate_constant_series(spark):
     short = _daily_features(spark, 359, lambda i: 5.0)
-    assert forecast.forecast_daily(short, features.future_daily(short, lags=[1, 7])).count() == 0
+    assert forecast.forecast_daily(short).count() == 0
     const = _daily_features(spark, 400, lambda i: 5.0)
-    fc = forecast.forecast_daily(const, features.future_daily(const, lags=[1, 7])).collect()
+    fc = forecast.forecast_daily(const).collect()
     assert len(fc) == 14
     assert all(abs(r["forecast"] - 5.0) < 1e-6 for r in fc)
 

@@ -22,7 +22,7 @@ def main() -> None:
     from stocklens.session import build_session
     spark = build_session("local[8]")
     r = Retail.from_tpch(spark, sf_dir)
-    r2 = Retail.from_tpch(spark, sf_dir, running_mode="two_stage")
+    r2 = Retail.from_tpch(spark, sf_dir)
     cases = [
         ("product_flow", r.product_flow,
          "aggregate (partial, then final) on (client, product) before the catalogue join; "
