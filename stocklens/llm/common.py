@@ -54,6 +54,20 @@ def draw(salt: str, *cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols, F.lit(salt)), 11).cast("double") / F.lit(float(1 << 53))
 
 
+def publish(spark: SparkSession, name: str, parts) -> str:
+    """Write ``parts`` (bytes, one after the other) as one file into the shared folder and send
+    it to every executor; its name for ``SparkFiles.get``. The driver holds one part at a time."""
+    name = f"{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    for part in parts:
+        for i in range(0, len(part), 1 << 22):
+            out.write(bytearray(part[i:i + (1 << 22)]))
+    out.close()
+    spark.sparkContext.addFile(path.toString())
+    return name
+
+
 def words_of(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as UTF-8 bytes. ``bytes.lower``
     and ``bytes.split`` are exactly these ASCII rules."""

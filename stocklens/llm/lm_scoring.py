@@ -9,8 +9,8 @@ the levels into Witten-Bell smoothed probabilities
 
 with T(h) the number of distinct followers of h. Counting and filling run on Spark: tasks
 reduce their tokens to sorted blocks of (key, count), blocks meet by the key's high bits,
-and each bucket fills its own slice of the filter. Only the filter is collected and
-broadcast. Its size follows the number of events up to ``MAX_BITS``; beyond that bound the
+and each bucket fills its own slice of the filter. Only the filter is sent to the workers,
+as a file that they map into memory; the driver passes it on slice by slice. Its size follows the number of events up to ``MAX_BITS``; beyond that bound the
 same events share fewer bits each, so nothing is left out and only the rate of false
 positives rises (it is reported by ``Filter.fill``).
 
@@ -32,21 +32,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import cloudpickle
+from pyspark import SparkFiles, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from stocklens.llm.common import WordIds, map_batches, mix, staged, text_of, words_of
+from stocklens.llm.common import WordIds, map_batches, mix, publish, staged, text_of, words_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LOG_BASE = 1.25            # quantisation
 BITS_PER_EVENT = 12
 MAX_BITS = 1 << 30         # bound of each of the three filters: 128 MB
-MAX_HASHES = 8
+MAX_HASHES = 4             # probes of one level; 12 bits an event leave 0.7 % false positives
 HEAD = 1 << 19             # words whose exact counts are broadcast
-FLUSH = 1 << 21            # keys that a counting task holds before it emits a block
+FLUSH = 1 << 20            # keys that a counting task holds before it emits a block
 TOKENS_PER_BUCKET = 1 << 20
-SCORE_TOKENS = 1 << 18     # tokens scored at once
+SCORE_TOKENS = 1 << 17     # tokens scored at once
 START, END = 0x5354415254, 0x454E44          # ids of the text's edges (fixed values)
 WORD, PAIR, FOLLOW = 0, 1, 2
 _LOW = np.uint64(0xFFFFFFFF)
@@ -185,16 +185,29 @@ def follower_blocks(pairs: DataFrame, bits: int) -> DataFrame:
 
 
 class Filter:
-    """One log-frequency Bloom filter: ``2 ** bits`` slices of ``width`` bits each."""
+    """One log-frequency Bloom filter: ``2 ** bits`` slices of ``width`` bits each. The slices
+    lie in a file that every executor has, in any order; ``place`` says where each bucket's is
+    (an empty slice for buckets without keys). Workers of one machine share its pages."""
 
-    def __init__(self, bits: int, width: int, hashes: int, array: np.ndarray | None = None):
-        self.bits, self.width, self.hashes, self.array = bits, width, hashes, array
+    def __init__(self, bits: int, width: int, hashes: int, file: str = "", place: np.ndarray | None = None):
+        self.bits, self.width, self.hashes, self.file = bits, width, hashes, file
+        self.place = np.zeros(1 << bits, dtype=np.uint64) if place is None else place
+        self.array: np.ndarray | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"array": None}
+
+    def load(self) -> Filter:
+        if self.array is None and self.file:
+            self.array = np.memmap(SparkFiles.get(self.file), dtype=np.uint8, mode="r")
+        return self
 
     def _probe(self, keys: np.ndarray, level: int):
         """Bit positions, one hash function after the other."""
         h = mix(keys, 16 + level)
         step = (h >> np.uint64(32)) | np.uint64(1)
-        base = (keys >> np.uint64(64 - self.bits)) * np.uint64(self.width) if self.bits else np.zeros(1, dtype=np.uint64)
+        bucket = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), dtype=np.int64)
+        base = self.place[bucket] * np.uint64(self.width)
         with np.errstate(over="ignore"):
             for i in range(self.hashes):
                 yield base + (h + np.uint64(i) * step) % np.uint64(self.width)
@@ -202,21 +215,21 @@ class Filter:
     def slice_of(self, keys: np.ndarray, levels: np.ndarray) -> bytes:
         """The slice that holds the keys of one bucket, each up to its level."""
         out = np.zeros(self.width, dtype=bool)
-        first = (keys[0] >> np.uint64(64 - self.bits)) * np.uint64(self.width) if self.bits and len(keys) else np.uint64(0)
         for level in range(1, int(levels.max(initial=0)) + 1):
-            for pos in self._probe(keys[levels >= level], level):
-                out[(pos - first).astype(np.int64)] = True
+            for pos in self._probe(keys[levels >= level], level):      # no places yet: within the slice
+                out[pos.astype(np.int64)] = True
         return np.packbits(out, bitorder="little").tobytes()
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Representative counts (0: not in the filter), by repeated membership probes."""
         levels, alive, level = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys)), 1
         if self.width:
+            self.load()
             while len(alive):
                 here, left = keys[alive], alive
                 ok = np.arange(len(here))
                 for pos in self._probe(here, level):
-                    p = (pos if len(pos) == len(here) else np.broadcast_to(pos, here.shape))[ok]
+                    p = pos[ok]
                     ok = ok[(self.array[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1]
                     if not len(ok):
                         break
@@ -226,7 +239,7 @@ class Filter:
         return _REPRESENTATIVE[np.minimum(levels, len(_REPRESENTATIVE) - 1)]
 
     def fill(self) -> float:
-        return float(np.unpackbits(self.array).mean()) if len(self.array) else 0.0
+        return float(np.unpackbits(self.load().array).mean()) if self.width else 0.0
 
 
 def _representatives() -> np.ndarray:
@@ -242,7 +255,7 @@ def build_filter(rows: DataFrame, bits: int, events: int, bits_per_event: int =
     """Fill the slices on the executors and lay them side by side."""
     width = -(-min(events * bits_per_event, max_bits) // (1 << bits) // 64) * 64 if events else 0
     if not width:
-        return Filter(bits, 0, 1, np.zeros(0, dtype=np.uint8))
+        return Filter(bits, 0, 1)
     hashes = max(1, min(MAX_HASHES, round(math.log(2) * (width << bits) / events)))
     made = Filter(bits, width, hashes)
 
@@ -253,11 +266,16 @@ def build_filter(rows: DataFrame, bits: int, events: int, bits_per_event: int =
                 made.slice_of(keys, np.searchsorted(t, counts, side="right"))
                 for keys, counts in (unpack(k, c) for k, c in zip(pdf["keys"], pdf["counts"]))]})
 
-    array = np.zeros((1 << bits, width // 8), dtype=np.uint8)
-    for r in rows.select("bucket", "keys", "counts").mapInPandas(slices, "bucket int, bits binary").toLocalIterator():
-        array[r["bucket"]] = np.frombuffer(r["bits"], dtype=np.uint8)
-    made.array = array.reshape(-1)
-    return made
+    filled = staged(rows.select("bucket", "keys", "counts").mapInPandas(slices, "bucket int, bits binary"), "slices")
+    place = np.zeros(1 << bits, dtype=np.uint64)
+
+    def parts():
+        yield bytes(width // 8)
+        for k, r in enumerate(filled.toLocalIterator(), 1):
+            place[r["bucket"]] = k
+            yield r["bits"]
+
+    return Filter(bits, width, hashes, publish(rows.sparkSession, "lm-filter", parts()), place)
 
 
 class Model:
@@ -265,21 +283,21 @@ class Model:
         self.words, self.pairs, self.follow = words, pairs, follow
         self.n_tokens, self.n_words, self.n_texts = n_tokens, n_words, n_texts
 
-    def log10(self, ids: np.ndarray) -> np.ndarray:
-        """log10 P of each token; texts follow one another, each closed by END."""
-        start = np.uint64(START)
-        names, at = np.unique(np.concatenate([[start], ids]), return_inverse=True)
+    def log10(self, names: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log10 P of the tokens ``names[at]``; texts follow one another, each closed by END.
+        ``names`` are distinct and sorted, START among them."""
+        start, end = np.searchsorted(names, np.array([START, END], dtype=np.uint64))
         count = self.words.counts(names)
         unigram = (count + 1) / (self.n_tokens + self.n_words + 1)
-        count[names == start] = self.n_texts
+        count[start] = self.n_texts
         kinds = self.follow.counts(history_keys(names))
-        prev = np.concatenate([at[:1], at[1:-1]])
-        prev[1:][ids[:-1] == np.uint64(END)] = at[0]
+        prev = np.concatenate([[start], at[:-1]])
+        prev[1:][at[:-1] == end] = start
         c_h, t_h = count[prev], kinds[prev]
-        pair = np.minimum(self.pairs.counts(pair_keys(names[prev], ids)), c_h)
-        p = unigram[at[1:]]
-        known = c_h + t_h > 0
-        smooth = np.divide(pair + t_h * p, c_h + t_h, out=p.copy(), where=known & ((pair > 0) | (t_h > 0)))
+        pair = np.minimum(self.pairs.counts(pair_keys(names[prev], names[at])), c_h)
+        p = unigram[at]
+        known = (c_h + t_h > 0) & ((pair > 0) | (t_h > 0))
+        smooth = np.divide(pair + t_h * p, c_h + t_h, out=p.copy(), where=known)
         return np.log10(np.minimum(smooth, 1.0))
 
 
@@ -367,56 +385,46 @@ def score(df: DataFrame, trained: Trained, text: str = "text", keep: tuple[str,
     n, v = model.n_tokens, model.n_words
     types = dict(df.dtypes)
 
-    def rare():
-        words, top = WordIds(), head.value
-
-        def step(cols):
-            texts = cols["text"]
-            out = [[], [], []]
-            at = 0
-            for ids, sizes in _chunks(texts, words):
-                where = np.repeat(np.arange(at, at + len(sizes)), sizes)[_lookup(top, ids) < 0]
-                tail = ids[_lookup(top, ids) < 0]
-                order = np.lexsort((tail, where))
-                where, tail = where[order], tail[order]
-                if len(tail):
-                    first = np.flatnonzero(np.concatenate([[True], (where[1:] != where[:-1]) | (tail[1:] != tail[:-1])]))
-                    keys = {i: text_key(texts[i]) for i in np.unique(where).tolist()}
-                    out[0] += [keys[i] for i in where[first].tolist()]
-                    out[1] += tail[first].view(np.int64).tolist()
-                    out[2] += np.diff(np.append(first, len(tail))).tolist()
-                at += len(sizes)
-            return {"key": out[0], "id": out[1], "n": out[2]}
-        return step
-
     rows = df.select(*keep, text_of(text).alias("text"))
-    tail = (map_batches(rows.select("text"), rare, "key long, id long, n long").groupBy("key", "id").agg(F.sum("n").alias("n"))
-            .join(counts, "id", "left"))
-    exact = F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)) - F.log10(F.lit(float(n + v + 1)))
-    tails = staged(tail.groupBy("key").agg(
-        F.sum("n").alias("rare"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
-        F.sum(F.col("n") * exact).alias("rare_base")), "rare")
 
     def whole():
         words, top, lm = WordIds(), head.value, sent.value
+        edges = np.array([START, END], dtype=np.uint64)
 
         def step(cols):
             texts = cols.pop("text")
-            out = {"key": [text_key(t) for t in texts], "n_tokens": [], "common": [], "common_base": [], "score": []}
+            out = {c: [] for c in ("n_tokens", "common", "common_base", "score", "rare_ids", "rare_ns")}
             for ids, sizes in _chunks(texts, words):
                 starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                c = _lookup(top, ids)
-                base = np.where(c >= 0, np.log10(np.maximum(c, 0) + 1.0) - math.log10(n + v + 1), 0.0)
+                names, at = np.unique(np.concatenate([edges, ids]), return_inverse=True)
+                at = at[2:]
+                exact = _lookup(top, names)
+                base = np.where(exact >= 0, np.log10(np.maximum(exact, 0) + 1.0) - math.log10(n + v + 1), 0.0)
+                rare = exact[at] < 0
                 out["n_tokens"] += sizes.tolist()
-                out["common"] += np.add.reduceat((c >= 0).astype(np.int64), starts).tolist()
-                out["common_base"] += np.add.reduceat(base, starts).tolist()
-                out["score"] += np.add.reduceat(lm.log10(ids), starts).tolist()
-            return cols | out
+                out["common"] += np.add.reduceat((~rare).astype(np.int64), starts).tolist()
+                out["common_base"] += np.add.reduceat(base[at], starts).tolist()
+                out["score"] += np.add.reduceat(lm.log10(names, at), starts).tolist()
+                where = np.repeat(np.arange(len(sizes)), sizes)[rare]
+                code, times = np.unique(where * np.int64(len(names)) + at[rare], return_counts=True)
+                cuts = np.searchsorted(code, np.arange(1, len(sizes)) * len(names))
+                out["rare_ids"] += np.split(names[code % len(names)].view(np.int64), cuts)
+                out["rare_ns"] += np.split(times, cuts)
+            return cols | {"key": [text_key(t) for t in texts]} | out
         return step
 
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep),
-                        "key long, n_tokens long, common long, common_base double, score double"])
-    out = map_batches(rows, whole, schema).join(tails, "key", "left")
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), "key long, n_tokens long, common long, common_base double, "
+                        "score double, rare_ids array<long>, rare_ns array<long>"])
+    scored = staged(map_batches(rows, whole, schema), "scored")
+    # the rare words of each text meet their exact counts; equal texts are summed
+    pairs = F.explode(F.arrays_zip("rare_ids", "rare_ns")).alias("p")
+    tail = (scored.select("key", pairs).select("key", F.col("p.rare_ids").alias("id"), F.col("p.rare_ns").alias("n"))
+            .groupBy("key", "id").agg(F.sum("n").alias("n")).join(counts, "id", "left"))
+    exact = F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)) - F.log10(F.lit(float(n + v + 1)))
+    tails = staged(tail.groupBy("key").agg(
+        F.sum("n").alias("rare"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
+        F.sum(F.col("n") * exact).alias("rare_base")), "rare")
+    out = scored.drop("rare_ids", "rare_ns").join(tails, "key", "left")
     # rows of equal text were summed in ``rare``: each has its n_tokens - common of it
     part = F.when(F.col("rare") > 0, (F.col("n_tokens") - F.col("common")) / F.col("rare")).otherwise(F.lit(0.0))
     return out.select(

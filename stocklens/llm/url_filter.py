@@ -18,10 +18,9 @@ from collections.abc import Iterable
 import numpy as np
 import xxhash
 from pyspark import SparkFiles, cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from stocklens.llm.common import map_batches
-from stocklens.session import ensure_checkpoint_dir
+from stocklens.llm.common import map_batches, publish
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -102,19 +101,6 @@ class DigestArray:
         return out
 
 
-def publish(spark: SparkSession, data: bytes) -> str:
-    """Write the file into the shared folder and hand it to the executors; its name."""
-    name = f"url-digests-{xxhash.xxh3_128_hexdigest(data)}"
-    folder = ensure_checkpoint_dir(spark).rstrip("/")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
-    for i in range(0, len(data), 1 << 24):
-        out.write(bytearray(data[i:i + (1 << 24)]))
-    out.close()
-    spark.sparkContext.addFile(path.toString())
-    return name
-
-
 def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]] = RULES,
                 listed: Iterable[str] = LISTED_HOSTS, url: str = "url",
                 keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -125,7 +111,7 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]] = RULES,
     code = {"allow": ALLOW, "block": BLOCK}
     data = build_array([*((h + p, code[v]) for v, h, p in rules), *((f"{h}", LISTED) for h in listed)])
     lengths = sorted({len(p) for _, _, p in rules} | {0}, reverse=True)
-    name = publish(spark, data)
+    name = publish(spark, "url-digests", [data])
     types = dict(df.dtypes)
 
     def judge():
