@@ -35,16 +35,17 @@ import xxhash
 from pyspark import SparkFiles, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from stocklens.llm.common import WordIds, map_batches, mix, publish, staged, text_of, words_of
+from stocklens.llm.common import MASK64, WordIds, map_batches, mix, publish, staged, text_of, words_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LOG_BASE = 1.25            # quantisation
-BITS_PER_EVENT = 12
+BITS_PER_EVENT = 10
 MAX_BITS = 1 << 30         # bound of each of the three filters: 128 MB
-MAX_HASHES = 4             # probes of one level; 12 bits an event leave 0.7 % false positives
+MAX_HASHES = 3             # probes of one level; 10 bits an event leave 2 to 3 % false positives
+LINE = 512                 # bits of a block: a cache line
 HEAD = 1 << 19             # words whose exact counts are broadcast
-FLUSH = 1 << 20            # keys that a counting task holds before it emits a block
+FLUSH = 3 << 19            # keys that a counting task holds before it emits a block
 TOKENS_PER_BUCKET = 1 << 20
 SCORE_TOKENS = 1 << 17     # tokens scored at once
 START, END = 0x5354415254, 0x454E44          # ids of the text's edges (fixed values)
@@ -202,38 +203,37 @@ class Filter:
             self.array = np.memmap(SparkFiles.get(self.file), dtype=np.uint8, mode="r")
         return self
 
-    def _probe(self, keys: np.ndarray, level: int):
-        """Bit positions, one hash function after the other."""
-        h = mix(keys, 16 + level)
-        step = (h >> np.uint64(32)) | np.uint64(1)
-        bucket = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), dtype=np.int64)
-        base = self.place[bucket] * np.uint64(self.width)
+    def _place(self, keys: np.ndarray, level: int, i: int) -> np.ndarray:
+        """Bit of hash function i in a slice. The bits of four levels of a key lie in one block
+        of LINE bits, so that probing them costs one access to memory; block and bit are
+        multiply-shifts of the (hashed) keys."""
         with np.errstate(over="ignore"):
-            for i in range(self.hashes):
-                yield base + (h + np.uint64(i) * step) % np.uint64(self.width)
+            line = keys * np.uint64(_odd(-1 - level // 4)) >> np.uint64(32)
+            line = line * np.uint64(self.width // LINE) >> np.uint64(32)
+            bit = keys * np.uint64(_odd(level * MAX_HASHES + i)) >> np.uint64(55)
+        return line * np.uint64(LINE) + bit
 
     def slice_of(self, keys: np.ndarray, levels: np.ndarray) -> bytes:
         """The slice that holds the keys of one bucket, each up to its level."""
         out = np.zeros(self.width, dtype=bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
-            for pos in self._probe(keys[levels >= level], level):      # no places yet: within the slice
-                out[pos.astype(np.int64)] = True
+            for i in range(self.hashes):
+                out[self._place(keys[levels >= level], level, i).astype(np.int64)] = True
         return np.packbits(out, bitorder="little").tobytes()
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Representative counts (0: not in the filter), by repeated membership probes."""
-        levels, alive, level = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys)), 1
-        if self.width:
-            self.load()
+        levels = np.zeros(len(keys), dtype=np.int64)
+        if self.width and len(keys):
+            array = self.load().array
+            bucket = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), dtype=np.int64)
+            alive, level = np.arange(len(keys)), 1
+            here, base = keys, self.place[bucket] * np.uint64(self.width)
             while len(alive):
-                here, left = keys[alive], alive
-                ok = np.arange(len(here))
-                for pos in self._probe(here, level):
-                    p = pos[ok]
-                    ok = ok[(self.array[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                    if not len(ok):
-                        break
-                alive = left[ok]
+                for i in range(self.hashes):
+                    p = base + self._place(here, level, i)
+                    ok = (array[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    alive, here, base = alive[ok], here[ok], base[ok]
                 levels[alive] = level
                 level += 1
         return _REPRESENTATIVE[np.minimum(levels, len(_REPRESENTATIVE) - 1)]
@@ -242,6 +242,13 @@ class Filter:
         return float(np.unpackbits(self.load().array).mean()) if self.width else 0.0
 
 
+def _odd(n: int) -> int:
+    """The n-th odd multiplier."""
+    x = (n + 1_000_003) * 0x9E3779B97F4A7C15 & MASK64
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & MASK64
+    return (x ^ (x >> 27)) * 0x94D049BB133111EB & MASK64 | 1
+
+
 def _representatives() -> np.ndarray:
     t = thresholds().astype(np.float64)
     return np.concatenate([[0.0], (t[:-1] + t[1:] - 1) / 2, t[-1:]])
@@ -253,7 +260,7 @@ _REPRESENTATIVE = _representatives()
 def build_filter(rows: DataFrame, bits: int, events: int, bits_per_event: int = BITS_PER_EVENT,
                  max_bits: int = MAX_BITS) -> Filter:
     """Fill the slices on the executors and lay them side by side."""
-    width = -(-min(events * bits_per_event, max_bits) // (1 << bits) // 64) * 64 if events else 0
+    width = -(-min(events * bits_per_event, max_bits) // (1 << bits) // LINE) * LINE if events else 0
     if not width:
         return Filter(bits, 0, 1)
     hashes = max(1, min(MAX_HASHES, round(math.log(2) * (width << bits) / events)))
@@ -310,7 +317,8 @@ class Trained:
 
 def train(texts: DataFrame) -> Trained:
     """``texts``: one column of training texts (nulls as empty)."""
-    n_texts, chars = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(texts.columns[0])), F.lit(0))).first()
+    texts = texts.select(text_of(texts.columns[0]).alias("text"))
+    n_texts, chars = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     bits = max(6, math.ceil(math.log2(max(1, chars / 6 / TOKENS_PER_BUCKET))))
     rows = staged(merge_blocks(count_blocks(texts, bits)), "ngrams")
     follow_bits = min(bits, 8)

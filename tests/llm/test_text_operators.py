@@ -108,7 +108,7 @@ def test_lm_filter_reads_back_levels():
     keys = np.unique(rng.integers(0, 1 << 64, 4000, dtype=np.uint64))
     counts = rng.integers(1, 5000, len(keys))
     levels = np.searchsorted(lm_scoring.thresholds(), counts, side="right")
-    f = lm_scoring.Filter(0, 64 * 20_000, 6, place=np.zeros(1, dtype=np.uint64))
+    f = lm_scoring.Filter(0, 512 * 6_000, 3, place=np.zeros(1, dtype=np.uint64))
     f.array = np.frombuffer(f.slice_of(keys, levels), dtype=np.uint8)
     ratio = f.counts(keys) / counts
     assert ((ratio > 0.8) & (ratio < 1.6)).mean() > 0.98      # quantised, few false positives
