@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from stocklens.llm.common import staged, text_of
+from stocklens.llm.common import let, staged, text_of
 
 LOW, HIGH = 0.001, 0.1
 RATES = [0, 1, 1, 2, 2, 3, 3, 3] + [4] * 5 + [5] * 7 + [6] * 9 + [7] * 10 + [8] * 10 + [9] * 10
@@ -31,8 +31,9 @@ MAX_BLOCKS = 2_000
 
 
 def terms(text: Column) -> Column:
-    """Sorted distinct terms of a text."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")))
+    """Sorted distinct terms of a text. (``sort_array`` compares natively; ``array_sort`` would
+    evaluate a lambda for each comparison.)"""
+    return F.sort_array(F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")))
 
 
 def lexicon(df: DataFrame, text: str, low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -40,10 +41,9 @@ def lexicon(df: DataFrame, text: str, low: float = LOW, high: float = HIGH) -> D
     n = df.count()
     freq = df.select(F.explode(terms(text_of(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     band = freq.filter((F.col("df") >= low * n) & (F.col("df") <= max(1.0, high * n)))
-    mask = F.lit(0).cast("long")
-    for k, rate in enumerate(RATES):
-        keeps = F.pmod(F.xxhash64("term", F.lit(k)), F.lit(1 << rate)) == 0
-        mask = mask.bitwiseOR(F.when(keeps, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
+    rates = f"array({', '.join(map(str, RATES))})"
+    mask = F.expr(f"aggregate(sequence(0, {len(RATES) - 1}), 0L, (acc, k) -> acc | "
+                  f"if(pmod(xxhash64(term, k), shiftleft(1L, {rates}[k])) = 0, shiftleft(1L, k), 0L))")
     return staged(band.select("term", mask.alias("mask")), "lexicon")
 
 
@@ -53,8 +53,7 @@ def row_key(doc_id: str, text: str) -> Column:
 
 def nonzero(items: Column) -> Column:
     """A 32-bit hash that is never 0."""
-    h = F.shiftright(F.xxhash64(F.array_join(items, " ")), 32).cast("int")
-    return F.when(h == 0, F.lit(1)).otherwise(h)
+    return F.coalesce(F.nullif(F.shiftright(F.xxhash64(F.array_join(items, " ")), 32).cast("int"), F.lit(0)), F.lit(1))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -121,7 +120,7 @@ def fingerprint_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.transform("own", lambda t: element(0, t, none)), F.transform("new", lambda t: element(1, t, none)),
         F.array(element(2, F.lit(None).cast("string"), F.col("kept"))))).alias("x")).select("row", "x.*")
     found = flat.join(lex, "term", "left").filter((F.col("side") == 2) | F.col("mask").isNotNull())
-    pick = lambda s: F.array_sort(F.collect_set(F.when(F.col("side") == s, F.struct("term", "mask"))))
+    pick = lambda s: F.sort_array(F.collect_set(F.when(F.col("side") == s, F.struct("term", "mask"))))
     grouped = found.groupBy("row").agg(F.first("kept", ignorenulls=True).alias("kept"), pick(0).alias("own"), pick(1).alias("new"))
     grouped = grouped.withColumns({f"{c}_{t}": F.filter(c, lambda x, m=m: x["mask"].bitwiseAND(F.lit(m)) != 0)
                                    for c in ("own", "new") for t, m in (("mid", _tier(4, 6)), ("far", _tier(7, 99)))})
@@ -142,11 +141,12 @@ def _tier(low: int, high: int) -> int:
 def parts_of(kept: str, whole: str) -> Column:
     """The parts from the sorted (term, mask) pairs; ``whole``: hash of all terms. Sparse
     lexicons look at the pairs that any lexicon of their tier keeps."""
-    def one(k: int, rate: int) -> Column:
-        among = F.col(kept if rate < 4 else f"{kept}_mid" if rate < 7 else f"{kept}_far")
-        own = F.filter(among, lambda x: x["mask"].bitwiseAND(F.lit(1 << k)) != 0)
-        return F.when(F.size(own) > 0, nonzero(F.transform(own, lambda x: x["term"]))).otherwise(F.lit(0))
+    def tier(among: str, low: int, high: int) -> Column:
+        def one(bit: Column) -> Column:
+            own = F.filter(among, lambda x: x["mask"].bitwiseAND(bit) != 0)
+            return let(own, lambda o: F.when(F.size(o) > 0, nonzero(F.transform(o, lambda x: x["term"]))).otherwise(F.lit(0)))
+        return F.transform(F.array(*[F.lit(1 << k).cast("long") for k, rate in enumerate(RATES) if low <= rate <= high]), one)
 
-    band = F.array(*[one(k, rate) for k, rate in enumerate(RATES)], F.lit(0))
+    band = F.concat(tier(kept, 0, 3), tier(f"{kept}_mid", 4, 6), tier(f"{kept}_far", 7, 99), F.array(F.lit(0)))
     bare = F.array(*[F.lit(0)] * len(RATES), F.col(whole))
     return F.when(F.size(F.col(kept)) > 0, band).otherwise(bare)
