@@ -29,10 +29,12 @@ def main() -> None:
          "line items read with only the needed columns"),
         ("top_products (FIG-01)", charts.top_products(r.product_flow),
          "WindowGroupLimit Partial before the shuffle: at most 20 rows per client leave each map task"),
-        ("pareto, two-stage running total", r2.pareto,
+        ("pareto", r2.pareto,
          "range blocks pinned by checkpoint, sums inside (client, block), offsets from a small block table"),
         ("daily_features", r.daily_features,
-         "line items reduced to one row per invoice before the invoice join; windows only over the day grid"),
+         "details carry their invoice's day: one row per invoice, then one per day, no second join"),
+        ("monthly_features", r.monthly_features, "one row per month and client; lags over the month grid"),
+        ("forecast_daily", r.forecast_daily, "trend and seasonal sums per client; no Python, no second gate join"),
     ]
     out = ["# Physical plans (initial AQE plans; AQE may switch joins to broadcast at run time)", "",
            f"Tables: `{sf_dir}`. Generated by `tools/plans.py`.", ""]
