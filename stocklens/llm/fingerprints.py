@@ -122,8 +122,6 @@ def fingerprint_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = flat.join(lex, "term", "left").filter((F.col("side") == 2) | F.col("mask").isNotNull())
     pick = lambda s: F.sort_array(F.collect_set(F.when(F.col("side") == s, F.struct("term", "mask"))))
     grouped = found.groupBy("row").agg(F.first("kept", ignorenulls=True).alias("kept"), pick(0).alias("own"), pick(1).alias("new"))
-    grouped = grouped.withColumns({f"{c}_{t}": F.filter(c, lambda x, m=m: x["mask"].bitwiseAND(F.lit(m)) != 0)
-                                   for c in ("own", "new") for t, m in (("mid", _tier(4, 6)), ("far", _tier(7, 99)))})
     signed = staged(grouped.select("row", "kept.*", parts_of("own", "kept.h_own").alias("fp"),
                                    parts_of("new", "kept.h_new").alias("efp")).drop("h_own", "h_new"), "prints")
     following = signed.select(F.col("row").alias("next"), F.col("fp").alias("nfp"))
@@ -141,12 +139,16 @@ def _tier(low: int, high: int) -> int:
 def parts_of(kept: str, whole: str) -> Column:
     """The parts from the sorted (term, mask) pairs; ``whole``: hash of all terms. Sparse
     lexicons look at the pairs that any lexicon of their tier keeps."""
-    def tier(among: str, low: int, high: int) -> Column:
+    def tier(among: Column, low: int, high: int) -> Column:
         def one(bit: Column) -> Column:
             own = F.filter(among, lambda x: x["mask"].bitwiseAND(bit) != 0)
             return let(own, lambda o: F.when(F.size(o) > 0, nonzero(F.transform(o, lambda x: x["term"]))).otherwise(F.lit(0)))
         return F.transform(F.array(*[F.lit(1 << k).cast("long") for k, rate in enumerate(RATES) if low <= rate <= high]), one)
 
-    band = F.concat(tier(kept, 0, 3), tier(f"{kept}_mid", 4, 6), tier(f"{kept}_far", 7, 99), F.array(F.lit(0)))
+    def band(pairs: Column) -> Column:
+        some = lambda low, high: let(
+            F.filter(pairs, lambda x: x["mask"].bitwiseAND(F.lit(_tier(low, high))) != 0), lambda few: tier(few, low, high))
+        return F.concat(tier(pairs, 0, 3), some(4, 6), some(7, 99), F.array(F.lit(0)))
+
     bare = F.array(*[F.lit(0)] * len(RATES), F.col(whole))
-    return F.when(F.size(F.col(kept)) > 0, band).otherwise(bare)
+    return F.when(F.size(F.col(kept)) > 0, let(F.col(kept), band)).otherwise(bare)
