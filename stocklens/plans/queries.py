@@ -706,7 +706,7 @@ def q_customer_chart_status(spark, sf_dir):
 @register("dirty_numbers", """
 SELECT l_orderkey, l_linenumber, v AS value, inf AS infinite,
        CASE WHEN bool_or(inf) OVER (PARTITION BY l_orderkey) THEN NULL
-            ELSE CAST(SUM(CAST(v AS DECIMAL(30,8))) OVER (PARTITION BY l_orderkey) AS DOUBLE) END AS order_total
+            ELSE CAST(ROUND(SUM(CAST(v AS DECIMAL(30,8))) OVER (PARTITION BY l_orderkey), 0) AS BIGINT) END AS order_total
 FROM (SELECT l_orderkey, l_linenumber, (l_orderkey + l_linenumber) % 7 = 2 AS inf,
         CASE (l_orderkey + l_linenumber) % 7 WHEN 1 THEN l_quantity WHEN 3 THEN 0.00004 WHEN 4 THEN 1e15 ELSE 0.0 END AS v FROM lineitem)
 """)
@@ -724,7 +724,7 @@ def q_dirty_numbers(spark, sf_dir):
     inf = lambda c: F.col(c) == F.lit(float("inf"))
     return rows.join(total, "l_orderkey").select(
         "l_orderkey", "l_linenumber", F.when(inf("v"), 0.0).otherwise(F.col("v")).alias("value"), inf("v").alias("infinite"),
-        F.when(~inf("t"), F.col("t")).alias("order_total"))
+        F.when(~inf("t"), F.round(F.col("t")).cast("long")).alias("order_total"))
 
 
 @register("dirty_keys", """
@@ -758,7 +758,7 @@ def q_dirty_keys(spark, sf_dir):
 
 
 @register("dirty_dates", """
-SELECT o_orderkey, CASE WHEN s BETWEEN 2 AND 106751 AND s <> 60 THEN DATE '1899-12-30' + CAST(s AS INTEGER) END AS from_serial,
+SELECT o_orderkey, CASE WHEN s <= 1 THEN DATE '1970-01-01' WHEN s BETWEEN 2 AND 106751 AND s <> 60 THEN DATE '1899-12-30' + CAST(s AS INTEGER) END AS from_serial,
   CASE o_orderkey % 5 WHEN 0 THEN CAST(o_orderdate AS DATE) WHEN 1 THEN CAST(o_orderdate AS DATE) WHEN 2 THEN NULL
                       WHEN 3 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS from_text
 FROM (SELECT *, (o_orderkey * 37) % 150000 AS s FROM orders)""")
