@@ -2,12 +2,13 @@
 
 A page is read as a tree of block elements (``tag.class#id``) and text blocks. Runs of
 siblings of equal structure are folded into repeated groups. The wrapper of a host starts as
-its first sample page and is aligned with the next ones: matching elements are merged,
-differing texts become slots, and what has no partner becomes optional. Slots, not the
-constant template texts, carry a page's content; the wrapper's main container is its
-``article`` or ``main`` element or else the container with the most slot text outside menus,
-headers, footers, sidebars, notices, adverts, forms and comments. Every page is then read
-with the wrapper of its host.
+its first page and is aligned with the next ones: matching elements are merged, differing
+texts become slots, and what has no partner becomes optional. Every page is matched with its
+host's wrapper, and the texts in slots and groups are its content: a text that was the same
+in at least two different pages, and in all that have its place, is a constant and goes. The
+main container is the page's ``article`` or ``main`` element or else the wrapper's container
+with the most slot text outside menus, headers, footers, sidebars, notices, adverts, forms
+and comments.
 
 Wrappers are inferred from at most ``SAMPLE`` different pages of a host (those of the
 smallest hashes), in one small group per host; pages meet their wrapper in a join that
@@ -22,12 +23,15 @@ the next block begins, end tags without a start are skipped.
 
 from __future__ import annotations
 
+import difflib
 import html
-import json
+import itertools
+import pickle
 import re
 import sys
 
 import pandas as pd
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -37,6 +41,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SAMPLE = 8                 # pages of a host that its wrapper is inferred from
 PERIOD = 3                 # longest repeated group of siblings, in elements
+MANY = 3                   # different pages that must share a text of a repeated group to make it a constant
+DEPTH = 100                # nesting of elements that a wrapper follows
+WIDE = 1 << 20             # product of two lists' lengths from which they are aligned by their longest blocks
 
 # Element and name lists (fixed values)
 BLOCKS = set("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
@@ -132,10 +139,34 @@ def raw_script_safe(page: str) -> str:
     return re.sub(r"(<(script|style)\b[^>]*>).*?(?=</\2\s*>|$)", r"\1", page, flags=re.S | re.I)
 
 
-# Wrapper nodes: ("t", label, children) | ("x", text or None) | ("+", nodes) | ("?", node)
-def wrapper_of(children: list) -> list:
-    """The union-free expression of one page's children, repeats folded."""
-    return fold([("x", c) if isinstance(c, str) else ("t", c[0], wrapper_of(c[1])) for c in children])
+# Wrapper nodes: ("t", label, children) | ("x", texts, pages) | ("+", nodes) | ("?", node). texts are the digests
+# of the texts that every page has at this place, pages the digests of up to MANY of those pages; a place
+# without a text that is common to all is the slot ("x", None).
+def digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def wrapper_of(children: list, page: int = 0, numbers: bool = False) -> list:
+    """The union-free expression of one page's children, repeats folded. ``page`` is the page's
+    digest. What lies deeper than DEPTH elements counts as texts of the element there. With
+    ``numbers`` a text is ("x", [numbers of its blocks])."""
+    count = itertools.count()
+    leaf = (lambda t: ("x", [next(count)])) if numbers else (lambda t: ("x", frozenset([digest(t)]), (page,)))
+
+    def texts(nodes):
+        stack = list(reversed(nodes))
+        while stack:
+            n = stack.pop()
+            if isinstance(n, str):
+                yield leaf(n)
+            else:
+                stack.extend(reversed(n[1]))
+
+    def inner(nodes, depth):
+        return fold([leaf(n) if isinstance(n, str) else
+                     ("t", n[0], inner(n[1], depth + 1) if depth < DEPTH else list(texts(n[1]))) for n in nodes])
+
+    return inner(children, 0)
 
 
 def key(node) -> str:
@@ -171,7 +202,7 @@ def fold(nodes: list) -> list:
             if j > i + size:
                 group = list(nodes[i:i + size])
                 for k in range(i + size, j, size):
-                    group = [merge(a, b) for a, b in zip(group, nodes[k:k + size])]
+                    group = [merge(a, b, True) for a, b in zip(group, nodes[k:k + size])]
                 out.append(("+", group))
                 i = j
             else:
@@ -181,50 +212,97 @@ def fold(nodes: list) -> list:
     return nodes
 
 
-def merge(a, b):
-    """One node that matches whatever either of two nodes of equal key matches."""
+def merge(a, b, one: bool = False):
+    """One node that matches whatever either of two nodes of equal key matches. Texts that are
+    common to two pages stay known; of ``one`` page's repeated groups all are."""
     if "?" in (a[0], b[0]):
-        return ("?", merge(a[1] if a[0] == "?" else a, b[1] if b[0] == "?" else b))
+        return ("?", merge(a[1] if a[0] == "?" else a, b[1] if b[0] == "?" else b, one))
     if "+" in (a[0], b[0]):
         xs = a[1] if a[0] == "+" else [a]
         ys = b[1] if b[0] == "+" else [b]
-        return ("+", [merge(x, y) for x, y in zip(xs, ys)])
+        return ("+", [merge(x, y, one) for x, y in zip(xs, ys)])
     if a[0] == "x":
-        return a if a[1] == b[1] else ("x", None)
-    return ("t", a[1], align(a[2], b[2]))
+        if isinstance(a[1], list):
+            a[1].extend(b[1])
+            return a
+        both = (a[1] | b[1] if one else a[1] & b[1]) if a[1] and b[1] else None
+        return ("x", both, tuple(sorted({*a[2], *b[2]})[:MANY])) if both else ("x", None)
+    return ("t", a[1], align(a[2], b[2], one))
+
+
+def pairing(kx: list[str], ky: list[str]) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence of two lists of keys (of long and very
+    different lists: of a long one)."""
+    n, head, tail = min(len(kx), len(ky)), 0, 0
+    while head < n and kx[head] == ky[head]:
+        head += 1
+    while tail < n - head and kx[-1 - tail] == ky[-1 - tail]:
+        tail += 1
+    x, y = kx[head:len(kx) - tail], ky[head:len(ky) - tail]
+    out = [(i, i) for i in range(head)]
+    if len(x) * len(y) > WIDE:
+        for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks():
+            out += [(head + m.a + k, head + m.b + k) for k in range(m.size)]
+    elif x and y:
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(y) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < len(x) and j < len(y):
+            if x[i] == y[j]:
+                out.append((head + i, head + j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    return out + [(len(kx) - k, len(ky) - k) for k in range(tail, 0, -1)]
 
 
-def align(xs: list, ys: list) -> list:
+def align(xs: list, ys: list, one: bool = False) -> list:
     """Longest common subsequence of keys; matches are merged, the rest is optional."""
-    kx, ky = [key(n) for n in xs], [key(n) for n in ys]
-    best = [[0] * (len(ky) + 1) for _ in range(len(kx) + 1)]
-    for i in range(len(kx) - 1, -1, -1):
-        for j in range(len(ky) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if kx[i] == ky[j] else max(best[i + 1][j], best[i][j + 1])
     opt = lambda n: n if n[0] == "?" else ("?", n)
     out, i, j = [], 0, 0
-    while i < len(xs) and j < len(ys):
-        if kx[i] == ky[j]:
-            out.append(merge(xs[i], ys[j]))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            out.append(opt(xs[i]))
-            i += 1
-        else:
-            out.append(opt(ys[j]))
-            j += 1
-    return out + [opt(n) for n in xs[i:]] + [opt(n) for n in ys[j:]]
-
-
-def texts_of(nodes: list, path: tuple[str, ...] = ()):
-    """(path, constant text or None for a slot) of every text of a wrapper."""
+    for a, b in [*pairing([key(n) for n in xs], [key(n) for n in ys]), (len(xs), len(ys))]:
+        out += [opt(n) for n in xs[i:a]] + [opt(n) for n in ys[j:b]]
+        if a < len(xs):
+            out.append(merge(xs[a], ys[b], one))
+        i, j = a + 1, b + 1
+    return out
+
+
+def settled(nodes: list, least: int = 2) -> list:
+    """The wrapper with what its texts are: a set of constants, None for a slot, or 0 if fewer than
+    two different pages (of a repeated group: MANY, as near copies share such texts) tell."""
+    out = []
     for n in nodes:
         if n[0] == "t":
-            yield from texts_of(n[2], (*path, n[1]))
+            out.append(("t", n[1], settled(n[2], least)))
         elif n[0] == "x":
-            yield path, n[1]
+            out.append(("x", None if n[1] is None else n[1] if len(n[2]) >= least else 0))
         else:
-            yield from texts_of(n[1] if n[0] == "+" else [n[1]], path)
+            inner = settled(n[1] if n[0] == "+" else [n[1]], MANY if n[0] == "+" else least)
+            out.append(("+", inner) if n[0] == "+" else ("?", inner[0]))
+    return out
+
+
+def match(own: list, wrapper: list, found: dict[int, object]) -> None:
+    """Match a page's numbered expression with a settled wrapper: what the wrapper has at the
+    place of each block that it knows."""
+    for i, j in pairing([key(n) for n in own], [key(n) for n in wrapper]):
+        todo = [(own[i], wrapper[j])]
+        while todo:
+            a, b = todo.pop()
+            if "?" in (a[0], b[0]):
+                todo.append((a[1] if a[0] == "?" else a, b[1] if b[0] == "?" else b))
+            elif "+" in (a[0], b[0]):
+                todo += zip(a[1] if a[0] == "+" else [a], b[1] if b[0] == "+" else [b])
+            elif a[0] == "x":
+                for n in a[1]:
+                    found[n] = b[1]
+            else:
+                match(a[2], b[2], found)
 
 
 def tag_in(label: str) -> str:
@@ -269,42 +347,52 @@ def container(weights: list[tuple[tuple[str, ...], int]]) -> list[str]:
     return list(max(mass, key=lambda p: (mass[p], -len(p)))) if mass else []
 
 
+def read(page: str, wrapper: list | None) -> list[tuple[tuple[str, ...], str, bool]]:
+    """(path, text, whether it is in a slot that differs between pages) of the blocks of a page
+    outside menus and the like, without the constants of the settled wrapper."""
+    root, blocks = parse(raw_script_safe(page))
+    found: dict[int, object] = {}
+    if wrapper:
+        match(wrapper_of(root[1], numbers=True), wrapper, found)
+    out = []
+    for n, (path, text) in enumerate(blocks):
+        known = found.get(n, 0)
+        if not around(path) and not (known and digest(text) in known):
+            out.append((path, text, known is None))
+    return out
+
+
 def infer(pages: list[str]) -> dict:
-    """The wrapper of a host as the decisions that reading a page needs: the main container
-    (none if the pages have an article or main element) and the constant texts in it."""
-    wrapper, slots = None, []
-    trees = []
-    for page in sorted(set(pages)):
-        root, blocks = parse(raw_script_safe(page))
-        trees.append(blocks)
-        own = wrapper_of(root[1])
+    """The wrapper of a host: its settled expression, and the main container of the pages without
+    an article or main element."""
+    wrapper, pages = None, sorted(set(pages))
+    for page in pages:
+        own = wrapper_of(parse(raw_script_safe(page))[0][1], digest(page))
         wrapper = own if wrapper is None else align(wrapper, own)
-    if wrapper is None:
-        return {"root": None, "constant": []}
-    texts = list(texts_of(wrapper))
-    if any(semantic(p) is not None and not around(p) for p, _ in texts):
-        return {"root": None, "constant": []}
-    constant = {(p, t) for p, t in texts if t is not None} if len(trees) > 1 else set()
-    slots = [(p, len(t)) for blocks in trees for p, t in blocks if not around(p) and (p, t) not in constant]
-    root = container(slots)
-    return {"root": root, "constant": [[list(p), t] for p, t in sorted(constant) if list(p[:len(root)]) == root]}
+    wrapper = settled(wrapper or [])
+    mass = [(p, len(t)) for blocks in (read(page, wrapper) for page in pages)
+            if not any(semantic(p) is not None for p, _, _ in blocks) for p, t, _ in blocks]
+    return {"wrapper": wrapper, "root": container(mass) or None}
 
 
 def extract(page: str, wrapper: dict | None) -> str:
-    """The main text of a page: its blocks in order, one per line."""
-    _, blocks = parse(raw_script_safe(page))
-    main = [(p, t) for p, t in blocks if not around(p)]
-    own = [t for p, t in main if semantic(p) is not None]
-    if own:
-        return "\n".join(own)
-    if wrapper and wrapper["root"] is not None:
-        root = wrapper["root"]
-        fixed = {(tuple(p), t) for p, t in wrapper["constant"]}
-        own = [t for p, t in main if list(p[:len(root)]) == root and (p, t) not in fixed]
-        if own:
-            return "\n".join(own)
-    root = tuple(container([(p, len(t)) for p, t in main]))
-    return "\n".join(t for p, t in main if p[:len(root)] == root)
+    """The main text of a page: the blocks of its main container that its host's wrapper does not
+    hold as constants, in order, one per line. The container is the article or main element, or
+    the wrapper's, or else the page's own; a title (h1) before it counts if it differs from page
+    to page."""
+    def main(blocks):
+        inside = [semantic(p) is not None for p, _, _ in blocks]
+        if not any(inside) and wrapper and wrapper["root"] is not None:
+            root = tuple(wrapper["root"])
+            inside = [p[:len(root)] == root for p, _, _ in blocks]
+        if not any(inside):
+            root = tuple(container([(p, len(t)) for p, t, _ in blocks]))
+            inside = [p[:len(root)] == root for p, _, _ in blocks]
+        first = inside.index(True) if True in inside else 0
+        return "\n".join(t for n, ((p, t, differs), ok) in enumerate(zip(blocks, inside))
+                         if ok or (n < first and differs and p and tag_in(p[-1]) == "h1"))
+
+    return main(read(page, wrapper and wrapper["wrapper"])) or main(read(page, None))
 
 
 def host_of(url: str):
@@ -313,15 +401,15 @@ def host_of(url: str):
 
 
 def wrappers(df: DataFrame, url: str = "url", page: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """(host, wrapper): one inferred wrapper per host, as JSON."""
+    """(host, wrapper): one inferred wrapper per host, pickled."""
     rows = df.select(host_of(url).alias("host"), text_of(page).alias("html"))
     w = Window.partitionBy("host").orderBy(F.xxhash64("html"))
     picked = rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= sample)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": [json.dumps(infer(pdf["html"].tolist()))]})
+        return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": [pickle.dumps(infer(pdf["html"].tolist()))]})
 
-    return picked.select("host", "html").groupBy("host").applyInPandas(one, "host string, wrapper string")
+    return picked.select("host", "html").groupBy("host").applyInPandas(one, "host string, wrapper binary")
 
 
 def main_text(df: DataFrame, url: str = "url", page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -332,7 +420,7 @@ def main_text(df: DataFrame, url: str = "url", page: str = "html", keep: tuple[s
     rows = rows.join(known.select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper")), "__host", "left")
 
     def reader():
-        seen: dict[str, dict] = {}
+        seen: dict[bytes, dict] = {}
 
         def step(cols):
             out = []
@@ -340,7 +428,7 @@ def main_text(df: DataFrame, url: str = "url", page: str = "html", keep: tuple[s
                 if w is not None and w not in seen:
                     if len(seen) > 10_000:
                         seen.clear()
-                    seen[w] = json.loads(w)
+                    seen[w] = pickle.loads(w)
                 out.append(extract(h, seen.get(w)))
             return cols | {"text": out, "n_chars": [len(t) for t in out]}
         return step

@@ -237,6 +237,26 @@ def test_wrappers_without_article_elements(spark):
                    3: "Title delta\ndelta one & two\ndelta three"}
 
 
+def test_wrappers_are_matched_inside_articles(spark):
+    """Constants go from an article too, also from its repeated groups; a title before it stays."""
+    def page(w, extra=""):
+        return (f"<html><body><h3>The Site</h3><h1>Title {w}</h1><article><div class=lead>You read the daily</div>{extra}"
+                f"<p>{w} one</p><p>{w} two</p><p>read more</p></article></body></html>")
+    names = ["alpha", "beta", "gamma", "delta"]
+    pages = [page(w, "<blockquote>only here</blockquote>" if w == "beta" else "") for w in names]
+    df = spark.createDataFrame([(k, "http://h.org/p", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    assert got == {k: "\n".join([f"Title {w}", *(["only here"] if w == "beta" else []), f"{w} one", f"{w} two"])
+                   for k, w in enumerate(names)}
+
+
+def test_wrapper_of_deep_and_wide_pages():
+    deep = "<div>" * 3000 + "a" + "</div>" * 2999 + "b"
+    wide = "<article>" + "".join(f"x{k}<h{k % 5 + 1}>y{k}</h{k % 5 + 1}>" * (k % 3 + 1) for k in range(600)) + "</article>"
+    for page in (deep, wide):
+        assert html_extract.extract(page, html_extract.infer([page, page])) == html_extract.extract(page, None) != ""
+
+
 def test_wrapper_expression_has_repeats_and_optionals():
     tree = lambda s: html_extract.wrapper_of(html_extract.parse(s)[0][1])
     w = html_extract.align(tree("<div><h1>a</h1><p>x</p><p>y</p></div>"), tree("<div><h1>b</h1><hr><ul><li>q</li></ul><p>z</p></div>"))
