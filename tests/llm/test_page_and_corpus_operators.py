@@ -131,6 +131,22 @@ def test_raking_meets_the_marginals():
         assert got / got.sum() == pytest.approx(want, abs=1e-3)
 
 
+def test_a_rare_class_does_not_shrink_the_corpus():
+    """One document of its own source and language is kept, and so is half of the rest."""
+    rng = np.random.default_rng(3)
+    grid = [(i, j, k, rng.uniform(0.5, 2) * 1e6) for i in range(6) for j in range(3) for k in range(4)] + [(6, 3, 0, 100.0)]
+    tokens = np.array([c[3] for c in grid])
+    labels = [np.array([c[d] for c in grid]) for d in range(3)]
+    have = [np.bincount(lab, weights=tokens) for lab in labels]
+    targets = [h ** mixing.TEMPER[d] / (h ** mixing.TEMPER[d]).sum() for d, h in zip(mixing.DIMS, have)]
+    p = mixing.rake(tokens, labels, targets)
+    assert p[-1] == 1.0 and (p * tokens).sum() / tokens.sum() == pytest.approx(0.5, abs=1e-6)
+    for lab, h, want in zip(labels, have, targets):
+        quota = mixing.quotas(h, want, 0.5 * tokens.sum())
+        assert np.bincount(lab, weights=p * tokens) == pytest.approx(quota, rel=1e-5)
+    assert mixing.quotas(np.array([1.0, 100, 100]), np.array([.4, .4, .2]), 61).tolist() == pytest.approx([1, 40, 20])
+
+
 def test_mixture_marginals_and_sample(spark):
     got = QUERIES["op8_mix_sources"](spark, SF).toPandas()
     expected = (got.n_tokens * got.probability)
