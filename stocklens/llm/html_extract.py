@@ -10,8 +10,9 @@ main container is the page's ``article`` or ``main`` element or else the wrapper
 with the most slot text outside menus, headers, footers, sidebars, notices, adverts, forms
 and comments.
 
-Wrappers are inferred from at most ``SAMPLE`` different pages of a host (those of the
-smallest hashes), in one small group per host; pages meet their wrapper in a join that
+Wrappers are inferred from all pages of a host: tasks merge pages of equal structure (copies
+change nothing), the structures of a host meet in a tree of partial alignments, and a host
+with many pages is one small group in each step. The pages meet their wrapper in a join that
 splits a host with many pages.
 
 Defined cases: null and empty html give an empty text; a page without any markup is one
@@ -30,16 +31,17 @@ import pickle
 import re
 import sys
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from stocklens.llm.common import map_batches, staged, text_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SAMPLE = 8                 # pages of a host that its wrapper is inferred from
+FAN = 64                   # structures of a host that are merged at once
+HELD = 4_096               # structures that a task holds before it passes them on
 PERIOD = 3                 # longest repeated group of siblings, in elements
 MANY = 3                   # different pages that must share a text of a repeated group to make it a constant
 DEPTH = 100                # nesting of elements that a wrapper follows
@@ -337,14 +339,18 @@ def semantic(path: tuple[str, ...]) -> int | None:
     return None
 
 
+def home_of(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The container that a block counts for: its element, or the parent of a heading or the like."""
+    return path[:-1] if path and tag_in(path[-1]) not in ("body", "div", "section", "td", "html") else path
+
+
 def container(weights: list[tuple[tuple[str, ...], int]]) -> list[str]:
     """The container path with the most text: a block's weight counts for its element's
     parent. The shallowest of the paths that hold most of the total wins ties."""
     mass: dict[tuple[str, ...], int] = {}
     for path, n in weights:
-        home = path[:-1] if path and tag_in(path[-1]) not in ("body", "div", "section", "td", "html") else path
-        mass[home] = mass.get(home, 0) + n
-    return list(max(mass, key=lambda p: (mass[p], -len(p)))) if mass else []
+        mass[home_of(path)] = mass.get(home_of(path), 0) + n
+    return list(max(mass, key=lambda p: (mass[p], -len(p), p))) if mass else []
 
 
 def read(page: str, wrapper: list | None) -> list[tuple[tuple[str, ...], str, bool]]:
@@ -362,17 +368,36 @@ def read(page: str, wrapper: list | None) -> list[tuple[tuple[str, ...], str, bo
     return out
 
 
+def masses(blocks: list[tuple[tuple[str, ...], str, bool]]) -> list[tuple[tuple[str, ...], int]]:
+    """(path, characters) of the blocks of a page without an article or main element."""
+    return [] if any(semantic(p) is not None for p, _, _ in blocks) else [(p, len(t)) for p, t, _ in blocks]
+
+
 def infer(pages: list[str]) -> dict:
     """The wrapper of a host: its settled expression, and the main container of the pages without
-    an article or main element."""
-    wrapper, pages = None, sorted(set(pages))
-    for page in pages:
-        own = wrapper_of(parse(raw_script_safe(page))[0][1], digest(page))
-        wrapper = own if wrapper is None else align(wrapper, own)
-    wrapper = settled(wrapper or [])
-    mass = [(p, len(t)) for blocks in (read(page, wrapper) for page in pages)
-            if not any(semantic(p) is not None for p, _, _ in blocks) for p, t, _ in blocks]
-    return {"wrapper": wrapper, "root": container(mass) or None}
+    an article or main element. What ``wrappers`` does for all hosts, in one place."""
+    pages = sorted(set(pages))
+    own = [wrapper_of(parse(raw_script_safe(page))[0][1], digest(page)) for page in pages]
+    wrapper = settled(merged([(expression(w), pickle.dumps(w)) for w in own]))
+    return {"wrapper": wrapper, "root": container([m for page in pages for m in masses(read(page, wrapper))]) or None}
+
+
+def expression(nodes: list) -> int:
+    """Digest of the structure of a list of nodes, as a signed number."""
+    h = digest(",".join(map(shape, nodes)))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def merged(parts: list[tuple[int, bytes]]) -> list:
+    """One expression for pickled ones: first those of equal structure, whose order does not
+    matter, then the structures in the order of their digests."""
+    out = None
+    for _, same in itertools.groupby(sorted(parts, key=lambda x: x[0]), key=lambda x: x[0]):
+        own = None
+        for _, p in same:
+            own = pickle.loads(p) if own is None else align(own, pickle.loads(p))
+        out = own if out is None else align(out, own)
+    return out or []
 
 
 def extract(page: str, wrapper: dict | None) -> str:
@@ -400,16 +425,88 @@ def host_of(url: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"://([^/?#]*)", 1))
 
 
-def wrappers(df: DataFrame, url: str = "url", page: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """(host, wrapper): one inferred wrapper per host, pickled."""
+def structures(rows: DataFrame) -> DataFrame:
+    """(host, shape, part) of the structures of every host's pages, merged inside each task."""
+    def run(batches):
+        held: dict[tuple[str, int], list] = {}
+
+        def emit():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([h for h, _ in held], pa.string()), pa.array([x for _, x in held], pa.int64()),
+                 pa.array([pickle.dumps(w) for w in held.values()], pa.binary())], names=["host", "shape", "part"])
+
+        for batch in batches:
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = wrapper_of(parse(raw_script_safe(page))[0][1], digest(page))
+                at = (host, expression(own))
+                held[at] = align(held[at], own) if at in held else own
+                if len(held) >= HELD:
+                    yield emit()
+                    held.clear()
+        if held:
+            yield emit()
+
+    return rows.mapInArrow(run, "host string, shape long, part binary")
+
+
+def combine(parts: DataFrame, *group: str) -> DataFrame:
+    """(host, shape, part): the parts of each group as one."""
+    rows = parts.groupBy(*group).agg(F.min("shape").alias("shape"), F.collect_list(F.struct("shape", "part")).alias("parts"))
+
+    def step(cols):
+        own = [merged([(p["shape"], p["part"]) for p in ps]) for ps in cols["parts"]]
+        return {"host": cols["host"], "shape": [expression(w) for w in own], "part": [pickle.dumps(w) for w in own]}
+
+    return map_batches(rows.select("host", "parts"), lambda: step, "host string, shape long, part binary")
+
+
+def wrappers(df: DataFrame, url: str = "url", page: str = "html", fan: int = FAN) -> DataFrame:
+    """(host, wrapper): one inferred wrapper per host, pickled. All pages of a host count: tasks
+    merge pages of equal structure, then structures are merged in a tree, ``fan`` at a time."""
     rows = df.select(host_of(url).alias("host"), text_of(page).alias("html"))
-    w = Window.partitionBy("host").orderBy(F.xxhash64("html"))
-    picked = rows.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= sample)
+    dealt = structures(rows).withColumn("deal", F.floor(F.spark_partition_id() / fan))
+    parts = staged(combine(combine(dealt, "host", "shape", "deal"), "host", "shape"), "structures")
+    while True:
+        sizes = staged(parts.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / fan).alias("n")), "sizes")
+        most = sizes.agg(F.max("n")).first()[0] or 0
+        spread = parts.join(sizes, "host").withColumn("deal", F.pmod(F.xxhash64("shape"), F.col("n")))
+        parts = staged(combine(spread, "host", "deal"), "structures")
+        if most <= 1:
+            break
+
+    def settle(cols):
+        return {"host": cols["host"], "wrapper": [pickle.dumps(settled(pickle.loads(p))) for p in cols["part"]]}
+
+    known = staged(map_batches(parts.select("host", "part"), lambda: settle, "host string, wrapper binary"), "wrappers")
+
+    def weigh():
+        load = Loader()
+
+        def step(cols):
+            sums: dict[tuple[str, tuple[str, ...]], int] = {}
+            for h, p, w in zip(cols["host"], cols["html"], cols["wrapper"]):
+                for path, n in masses(read(p, load(w))):
+                    sums[h, home_of(path)] = sums.get((h, home_of(path)), 0) + n
+            return {"host": [h for h, _ in sums], "path": [list(p) for _, p in sums], "n": list(sums.values())}
+        return step
+
+    mass = map_batches(rows.join(known, "host").select("host", "html", "wrapper"), weigh, "host string, path array<string>, n long")
+    home = mass.groupBy("host", "path").agg(F.sum("n").alias("n"))
+    best = home.groupBy("host").agg(F.max(F.struct("n", -F.size("path"), "path"))["path"].alias("root"))
+    return known.join(best, "host", "left")
+
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": [pickle.dumps(infer(pdf["html"].tolist()))]})
+class Loader(dict):
+    """Unpickled wrappers, remembered for up to 1,000."""
 
-    return picked.select("host", "html").groupBy("host").applyInPandas(one, "host string, wrapper binary")
+    def __call__(self, wrapper: bytes | None):
+        if wrapper is None:
+            return None
+        if wrapper not in self:
+            if len(self) >= 1_000:
+                self.clear()
+            self[wrapper] = pickle.loads(wrapper)
+        return self[wrapper]
 
 
 def main_text(df: DataFrame, url: str = "url", page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -417,21 +514,17 @@ def main_text(df: DataFrame, url: str = "url", page: str = "html", keep: tuple[s
     types = dict(df.dtypes)
     known = staged(wrappers(df, url, page), "wrappers")
     rows = df.select(*keep, host_of(url).alias("__host"), text_of(page).alias("__html"))
-    rows = rows.join(known.select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper")), "__host", "left")
+    rows = rows.join(known.select(F.col("host").alias("__host"), F.col("wrapper").alias("__wrapper"),
+                                  F.col("root").alias("__root")), "__host", "left")
 
     def reader():
-        seen: dict[bytes, dict] = {}
+        load = Loader()
 
         def step(cols):
-            out = []
-            for h, w in zip(cols.pop("__html"), cols.pop("__wrapper")):
-                if w is not None and w not in seen:
-                    if len(seen) > 10_000:
-                        seen.clear()
-                    seen[w] = pickle.loads(w)
-                out.append(extract(h, seen.get(w)))
+            out = [extract(h, w and {"wrapper": load(w), "root": r})
+                   for h, w, r in zip(cols.pop("__html"), cols.pop("__wrapper"), cols.pop("__root"))]
             return cols | {"text": out, "n_chars": [len(t) for t in out]}
         return step
 
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), "text string, n_chars long"])
-    return map_batches(rows.select(*keep, "__html", "__wrapper"), reader, schema)
+    return map_batches(rows.select(*keep, "__html", "__wrapper", "__root"), reader, schema)

@@ -266,6 +266,22 @@ def test_wrappers_are_matched_inside_articles(spark):
                    for k, w in enumerate(names)}
 
 
+def test_wrappers_learn_from_all_pages_of_a_host(spark):
+    """Copies count once, every structure is learned, and what one page alone has is no constant."""
+    words = [f"word{k}" for k in range(40)]
+    pages = [site(f"Title {w}", [f"{w} one", f"{w} two"], f"<section class=kind{chr(97 + n % 20)}>x</section>") for n, w in enumerate(words)]
+    pages[3] = pages[3].replace("<h2>", "<blockquote>a word of its own</blockquote><h2>", 1)
+    copies = [(100 + k, f"http://h.org/{j}", p) for j, p in enumerate(pages) for k in range(9)]
+    rows = [(k, "http://h.org/p", p) for k, p in enumerate(pages)] + copies
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in html_extract.main_text(df).collect()}
+    assert not any("Read on our site" in t for t in got.values())
+    assert "a word of its own" in got[3]
+    assert all(f"Title {w}\n{w} one\n{w} two" in got[k] for k, w in enumerate(words))
+    small = html_extract.wrappers(df, fan=2)
+    assert [r.host for r in small.collect()] == ["h.org"]
+
+
 def test_wrapper_of_deep_and_wide_pages():
     deep = "<div>" * 3000 + "a" + "</div>" * 2999 + "b"
     wide = "<article>" + "".join(f"x{k}<h{k % 5 + 1}>y{k}</h{k % 5 + 1}>" * (k % 3 + 1) for k in range(600)) + "</article>"
