@@ -10,9 +10,8 @@ the levels into Witten-Bell smoothed probabilities
 with T(h) the number of distinct followers of h. Counting and filling run on Spark: tasks
 reduce their tokens to sorted blocks of (key, count), blocks meet by the key's high bits,
 and each bucket fills its own slice of the filter. Only the filter is sent to the workers,
-as a file that they map into memory; the driver passes it on slice by slice. Its size follows the number of events up to ``MAX_BITS``; beyond that bound the
-same events share fewer bits each, so nothing is left out and only the rate of false
-positives rises (it is reported by ``Filter.fill``).
+as a file that they map into memory; the driver passes it on slice by slice. Its size follows the number of events, ``BITS_PER_EVENT`` each, so that the rate
+of false positives is the same at every size.
 
 ``base_score`` needs exact counts of every token: the most frequent words (at most
 ``HEAD``) are broadcast, the others of each text meet the count table in a join.
@@ -41,7 +40,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LOG_BASE = 1.25            # quantisation
 BITS_PER_EVENT = 10
-MAX_BITS = 1 << 30         # bound of each of the three filters: 128 MB
 MAX_HASHES = 3             # probes of one level; 10 bits an event leave 2 to 3 % false positives
 LINE = 512                 # bits of a block: a cache line
 HEAD = 1 << 19             # words whose exact counts are broadcast
@@ -257,14 +255,18 @@ def _representatives() -> np.ndarray:
 _REPRESENTATIVE = _representatives()
 
 
-def build_filter(rows: DataFrame, bits: int, events: int, bits_per_event: int = BITS_PER_EVENT,
-                 max_bits: int = MAX_BITS) -> Filter:
+def layout(bits: int, events: int) -> Filter:
+    """An unfilled filter of BITS_PER_EVENT for each event, however many there are."""
+    width = -(-events * BITS_PER_EVENT // (1 << bits) // LINE) * LINE
+    return Filter(bits, width, min(MAX_HASHES, round(math.log(2) * (width << bits) / events)) if events else 1)
+
+
+def build_filter(rows: DataFrame, bits: int, events: int) -> Filter:
     """Fill the slices on the executors and lay them side by side."""
-    width = -(-min(events * bits_per_event, max_bits) // (1 << bits) // LINE) * LINE if events else 0
+    made = layout(bits, events)
+    width, hashes = made.width, made.hashes
     if not width:
-        return Filter(bits, 0, 1)
-    hashes = max(1, min(MAX_HASHES, round(math.log(2) * (width << bits) / events)))
-    made = Filter(bits, width, hashes)
+        return made
 
     def slices(pdfs):
         t = thresholds()

@@ -115,6 +115,23 @@ def test_lm_filter_reads_back_levels():
     assert (f.counts(rng.integers(0, 1 << 64, 4000, dtype=np.uint64)) > 0).mean() < 0.02
 
 
+def slice_with_production_settings(events, bits, seed):
+    """False positives and fill of one slice of a filter for so many events."""
+    rng = np.random.default_rng(seed)
+    keys = np.unique(rng.integers(0, 1 << (64 - bits), events >> bits, dtype=np.uint64))      # bucket 0
+    f = lm_scoring.layout(bits, events)
+    f.array = np.frombuffer(f.slice_of(keys, np.ones(len(keys), dtype=np.int64)), dtype=np.uint8)
+    strangers = rng.integers(0, 1 << (64 - bits), 200_000, dtype=np.uint64)
+    return f, (f.counts(strangers) > 0).mean(), f.fill()
+
+
+@pytest.mark.parametrize("events", [200_000_000, 1_000_000_000])
+def test_lm_filter_grows_with_the_events(events):
+    """Above 107 million events, where filters were once capped, the rate stays the same."""
+    f, wrong, fill = slice_with_production_settings(events, 12, 3)
+    assert f.width << 12 >= lm_scoring.BITS_PER_EVENT * events and wrong < 0.03 and fill < 0.35
+
+
 def test_lm_block_round_trip():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 64, 999, dtype=np.uint64))
     counts = np.arange(1, len(keys) + 1)
