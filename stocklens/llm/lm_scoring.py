@@ -39,8 +39,8 @@ from stocklens.llm.common import MASK64, WordIds, map_batches, mix, publish, sta
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LOG_BASE = 1.25            # quantisation
-BITS_PER_EVENT = 10
-MAX_HASHES = 3             # probes of one level; 10 bits an event leave 2 to 3 % false positives
+BITS_PER_EVENT = 12
+MAX_HASHES = 4             # probes of one level
 LINE = 512                 # bits of a block: a cache line
 HEAD = 1 << 19             # words whose exact counts are broadcast
 FLUSH = 3 << 19            # keys that a counting task holds before it emits a block

@@ -125,6 +125,11 @@ def slice_with_production_settings(events, bits, seed):
     return f, (f.counts(strangers) > 0).mean(), f.fill()
 
 
+def test_lm_filter_with_production_bits():
+    f, wrong, _ = slice_with_production_settings(200_000, 0, 2)
+    assert f.hashes == 4 and f.width >= 12 * 200_000 and wrong < 0.01
+
+
 @pytest.mark.parametrize("events", [200_000_000, 1_000_000_000])
 def test_lm_filter_grows_with_the_events(events):
     """Above 107 million events, where filters were once capped, the rate stays the same."""
