@@ -25,8 +25,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: one document of each component stays."""
-    return near_dedup.kept_rows(docs)
+    """Operator 6 at five words and a similarity of 0.8: one document of each component stays."""
+    return near_dedup.kept_rows(docs, percent=80)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@
    tasks, so that only links leave them. In the end every two nodes that share a bucket are
    either in one component or have been compared.
 
-A link of similarity 0.85 shares no band with probability (1 - 0.85^6)^24 = 1.2e-5.
+The threshold is a parameter and the bands follow from it (``banding``). A link of similarity 0.85 shares no band with probability (1 - 0.85^6)^24 = 1.2e-5.
 
 Nothing is collected to the driver but counters. Intermediate tables are Parquet files in
 the shared folder, so a lost executor costs a recomputed task only.
@@ -43,6 +43,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHINGLE = 5
 THRESHOLD = 85             # per cent: 100 * |A and B| >= THRESHOLD * |A or B|
 BANDS, ROWS = 24, 6
+NO_BAND = 2e-5             # probability that a link at the threshold shares no band
 BATCH = 16                 # hashes compared between two looks at the posterior
 MISS = 1e-6                # posterior below which a pair is dropped
 BLOCK = 256                # nodes of a bucket in one block of step 4
@@ -79,9 +80,10 @@ class Signer:
         return low
 
     @staticmethod
-    def bands(low: np.ndarray) -> np.ndarray:
-        key = np.arange(BANDS, dtype=np.uint64)
-        for row in low.reshape(BANDS, ROWS).T:
+    def bands(low: np.ndarray, percent: int = THRESHOLD) -> np.ndarray:
+        bands, rows = banding(percent)
+        key = np.arange(bands, dtype=np.uint64)
+        for row in low[:bands * rows].reshape(bands, rows).T:
             key = mix(key ^ row, 1)
         return key.view(np.int64)
 
@@ -91,7 +93,15 @@ class Signer:
         return (mix(low, 2) & np.uint64(0xFFFF)).astype("<u2").tobytes()
 
 
-def sign(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): the most rows with which a link at the threshold shares no band with a
+    probability of at most NO_BAND. At 85 per cent these are BANDS and ROWS."""
+    fits = [r for r in range(1, ROWS + 1) if (1 - (percent / 100) ** r) ** (BANDS * ROWS // r) <= NO_BAND]
+    rows = max(fits, default=1)
+    return BANDS * ROWS // rows, rows
+
+
+def sign(df: DataFrame, doc_id: str, text: str, percent: int = THRESHOLD) -> DataFrame:
     """(key, doc_id, n_shingles, node, bands, sig): node identifies the set, null if empty."""
     def signer():
         ids, sig = WordIds(), Signer()
@@ -104,7 +114,7 @@ def sign(df: DataFrame, doc_id: str, text: str) -> DataFrame:
                 if len(s):
                     low = sig(s)
                     out["node"].append(set_id(s))
-                    out["bands"].append(sig.bands(low))
+                    out["bands"].append(sig.bands(low, percent))
                     out["sig"].append(sig.short(low))
                 else:
                     for c in ("node", "bands", "sig"):
@@ -155,20 +165,20 @@ def _matrix(sigs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), dtype="<u2").reshape(len(sigs), BANDS * ROWS)
 
 
-def sizes_fit(a, b):
-    """Necessary for a link: the smaller set is at least THRESHOLD per cent of the larger."""
-    return 100 * F.least(a, b) >= THRESHOLD * F.greatest(a, b)
+def sizes_fit(a, b, percent: int):
+    """Necessary for a link: the smaller set is at least ``percent`` per cent of the larger."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def bayes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def bayes(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that pass the size bound and the sequential Bayesian test."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"),
                                   F.col("sig").alias(f"sig_{x}"))
-    rows = (pairs.join(side("a"), "a").join(side("b"), "b").filter(sizes_fit(F.col("n_a"), F.col("n_b")))
+    rows = (pairs.join(side("a"), "a").join(side("b"), "b").filter(sizes_fit(F.col("n_a"), F.col("n_b"), percent))
             .select("a", "b", "sig_a", "sig_b"))
 
     def test():
-        rule = least_matches()
+        rule = least_matches(percent / 100)
 
         def step(cols):
             ok = surviving(_matrix(cols["sig_a"]), _matrix(cols["sig_b"]), rule) if cols["a"] else []
@@ -178,13 +188,13 @@ def bayes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_batches(rows, test, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that are linked by their full sets."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"set_{x}"))
     both = F.size(F.array_intersect("set_a", "set_b"))
     return (pairs.join(side("a"), "a").join(side("b"), "b")
             .withColumn("both", both)
-            .filter(100 * F.col("both") >= THRESHOLD * (F.size("set_a") + F.size("set_b") - F.col("both")))
+            .filter(100 * F.col("both") >= percent * (F.size("set_a") + F.size("set_b") - F.col("both")))
             .select("a", "b"))
 
 
@@ -256,18 +266,18 @@ def per_run(rows: DataFrame, fn, schema: str) -> DataFrame:
     return dealt.sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
 
 
-def open_pairs(run: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def open_pairs(run: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the pairs of a run that are in different components and that neither size nor
     signatures rule out."""
     i, j, block, node, comp, size = (run[c] for c in ("i", "j", "block", "node", "comp", "n_shingles"))
     x, y = (g.ravel() for g in np.meshgrid(np.flatnonzero(block == i), np.flatnonzero(block == j), indexing="ij"))
-    ok = (comp[x] != comp[y]) & (100 * np.minimum(size[x], size[y]) >= THRESHOLD * np.maximum(size[x], size[y]))
+    ok = (comp[x] != comp[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
     if len(i) and i[0] == j[0]:
         ok &= node[x] < node[y]
     x, y = x[ok], y[ok]
     if not len(x):
         return x, y
-    rule, sig = least_matches(), run["sig"]
+    rule, sig = least_matches(percent / 100), run["sig"]
     alive = np.concatenate([k + surviving(sig[x[k:k + 4096]], sig[y[k:k + 4096]], rule) for k in range(0, len(x), 4096)])
     return x[alive], y[alive]
 
@@ -276,10 +286,10 @@ def _ordered(node, x, y):
     return np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
 
 
-def best_partners(members: DataFrame, nodes: DataFrame) -> DataFrame:
+def best_partners(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b): each node of a run with the open partner of most equal hashes."""
     def best(run):
-        x, y = open_pairs(run)
+        x, y = open_pairs(run, percent)
         if not len(x):
             return None
         sig = run["sig"]
@@ -293,23 +303,23 @@ def best_partners(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return per_run(bucket_runs(members, nodes), best, "a long, b long").distinct()
 
 
-def all_links(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def all_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): every link among the open pairs, verified inside the tasks on full sets. Only
     nodes that have an open pair in their run travel with their sets."""
     def busy(run):
-        x, y = open_pairs(run)
+        x, y = open_pairs(run, percent)
         if not len(x):
             return None
         own = np.unique(np.concatenate([x, y]))
         return tuple(run[c][own] for c in ("key", "i", "j", "block", "node", "comp"))
 
     def verify(run):
-        x, y = open_pairs(run)
+        x, y = open_pairs(run, percent)
         sets_, ok = run["hashes"], np.zeros(len(x), dtype=bool)
         for k, (p, q) in enumerate(zip(x.tolist(), y.tolist())):
             a, b = sets_[p], sets_[q]
             both = len(np.intersect1d(a, b, assume_unique=True))
-            ok[k] = 100 * both >= THRESHOLD * (len(a) + len(b) - both)
+            ok[k] = 100 * both >= percent * (len(a) + len(b) - both)
         return _ordered(run["node"], x[ok], y[ok]) if ok.any() else None
 
     rows = staged(per_run(bucket_runs(members, nodes), busy, "key long, i int, j int, block int, node long, comp long"), "busy")
@@ -339,10 +349,10 @@ def shingle_sets(df: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> Da
                        "node long, hashes array<long>")
 
 
-def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = THRESHOLD) -> DataFrame:
     """key, doc_id, n_shingles, comp, component_id and kept for every row of ``df``; comp names
     the component also where no row of it has a doc_id."""
-    signed = staged(sign(df, doc_id, text), "signed")
+    signed = staged(sign(df, doc_id, text, percent), "signed")
     nodes = staged(signed.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n_shingles"),
         F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
@@ -357,7 +367,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     sets = staged(shingle_sets(df, once, doc_id, text).dropDuplicates(["node"]), "sets")
 
     led = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = staged(verified(bayes(led, nodes), sets), "verified")
+    links = staged(verified(bayes(led, nodes, percent), sets, percent), "verified")
     comps = components(links)
 
     def open_members() -> DataFrame:
@@ -369,12 +379,12 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         return staged(tagged.join(mixed, "key"), "open")
 
     for _ in range(ROUNDS):
-        more = staged(verified(best_partners(open_members(), nodes).join(links, ["a", "b"], "left_anti"), sets), "verified")
+        more = staged(verified(best_partners(open_members(), nodes, percent).join(links, ["a", "b"], "left_anti"), sets, percent), "verified")
         if more.isEmpty():
             break
         links = links.union(more)
         comps = components(links)
-    more = staged(all_links(open_members(), nodes, sets), "verified")
+    more = staged(all_links(open_members(), nodes, sets, percent), "verified")
     if not more.isEmpty():
         comps = components(links.union(more))
 
@@ -388,18 +398,18 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``df``."""
-    return classes(df, doc_id, text).select("doc_id", "n_shingles", "component_id", "kept")
+    return classes(df, doc_id, text, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def kept_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def kept_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = THRESHOLD) -> DataFrame:
     """One row of each component, all columns kept: that of the smallest doc_id; if several
     have it, one of them by hash. Of rows without words repeated ones are dropped only."""
     name = "__key"
     while name in df.columns:
         name += "_"
-    stay = staged(classes(df, doc_id, text).filter("kept").groupBy(F.coalesce("comp", "key").alias("comp"))
+    stay = staged(classes(df, doc_id, text, percent).filter("kept").groupBy(F.coalesce("comp", "key").alias("comp"))
                   .agg(F.min("key").alias(name)).select(name), "stay")
     rows = df.withColumn(name, row_key(doc_id, text))
     return rows.join(stay, name, "left_semi").dropDuplicates([name]).drop(name)

@@ -331,6 +331,20 @@ def test_pipeline_equals_its_operators(spark, docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontaminate", "mix_sources"]
 
 
+def test_pipeline_drops_near_duplicates_from_080(spark):
+    """The stage against brute force at 0.8, with copies on both sides of the bound."""
+    texts = []
+    for g in range(30):
+        base = [f"g{g}w{i}" for i in range(104)]            # 100 shingles; the last k words differ: (100 - k) / (100 + k)
+        texts += [" ".join(base), " ".join(base[:104 - k] + [f"x{g}_{i}" for i in range(k)]) if (k := 5 + g % 10) else ""]
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
+    near = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    want = {i for i in range(len(texts)) if not any(near(sets[i], sets[j]) for j in range(i))}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()} == want
+    assert len(want) < len({r.doc_id for r in near_dedup.kept_rows(df).collect()})
+
+
 def test_pipeline_stages_on_empty_and_extra_columns(spark, docs):
     df = docs.limit(60).withColumns({"__key": F.lit(1), "u": F.lit(2)})
     for _, stage in corpus_pipeline.STAGES:
