@@ -115,3 +115,17 @@ def q_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stocklens.llm import html_extract as op
     return op.main_text(table(spark, sf_dir, "pages"))
+
+
+@register("op12_periodic_runs")
+def q_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stocklens.llm import runs as op
+    from stocklens.llm.common import text_of
+    number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", op.planted(text_of(), number).alias("text"))
+    out = op.find_runs(docs).withColumn("best", op.strongest(F.col("runs")))
+    return out.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("bigint").alias("exponent_milli"),
+        F.sha2(op.listing(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
