@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stocklens.session import ensure_checkpoint_dir
 
@@ -38,6 +38,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
+    """``df`` with ``__at``: the place of each row, from 0, among the rows of its ``key`` by
+    ``order`` (ties: any order). One range shuffle deals contiguous stretches and is staged;
+    a stretch's first place comes from the sizes of the key's earlier stretches, so no task
+    holds more of one key than a stretch. A null key is a key."""
+    rows = staged(df.withColumn("__tie", F.monotonically_increasing_id())
+                    .repartitionByRange(F.col(key), *order, F.col("__tie"))
+                    .sortWithinPartitions(F.col(key), *order, F.col("__tie")).drop("__tie")
+                    .withColumn("__row", F.monotonically_increasing_id()), name)
+    part = F.shiftright("__row", 33)
+    earlier = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (rows.groupBy(F.col(key).alias("__key"), part.alias("__part"))
+                  .agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
+                  .select("__key", "__part", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift")))
+    return (rows.join(shifts, F.col(key).eqNullSafe(F.col("__key")) & (part == F.col("__part")))
+                .withColumn("__at", F.col("__row") + F.col("__shift")).drop("__key", "__part", "__row", "__shift"))
+
+
 def crc_mod(name: str, m: int) -> Column:
     """crc32 of the value as text, modulo m (a null counts as the empty text)."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % F.lit(m)

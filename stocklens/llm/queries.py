@@ -129,3 +129,47 @@ def q_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("bigint").alias("exponent_milli"),
         F.sha2(op.listing(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@register("op11_chat_format")
+def q_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests are of whole conversations, so only here one row gathers a conversation."""
+    from stocklens.llm import chat as op
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
+    read = op.read_turns(op.chat_windows(rows.unionByName(added)))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    convs = read.groupBy("conv_id").agg(
+        F.sum(F.size("turns")).cast("bigint").alias("n_turns"), F.sum(F.length("text")).cast("bigint").alias("formatted_chars"),
+        F.count(F.lit(1)).alias("n_windows"), F.sum("n_repeated").alias("n_repeated"),
+        F.array_sort(F.collect_list(F.struct("first_turn", F.array_join(said, "").alias("said"), F.array_join("learnt", "").alias("learnt")))).alias("w"))
+    learnt = F.array_join(F.col("w.learnt"), "")
+    return convs.select(
+        "conv_id", "n_turns", F.sha2(F.array_join(F.col("w.said"), "").cast("binary"), 256).alias("turns_sha256"),
+        F.length(learnt).cast("bigint").alias("loss_chars"), F.sha2(learnt.cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars", "n_windows", "n_repeated")
+
+
+@register("op13_repair_turns")
+def q_repair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit and the digest are of whole conversations, so only here one row gathers one."""
+    from stocklens.llm import repair as op
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    faults = lambda name: F.size(F.filter("rows", lambda r: r["fault"] == name))
+    lines = F.transform(op.repaired(F.col("rows"), F.col("edits")), lambda r: F.concat(r["role"], F.lit(":"), r["text"]))
+    parts = op.repair(op.damaged(rows)).select(
+        "conv_id", "segment", "illegal", *[faults(f).alias(f) for f in ("blank", "duplicate", "truncated")],
+        op.edit_cost(F.col("rows"), F.col("edits")).alias("cost"), F.array_join("edits.edit", "").alias("audit"), lines.alias("lines"),
+        F.array_min("rows.turn").alias("first"), F.array_max("rows.turn").alias("last"), "n_turns")
+    convs = parts.groupBy("conv_id").agg(
+        *[F.sum(c).cast("bigint").alias(c) for c in ("blank", "duplicate", "truncated", "illegal", "cost")],
+        (F.max("last") - F.min("first") + 1 - F.sum("n_turns")).alias("gaps"),
+        F.array_sort(F.collect_list(F.struct("segment", "audit", "lines"))).alias("s"))
+    convs = convs.select(F.col("conv_id").alias("__conv"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost",
+                         F.array_join("s.audit", "").alias("audit"), F.array_join(F.flatten("s.lines"), "\n").alias("repaired"))
+    out = rows.select("conv_id").distinct().join(convs, F.col("conv_id").eqNullSafe(F.col("__conv")), "left")
+    return out.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.sha2(F.coalesce("repaired", F.lit("")).cast("binary"), 256).alias("repaired_sha256"))

@@ -126,3 +126,229 @@ def test_find_runs_interface(spark):
     assert runs_op.find_runs(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         runs_op.find_runs(df, exponent=2)
+
+
+# --- chat formatting ----------------------------------------------------------------------
+
+def by_conversation(rows):
+    convs = {}
+    for conv, turn, role, text in rows:
+        convs.setdefault(conv, []).append((turn is not None, turn or 0, chat_escape(role or ""), chat_escape(text or ""), role or "", text or ""))
+    return {c: [(r[4], r[5]) for r in sorted(rs, key=lambda r: r[:4])] for c, rs in convs.items()}
+
+
+def chat_escape(t):
+    return t.replace("\\", "\\\\").replace("<|", "<\\|")
+
+
+def plain_windows(turns, budget, history, history_budget):
+    """Greedy windows, one turn after the other: (first own, first repeated, end, system?)."""
+    cost = [len(re.findall(r"[^\W\d_]+|\d+|[^\w\s]|_", t)) + 4 for _, t in turns]
+    head = bool(turns) and turns[0][0] == "system"
+    out, k = [], 0
+    while k < len(turns):
+        segment_end = min(len(turns), (k // 256 + 1) * 256)
+        system = cost[0] if head and k else 0
+        c = k
+        while c - 1 >= max(k - history, int(head)) and sum(cost[c - 1:k]) <= history_budget:
+            c -= 1
+        if system + sum(cost[c:k + 1]) > budget:
+            c = k
+        end = k + 1
+        while end < segment_end and system + sum(cost[c:end + 1]) <= budget:
+            end += 1
+        out.append((k, c, end, bool(head and k)))
+        k = end
+    return out
+
+
+def chat_rows(seed):
+    rng = random.Random(seed)
+    pieces = ["hello", "two words", "<|end|>\n", "<|", "\\", "<\\|turn|>", "<", "|>", "é 你好", "", "\n", "x" * 50, "12 3"]
+    rows = []
+    for conv in [*range(40), None]:
+        n = 700 if conv == 3 else rng.randint(1, 9)
+        for t in range(n):
+            role = rng.choice(["user", "assistant", "user", "assistant", "system", "tool\\", "<|text|>", None]) if t else rng.choice(["system", "user"])
+            rows.append((conv, rng.choice([t, t, t, None]), role, rng.choice([None, *[" ".join(rng.choices(pieces, k=rng.randint(0, 12)))] * 9])))
+    return rows + rows[-3:] + [(77, 5, "user", "word " * 30_000), (77, 6, "assistant", "reply")]
+
+
+def test_chat_windows_equal_greedy_windows_and_mask_each_answer_once(spark):
+    rows = chat_rows(5)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("first_turn", F.lit("clash"))
+    from stocklens.llm import chat
+    got = {}
+    for w in chat.read_turns(chat.chat_windows(df, budget=60, history=2, history_budget=20)).collect():
+        got.setdefault(w.conv_id, []).append(w)
+    want = by_conversation(rows)
+    assert got.keys() == want.keys()
+    for conv, turns in want.items():
+        ws = sorted(got[conv], key=lambda w: w.first_turn)
+        plain = plain_windows(turns, 60, 2, 20)
+        assert [(w.first_turn, w.n_turns, w.n_repeated) for w in ws] == [(k, e - k, k - c + s) for k, c, e, s in plain]
+        for w, (k, c, e, s) in zip(ws, plain, strict=True):
+            shown = turns[:int(s)] + turns[c:e]
+            assert w.text == "".join(f"<|turn|>{chat_escape(r)}<|text|>{chat_escape(t)}<|end|>\n" for r, t in shown)
+            assert [(t.role, t.text) for t in w.turns] == turns[k:e]
+            assert w.learnt == [t for r, t in turns[k:e] if r == "assistant"]
+            assert w.n_tokens <= 60 or e - k == 1
+    assert sum(len(v) for v in got.values()) > 200
+    assert chat.chat_windows(df.limit(0)).count() == 0
+
+
+def test_chat_query_reads_back_every_conversation(spark, tmp_path):
+    rows = chat_rows(6) + [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
+                           if r.conv_id > 40]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows += [(-7, i, r, "\\### Assistant: </turn> ok") for i, r in enumerate(["user", "assistant"])]
+    df = QUERIES["op11_chat_format"](spark, str(tmp_path))
+    assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+    got = {r.conv_id: r for r in df.collect()}
+    want = by_conversation(rows)
+    assert got.keys() == want.keys()
+    for conv, turns in want.items():
+        learnt = "".join(t for r, t in turns if r == "assistant")
+        g = got[conv]
+        assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (
+            len(turns), sha("".join(f"{r}\n{t}\n" for r, t in turns)), len(learnt), sha(learnt))
+        assert g.formatted_chars >= sum(len(chat_escape(r)) + len(chat_escape(t)) + 24 for r, t in turns)
+
+
+# --- conversation repair ------------------------------------------------------------------
+
+GRAMMAR = re.compile(r"(s?(ua)+)?")
+
+
+def least_edits(kinds):
+    """(cost, audit, made roles) by a suffix table over rows and grammar states, one row at a time."""
+    from stocklens.llm import repair
+    best = {0: (0, ""), 1: (6, "II"), 2: (3, "I"), 3: (0, "")}
+    for kind in reversed(kinds):
+        now = {}
+        for s in range(4):
+            options = [(4 + best[s][0], "D" + best[s][1])]
+            if kind != 8:
+                extra = 3 * (kind % 2)
+                after = {0: {0: 1}, 1: {0: 2, 1: 2, 3: 2}, 2: {2: 3}, 3: {}}[kind // 2].get(s)
+                if after is not None:
+                    options.append((extra + best[after][0], "K" + best[after][1]))
+                after = best[repair.NEXT[s]]
+                options.append((3 + extra + after[0], "R" + after[1]))
+            now[s] = min(options)
+        for _ in range(4):
+            for s in range(4):
+                cost, audit = now[repair.NEXT[s]]
+                now[s] = min(now[s], (3 + cost, "I" + audit))
+        best = now
+    return best[0]
+
+
+def all_edits(rows):
+    """Least (cost, audit) by trying every list of edits: rows are (initial, forced, truncated)."""
+    best = (4 * len(rows) + 1, "")
+
+    def go(i, initials, cost, audit):
+        nonlocal best
+        if cost > best[0] or len(audit) > 2 * len(rows) + 2:
+            return
+        if i == len(rows) and GRAMMAR.fullmatch(initials) and (cost, audit) < best:
+            best = (cost, audit)
+        go_on = [("I", i, x, 3) for x in "ua"]
+        if i < len(rows):
+            initial, forced, truncated = rows[i]
+            go_on.append(("D", i + 1, "", 4))
+            if not forced:
+                go_on += [("K", i + 1, initial, 3 * truncated), *(("R", i + 1, x, 3 + 3 * truncated) for x in "ua")]
+        for edit, j, made, more in go_on:
+            go(j, initials + made, cost + more, audit + edit)
+
+    go(0, "", 0, "")
+    return best
+
+
+def test_block_tables_give_the_least_edits():
+    from stocklens.llm import repair
+    rng = random.Random(8)
+    t = repair.tables()
+    assert len(t.vectors) < 200
+    for n in [*range(5)] * 60:
+        rows = [(rng.choice("suax"), rng.random() < 0.2, rng.random() < 0.3) for _ in range(n)]
+        kinds = [8 if f else 2 * "suax".index(i) + z for i, f, z in rows]
+        assert all_edits(rows) == least_edits(kinds)
+    for n in [*range(30)] * 20:
+        kinds = [rng.choice([0, 1, 2, 2, 2, 3, 4, 4, 4, 5, 6, 7, 8]) for _ in range(n)]
+        edits, state = t.walk(repair.kinds_of("".join(map(str, kinds))), 0, 0, True)
+        cost, audit = least_edits(kinds)
+        assert "".join(e[0] for e in edits) == audit and state in (0, 3)
+        assert cost == t.vectors[t.read(repair.kinds_of("".join(map(str, kinds))), 0)[0][0]][0] + t.read(
+            repair.kinds_of("".join(map(str, kinds))), 0)[1]
+
+
+def spaced(x):
+    return " " if x is None else str(x)
+
+
+def expected_repair(rows):
+    """Rows of op13 from (conv, turn, role, text), without blocks or segments."""
+    convs, out = {}, []
+    for conv, turn, role, text in rows:
+        h = zlib.crc32(f"{spaced(conv)}:{spaced(turn)}".encode()) % 20
+        role, text = spaced(role), spaced(text)
+        role, text = ("user" if h == 4 else role), ("" if h == 1 else re.sub("[.!?]", "", text) if h == 2 else text)
+        convs.setdefault(conv, []).extend([(turn is not None, turn or 0, role, text)] * {0: 0, 3: 2}.get(h, 1))
+    for conv, rs in convs.items():
+        rs.sort()
+        faults, seen = [], set()
+        for _, _, role, text in rs:
+            body = text.strip("\t\n\x0b\x0c\r ")
+            faults.append("blank" if not body else "duplicate" if (role, text) in seen else "" if body[-1] in ".!?" else "truncated")
+            seen.add((role, text))
+        kinds = [8 if f in ("blank", "duplicate") else 2 * {"s": 0, "u": 1, "a": 2}.get(r[2][:1], 3) + (f == "truncated")
+                 for r, f in zip(rs, faults, strict=True)]
+        cost, audit = least_edits(kinds)
+        lines, state, at = [], 0, 0
+        for e in audit:
+            if e in "IR":
+                made = {0: "user", 1: "user", 2: "assistant", 3: "user"}[state]
+            elif e == "K":
+                made = rs[at][2]
+            if e != "D":
+                lines.append(f"{made}:{'' if e == 'I' else rs[at][3]}")
+                state = {"s": 1, "u": 2, "a": 3}[made[0]]
+            at += e != "I"
+        assert at == len(rs) and GRAMMAR.fullmatch("".join(x[0] for x in lines))
+        turns = [r[1] for r in rs if r[0]]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        illegal = sum(a[2][:1] + b[2][:1] not in ("su", "ua", "au") for a, b in zip(rs, rs[1:], strict=False))
+        out.append((conv, gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, sha("\n".join(lines))))
+    return out
+
+
+def test_repair_query_equals_brute_force(spark, tmp_path):
+    rng = random.Random(9)
+    texts = ["Hello.", "Why?", "no stop", "Hello.", " ok! \n", "", " \t", None, "x" * 20 + ".", "é."]
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    for conv in [*range(1000, 1300), None]:
+        for t in range(rng.randint(1, 10)):
+            rows.append((conv, rng.choice([t, t, t, t + 3, None]), rng.choice(["user", "assistant", "system", "tool", "", None, "user", "assistant"]),
+                         rng.choice([f"{t} said.", f"{t} cut", *texts])))
+    for t in range(2500):
+        rows.append((5000, rng.choice([t, t, 7, None]), ["user", "assistant"][t % 2] if rng.random() < 0.8 else "system", rng.choice([f"{t}.", f"{t}", "again."])))
+    rows += [(5001, t, ["user", "assistant"][t % 2], f"{t}.") for t in range(1024)]
+    rows += [(6000, None, None, None), (6001, 3, "user", "long " * 40_000)] + rows[:3]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("rows", F.lit("clash")).withColumn(
+        "segment", F.lit(1)).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["op13_repair_turns"](spark, str(tmp_path))
+    assert got.columns == ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+    want = expected_repair(rows)
+    assert {c for w in want for c in w[7]} == set("DIKR")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_sequence_queries_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert QUERIES["op12_periodic_runs"](spark, str(tmp_path)).count() == 0
+    assert QUERIES["op13_repair_turns"](spark, str(tmp_path)).count() == 0
+    assert [r.conv_id for r in QUERIES["op11_chat_format"](spark, str(tmp_path)).collect()] == [-7]
