@@ -1,4 +1,4 @@
-"""Labels, buckets and exact money arithmetic (ANL-03/04/06/11)."""
+"""Labels, buckets and rounding (ANL-03/04/06/11)."""
 
 from __future__ import annotations
 
@@ -9,26 +9,6 @@ from pyspark.sql import Column, functions as F
 from stocklens import params
 
 
-def money(c: Column | str) -> Column:
-    """Money as an exact decimal, so sums do not depend on summation order; null where a
-    value does not fit (infinite or above 1e22)."""
-    c = F.col(c) if isinstance(c, str) else c
-    return c.try_cast(params.MONEY)
-
-
-def unfit(c: Column | str) -> Column:
-    """1 for a value that ``money`` cannot hold, else 0."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.when(c.isNotNull() & money(c).isNull(), 1).otherwise(0)
-
-
-def money_sum(c: Column | str) -> Column:
-    """Sum of money as double: exact, or the plain double sum where some value does not fit
-    the decimal, so that no value is left out."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.when(F.max(unfit(c)) == 1, F.sum(c.cast("double"))).otherwise(F.sum(money(c)).cast("double"))
-
-
 def round_half_even(c: Column | str, digits: int = 2) -> Column:
     """numpy-style rounding: ``rint(x * 10^d) / 10^d`` (ties to even on the scaled value).
     Same bits as the pandas contract and as any engine doing the same IEEE steps."""

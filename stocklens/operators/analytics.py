@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stocklens import params
-from stocklens.functions import money, money_sum, round_half_even, stagnant_bucket, unfit
+from stocklens.functions import exact_sum, limbs, recombine, round_half_even, stagnant_bucket
 from stocklens.operators.windows import running_sum, top_k
 
 def _BY_QTY_DESC():
@@ -17,14 +17,10 @@ def pareto(pf: DataFrame, threshold: float = params.PARETO_THRESHOLD) -> DataFra
     the client's total in %, kept while <= threshold (D2: may be empty)."""
     sold = pf.filter(F.col("sales_quantity") > 0).select(
         "client_id", "product_id", "name", "sales_quantity", "current_stock")
-    run = running_sum(sold, {"_cum": money("sales_quantity"), "_plain": F.col("sales_quantity"),
-                             "_unfit": unfit("sales_quantity"), "rank": F.lit(1)},
-                      _BY_QTY_DESC(), totals=["_cum", "_plain", "_unfit"])
-    exact = F.col("_cum").cast("double") / F.col("_cum_total").cast("double") * 100.0
-    plain = F.col("_plain") / F.col("_plain_total") * 100.0      # a quantity beyond the decimal
-    out = run.withColumns({
-        "cumulative_percentage": F.when(F.col("_unfit_total") > 0, plain).otherwise(exact),
-        "rank": F.col("rank").cast("int")})
+    parts = {f"_q{i}": x for i, x in enumerate(limbs("sales_quantity"))}
+    run = running_sum(sold, {**parts, "rank": F.lit(1)}, _BY_QTY_DESC(), totals=list(parts))
+    so_far, total = recombine([F.col(p) for p in parts]), recombine([F.col(f"{p}_total") for p in parts])
+    out = run.withColumns({"cumulative_percentage": so_far / total * 100.0, "rank": F.col("rank").cast("int")})
     return out.filter(F.col("cumulative_percentage") <= threshold).select(
         *sold.columns, "rank", "cumulative_percentage")
 
@@ -43,12 +39,11 @@ def top_share(pf: DataFrame, measure: str, k: int = params.TOP_SHARE_N) -> DataF
     slices <= 1e-6 dropped. Columns: client_id, rank, product_id, name, value."""
     top = top_k(pf.select("client_id", "product_id", "name", measure), k,
                 [F.col(measure).desc(), F.col("product_id").asc()])
-    # totals stay exact decimals until the subtraction; doubles where a value does not fit
-    top_sum = top.groupBy("client_id").agg(F.sum(money(measure)).alias("_top"), F.sum(measure).alias("_top_plain"))
-    all_sum = pf.groupBy("client_id").agg(F.sum(money(measure)).alias("_all"), F.sum(measure).alias("_all_plain"),
-                                          F.max(unfit(measure)).alias("_unfit"))
-    rest = F.when(F.col("_unfit") == 1, F.col("_all_plain") - F.col("_top_plain")).otherwise(
-        (F.col("_all") - F.col("_top")).cast("double"))
+    # totals stay exact digits until the subtraction
+    parts = range(len(limbs(measure)))
+    top_sum = top.groupBy("client_id").agg(*[F.sum(x).alias(f"_top{i}") for i, x in enumerate(limbs(measure))])
+    all_sum = pf.groupBy("client_id").agg(*[F.sum(x).alias(f"_all{i}") for i, x in enumerate(limbs(measure))])
+    rest = recombine([F.col(f"_all{i}") - F.col(f"_top{i}") for i in parts])
     other = (all_sum.join(top_sum, "client_id")
              .select("client_id",
                      F.lit(k + 1).alias("rank"),
@@ -77,7 +72,7 @@ def outstanding(deferreds: DataFrame) -> DataFrame:
     f = deferreds.filter((F.col("invoice_type") == F.lit(params.BUY_INVOICE_TYPE)) &
                          F.col("status").isin(params.OPEN_STATUSES))
     return (f.groupBy("client_id", "user_id")
-             .agg(money_sum(F.col("amount") - F.col("paid_amount")).alias("outstanding_amount"))
+             .agg(exact_sum(F.col("amount") - F.col("paid_amount")).alias("outstanding_amount"))
              .filter(F.col("outstanding_amount") > params.EPS))
 
 
@@ -107,7 +102,7 @@ def fill_grid(series: DataFrame, date_col: str, value_cols: list[str], step: str
 def monthly_avg_invoice(invoices: DataFrame) -> DataFrame:
     """ANL-13/14: mean invoice total per month, full month grid, gaps 0."""
     m = (invoices.groupBy("client_id", "year_month")
-         .agg(money_sum("total_price").alias("_s"), F.count(F.lit(1)).alias("_n"))
+         .agg(exact_sum("total_price").alias("_s"), F.count(F.lit(1)).alias("_n"))
          .select("client_id",
                  F.to_date(F.concat("year_month", F.lit("-01"))).alias("month_start"),
                  (F.col("_s") / F.col("_n")).alias("avg_invoice_value")))
@@ -117,7 +112,7 @@ def monthly_avg_invoice(invoices: DataFrame) -> DataFrame:
 def daily_sum(details: DataFrame, value: str, out: str) -> DataFrame:
     """ANL-15/16: daily sum of ``value`` by detail date, full day grid, gaps 0, round 2."""
     d = (details.groupBy("client_id", F.col("day").alias("date"))
-         .agg(round_half_even(money_sum(value), 2).alias(out)))
+         .agg(round_half_even(exact_sum(value), 2).alias(out)))
     return fill_grid(d, "date", [out], "day")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from stocklens import params
-from stocklens.functions import money, money_sum, round_half_even
+from stocklens.functions import exact_sum, round_half_even
 from stocklens.operators import analytics
 from stocklens.operators.windows import top_k
 
@@ -54,8 +54,8 @@ def efficiency_totals(pf: DataFrame) -> DataFrame:
     """FIG-05: stock and sold per label; all four labels appear, N/A always 0."""
     valid = pf.filter(F.col("efficiency").isin(params.EFFICIENCY_LABELS))
     sums = valid.groupBy("client_id", "efficiency").agg(
-        money_sum("current_stock").alias("total_stock"),
-        money_sum("sales_quantity").alias("total_sales"))
+        exact_sum("current_stock").alias("total_stock"),
+        exact_sum("sales_quantity").alias("total_sales"))
     dim = efficiency_labels(pf.select("client_id").distinct())
     return (dim.join(sums, ["client_id", "efficiency"], "left")
                .select("client_id", "efficiency", "label_order",
@@ -124,5 +124,5 @@ def top_suppliers(outstanding: DataFrame, k: int = params.TOP_SUPPLIERS_N) -> Da
 def top_suppliers_total(top: DataFrame) -> DataFrame:
     """FIG-17b: total of the shown debts."""
     return top.groupBy("client_id").agg(
-        money_sum("outstanding_amount").alias("shown_outstanding_total"),
+        exact_sum("outstanding_amount").alias("shown_outstanding_total"),
         F.count(F.lit(1)).alias("shown_suppliers"))

@@ -9,10 +9,11 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stocklens import params
-from stocklens.functions import money, unfit
+from stocklens.functions import limbs, recombine
+from stocklens.functions.hijri import hijri, hijri_date
 from stocklens.operators.analytics import fill_grid
 from stocklens.operators.cleaning import ffill_bfill0
 
@@ -31,40 +32,59 @@ def monthly_lag_columns(max_lag: int = params.MONTHLY_MAX_LAG) -> list[str]:
 
 # --- holidays ------------------------------------------------------------------
 
-# Fixed-date public holidays of the contract's calendar (month, day,
-# first year observed). Lunar holidays have no fixed date; pass them in a table.
+# Public holidays of the contract's calendar. Fixed-date ones by month, day and
+# first year observed; movable ones by month, first day and number of days of the Islamic year.
 FIXED_HOLIDAYS = [(2, 22, 2022, "Founding Day"), (9, 23, 1930, "National Day")]
+MOVABLE_HOLIDAYS = [(10, 1, 4, "Eid al-Fitr"), (12, 9, 1, "Arafat Day"), (12, 10, 3, "Eid al-Adha")]
+FIRST_HOLIDAY_YEAR = 2020
 
 
-def holiday_years(as_of) -> tuple[int, int]:
-    """The contract's window: from max(2020, year-3) to year+2."""
+def holiday_years(as_of, floor: int = FIRST_HOLIDAY_YEAR) -> tuple[int, int]:
+    """The contract's window: from max(``floor``, year-3) to year+2."""
     year = as_of.year if isinstance(as_of, (_dt.date, _dt.datetime)) else int(str(as_of)[:4])
-    return max(2020, year - 3), year + 2
+    return max(floor, year - 3), year + 2
 
 
 def holiday_table(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
-    """``(holiday_date date, name string)`` of the fixed-date holidays of the years,
-    built JVM-side; size bounded by construction (years x fixed list)."""
+    """``(holiday_date date, name string)`` of the holidays of the years, from the rules to the
+    dates, built JVM-side; size bounded by construction (years x fixed lists)."""
     years = spark.range(first_year, last_year + 1).select(F.col("id").cast("int").alias("y"))
     rows = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(d).alias("d"), F.lit(since).alias("since"),
                               F.lit(name).alias("name")) for (m, d, since, name) in FIXED_HOLIDAYS])
-    return (years.select("y", F.explode(rows).alias("h"))
-                 .filter(F.col("y") >= F.col("h.since"))
-                 .select(F.make_date("y", "h.m", "h.d").alias("holiday_date"), F.col("h.name").alias("name")))
+    fixed = (years.select("y", F.explode(rows).alias("h"))
+                  .filter(F.col("y") >= F.col("h.since"))
+                  .select(F.make_date("y", "h.m", "h.d").alias("holiday_date"), F.col("h.name").alias("name")))
+    # an Islamic year starts about 11 days earlier each year: all that overlap the window
+    first, last = (hijri(F.make_date(F.lit(y), F.lit(m), F.lit(d)))["year"] for y, m, d in ((first_year, 1, 1), (last_year, 12, 31)))
+    rows = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(d).alias("d"), F.lit(n).alias("n"), F.lit(name).alias("name"))
+                     for (m, d, n, name) in MOVABLE_HOLIDAYS])
+    movable = (spark.range(1).select(F.explode(F.sequence(first, last)).alias("y"))
+                    .select("y", F.explode(rows).alias("h"))
+                    .select(F.explode(F.sequence(F.lit(0), F.col("h.n") - 1)).alias("k"), "y", "h")
+                    .select(hijri_date(F.col("y"), F.col("h.m"), F.col("h.d") + F.col("k")).alias("holiday_date"), F.col("h.name").alias("name"))
+                    .filter(F.year("holiday_date").between(first_year, last_year)))
+    return fixed.unionByName(movable)
 
 
 class HolidayRule:
-    """The default calendar as an expression (no join): fixed-date holidays of the
-    years in ``[first_year, last_year]``."""
+    """The default calendar as an expression (no join): the holidays of the years in
+    ``[first_year, last_year]``, from the date to the rules."""
 
     def __init__(self, first_year: int, last_year: int):
         self.first_year, self.last_year = first_year, last_year
 
-    def sql(self, d: str) -> str:
-        terms = [f"(month({d}) = {m} AND dayofmonth({d}) = {day} AND year({d}) BETWEEN "
-                 f"{max(since, self.first_year)} AND {self.last_year})"
-                 for (m, day, since, _name) in FIXED_HOLIDAYS]
-        return f"CAST({' OR '.join(terms) or 'false'} AS INT)"
+    def name(self, date: Column) -> Column:
+        """The holiday's name, null on other days."""
+        day, islamic = F.month(date) * 100 + F.dayofmonth(date), hijri(date)
+        of = F.lit(None).cast("string")
+        for m, d, since, name in reversed(FIXED_HOLIDAYS):
+            of = F.when((day == m * 100 + d) & (F.year(date) >= since), name).otherwise(of)
+        for m, d, n, name in reversed(MOVABLE_HOLIDAYS):
+            of = F.when((islamic["month"] == m) & islamic["day"].between(d, d + n - 1), name).otherwise(of)
+        return F.when(F.year(date).between(self.first_year, self.last_year), of)
+
+    def flag(self, date: Column) -> Column:
+        return self.name(date).isNotNull().cast("int")
 
 
 def flag_holidays(df: DataFrame, date_col: str, holidays) -> DataFrame:
@@ -73,7 +93,7 @@ def flag_holidays(df: DataFrame, date_col: str, holidays) -> DataFrame:
     if holidays is None:
         return df.withColumn("is_holiday", F.lit(0))
     if isinstance(holidays, HolidayRule):
-        return df.selectExpr("*", f"{holidays.sql(date_col)} AS is_holiday")
+        return df.withColumn("is_holiday", holidays.flag(F.col(date_col)))
     h = holidays.select(F.col("holiday_date").cast("date").alias("_hd")).distinct() \
                 .withColumn("_h", F.lit(1))
     return (df.join(h, df[date_col] == h["_hd"], "left")
@@ -117,10 +137,10 @@ def daily_sales_features(details: DataFrame) -> DataFrame:
     Details carry their invoice's day, so nothing is joined: rows are reduced to one per
     invoice (map-side partial aggregation), then to one per day."""
     sums = {"amt": "total_price", "qty": "quantity"}
+    parts = {n: [f"{n}{i}" for i in range(len(limbs(c)))] for n, c in sums.items()}
     per = details.filter(F.col("invoice_day").isNotNull()).groupBy("client_id", F.col("invoice_day").alias("sale_date"), "invoice_id").agg(
-        *[F.sum(money(c)).alias(n) for n, c in sums.items()], *[F.sum(c).alias(f"{n}_plain") for n, c in sums.items()],
-        *[F.max(unfit(c)).alias(f"{n}_unfit") for n, c in sums.items()])
-    total = lambda n: F.when(F.max(f"{n}_unfit") == 1, F.sum(f"{n}_plain")).otherwise(F.sum(n).cast("double"))
+        *[F.sum(x).alias(p) for n, c in sums.items() for p, x in zip(parts[n], limbs(c), strict=True)])
+    total = lambda n: recombine([F.sum(p) for p in parts[n]])
     return per.groupBy("client_id", "sale_date").agg(
         total("amt").alias("daily_sales"), F.count(F.lit(1)).alias("transaction_count"), total("qty").alias("total_items"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from stocklens import params
-from stocklens.functions import days_since, efficiency_bucket, money_sum
+from stocklens.functions import days_since, efficiency_bucket, exact_sum
 
 
 def product_sales(details: DataFrame) -> DataFrame:
@@ -13,9 +13,9 @@ def product_sales(details: DataFrame) -> DataFrame:
 
     Partial (map-side) aggregation runs before the shuffle on (client, product)."""
     return details.groupBy("client_id", "product_id").agg(
-        money_sum("quantity").alias("sales_quantity"),
-        money_sum("total_price").alias("sales_amount"),
-        money_sum("net_profit").alias("net_profit"),
+        exact_sum("quantity").alias("sales_quantity"),
+        exact_sum("total_price").alias("sales_amount"),
+        exact_sum("net_profit").alias("net_profit"),
         F.max("created_at").alias("last_sale_date"),
     )
 

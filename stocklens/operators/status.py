@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from stocklens import params
-from stocklens.functions import money_sum
+from stocklens.functions import exact_sum
 
 # Figure rules as (figure, [(condition, code), ...], (condition, note)).
 # Conditions read the per-client counts below; the first true condition gives the code.
@@ -57,12 +57,12 @@ def client_stats(clients: DataFrame, pf: DataFrame, pareto: DataFrame, shares: D
     days = F.col("days_since_last_sale")
     pf_s = pf.groupBy("client_id").agg(
         F.count(F.lit(1)).alias("n_pf"),
-        money_sum("sales_quantity").alias("sold_total"),
+        exact_sum("sales_quantity").alias("sold_total"),
         cnt(qty > 0).alias("n_sold"),
         cnt(F.col("efficiency") != params.EFFICIENCY_NA).alias("n_valid_eff"),
-        money_sum("sales_amount").alias("revenue"),
+        exact_sum("sales_amount").alias("revenue"),
         F.count("buy_price").alias("n_cost"),
-        money_sum(F.when(F.col("efficiency").isin(params.EFFICIENCY_LABELS), stock + qty)).alias("eff_total"),
+        exact_sum(F.when(F.col("efficiency").isin(params.EFFICIENCY_LABELS), stock + qty)).alias("eff_total"),
         cnt((F.col("sale_price") > 0) & (qty > 0)).alias("n_scatter"),
         cnt(stock <= params.RESTOCK_THRESHOLD).alias("n_restock"),
         cnt((days >= params.STAGNANT_BINS[0]) & (days < params.NO_SALE_DAYS)).alias("n_stagnant"),

@@ -51,6 +51,3 @@ REQUIRED_COLUMNS = {
     "invoice_deferreds": ["invoice_type", "status", "amount", "paid_amount", "user_id", "client_id"],
 }
 # ---------------------------------------------------------------------------
-
-# Engine-side knobs (ours, not part of the contract).
-MONEY = "decimal(30,8)"   # money is summed exactly, then returned as double

@@ -2,7 +2,8 @@
 
 Every statement runs on the driver's tables registered as views and starts from
 the same mapping as ``sources.tables.tpch_retail_tables`` (FIXTURES F3).
-Money is summed as DECIMAL(30,8) and returned as DOUBLE, like the Spark side.
+Doubles are summed exactly, as whole multiples of 2^-70 in HUGEINT, and the total is read back
+as text, which rounds once.
 """
 
 AS_OF = "DATE '2001-12-31'"
@@ -42,9 +43,9 @@ dfr AS (
 ),
 sales AS (
   SELECT client_id, product_id,
-         CAST(SUM(CAST(quantity AS DECIMAL(30,8))) AS DOUBLE) AS sales_quantity,
-         CAST(SUM(CAST(total_price AS DECIMAL(30,8))) AS DOUBLE) AS sales_amount,
-         CAST(SUM(CAST(net_profit AS DECIMAL(30,8))) AS DOUBLE) AS net_profit,
+         CAST(CAST(SUM(CAST(quantity * pow(2, 70) AS HUGEINT)) AS VARCHAR) AS DOUBLE) / pow(2, 70) AS sales_quantity,
+         CAST(CAST(SUM(CAST(total_price * pow(2, 70) AS HUGEINT)) AS VARCHAR) AS DOUBLE) / pow(2, 70) AS sales_amount,
+         CAST(CAST(SUM(CAST(net_profit * pow(2, 70) AS HUGEINT)) AS VARCHAR) AS DOUBLE) / pow(2, 70) AS net_profit,
          MAX(created_at) AS last_sale_date
   FROM det GROUP BY client_id, product_id
 ),
@@ -74,8 +75,8 @@ sold AS (
 par AS (
   SELECT s.client_id, s.product_id, s.name, s.sales_quantity, s.current_stock,
          CAST(ROW_NUMBER() OVER w AS INTEGER) AS rank,
-         CAST(SUM(CAST(s.sales_quantity AS DECIMAL(30,8))) OVER w AS DOUBLE) / t.total * 100.0 AS cumulative_percentage
-  FROM sold s JOIN (SELECT client_id, CAST(SUM(CAST(sales_quantity AS DECIMAL(30,8))) AS DOUBLE) AS total
+         CAST(CAST(SUM(CAST(s.sales_quantity * pow(2, 70) AS HUGEINT)) OVER w AS VARCHAR) AS DOUBLE) / pow(2, 70) / t.total * 100.0 AS cumulative_percentage
+  FROM sold s JOIN (SELECT client_id, CAST(CAST(SUM(CAST(sales_quantity * pow(2, 70) AS HUGEINT)) AS VARCHAR) AS DOUBLE) / pow(2, 70) AS total
                     FROM sold GROUP BY client_id) t ON s.client_id = t.client_id
   WINDOW w AS (PARTITION BY s.client_id ORDER BY s.sales_quantity DESC, s.product_id
                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
@@ -90,10 +91,10 @@ stag AS (
 ),
 owed AS (
   SELECT client_id, user_id,
-         CAST(SUM(CAST(amount - paid_amount AS DECIMAL(30,8))) AS DOUBLE) AS outstanding_amount
+         CAST(CAST(SUM(CAST((amount - paid_amount) * pow(2, 70) AS HUGEINT)) AS VARCHAR) AS DOUBLE) / pow(2, 70) AS outstanding_amount
   FROM dfr WHERE invoice_type = 'Stocks\Models\BuyInvoice' AND status IN (0.0, 2.0)
   GROUP BY client_id, user_id
-  HAVING CAST(SUM(CAST(amount - paid_amount AS DECIMAL(30,8))) AS DOUBLE) > 1e-6
+  HAVING CAST(CAST(SUM(CAST((amount - paid_amount) * pow(2, 70) AS HUGEINT)) AS VARCHAR) AS DOUBLE) / pow(2, 70) > 1e-6
 ),
 top_owed AS (
   SELECT client_id, CAST(ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY outstanding_amount DESC, user_id) AS INTEGER) AS rank,
@@ -102,7 +103,7 @@ top_owed AS (
 ),
 mavg AS (
   SELECT client_id, CAST(year_month || '-01' AS DATE) AS month_start,
-         CAST(SUM(CAST(total_price AS DECIMAL(30,8))) AS DOUBLE) / COUNT(*) AS avg_invoice_value
+         CAST(CAST(SUM(CAST(total_price * pow(2, 70) AS HUGEINT)) AS VARCHAR) AS DOUBLE) / pow(2, 70) / COUNT(*) AS avg_invoice_value
   FROM inv GROUP BY client_id, year_month
 ),
 mgrid AS (
@@ -119,12 +120,12 @@ dgrid AS (
 ),
 dsales AS (
   SELECT g.client_id, g.date, COALESCE(s.value, 0.0) AS value
-  FROM dgrid g LEFT JOIN (SELECT client_id, day, CAST((round_even(CAST(SUM(CAST(total_price AS DECIMAL(30,8))) AS DOUBLE) * 100, 0) / 100) AS DOUBLE) AS value
+  FROM dgrid g LEFT JOIN (SELECT client_id, day, CAST((round_even(CAST(CAST(SUM(CAST(total_price * pow(2, 70) AS HUGEINT)) AS VARCHAR) AS DOUBLE) / pow(2, 70) * 100, 0) / 100) AS DOUBLE) AS value
                           FROM det GROUP BY client_id, day) s ON g.client_id = s.client_id AND g.date = s.day
 ),
 dprofit AS (
   SELECT g.client_id, g.date, COALESCE(s.value, 0.0) AS value
-  FROM dgrid g LEFT JOIN (SELECT client_id, day, CAST((round_even(CAST(SUM(CAST(net_profit AS DECIMAL(30,8))) AS DOUBLE) * 100, 0) / 100) AS DOUBLE) AS value
+  FROM dgrid g LEFT JOIN (SELECT client_id, day, CAST((round_even(CAST(CAST(SUM(CAST(net_profit * pow(2, 70) AS HUGEINT)) AS VARCHAR) AS DOUBLE) / pow(2, 70) * 100, 0) / 100) AS DOUBLE) AS value
                           FROM det GROUP BY client_id, day) s ON g.client_id = s.client_id AND g.date = s.day
 )
 """
@@ -148,12 +149,32 @@ def cal(date_col: str) -> str:
     return CAL_COLS.replace("(d)", f"({date_col})").replace("= d ", f"= {date_col} ")
 
 
+# Islamic months by adding up year and month lengths from the epoch (leap years listed by their
+# place in the cycle of 30), and the holidays of 1998 to 2003 as dates.
+HOLIDAYS = """
+, hyears AS (
+  SELECT y, DATE '0622-07-19' + CAST(COALESCE(SUM(354 + CAST(list_contains([2, 5, 7, 10, 13, 16, 18, 21, 24, 26, 29], y % 30) AS INTEGER))
+         OVER (ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start
+  FROM range(1, 1500) g(y)
+),
+hmonths AS (
+  SELECT y, m, start + CAST(COALESCE(list_sum([30, 29, 30, 29, 30, 29, 30, 29, 30, 29, 30][1:m - 1]), 0) AS INTEGER) AS start
+  FROM hyears, range(1, 13) g(m)
+),
+hdates AS (
+  SELECT start + CAST(k AS INTEGER) AS date, 'Eid al-Fitr' AS name FROM hmonths, range(0, 4) g(k) WHERE m = 10 AND year(start + CAST(k AS INTEGER)) BETWEEN 1998 AND 2003
+  UNION ALL SELECT start + 8, 'Arafat Day' FROM hmonths WHERE m = 12 AND year(start + 8) BETWEEN 1998 AND 2003
+  UNION ALL SELECT start + CAST(k AS INTEGER), 'Eid al-Adha' FROM hmonths, range(9, 12) g(k) WHERE m = 12 AND year(start + CAST(k AS INTEGER)) BETWEEN 1998 AND 2003
+  UNION ALL SELECT make_date(y, 9, 23), 'National Day' FROM range(1998, 2004) g(y)
+)
+"""
+
 FEATURES = f"""
 , dfe AS (
   SELECT i.client_id, i.day AS sale_date,
-         CAST(SUM(CAST(d.total_price AS DECIMAL(30,8))) AS DOUBLE) AS daily_sales,
+         CAST(CAST(SUM(CAST(d.total_price * pow(2, 70) AS HUGEINT)) AS VARCHAR) AS DOUBLE) / pow(2, 70) AS daily_sales,
          COUNT(DISTINCT d.invoice_id) AS transaction_count,
-         CAST(SUM(CAST(d.quantity AS DECIMAL(30,8))) AS DOUBLE) AS total_items
+         CAST(CAST(SUM(CAST(d.quantity * pow(2, 70) AS HUGEINT)) AS VARCHAR) AS DOUBLE) / pow(2, 70) AS total_items
   FROM det d JOIN inv i ON d.invoice_id = i.invoice_id GROUP BY i.client_id, i.day
 ),
 dfgrid AS (
@@ -216,9 +237,9 @@ def share_ctes(measure: str, tag: str) -> str:
 ),
 {tag}_oth AS (
   SELECT a.client_id, 11 AS rank, CAST(NULL AS VARCHAR) AS product_id, 'Other' AS name,
-         GREATEST(0.0, CAST(a.s - t.s AS DOUBLE)) AS value
-  FROM (SELECT client_id, SUM(CAST({measure} AS DECIMAL(30,8))) AS s FROM pf GROUP BY client_id) a
-  JOIN (SELECT client_id, SUM(CAST(value AS DECIMAL(30,8))) AS s FROM {tag}_top GROUP BY client_id) t
+         GREATEST(0.0, CAST(CAST(a.s - t.s AS VARCHAR) AS DOUBLE) / pow(2, 70)) AS value
+  FROM (SELECT client_id, SUM(CAST({measure} * pow(2, 70) AS HUGEINT)) AS s FROM pf GROUP BY client_id) a
+  JOIN (SELECT client_id, SUM(CAST(value * pow(2, 70) AS HUGEINT)) AS s FROM {tag}_top GROUP BY client_id) t
     ON a.client_id = t.client_id
 ),
 {tag}_shares AS (SELECT * FROM {tag}_top UNION ALL SELECT * FROM {tag}_oth)
@@ -246,9 +267,8 @@ def seasonal_naive_ctes(tag: str, src: str, date_col: str, value_col: str, m: in
   WHERE client_id IN (SELECT client_id FROM {src} GROUP BY client_id HAVING COUNT(*) >= {max(2 * m, 10)})
 ),
 {tag}_sig AS (
-  SELECT client_id, SQRT(CAST(SUM(dd * dd) AS DOUBLE) / COUNT(*)) AS sigma
-  FROM (SELECT client_id, CAST(y AS DECIMAL(18,4)) - CAST(LAG(y, {m}) OVER (PARTITION BY client_id ORDER BY d) AS DECIMAL(18,4)) AS dd
-        FROM {tag}_s)
+  SELECT client_id, SQRT(CAST(CAST(SUM(CAST(dd * dd * pow(2, 45) AS HUGEINT)) AS VARCHAR) AS DOUBLE) / pow(2, 45) / COUNT(*)) AS sigma
+  FROM (SELECT client_id, y - LAG(y, {m}) OVER (PARTITION BY client_id ORDER BY d) AS dd FROM {tag}_s)
   WHERE dd IS NOT NULL GROUP BY client_id
 ),
 {tag}_tail AS (
@@ -286,7 +306,7 @@ def trend_seasonal_ctes(name: str, src: str, date: str, value: str, m: int, hori
     step = "CAST(last + to_months(CAST(h AS INTEGER)) AS DATE)" if monthly else "last + CAST(h AS INTEGER)"
     return f"""
 , {name}_s AS (
-  SELECT client_id, {date} AS d, CAST(CAST({value} AS DOUBLE) AS DECIMAL(18,4)) AS y,
+  SELECT client_id, {date} AS d, CAST({value} AS DOUBLE) AS y,
          ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY {date}) - 1 AS t, COUNT(*) OVER (PARTITION BY client_id) AS n FROM {src}),
 {name}_l AS (
   SELECT client_id, MAX(n) AS n, MAX(d) AS last, regr_slope(CAST(y AS DOUBLE), CAST(t AS DOUBLE)) AS b,
@@ -310,6 +330,138 @@ def trend_seasonal_ctes(name: str, src: str, date: str, value: str, m: int, hori
 FC_DAILY = trend_seasonal_ctes("fcd", "feat", "sale_date", "daily_sales", 7, 14, 360, False)
 FC_MONTHLY = trend_seasonal_ctes("fcm", "mfeat", "month_start", "avg_invoice_value", 12, 6, 24, True)
 
+FUTURE_DAILY = """
+, ftail AS (
+  SELECT client_id, sale_date, daily_sales,
+         ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY sale_date DESC) AS rn FROM feat
+),
+flast AS (
+  SELECT client_id, MAX(sale_date) AS last_day,
+       CAST(COALESCE(MAX(CASE WHEN rn = 1 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_1,
+       CAST(COALESCE(MAX(CASE WHEN rn = 2 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_2,
+       CAST(COALESCE(MAX(CASE WHEN rn = 3 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_3,
+       CAST(COALESCE(MAX(CASE WHEN rn = 7 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_7,
+       CAST(COALESCE(MAX(CASE WHEN rn = 14 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_14,
+       CAST(COALESCE(MAX(CASE WHEN rn = 21 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_21,
+       CAST(COALESCE(MAX(CASE WHEN rn = 28 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_28,
+       CAST(COALESCE(MAX(CASE WHEN rn = 30 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_30,
+       CAST(COALESCE(MAX(CASE WHEN rn = 60 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_60,
+       CAST(COALESCE(MAX(CASE WHEN rn = 90 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_90
+  FROM ftail GROUP BY client_id
+),
+fdays AS (
+  SELECT *, CAST(unnest(generate_series(last_day + 1, last_day + 14, INTERVAL 1 DAY)) AS DATE) AS sale_date
+  FROM flast
+)
+"""
+
+FUTURE_MONTHLY = """
+, mtail AS (
+  SELECT client_id, month_start, avg_invoice_value,
+         ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY month_start DESC) AS rn FROM mfeat
+),
+mlast AS (
+  SELECT client_id, MAX(month_start) AS last_month,
+       CAST(COALESCE(MAX(CASE WHEN rn = 1 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_1,
+       CAST(COALESCE(MAX(CASE WHEN rn = 2 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_2,
+       CAST(COALESCE(MAX(CASE WHEN rn = 3 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_3,
+       CAST(COALESCE(MAX(CASE WHEN rn = 4 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_4,
+       CAST(COALESCE(MAX(CASE WHEN rn = 5 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_5,
+       CAST(COALESCE(MAX(CASE WHEN rn = 6 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_6,
+       CAST(COALESCE(MAX(CASE WHEN rn = 7 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_7,
+       CAST(COALESCE(MAX(CASE WHEN rn = 8 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_8,
+       CAST(COALESCE(MAX(CASE WHEN rn = 9 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_9,
+       CAST(COALESCE(MAX(CASE WHEN rn = 10 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_10,
+       CAST(COALESCE(MAX(CASE WHEN rn = 11 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_11,
+       CAST(COALESCE(MAX(CASE WHEN rn = 12 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_12
+  FROM mtail GROUP BY client_id
+),
+mdays AS (
+  SELECT *, CAST(unnest(generate_series(last_month + INTERVAL 1 MONTH, last_month + INTERVAL 6 MONTH,
+                                        INTERVAL 1 MONTH)) AS DATE) AS month_start
+  FROM mlast
+)
+"""
+
+
+def regression_ctes(name: str, src: str, future: str, date: str, value: str, blocks: dict[str, list[str]], m: int, min_obs: int, monthly: bool) -> str:
+    """Least squares of competing sets of regressors, as relations: cross products by a self-join
+    on the day, elimination by a recursion that sweeps one pivot a step (``WITH RECURSIVE``)."""
+    cols = [c for b in blocks.values() for c in b]
+    size = m + len(cols) + 1
+    places, at = {"trend": [0], "season": list(range(1, m))}, m
+    for b, cs in blocks.items():
+        places[b] = list(range(at, at + len(cs)))
+        at += len(cs)
+    sets = ["trend", "trend+season", *(f"trend+season+{b}" for b in blocks), "trend+season+" + "+".join(blocks)]
+    pivots = ", ".join(f"({c}, '{s}', {step}, {k})" for c, s in enumerate(sets)
+                       for step, k in enumerate([i for b in s.split("+") for i in places[b]], 1))
+    season = ", ".join(f"CAST(t % {m} = {k} AS DOUBLE)" for k in range(1, m))
+    held = ", ".join(f"COALESCE(CAST({c} AS DOUBLE), 0.0)" for c in cols)
+    steps = f"date_diff('month', l.last, f.{date})" if monthly else f"CAST(f.{date} - l.last AS BIGINT)"
+    return f"""
+, {name}_s AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY {date}) - 1 AS t, COUNT(*) OVER (PARTITION BY client_id) AS n FROM {src}),
+{name}_z AS (
+  SELECT client_id, t, n, {date} AS d, [CAST(t AS DOUBLE), {season}, {held}, CAST({value} AS DOUBLE)] AS z FROM {name}_s WHERE n >= {max(min_obs, 2 * m, 10)}),
+{name}_v AS (SELECT client_id, t, n, unnest(z) AS v, generate_subscripts(z, 1) - 1 AS i FROM {name}_z),
+{name}_l AS (SELECT client_id, MAX(d) AS last, MAX(n) AS n FROM {name}_z GROUP BY client_id),
+{name}_mean AS (SELECT client_id, i, AVG(v) AS mean FROM {name}_v GROUP BY client_id, i),
+{name}_c AS (SELECT v.client_id, t, v.i, v - mean AS v FROM {name}_v v JOIN {name}_mean a ON v.client_id = a.client_id AND v.i = a.i),
+{name}_gram AS (SELECT a.client_id, a.i, b.i AS j, SUM(a.v * b.v) AS v FROM {name}_c a JOIN {name}_c b ON a.client_id = b.client_id AND a.t = b.t GROUP BY ALL),
+{name}_piv(c, model, s, k) AS (VALUES {pivots}),
+{name}_sw AS (
+  SELECT client_id, c, 0 AS s, i, j, v, diag FROM {name}_gram, (SELECT DISTINCT c FROM {name}_piv),
+         (SELECT client_id AS dc, i AS di, v AS diag FROM {name}_gram WHERE i = j) WHERE dc = client_id AND di = i
+  UNION ALL
+  SELECT client_id, c, s + 1, i, j,
+         CASE WHEN d > 1e-9 * dk THEN CASE WHEN i = k AND j = k THEN -1 / d WHEN i = k OR j = k THEN v / d ELSE v - vik * vkj / d END ELSE v END, diag
+  FROM (SELECT w.*, p.k, MAX(CASE WHEN i = p.k AND j = p.k THEN v END) OVER (PARTITION BY client_id, w.c) AS d,
+               MAX(CASE WHEN i = p.k THEN diag END) OVER (PARTITION BY client_id, w.c) AS dk,
+               MAX(CASE WHEN j = p.k THEN v END) OVER (PARTITION BY client_id, w.c, i) AS vik,
+               MAX(CASE WHEN i = p.k THEN v END) OVER (PARTITION BY client_id, w.c, j) AS vkj
+        FROM {name}_sw w JOIN {name}_piv p ON p.c = w.c AND p.s = w.s + 1)),
+{name}_m AS (SELECT w.* FROM {name}_sw w JOIN (SELECT c, MAX(s) AS s FROM {name}_piv GROUP BY c) e ON e.c = w.c AND e.s = w.s),
+{name}_fit AS (
+  SELECT client_id, c, COUNT(CASE WHEN i = j AND v < 0 THEN 1 END) AS p, GREATEST(MAX(CASE WHEN i = {size - 1} AND j = {size - 1} THEN v END), 0.0) AS rss
+  FROM {name}_m GROUP BY client_id, c),
+{name}_best AS (
+  SELECT f.client_id, f.c, f.p, f.rss, l.n, l.last, n * ln(GREATEST(rss / n, 1e-9)) + 2 * (p + 2) + 2.0 * (p + 2) * (p + 3) / (n - p - 3) AS aic
+  FROM {name}_fit f JOIN {name}_l l USING (client_id) WHERE n - p - 3 >= 10
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY n * ln(GREATEST(rss / n, 1e-9)) + 2 * (p + 2) + 2.0 * (p + 2) * (p + 3) / (n - p - 3), c) = 1),
+{name}_fz AS (
+  SELECT client_id, date, unnest(z) AS v, generate_subscripts(z, 1) - 1 AS i FROM (
+    SELECT client_id, date, [CAST(t AS DOUBLE), {season}, {held}] AS z FROM (
+      SELECT f.*, f.{date} AS date, l.n - 1 + {steps} AS t FROM {future} f JOIN {name}_l l USING (client_id)))),
+{name}_x AS (
+  SELECT z.client_id, z.date, z.i, z.v - a.mean AS x, b.c FROM {name}_fz z JOIN {name}_mean a ON a.client_id = z.client_id AND a.i = z.i
+  JOIN {name}_best b ON b.client_id = z.client_id JOIN {name}_m u ON u.client_id = z.client_id AND u.c = b.c AND u.i = z.i AND u.j = z.i AND u.v < 0),
+{name}_at AS (
+  SELECT x.client_id, x.date, SUM(CASE WHEN q.j = {size - 1} THEN x.x * q.v END) AS slope, -COALESCE(SUM(CASE WHEN q.j < {size - 1} THEN x.x * q.v * y.x END), 0) AS quad
+  FROM {name}_x x JOIN {name}_m q ON q.client_id = x.client_id AND q.c = x.c AND q.i = x.i
+  LEFT JOIN {name}_x y ON y.client_id = x.client_id AND y.date = x.date AND y.i = q.j GROUP BY x.client_id, x.date),
+{name}_f AS (
+  SELECT b.client_id, t.date, a.mean + t.slope AS f, {Z95} * sqrt(b.rss / (b.n - b.p - 1) * GREATEST(1.0, 1.0 + 1.0 / b.n + t.quad)) AS half,
+         (SELECT MAX(model) FROM {name}_piv v WHERE v.c = b.c) AS model, b.p
+  FROM {name}_best b JOIN {name}_at t ON t.client_id = b.client_id JOIN {name}_mean a ON a.client_id = b.client_id AND a.i = {size - 1}),
+{name} AS (
+  SELECT client_id, date, GREATEST(f, 0.0) AS forecast, GREATEST(f - half, 0.0) AS lower_ci,
+         CASE WHEN f - half < 0 THEN GREATEST(0.0, f + half) ELSE f + half END AS upper_ci, model, p FROM {name}_f)
+"""
+
+
+_CAL_NAMES = ["day_of_week", "is_weekend", "month", "quarter", "day_of_month", "week_of_year", "is_holiday", "is_month_start", "is_month_end",
+              "day_of_year", "year"]
+FR_DAILY = f"""
+, frd_days AS (SELECT client_id, sale_date, {cal("sale_date")}, COLUMNS('sales_lag_.*') FROM fdays)
+""" + regression_ctes("frd", "feat", "frd_days", "sale_date", "daily_sales",
+                      {"calendar": _CAL_NAMES, "lags": [f"sales_lag_{k}" for k in (1, 2, 3, 7, 14, 21, 28, 30, 60, 90)]}, 7, 360, False)
+FR_MONTHLY = """
+, frm_months AS (SELECT client_id, month_start, month(month_start) AS month, quarter(month_start) AS quarter, year(month_start) AS year,
+                        COLUMNS('avg_invoice_lag_.*') FROM mdays)
+""" + regression_ctes("frm", "mfeat", "frm_months", "month_start", "avg_invoice_value",
+                      {"calendar": ["month", "quarter", "year"], "lags": [f"avg_invoice_lag_{k}" for k in range(1, 13)]}, 12, 24, True)
+
 FIG11 = """
 , f11 AS (
   SELECT client_id, date, (round_even(CAST(value AS DOUBLE) * 100, 0) / 100) AS value, 'actual' AS type,

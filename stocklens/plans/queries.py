@@ -96,8 +96,8 @@ SELECT c.client_id, l.efficiency, l.label_order,
        COALESCE(x.total_stock, 0.0) AS total_stock, COALESCE(x.total_sales, 0.0) AS total_sales
 FROM (SELECT DISTINCT client_id FROM pf) c CROSS JOIN labels l
 LEFT JOIN (SELECT client_id, efficiency,
-                  CAST(SUM(CAST(current_stock AS DECIMAL(30,8))) AS DOUBLE) AS total_stock,
-                  CAST(SUM(CAST(sales_quantity AS DECIMAL(30,8))) AS DOUBLE) AS total_sales
+                  CAST(CAST(SUM(CAST(current_stock * pow(2, 70) AS HUGEINT)) AS VARCHAR) AS DOUBLE) / pow(2, 70) AS total_stock,
+                  CAST(CAST(SUM(CAST(sales_quantity * pow(2, 70) AS HUGEINT)) AS VARCHAR) AS DOUBLE) / pow(2, 70) AS total_sales
            FROM pf WHERE efficiency IN ('Undersupplied', 'Balanced', 'Oversupplied')
            GROUP BY client_id, efficiency) x
   ON x.client_id = c.client_id AND x.efficiency = l.efficiency"""))
@@ -151,7 +151,7 @@ def q_outstanding(spark, sf_dir):
 
 
 @register("outstanding_total", oracle.q("""
-SELECT client_id, CAST(SUM(CAST(outstanding_amount AS DECIMAL(30,8))) AS DOUBLE) AS shown_outstanding_total,
+SELECT client_id, CAST(CAST(SUM(CAST(outstanding_amount * pow(2, 70) AS HUGEINT)) AS VARCHAR) AS DOUBLE) / pow(2, 70) AS shown_outstanding_total,
        COUNT(*) AS shown_suppliers
 FROM top_owed GROUP BY client_id"""))
 def q_outstanding_total(spark, sf_dir):
@@ -268,6 +268,33 @@ def q_calendar(spark, sf_dir):
     return calendar(r.daily_sales_actual, "date", r.holidays).drop("value")
 
 
+def _since_1900(spark, sf_dir) -> Retail:
+    """The driver's sales end in 2001: the holiday window's first year is lowered to reach them."""
+    return Retail.from_tpch(spark, sf_dir, first_holiday_year=1900)
+
+
+@register("holidays_movable", oracle.q(oracle.HOLIDAYS + """
+SELECT d.client_id, d.date, CAST(m.y AS INTEGER) AS hijri_year, CAST(m.m AS INTEGER) AS hijri_month,
+       CAST(d.date - m.start + 1 AS INTEGER) AS hijri_day, CAST(h.name IS NOT NULL AS INTEGER) AS is_holiday, h.name AS holiday
+FROM dsales d ASOF JOIN hmonths m ON d.date >= m.start LEFT JOIN hdates h ON d.date = h.date"""))
+def q_holidays_movable(spark, sf_dir):
+    """FEA-04: Islamic date and holiday of every day of the sales series."""
+    from pyspark.sql import functions as F
+    from stocklens.functions.hijri import hijri
+    r = _since_1900(spark, sf_dir)
+    day, islamic = F.col("date"), hijri(F.col("date"))
+    return r.daily_sales_actual.select(
+        "client_id", "date", *[islamic[p].alias(f"hijri_{p}") for p in ("year", "month", "day")],
+        r.holidays.flag(day).alias("is_holiday"), r.holidays.name(day).alias("holiday"))
+
+
+@register("daily_features_holidays", oracle.q(oracle.HOLIDAYS + oracle.FEATURES + f"""
+SELECT {DAILY_COLS.replace("is_holiday", "CAST(h.name IS NOT NULL AS INTEGER) AS is_holiday")}
+FROM feat LEFT JOIN hdates h ON feat.sale_date = h.date"""))
+def q_daily_features_holidays(spark, sf_dir):
+    return _since_1900(spark, sf_dir).daily_features
+
+
 @register("lag_features", oracle.q(
     "SELECT client_id, date, value, " +
     ", ".join(f"LAG(value, {k}) OVER (PARTITION BY client_id ORDER BY date) AS sales_lag_{k}"
@@ -283,29 +310,7 @@ def q_monthly_features(spark, sf_dir):
     return _r(spark, sf_dir).monthly_features
 
 
-@register("future_daily", oracle.q(oracle.FEATURES + """
-, ftail AS (
-  SELECT client_id, sale_date, daily_sales,
-         ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY sale_date DESC) AS rn FROM feat
-),
-flast AS (
-  SELECT client_id, MAX(sale_date) AS last_day,
-       CAST(COALESCE(MAX(CASE WHEN rn = 1 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_1,
-       CAST(COALESCE(MAX(CASE WHEN rn = 2 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_2,
-       CAST(COALESCE(MAX(CASE WHEN rn = 3 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_3,
-       CAST(COALESCE(MAX(CASE WHEN rn = 7 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_7,
-       CAST(COALESCE(MAX(CASE WHEN rn = 14 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_14,
-       CAST(COALESCE(MAX(CASE WHEN rn = 21 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_21,
-       CAST(COALESCE(MAX(CASE WHEN rn = 28 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_28,
-       CAST(COALESCE(MAX(CASE WHEN rn = 30 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_30,
-       CAST(COALESCE(MAX(CASE WHEN rn = 60 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_60,
-       CAST(COALESCE(MAX(CASE WHEN rn = 90 THEN daily_sales END), 0.0) AS FLOAT) AS sales_lag_90
-  FROM ftail GROUP BY client_id
-),
-fdays AS (
-  SELECT *, CAST(unnest(generate_series(last_day + 1, last_day + 14, INTERVAL 1 DAY)) AS DATE) AS sale_date
-  FROM flast
-)
+@register("future_daily", oracle.q(oracle.FEATURES + oracle.FUTURE_DAILY + """
 SELECT client_id, sale_date, """ + oracle.cal("sale_date") + ", sales_lag_1, sales_lag_2, sales_lag_3, sales_lag_7, sales_lag_14, sales_lag_21, sales_lag_28, sales_lag_30, sales_lag_60, sales_lag_90 FROM fdays"))
 def q_future_daily(spark, sf_dir):
     from stocklens.operators.features import future_daily
@@ -313,32 +318,7 @@ def q_future_daily(spark, sf_dir):
     return future_daily(r.daily_features, holidays=r.holidays)
 
 
-@register("future_monthly", oracle.q(oracle.FEATURES + """
-, mtail AS (
-  SELECT client_id, month_start, avg_invoice_value,
-         ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY month_start DESC) AS rn FROM mfeat
-),
-mlast AS (
-  SELECT client_id, MAX(month_start) AS last_month,
-       CAST(COALESCE(MAX(CASE WHEN rn = 1 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_1,
-       CAST(COALESCE(MAX(CASE WHEN rn = 2 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_2,
-       CAST(COALESCE(MAX(CASE WHEN rn = 3 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_3,
-       CAST(COALESCE(MAX(CASE WHEN rn = 4 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_4,
-       CAST(COALESCE(MAX(CASE WHEN rn = 5 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_5,
-       CAST(COALESCE(MAX(CASE WHEN rn = 6 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_6,
-       CAST(COALESCE(MAX(CASE WHEN rn = 7 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_7,
-       CAST(COALESCE(MAX(CASE WHEN rn = 8 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_8,
-       CAST(COALESCE(MAX(CASE WHEN rn = 9 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_9,
-       CAST(COALESCE(MAX(CASE WHEN rn = 10 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_10,
-       CAST(COALESCE(MAX(CASE WHEN rn = 11 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_11,
-       CAST(COALESCE(MAX(CASE WHEN rn = 12 THEN avg_invoice_value END), 0.0) AS FLOAT) AS avg_invoice_lag_12
-  FROM mtail GROUP BY client_id
-),
-mdays AS (
-  SELECT *, CAST(unnest(generate_series(last_month + INTERVAL 1 MONTH, last_month + INTERVAL 6 MONTH,
-                                        INTERVAL 1 MONTH)) AS DATE) AS month_start
-  FROM mlast
-)
+@register("future_monthly", oracle.q(oracle.FEATURES + oracle.FUTURE_MONTHLY + """
 SELECT client_id, month_start, CAST(month(month_start) AS INTEGER) AS month,
        CAST(quarter(month_start) AS INTEGER) AS quarter, CAST(year(month_start) AS INTEGER) AS year,
        avg_invoice_lag_1, avg_invoice_lag_2, avg_invoice_lag_3, avg_invoice_lag_4, avg_invoice_lag_5, avg_invoice_lag_6, avg_invoice_lag_7, avg_invoice_lag_8, avg_invoice_lag_9, avg_invoice_lag_10, avg_invoice_lag_11, avg_invoice_lag_12
@@ -386,7 +366,7 @@ def q_mixed_dates(spark, sf_dir):
 
 @register("ffill", oracle.q("""
 , itot AS (
-  SELECT client_id, day, CAST(SUM(CAST(total_price AS DECIMAL(30,8))) AS DOUBLE) AS total FROM inv GROUP BY client_id, day
+  SELECT client_id, day, CAST(CAST(SUM(CAST(total_price * pow(2, 70) AS HUGEINT)) AS VARCHAR) AS DOUBLE) / pow(2, 70) AS total FROM inv GROUP BY client_id, day
 ),
 igrid AS (
   SELECT client_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day
@@ -401,10 +381,10 @@ SELECT client_id, day,
 FROM ig"""))
 def q_ffill(spark, sf_dir):
     from pyspark.sql import functions as F
-    from stocklens.functions import money_sum
+    from stocklens.functions import exact_sum
     from stocklens.operators.analytics import fill_grid
     from stocklens.operators.cleaning import ffill_bfill0
-    per_day = _r(spark, sf_dir).invoices.groupBy("client_id", "day").agg(money_sum("total_price").alias("total"))
+    per_day = _r(spark, sf_dir).invoices.groupBy("client_id", "day").agg(exact_sum("total_price").alias("total"))
     gapped = fill_grid(per_day, "day", [], "day")
     return ffill_bfill0(gapped, ["total"], "day")
 
@@ -498,6 +478,21 @@ def q_forecast_monthly(spark, sf_dir):
     return _rounded_forecast(_r(spark, sf_dir).forecast_monthly)
 
 
+_FR_ROUNDED = _FC_ROUNDED + ", model, CAST(p AS INTEGER) AS n_regressors"
+
+
+@register("forecast_regressors", oracle.q(oracle.FEATURES + oracle.FUTURE_DAILY + oracle.FR_DAILY
+                                          + f"SELECT client_id, date, {_FR_ROUNDED} FROM frd").replace("WITH inv", "WITH RECURSIVE inv", 1))
+def q_forecast_regressors(spark, sf_dir):
+    return _rounded_forecast(_r(spark, sf_dir).regression_daily)
+
+
+@register("forecast_regressors_monthly", oracle.q(oracle.FEATURES + oracle.FUTURE_MONTHLY + oracle.FR_MONTHLY
+                                                  + f"SELECT client_id, date, {_FR_ROUNDED} FROM frm").replace("WITH inv", "WITH RECURSIVE inv", 1))
+def q_forecast_regressors_monthly(spark, sf_dir):
+    return _rounded_forecast(_r(spark, sf_dir).regression_monthly)
+
+
 # --- eligibility guards (GRD) ----------------------------------------------------------
 
 def _status_sql() -> str:
@@ -511,13 +506,13 @@ def _status_sql() -> str:
 , clients AS (SELECT DISTINCT client_id FROM inv UNION SELECT DISTINCT client_id FROM prod),
 pf_s AS (
   SELECT client_id, COUNT(*) AS n_pf,
-         CAST(SUM(CAST(sales_quantity AS DECIMAL(30,8))) AS DOUBLE) AS sold_total,
+         CAST(CAST(SUM(CAST(sales_quantity * pow(2, 70) AS HUGEINT)) AS VARCHAR) AS DOUBLE) / pow(2, 70) AS sold_total,
          COUNT(CASE WHEN sales_quantity > 0 THEN 1 END) AS n_sold,
          COUNT(CASE WHEN efficiency <> 'N/A' THEN 1 END) AS n_valid_eff,
-         CAST(SUM(CAST(sales_amount AS DECIMAL(30,8))) AS DOUBLE) AS revenue,
+         CAST(CAST(SUM(CAST(sales_amount * pow(2, 70) AS HUGEINT)) AS VARCHAR) AS DOUBLE) / pow(2, 70) AS revenue,
          COUNT(buy_price) AS n_cost,
-         CAST(SUM(CASE WHEN efficiency IN ('Undersupplied', 'Balanced', 'Oversupplied')
-                       THEN CAST(current_stock + sales_quantity AS DECIMAL(30,8)) END) AS DOUBLE) AS eff_total,
+         CAST(CAST(SUM(CASE WHEN efficiency IN ('Undersupplied', 'Balanced', 'Oversupplied')
+                            THEN CAST((current_stock + sales_quantity) * pow(2, 70) AS HUGEINT) END) AS VARCHAR) AS DOUBLE) / pow(2, 70) AS eff_total,
          COUNT(CASE WHEN sale_price > 0 AND sales_quantity > 0 THEN 1 END) AS n_scatter,
          COUNT(CASE WHEN current_stock <= 10 THEN 1 END) AS n_restock,
          COUNT(CASE WHEN days_since_last_sale >= 90 AND days_since_last_sale < 99999 THEN 1 END) AS n_stagnant,
@@ -714,13 +709,13 @@ def q_dirty_numbers(spark, sf_dir):
     """CLN-01 and exact sums on text: '12d', padded numbers, 'inf', 0.00004, 1e15, blanks, nulls."""
     import os
     from pyspark.sql import functions as F
-    from stocklens.functions import money_sum, num0
+    from stocklens.functions import exact_sum, num0
     li = spark.read.parquet(os.path.join(sf_dir, "lineitem.parquet"))
     k, qty = (F.col("l_orderkey") + F.col("l_linenumber")) % 7, F.col("l_quantity").cast("string")
     text = (F.when(k == 0, F.concat(qty, F.lit("d"))).when(k == 1, F.concat(F.lit("  "), qty, F.lit(" "))).when(k == 2, "inf")
             .when(k == 3, "0.00004").when(k == 4, "1e15").when(k == 5, " "))
     rows = li.select("l_orderkey", "l_linenumber", num0(text).alias("v"))
-    total = rows.groupBy("l_orderkey").agg(money_sum("v").alias("t"))
+    total = rows.groupBy("l_orderkey").agg(exact_sum("v").alias("t"))
     inf = lambda c: F.col(c) == F.lit(float("inf"))
     return rows.join(total, "l_orderkey").select(
         "l_orderkey", "l_linenumber", F.when(inf("v"), 0.0).otherwise(F.col("v")).alias("value"), inf("v").alias("infinite"),

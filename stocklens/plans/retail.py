@@ -22,11 +22,13 @@ TPCH_AS_OF = _dt.date(2001, 12, 31)
 
 
 class Retail:
-    def __init__(self, raw: dict[str, DataFrame], as_of, days_mode: str = "floor", holidays: DataFrame | None = None):
+    def __init__(self, raw: dict[str, DataFrame], as_of, days_mode: str = "floor", holidays: DataFrame | None = None,
+                 first_holiday_year: int = features.FIRST_HOLIDAY_YEAR):
         self.raw = raw
         self.as_of = as_of
         self.days_mode = days_mode
         self.holiday_table = holidays
+        self.first_holiday_year = first_holiday_year
 
     @classmethod
     def from_tpch(cls, spark: SparkSession, sf_dir: str, as_of=TPCH_AS_OF, **kw) -> Retail:
@@ -100,11 +102,11 @@ class Retail:
     # --- features -------------------------------------------------------------------
     @cached_property
     def holidays(self):
-        """The given ``(holiday_date, name)`` table, else the contract's fixed-date rule over
-        its year window."""
+        """The given ``(holiday_date, name)`` table, else the contract's fixed and movable
+        holidays over its year window."""
         if self.holiday_table is not None:
             return self.holiday_table
-        return features.HolidayRule(*features.holiday_years(self.as_of))
+        return features.HolidayRule(*features.holiday_years(self.as_of, self.first_holiday_year))
 
     # The feature tables hold one row per client per day/month (bounded by the calendar).
     # Within one query the history and future branches share their exchanges, so they
@@ -142,6 +144,14 @@ class Retail:
     def forecast_monthly(self) -> DataFrame:
         return forecast.forecast_monthly(self.monthly_features)
 
+    @cached_property
+    def regression_daily(self) -> DataFrame:
+        return forecast.regression_daily(self.daily_features, self.holidays)
+
+    @cached_property
+    def regression_monthly(self) -> DataFrame:
+        return forecast.regression_monthly(self.monthly_features)
+
     @cached_property
     def fig11_naive(self) -> DataFrame:
         """Chart 11 rows with the seasonal-naive forecast (exactly checkable)."""
