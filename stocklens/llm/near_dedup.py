@@ -9,11 +9,14 @@
    posterior probability of a similarity of at least the threshold (uniform prior) is below
    ``MISS``. Survivors are verified on their full sets.
 4. Verified links give connected components. Buckets whose nodes are all in one component
-   are finished. In the others, nodes of different components are compared as in 3, block by
-   block inside tasks: first each node with its most similar one, which merges a group that
-   hangs together by linearly many pairs; then all pairs that are left, verified inside the
-   tasks, so that only links leave them. In the end every two nodes that share a bucket are
-   either in one component or have been compared.
+   are finished. The nodes of the others meet by an exact prefix filter: of a set of n shingles,
+   ordered rarest first, only the first n - ceil(t n) + 1 are keys, and two sets of similarity t
+   share one of them. Shingles of common passages come last and make no keys. Nodes of different
+   components that share a key are compared as in 3, block by block inside tasks: first each node
+   with its most similar one, which merges a group that hangs together by linearly many pairs;
+   then all pairs that are left, verified inside the tasks, so that only links leave them. In the
+   end every two nodes that share a bucket are in one component, or share no key (so they are not
+   linked), or have been compared.
 
 The threshold is a parameter and the bands follow from it (``banding``). A link of similarity 0.85 shares no band with probability (1 - 0.85^6)^24 = 1.2e-5.
 
@@ -34,7 +37,7 @@ import sys
 import numpy as np
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from stocklens.llm.common import WordIds, map_batches, mix, staged, text_of, words_of
 
@@ -286,6 +289,19 @@ def _ordered(node, x, y):
     return np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
 
 
+def prefixes(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, node, comp): the keys of an exact prefix filter for the nodes ``left`` (node, comp).
+    Shingles that no two components share come first and need no row."""
+    rows = left.join(sets, "node").select("node", "comp", F.size("hashes").alias("size"), F.explode("hashes").alias("key"))
+    shared = (rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+              .filter("x <> y").select("key", "n"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("n", "key"))
+    held = F.count(F.lit(1)).over(Window.partitionBy("node"))
+    ranked = rows.join(shared, "key").select("key", "node", "comp", "size", rank.alias("rank"), held.alias("held"))
+    most = F.col("size") - F.floor((F.col("size") * percent + 99) / F.lit(100)) + 1
+    return ranked.filter(F.col("rank") <= most - (F.col("size") - F.col("held"))).select("key", "node", "comp")
+
+
 def best_partners(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b): each node of a run with the open partner of most equal hashes."""
     def best(run):
@@ -371,12 +387,13 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     comps = components(links)
 
     def open_members() -> DataFrame:
-        """(key, node, comp) of the buckets with more than one component left."""
+        """(key, node, comp): prefix keys of the nodes in buckets with more than one component left."""
         tagged = (members.select("key", "node").join(comps, "node", "left")
                   .select("key", "node", F.coalesce("comp", "node").alias("comp")))
         mixed = staged(tagged.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
                        .filter("x <> y").select("key"), "mixed")
-        return staged(tagged.join(mixed, "key"), "open")
+        left = staged(tagged.join(mixed, "key").select("node", "comp").distinct(), "open")
+        return staged(prefixes(left, sets, percent), "prefixes")
 
     for _ in range(ROUNDS):
         more = staged(verified(best_partners(open_members(), nodes, percent).join(links, ["a", "b"], "left_anti"), sets, percent), "verified")

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -375,3 +376,38 @@ def test_token_pieces_on_random_text():
     def check(t):
         assert pieces.count(t) == len(tok.encode(t, add_special_tokens=False))
     check()
+
+
+def test_prefix_keys_of_a_large_open_bucket_stay_linear(spark):
+    """5,000 unlinked nodes that share half of their shingles, and 40 linked pairs among them."""
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 1 << 62, 100)
+    rows = [(i, i, np.concatenate([common, rng.integers(0, 1 << 62, 100)]).tolist()) for i in range(5000)]
+    for i in range(40):
+        rows.append((5000 + i, 5000 + i, rows[i][2][:185] + rng.integers(0, 1 << 62, 15).tolist()))
+    df = spark.createDataFrame([(n, c, sorted(set(h))) for n, c, h in rows], "node long, comp long, hashes array<long>")
+    keys = near_dedup.prefixes(df.select("node", "comp"), df.select("node", "hashes"), 80).collect()
+    assert len(keys) <= 40 * 2 * 41
+    met = {}
+    for r in keys:
+        met.setdefault(r.key, set()).add(r.node)
+    assert {(i, 5000 + i) for i in range(40)} == {tuple(sorted(p)) for p in met.values()}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_links_of_open_buckets_are_found_at_the_bound(spark, percent):
+    """Groups with a common passage whose linked pairs lie at or just below the bound."""
+    rng, rows, want = random.Random(percent), [], {}
+    for g in range(3):
+        passage = [f"p{g}_{i}" for i in range(104)]
+        for k in range(60):
+            own = [f"g{g}k{k}_{i}" for i in range(100)]
+            base = passage + own
+            n = len(base) - 4                                     # x changed end words: (n - x) / (n + x)
+            most = max(x for x in range(n) if 100 * (n - x) >= percent * (n + x))
+            x = most + (k % 2)
+            i = len(rows)
+            rows += [(i, " ".join(base)), (i + 1, " ".join(base[:len(base) - x] + [f"c{rng.random()}" for _ in range(x)]))]
+            want |= {i: i, i + 1: i + (k % 2)}
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
