@@ -774,6 +774,24 @@ def q_dirty_dates(spark, sf_dir):
 
 # --- sources and sinks: a round trip through files (SRC-01..04, SNK-01) ------------------
 
+@register("xlsx_round_trip", oracle.q("""
+SELECT d.client_id, d.detail_id, d.product_id, d.invoice_id, d.quantity, d.total_price, d.buy_price, d.created_at, d.net_profit, d.day FROM det d"""))
+def q_xlsx_round_trip(spark, sf_dir):
+    """SRC-06: invoices and details written as workbooks, read back by row ranges and cleaned."""
+    import uuid
+    from stocklens.operators.cleaning import clean_details
+    from stocklens.session import ensure_checkpoint_dir
+    from stocklens.sources import xlsx
+    from stocklens.sources.tables import read_spreadsheet, scope_details
+    raw = _r(spark, sf_dir).raw
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/workbooks-{uuid.uuid4().hex[:12]}"
+    xlsx.register(spark)
+    for name in ("sale_invoices", "sale_invoices_details"):
+        raw[name].write.format("xlsx").mode("append").save(f"{root}/{name}")
+    invoices, details = (read_spreadsheet(spark, f"{root}/{name}", name, {"rows": 5_000}) for name in ("sale_invoices", "sale_invoices_details"))
+    return clean_details(scope_details(details, invoices)).drop("invoice_day")
+
+
 @register("source_round_trip", oracle.q(f"SELECT {PF_COLS} FROM pf WHERE client_id IN (1, 3)"))
 def q_source_round_trip(spark, sf_dir):
     """The raw tables written as Parquet, read back for two clients (the debts are missing), and

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from stocklens import params
-from stocklens.functions import key_int
+from stocklens.functions import key_int, parse_mixed_date
+from stocklens.sources import xlsx
 
 # Raw schema used when an optional table is missing (SRC-04).
 RAW_SCHEMAS = {
@@ -60,18 +61,37 @@ def _reader(spark: SparkSession, src: str, table: str, fmt: str, options: dict |
         opts.setdefault("dbtable", table)
         return spark.read.format("jdbc").options(**opts).load()
     path = f"{src.rstrip('/')}/{pattern.format(table=table)}"
+    if fmt == "xlsx":
+        return read_spreadsheet(spark, path, table, options)
     if fmt == "csv":
         # SRC-06: spreadsheet exports; every column arrives as text and is coerced by cleaning.
         return spark.read.options(**(options or {})).option("header", True).csv(path)
     return spark.read.format(fmt).options(**(options or {})).load(path)
 
 
+def read_spreadsheet(spark: SparkSession, path: str, table: str, options: dict | None = None) -> DataFrame:
+    """SRC-06: a workbook, or a folder of them, pruned to the contract's columns. Columns are text
+    and are coerced by cleaning; a date cell without a date format is a bare number there, so
+    ``created_at`` is parsed here, as a number first."""
+    xlsx.register(spark)
+    if not xlsx.workbooks(path):
+        raise FileNotFoundError(f"no .xlsx file at {path}")
+    wanted = ",".join(params.REQUIRED_COLUMNS.get(table, []))
+    df = spark.read.format("xlsx").options(**({"columns": wanted} if wanted else {}), **(options or {})).load(path)
+    if "created_at" not in df.columns:
+        return df
+    day = F.coalesce(parse_mixed_date(F.col("created_at").try_cast("double"), T.DoubleType()), parse_mixed_date("created_at", T.StringType()))
+    return df.withColumn("created_at", day)
+
+
 def read_optional(spark: SparkSession, src: str, table: str, fmt: str = "parquet",
                   options: dict | None = None, pattern: str = "{table}") -> DataFrame:
     """SRC-04: a missing optional table becomes an empty table; any other failure (access,
     network, a table without its columns) is raised."""
     try:
         return check_columns(_reader(spark, src, table, fmt, options, pattern), table)
+    except FileNotFoundError:
+        return empty_like(spark, table)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"):
             return empty_like(spark, table)
