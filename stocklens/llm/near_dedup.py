@@ -219,16 +219,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def bucket_runs(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, i, j, block, node, comp, n_shingles, sig): the nodes of a bucket are dealt into
+    """(key, i, j, block, node, comp, keys, n_shingles, sig): the nodes of a key are dealt into
     blocks of about BLOCK, and every two blocks i <= j meet in one run of at most about
-    2 * BLOCK rows. ``members``: (key, node, comp)."""
+    2 * BLOCK rows. ``members``: (key, node, comp, keys)."""
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     rows = (members.join(sizes, "key")
             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
             .join(nodes.select("node", "n_shingles", "sig"), "node"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                       "block", "node", "comp", "n_shingles", "sig")
+                       "block", "node", "comp", "keys", "n_shingles", "sig")
 
 
 def per_run(rows: DataFrame, fn, schema: str) -> DataFrame:
@@ -241,7 +241,7 @@ def per_run(rows: DataFrame, fn, schema: str) -> DataFrame:
     def column(batch, c):
         if c == "sig":
             return _matrix(batch.column(c).to_pylist())
-        if c == "hashes":
+        if c in ("hashes", "keys"):
             out = np.empty(batch.num_rows, dtype=object)
             out[:] = [np.asarray(v.values) for v in batch.column(c)]
             return out
@@ -271,7 +271,7 @@ def per_run(rows: DataFrame, fn, schema: str) -> DataFrame:
 
 def open_pairs(run: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the pairs of a run that are in different components and that neither size nor
-    signatures rule out."""
+    signatures rule out. Of the keys that two nodes share the first one has the pair."""
     i, j, block, node, comp, size = (run[c] for c in ("i", "j", "block", "node", "comp", "n_shingles"))
     x, y = (g.ravel() for g in np.meshgrid(np.flatnonzero(block == i), np.flatnonzero(block == j), indexing="ij"))
     ok = (comp[x] != comp[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
@@ -282,7 +282,9 @@ def open_pairs(run: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np
         return x, y
     rule, sig = least_matches(percent / 100), run["sig"]
     alive = np.concatenate([k + surviving(sig[x[k:k + 4096]], sig[y[k:k + 4096]], rule) for k in range(0, len(x), 4096)])
-    return x[alive], y[alive]
+    x, y, keys, key = x[alive], y[alive], run["keys"], run["key"][0]
+    first = np.fromiter((np.intersect1d(keys[p], keys[q], assume_unique=True)[0] == key for p, q in zip(x.tolist(), y.tolist())), dtype=bool, count=len(x))
+    return x[first], y[first]
 
 
 def _ordered(node, x, y):
@@ -290,16 +292,25 @@ def _ordered(node, x, y):
 
 
 def prefixes(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(key, node, comp): the keys of an exact prefix filter for the nodes ``left`` (node, comp).
-    Shingles that no two components share come first and need no row."""
-    rows = left.join(sets, "node").select("node", "comp", F.size("hashes").alias("size"), F.explode("hashes").alias("key"))
-    shared = (rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
-              .filter("x <> y").select("key", "n"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("n", "key"))
-    held = F.count(F.lit(1)).over(Window.partitionBy("node"))
-    ranked = rows.join(shared, "key").select("key", "node", "comp", "size", rank.alias("rank"), held.alias("held"))
+    """(node, key): the keys of an exact prefix filter for the nodes ``left`` (node, comp).
+    Shingles that no two components share come first and need no row; rows are two numbers
+    wide, as every shingle of a node travels once."""
+    rows = left.join(sets, "node")
+    shared = (rows.select("comp", F.explode("hashes").alias("key")).groupBy("key")
+              .agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key", "n"))
+    held = rows.select("node", F.explode("hashes").alias("key")).join(shared, "key").select("node", "key", "n")
+    own = Window.partitionBy("node")
+    ranked = held.join(rows.select("node", F.size("hashes").alias("size")), "node").select(
+        "node", "key", "size", F.row_number().over(own.orderBy("n", "key")).alias("rank"), F.count(F.lit(1)).over(own).alias("held"))
     most = F.col("size") - F.floor((F.col("size") * percent + 99) / F.lit(100)) + 1
-    return ranked.filter(F.col("rank") <= most - (F.col("size") - F.col("held"))).select("key", "node", "comp")
+    keys = staged(ranked.filter(F.col("rank") <= most - (F.col("size") - F.col("held"))).select("node", "key"), "keys")
+    # of the keys that the very same nodes hold one is enough; one node alone makes no pair
+    digest = [F.bit_xor(F.xxhash64("node", F.lit(i))) for i in range(2)]
+    once = (keys.groupBy("key").agg(*[d.alias(f"d{i}") for i, d in enumerate(digest)], F.count(F.lit(1)).alias("n")).filter("n > 1")
+            .groupBy("d0", "d1", "n").agg(F.min("key").alias("key")).select("key", "n"))
+    # numbered by falling size of their groups; equal numbers of two keys only join their groups
+    number = F.shiftleft(F.lit((1 << 31) - 1).cast("bigint") - F.least("n", F.lit((1 << 31) - 1)), 32).bitwiseOR(F.col("key").bitwiseAND((1 << 32) - 1))
+    return keys.join(once, "key").select("node", number.alias("key")).distinct()
 
 
 def best_partners(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -327,7 +338,7 @@ def all_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: in
         if not len(x):
             return None
         own = np.unique(np.concatenate([x, y]))
-        return tuple(run[c][own] for c in ("key", "i", "j", "block", "node", "comp"))
+        return tuple(run[c][own] for c in ("key", "i", "j", "block", "node", "comp", "keys"))
 
     def verify(run):
         x, y = open_pairs(run, percent)
@@ -338,7 +349,7 @@ def all_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: in
             ok[k] = 100 * both >= percent * (len(a) + len(b) - both)
         return _ordered(run["node"], x[ok], y[ok]) if ok.any() else None
 
-    rows = staged(per_run(bucket_runs(members, nodes), busy, "key long, i int, j int, block int, node long, comp long"), "busy")
+    rows = staged(per_run(bucket_runs(members, nodes), busy, "key long, i int, j int, block int, node long, comp long, keys array<long>"), "busy")
     rows = rows.join(nodes.select("node", "n_shingles", "sig"), "node").join(sets, "node")
     return per_run(rows, verify, "a long, b long").distinct()
 
@@ -386,14 +397,23 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     links = staged(verified(bayes(led, nodes, percent), sets, percent), "verified")
     comps = components(links)
 
+    keys: list[DataFrame] = []
+
     def open_members() -> DataFrame:
-        """(key, node, comp): prefix keys of the nodes in buckets with more than one component left."""
+        """(key, node, comp, keys): prefix keys of the nodes in buckets with more than one component
+        left. The first round's keys serve all: components only grow, so no new key appears."""
         tagged = (members.select("key", "node").join(comps, "node", "left")
                   .select("key", "node", F.coalesce("comp", "node").alias("comp")))
         mixed = staged(tagged.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
                        .filter("x <> y").select("key"), "mixed")
         left = staged(tagged.join(mixed, "key").select("node", "comp").distinct(), "open")
-        return staged(prefixes(left, sets, percent), "prefixes")
+        if not keys:
+            keys.append(staged(prefixes(left, sets, percent), "prefixes"))
+        held = keys[0].join(left, "node")
+        live = held.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
+        held = staged(held.join(live, "key"), "held")
+        lists = held.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+        return staged(held.join(lists, "node"), "members")
 
     for _ in range(ROUNDS):
         more = staged(verified(best_partners(open_members(), nodes, percent).join(links, ["a", "b"], "left_anti"), sets, percent), "verified")
