@@ -5,16 +5,18 @@ random walk embeds a sequence so that few edits become a small Hamming distance:
 it copies the symbol under the cursor and moves on if a random function of (j, symbol) says
 so. Each of T repetitions samples ``BITS`` positions of the embedding; a window of a
 document and an item of the same length are candidates if they agree on all of them in one
-repetition. T is set by simulation on the items themselves, so that a window at the
-allowed distance is found with probability ``recall``. Every candidate is verified by the
-exact edit distance in words.
+repetition. T is set for each length by simulation on all its items, so that a window at the
+allowed distance is found with probability ``recall``; where ``MAX_REPEATS`` do not reach it
+(long items) every window left is a candidate. Candidates are verified by the exact edit
+distance in words.
 
 Windows have the size of an item and start at every word of the whole text. Those that
 cannot be within the distance are left out by a lossless count of shared word pairs: one
 edit destroys at most two of an item's L - 1 pairs.
 
 The benchmark is taken in blocks of ``block_items``, each broadcast (a bounded block of
-whole items against all rows), so its size is not limited.
+whole items against all rows), so its size is not limited; with several blocks the rows found so
+far are staged between them, so that one block's index exists at a time.
 
 Defined cases: null and empty texts and items match nothing; an item of fewer than two
 words has no pairs and is compared as an exact word; equal items are all reported; repeated
@@ -31,7 +33,7 @@ import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from stocklens.llm.common import map_batches, mix, text_of
+from stocklens.llm.common import map_batches, mix, staged, text_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -151,10 +153,11 @@ class Index:
         common = self.pairs[self.owner == -1]
         self.shared = [int(np.isin(q[:-1] * self.base + q[1:], common).sum()) for q in self.seqs]
         self.by_shared = {k for k, q in enumerate(self.seqs) if len(q) > 1 and self.shared[k] >= self._need(len(q))}
-        self.walks = Walks(self._repeats(recall), self.pad)
+        self.repeats = self._repeats(recall)
+        self.walks = Walks(max(self.repeats.values(), default=1), self.pad)
         self.signed = np.zeros((self.walks.repeats, len(self.seqs)), dtype=np.uint64)
         for n, group in self.by_length.items():
-            for t in range(self.walks.repeats):
+            for t in range(self.repeats[n]):
                 self.signed[t, group] = self._sign(self.walks, [self.seqs[k] for k in group], n, t)
 
     def _need(self, n: int) -> int:
@@ -168,29 +171,37 @@ class Index:
         tokens = np.concatenate([*seqs, [self.pad]]).astype(np.int64)
         return walks.signatures(tokens, starts, np.minimum(ends, starts + length), length, t)
 
-    def _repeats(self, recall: float) -> int:
-        """Repetitions that find an item with the allowed random edits with probability
-        ``recall``, measured by simulation on up to 256 of the items."""
-        rng, probe = np.random.default_rng(11), Walks(16, self.pad, seed=5)
-        rates = []
-        for s in [s for s in self.seqs if allowed(len(s), self.similarity)][:256]:
-            edited = list(s)
-            for _ in range(allowed(len(s), self.similarity)):
-                at = int(rng.integers(1, len(edited)))
-                kind = int(rng.integers(3))
-                if kind == 0:
-                    edited[at] = 0
-                elif kind == 1 and len(edited) > 2:
-                    del edited[at]
-                else:
-                    edited.insert(at, 0)
-            both = [s, np.array(edited, dtype=np.int64)]
-            same = sum(len(set(self._sign(probe, both, len(s), t).tolist())) == 1 for t in range(probe.repeats))
-            rates.append((same + 0.5) / (probe.repeats + 1))    # add-half, as 16 walks are few
-        for t in range(1, MAX_REPEATS if rates else 1):
-            if sum(1 - (1 - p) ** t for p in rates) / len(rates) >= recall:
-                return t
-        return MAX_REPEATS if rates else 1
+    def _edited(self, seq: np.ndarray, rng) -> np.ndarray:
+        """The sequence with as many random edits as are allowed."""
+        out = seq.tolist()
+        for _ in range(allowed(len(seq), self.similarity)):
+            at = int(rng.integers(1, len(out)))
+            kind = int(rng.integers(3))
+            if kind == 0:
+                out[at] = 0
+            elif kind == 1 and len(out) > 2:
+                del out[at]
+            else:
+                out.insert(at, 0)
+        return np.array(out, dtype=np.int64)
+
+    def _repeats(self, recall: float) -> dict[int, int]:
+        """For each length, the repetitions that find an item with the allowed random edits with
+        probability ``recall``, measured by simulation on all items of the length; 0 where
+        MAX_REPEATS do not: all windows are verified there."""
+        rng, out = np.random.default_rng(11), {}
+        for n, group in self.by_length.items():
+            if not allowed(n, self.similarity):
+                out[n] = 1                                       # equal sequences walk alike
+                continue
+            seqs = [self.seqs[g] for g in group]
+            edited = [self._edited(s, rng) for s in seqs]
+            probe = Walks(min(64, max(16, 1024 // len(group))), self.pad, seed=5)
+            same = sum((self._sign(probe, seqs, n, t) == self._sign(probe, edited, n, t)).astype(np.int64) for t in range(probe.repeats))
+            rate = (same + 0.5) / (probe.repeats + 1)            # add-half, as walks are few
+            found = [1 - ((1 - rate) ** t).mean() for t in range(1, MAX_REPEATS + 1)]
+            out[n] = next((t for t, f in enumerate(found, 1) if f >= recall), 0)
+        return out
 
     def matches(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """For each text (item index, first word, words, edits): the best window of each
@@ -249,8 +260,11 @@ class Index:
             item = np.concatenate([np.full(len(st), i) for _, i, st in group])
             starts = np.concatenate([st for _, _, st in group]) + offset[span]
             stop = offset[span] + length[span]
+            if not self.repeats[n]:
+                self._search_all(tokens, text, offset, stop, span, item, starts, found)
+                continue
             left, tried = np.arange(len(starts)), np.zeros(len(starts), dtype=bool)
-            for t in range(self.walks.repeats):
+            for t in range(self.repeats[n]):
                 ends = np.minimum(starts[left] + n, stop[left])
                 sig = self.walks.signatures(tokens, starts[left], ends, n, t)
                 new = left[sig == self.signed[t, item[left]]]
@@ -272,6 +286,53 @@ class Index:
                     if got:
                         best[i] = got[0], int(starts[j] - offset[span[j]]), got[1]
 
+    def _search_all(self, tokens, text, offset, stop, span, item, starts, found) -> None:
+        """Every window: stretches of neighbouring starts are aligned with their item at once."""
+        order = np.lexsort((starts, item, span))
+        span, item, starts, stop = span[order], item[order], starts[order], stop[order]
+        cut = np.flatnonzero((np.diff(starts) != 1) | (np.diff(item) != 0) | (np.diff(span) != 0)) + 1
+        for a, b in zip(np.append(0, cut).tolist(), np.append(cut, len(starts)).tolist()):
+            i, best = int(item[a]), found[text[span[a]]]
+            n = len(self.seqs[i])
+            k = allowed(n, self.similarity)
+            limit = min(k, best[i][0] - 1) if i in best else k
+            if limit < 0:
+                continue
+            region = tokens[starts[a]:min(starts[b - 1] + n + k, stop[a])]
+            got = self._align(region, self.seqs[i], limit, b - a)
+            if got:
+                best[i] = got[0], int(starts[a] - offset[span[a]]) + got[1], got[2]
+
+    @staticmethod
+    def _align(region: np.ndarray, seq: np.ndarray, limit: int, n_starts: int) -> tuple[int, int, int] | None:
+        """(edits, start, words) of the stretch of ``region`` closest to ``seq`` that begins at one
+        of the first ``n_starts`` places, if within ``limit`` edits: one table with a free start
+        gives the least distance and its end, one backwards from there its start."""
+        def last_row(a: np.ndarray, w: np.ndarray, first: np.ndarray) -> np.ndarray:
+            steps = np.arange(len(w) + 1)
+            row = first
+            for x in range(1, len(a) + 1):
+                new = np.empty_like(row)
+                new[0] = row[0] + 1
+                new[1:] = np.minimum(row[:-1] + (w != a[x - 1]), row[1:] + 1)
+                row = np.minimum.accumulate(new - steps) + steps       # steps to the right cost one each
+            return row
+
+        free = np.zeros(len(region) + 1, dtype=np.int64)
+        free[n_starts:] = np.arange(1, len(region) + 2 - n_starts)    # later places only through the last start
+        row = last_row(seq, region, free)
+        d = int(row.min())
+        if d > limit:
+            return None
+        n = len(seq)
+        for end in np.flatnonzero(row == d)[np.argsort(np.abs(np.flatnonzero(row == d) - n), kind="stable")].tolist():
+            back = last_row(seq[::-1], region[:end][::-1], np.arange(end + 1))
+            fits = [e for e in np.flatnonzero(back == d).tolist() if 0 < e and end - e < n_starts]
+            if fits:
+                size = min(fits, key=lambda e: (abs(e - n), e))
+                return d, end - size, size
+        return None
+
     def _verify(self, window: np.ndarray, i: int, k: int, limit: int) -> tuple[int, int] | None:
         """(edits, words) of the best prefix of ``window`` against item i, if within ``limit``
         edits: one banded table, whose last row holds the distance to each end."""
@@ -317,7 +378,10 @@ def find_matches(df: DataFrame, benchmark: DataFrame, text: str = "text", item_i
                       F.array().cast(f"array<struct<{MATCH_SCHEMA.replace(' ', ':').replace(',:', ',')}>>").alias("matches"))
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), "__text string",
                         f"matches array<struct<{MATCH_SCHEMA.replace(' ', ':').replace(',:', ',')}>>"])
-    for block in blocks(benchmark, item_id, item_text, block_items):
+    for number, block in enumerate(blocks(benchmark, item_id, item_text, block_items)):
+        if number:                              # one block at a time is on the driver and the workers
+            found = staged(found, "matches")
+            sent.destroy()
         sent = spark.sparkContext.broadcast(Index(block, similarity, recall))
 
         def finder(sent=sent):
@@ -351,7 +415,10 @@ def clean_rows(df: DataFrame, benchmark: DataFrame, text: str = "text", similari
     searched inside one pass per block; nothing is joined or shuffled."""
     out = df
     arrow = df.schema
-    for block in blocks(benchmark, "item_id", "text", block_items):
+    for number, block in enumerate(blocks(benchmark, "item_id", "text", block_items)):
+        if number:
+            out = staged(out, "clean")
+            sent.destroy()
         sent = df.sparkSession.sparkContext.broadcast(Index(block, similarity, recall))
 
         def run(batches, sent=sent):

@@ -376,3 +376,60 @@ def test_pipeline_stages_on_empty_and_extra_columns(spark, docs):
         assert empty.count() == 0 and empty.columns == docs.columns
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, df, SF).columns == df.columns
+
+
+def free_distance(item, text):
+    """Least edit distance of ``item`` to any stretch of ``text``."""
+    row = [0] * (len(text) + 1)
+    for x, a in enumerate(item, 1):
+        new = [x]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j - 1] + (a != b), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination_recall_at_every_length_of_one_block(spark):
+    """Items of 7, 30, 150 and 300 words at the allowed distance, against all windows by brute force."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    items, texts, want = [], [], []
+    for n, count in ((7, 120), (30, 100), (150, 24), (300, 12)):
+        for _ in range(count):
+            item, i = [rng.choice(vocabulary) for _ in range(n)], len(items)
+            items.append((i, item))
+            edited = list(item)
+            for _ in range(decontaminate.allowed(n, 0.8)):
+                at = rng.randrange(1, len(edited) - 1)
+                rng.choice([lambda: edited.__setitem__(at, "zzz"), lambda: edited.pop(at), lambda: edited.insert(at, "qqq")])()
+            texts.append([rng.choice(vocabulary) for _ in range(rng.randint(0, 60))] + edited + [rng.choice(vocabulary) for _ in range(rng.randint(0, 60))])
+            want.append((n, i))
+    index = decontaminate.Index(items, 0.8, decontaminate.RECALL)
+    assert index.repeats[7] and not index.repeats[300]
+    hit, met = {}, {}
+    for (n, i), t, got in zip(want, texts, index.matches([" ".join(t) for t in texts]), strict=True):
+        by = {k: (s, size, e) for k, s, size, e in got}
+        assert set(by) <= {i}                                     # random words match nothing else
+        true = free_distance(items[i][1], t)
+        assert true <= decontaminate.allowed(n, 0.8)
+        hit.setdefault(n, []).append(i in by)
+        if i in by:
+            s, size, e = by[i]
+            assert edit_distance(items[i][1], t[s:s + size]) == e >= true
+            met.setdefault(n, []).append(e == true)
+    assert all(np.mean(v) >= 0.99 for v in hit.values()), {n: np.mean(v) for n, v in hit.items()}
+    assert all(met[300]) and all(met[150])
+
+
+def test_alignment_equals_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        seq, region = rng.integers(0, 4, rng.integers(1, 9)), rng.integers(0, 4, rng.integers(1, 16))
+        n_starts = int(rng.integers(1, len(region) + 1))
+        best = min(edit_distance(seq.tolist(), region[s:e].tolist()) for s in range(n_starts) for e in range(s + 1, len(region) + 1))
+        got = decontaminate.Index._align(region, seq, len(seq), n_starts)
+        if got is None:
+            assert best >= len(seq)
+            continue
+        d, s, size = got
+        assert d == best and s < n_starts and edit_distance(seq.tolist(), region[s:s + size].tolist()) == d
