@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from stocklens import params
 from stocklens.functions import key_int, key_text, num0, num_or_null, parse_mixed_date
@@ -21,6 +21,39 @@ def _typed(df: DataFrame):
             lambda c: key_int(c, t.get(c)), lambda c: num_or_null(c, t.get(c)))
 
 
+class Drops:
+    """Rows that cleaning drops, counted by reason in the pass that cleans them.
+
+    ``watch`` hooks counters (``DataFrame.observe``) onto a table; after an action over the
+    cleaned table ``counts`` tells them, without a job of its own. A row counts under the first
+    reason that fits. ``check`` raises CLN-09's error if a table had rows and kept none."""
+
+    def __init__(self) -> None:
+        self._seen: dict[str, Observation] = {}
+
+    def watch(self, df: DataFrame, table: str, reasons: dict[str, Column]) -> DataFrame:
+        seen = self._seen[table] = Observation()
+        counters, open_ = [F.count(F.lit(1)).alias("rows")], F.lit(True)
+        for name, fails in reasons.items():
+            counters.append(F.count(F.when(open_ & fails, 1)).alias(name))
+            open_ = open_ & ~fails
+        return df.observe(seen, *counters, F.count(F.when(open_, 1)).alias("kept"))
+
+    def counts(self, table: str) -> dict[str, int]:
+        """Waits for the action over the cleaned table."""
+        return {k: int(v) for k, v in self._seen[table].get.items()}
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(table_name, reason, n) of all watched tables: a few rows."""
+        rows = [(t, reason, n) for t in self._seen for reason, n in self.counts(t).items()]
+        return spark.createDataFrame(rows, "table_name string, reason string, n long")
+
+    def check(self, table: str) -> None:
+        seen = self.counts(table)
+        if seen["rows"] and not seen["kept"]:
+            raise ValueError(f"no valid rows left in {table}: {seen}")
+
+
 def clean_products(products: DataFrame) -> DataFrame:
     """CLN-04: keys as text, numbers coerced (bad gives 0)."""
     num0, key_text, _, _ = _typed(products)
@@ -34,27 +67,29 @@ def clean_products(products: DataFrame) -> DataFrame:
     )
 
 
-def clean_invoices(invoices: DataFrame) -> DataFrame:
+def clean_invoices(invoices: DataFrame, drops: Drops | None = None) -> DataFrame:
     """CLN-05: drop null id and unparsable date; add ``year_month`` and ``day``."""
     num0, _, key_int, _ = _typed(invoices)
-    return (invoices.select(
-                F.col("client_id").cast("long").alias("client_id"),
-                key_int("id").alias("invoice_id"),
-                _date_expr(invoices, "created_at").alias("created_at"),
-                num0("totalPrice").alias("total_price"))
-            .filter(F.col("invoice_id").isNotNull() & F.col("created_at").isNotNull())
+    typed = invoices.select(
+        F.col("client_id").cast("long").alias("client_id"),
+        key_int("id").alias("invoice_id"),
+        _date_expr(invoices, "created_at").alias("created_at"),
+        num0("totalPrice").alias("total_price"))
+    if drops is not None:
+        typed = drops.watch(typed, "sale_invoices", {"no_invoice_id": F.col("invoice_id").isNull(), "no_date": F.col("created_at").isNull()})
+    return (typed.filter(F.col("invoice_id").isNotNull() & F.col("created_at").isNotNull())
             .withColumns({"year_month": F.date_format("created_at", "yyyy-MM"),
                           "day": F.to_date("created_at")}))
 
 
-def clean_details(scoped_details: DataFrame) -> DataFrame:
+def clean_details(scoped_details: DataFrame, drops: Drops | None = None) -> DataFrame:
     """CLN-06/07 on details scoped by ``scope_details`` (which adds client_id and the
     invoice's raw date): own date first, else the invoice date; rows without a date
     or invoice id are dropped; ``net_profit = total - buy_price * quantity``."""
     d = scoped_details
     num0, key_text, key_int, _ = _typed(d)
     created = F.coalesce(_date_expr(d, "created_at"), _date_expr(d, "invoice_created_at"))
-    out = (d.select(
+    out = d.select(
                 F.col("client_id").cast("long").alias("client_id"),
                 key_int("id").alias("detail_id"),
                 key_text("product_id", params.NULL_PRODUCT_KEY).alias("product_id"),
@@ -64,7 +99,9 @@ def clean_details(scoped_details: DataFrame) -> DataFrame:
                 num0("buyPrice").alias("buy_price"),
                 created.alias("created_at"),
                 F.to_date(_date_expr(d, "invoice_created_at")).alias("invoice_day"))
-           .filter(F.col("created_at").isNotNull() & F.col("invoice_id").isNotNull()))
+    if drops is not None:
+        out = drops.watch(out, "sale_invoices_details", {"no_invoice_id": F.col("invoice_id").isNull(), "no_date": F.col("created_at").isNull()})
+    out = out.filter(F.col("created_at").isNotNull() & F.col("invoice_id").isNotNull())
     return out.withColumns({"net_profit": F.col("total_price") - F.col("buy_price") * F.col("quantity"),
                             "day": F.to_date("created_at")})
 

@@ -810,3 +810,116 @@ def q_source_round_trip(spark, sf_dir):
         sinks.write_analytics({"product_flow": pf}, f"{root}/out")
     back = spark.read.parquet(f"{root}/out/product_flow")
     return back.withColumn("client_id", F.col("client_id").cast("long")).select(*flows[0].columns)
+
+
+# --- drop counters, document store, snapshots, nested files -------------------------------
+
+@register("drop_counts", """
+WITH inv AS (
+  SELECT o_orderkey, o_orderkey % 6 IN (3, 5) AS no_id, o_orderkey % 5 IN (2, 3) AS no_date FROM orders),
+det AS (
+  SELECT i.no_date AND (l_orderkey + l_linenumber) % 3 <> 2 AS no_date FROM lineitem l JOIN inv i ON l.l_orderkey = i.o_orderkey WHERE NOT i.no_id)
+SELECT 'sale_invoices' AS table_name, reason, n FROM (
+  SELECT unnest(['rows', 'no_invoice_id', 'no_date', 'kept']) AS reason,
+         unnest([COUNT(*), COUNT(*) FILTER (no_id), COUNT(*) FILTER (no_date AND NOT no_id), COUNT(*) FILTER (NOT no_date AND NOT no_id)]) AS n FROM inv)
+UNION ALL
+SELECT 'sale_invoices_details', reason, n FROM (
+  SELECT unnest(['rows', 'no_invoice_id', 'no_date', 'kept']) AS reason,
+         unnest([COUNT(*), 0, COUNT(*) FILTER (no_date), COUNT(*) FILTER (NOT no_date)]) AS n FROM det)""")
+def q_drop_counts(spark, sf_dir):
+    """CLN-05/06/09: rows dropped by reason, counted in the pass that cleans dirty invoices and
+    details derived from the whole tables."""
+    import os
+    from pyspark.sql import functions as F
+    from stocklens.operators.cleaning import Drops, clean_details, clean_invoices
+    from stocklens.sources.tables import scope_details
+    orders = spark.read.parquet(os.path.join(sf_dir, "orders.parquet"))
+    lines = spark.read.parquet(os.path.join(sf_dir, "lineitem.parquet"))
+    key, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    invoices = orders.select(
+        F.when(key % 6 == 3, F.concat(text, F.lit("d"))).when(key % 6 == 5, None).otherwise(text).alias("id"), F.lit(1).cast("long").alias("client_id"),
+        F.when(key % 5 == 2, "2262-04-12").when(key % 5 == 3, "45000").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("created_at"),
+        F.col("o_totalprice").alias("totalPrice"))
+    kind = (F.col("l_orderkey") + F.col("l_linenumber")) % 3
+    details = lines.select(
+        F.col("l_linenumber").alias("id"), F.col("l_partkey").alias("product_id"), F.col("l_orderkey").cast("string").alias("invoice_id"),
+        F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("totalPrice"), F.lit(1.0).alias("buyPrice"),
+        F.when(kind == 1, "junk").when(kind == 2, F.date_format("l_shipdate", "yyyyMMdd")).alias("created_at"))
+    drops = Drops()
+    for cleaned in (clean_invoices(invoices, drops), clean_details(scope_details(details, invoices), drops)):
+        cleaned.write.format("noop").mode("overwrite").save()
+    return drops.table(spark)
+
+
+@register("document_lookup", oracle.q("""
+, recs AS (SELECT client_id, product_id, current_stock, ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY current_stock, product_id) - 1 AS seq
+           FROM pf WHERE current_stock <= 10)
+SELECT client_id, 'fig9' AS figure, CASE WHEN client_id % 2 = 0 THEN 'ar' ELSE 'en' END AS lang, CAST(seq // 5 AS INTEGER) AS page,
+       CAST(COUNT(*) AS INTEGER) AS n_records, MIN_BY(product_id, seq) AS first_product FROM recs GROUP BY ALL"""))
+def q_document_lookup(spark, sf_dir):
+    """SNK-03: documents of every client written to a store, then looked up by key: Arabic for even
+    clients, an unknown language (so English) for the others."""
+    import uuid
+    from functools import reduce
+    from pyspark.sql import Window, functions as F
+    from stocklens.operators.charts import restock
+    from stocklens.operators.docs import _pages
+    from stocklens.session import ensure_checkpoint_dir
+    from stocklens.sources import sinks
+    by_stock = Window.partitionBy("client_id").orderBy("current_stock", "product_id")
+    rows = restock(_r(spark, sf_dir).product_flow).withColumn("seq", F.row_number().over(by_stock)).select(
+        "client_id", F.lit("fig9").alias("figure"), F.explode(F.array(F.lit("en"), F.lit("ar"))).alias("lang"),
+        F.struct("product_id", "current_stock").alias("r"), "seq")
+    docs = _pages(rows.select("client_id", "figure", "lang", "seq", F.to_json("r").alias("record")), 5)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/documents-{uuid.uuid4().hex[:12]}"
+    sinks.write_doc_store(docs, path)
+    found = reduce(lambda a, b: a.unionByName(b), [sinks.lookup_doc(spark, path, c, "fig9", "AR" if c % 2 == 0 else "fr") for c in range(5)])
+    return found.select("client_id", "figure", "lang", "page", F.json_array_length("data").alias("n_records"),
+                        F.get_json_object("data", "$[0].product_id").alias("first_product"))
+
+
+@register("snapshot_publish", oracle.q(f"SELECT {PF_COLS} FROM pf"))
+def q_snapshot_publish(spark, sf_dir):
+    """SNK-02/05: two refreshes published one after the other and one that fails half way; a reader
+    sees the last whole one."""
+    import uuid
+    from stocklens.session import ensure_checkpoint_dir
+    from stocklens.sources import sinks
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/snapshots-{uuid.uuid4().hex[:12]}"
+    pf = _r(spark, sf_dir).product_flow
+
+    def refresh(df, fails=False):
+        def write(folder):
+            df.write.parquet(f"{folder}/product_flow")
+            if fails:
+                raise RuntimeError("the run ends here")
+        return write
+
+    sinks.publish_snapshot(spark, root, refresh(pf.filter("client_id = 1")))
+    sinks.publish_snapshot(spark, root, refresh(pf))
+    try:
+        sinks.publish_snapshot(spark, root, refresh(pf.filter("client_id = 2"), fails=True))
+    except RuntimeError:
+        pass
+    return spark.read.parquet(f"{sinks.snapshot(spark, root)}/product_flow")
+
+
+@register("translations_flat", """
+SELECT c_custkey, substr(t.fullkey, 3) AS key, t.value ->> '$' AS text
+FROM (SELECT c_custkey, json_object('name', c_name, 'note', CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey END, 'tags', json_array('a', c_mktsegment),
+             'none', json_object(), 'nation', json_object('name', n_name, 'region', json_object('name', r_name, 'key', r_regionkey))) AS doc
+      FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) d, json_tree(d.doc) t
+WHERE t.type <> 'OBJECT' AND NOT contains(t.fullkey, '[')""")
+def q_translations_flat(spark, sf_dir):
+    """LOC-01: a nested document for every customer, flattened to dotted keys."""
+    import os
+    from pyspark.sql import functions as F
+    from stocklens.operators.i18n import flatten_json
+    customer, nation, region = (spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")) for t in ("customer", "nation", "region"))
+    rows = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    doc = F.struct(
+        F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey")).alias("note"), F.array(F.lit("a"), "c_mktsegment").alias("tags"),
+        F.struct(F.col("n_name").alias("name"), F.struct(F.col("r_name").alias("name"), F.col("r_regionkey").alias("key")).alias("region")).alias("nation"))
+    text = F.to_json(doc, {"ignoreNullFields": "false"})
+    text = F.concat(F.lit('{"none":{},'), F.substring(text, 2, 1 << 30))
+    return flatten_json(rows.select("c_custkey", text.alias("text")), keep=("c_custkey",))

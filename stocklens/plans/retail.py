@@ -29,6 +29,7 @@ class Retail:
         self.days_mode = days_mode
         self.holiday_table = holidays
         self.first_holiday_year = first_holiday_year
+        self.drops: cleaning.Drops | None = None
 
     @classmethod
     def from_tpch(cls, spark: SparkSession, sf_dir: str, as_of=TPCH_AS_OF, **kw) -> Retail:
@@ -47,12 +48,12 @@ class Retail:
 
     @cached_property
     def invoices(self) -> DataFrame:
-        return cleaning.clean_invoices(self.raw["sale_invoices"])
+        return cleaning.clean_invoices(self.raw["sale_invoices"], self.drops)
 
     @cached_property
     def details(self) -> DataFrame:
         scoped = tables.scope_details(self.raw["sale_invoices_details"], self.raw["sale_invoices"])
-        return cleaning.clean_details(scoped)
+        return cleaning.clean_details(scoped, self.drops)
 
     @cached_property
     def deferreds(self) -> DataFrame:
@@ -190,10 +191,13 @@ class Retail:
         from stocklens.session import ensure_checkpoint_dir
         spark = self.raw["sale_invoices"].sparkSession
         root = (path or ensure_checkpoint_dir(spark)).rstrip("/") + f"/stocklens-stage-{uuid.uuid4().hex[:12]}"
-        for name in ("details", "invoices", "products", "deferreds", "product_flow", "daily_sales_actual",
+        self.drops = cleaning.Drops()              # counted while the cleaned tables are written
+        for name in ("invoices", "details", "products", "deferreds", "product_flow", "daily_sales_actual",
                      "monthly_avg_invoice", "daily_features", "monthly_features", "forecast_daily", "forecast_monthly"):
             getattr(self, name).write.mode("overwrite").parquet(f"{root}/{name}")
             self.__dict__[name] = spark.read.parquet(f"{root}/{name}")
+            if name == "invoices":
+                self.drops.check("sale_invoices")  # CLN-09: no valid date is an error, before anything is derived
         self.__dict__["staged_at"] = root
         return self
 

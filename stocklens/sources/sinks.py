@@ -5,7 +5,10 @@ reader for one client prunes to its own files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import time
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from stocklens import params
 
@@ -39,6 +42,73 @@ def write_chart_docs(docs: DataFrame, path: str, mode: str = "overwrite") -> Non
      .partitionBy("client_id", "lang").json(path))
 
 
+# --- point lookup (SNK-03) ---------------------------------------------------------------
+
+def _doc_key(client, figure, lang) -> Column:
+    return F.concat_ws("/", client, figure, lang)
+
+
+def write_doc_store(docs: DataFrame, path: str, mode: str = "overwrite", group_bytes: int = 1 << 20) -> None:
+    """Documents as Parquet for lookups by (client, figure, language): sorted by the key, in small
+    row groups with a bloom filter on it, so that a lookup reads the row groups of its document."""
+    keyed = docs.withColumn("doc_key", _doc_key(F.col("client_id"), F.col("figure"), F.col("lang")))
+    (keyed.repartitionByRange("doc_key", "page").sortWithinPartitions("doc_key", "page").write.mode(mode)
+     .option("parquet.bloom.filter.enabled#doc_key", "true").option("parquet.block.size", group_bytes)
+     .option("parquet.page.size.row.check.min", 10).option("parquet.block.size.row.check.min", 10).parquet(path))
+
+
+def lookup_doc(spark: SparkSession, path: str, client_id, figure: str, lang: str | None = None) -> DataFrame:
+    """SNK-03 on a document store: pages of the document in the wanted language, else in ``en``.
+    The filter is an equality on the key, pushed to statistics and bloom filters."""
+    want = (lang or params.DEFAULT_LANGUAGE).lower()
+    keys = list(dict.fromkeys(f"{client_id}/{figure}/{la}" for la in (want, params.DEFAULT_LANGUAGE)))
+    d = spark.read.parquet(path).filter(F.col("doc_key").isin(keys))
+    best = F.min(F.when(F.col("lang") == want, 0).otherwise(1)).over(Window.partitionBy("client_id", "figure"))
+    d = d.withColumn("_best", best).filter(F.col("_best") == F.when(F.col("lang") == want, 0).otherwise(1))
+    return d.drop("_best", "doc_key").orderBy("page")
+
+
+# --- snapshots (SNK-02, SNK-05) ------------------------------------------------------------
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def publish_snapshot(spark: SparkSession, root: str, write, keep: int = 2) -> str:
+    """Publish a refresh at once: ``write(folder)`` writes any number of tables into a version's own
+    folder; then one rename switches the manifest to it. A run that fails before leaves the
+    last version readable, and readers never see half a refresh. Of older versions the last
+    ``keep`` - 1 stay for readers that are still on them; their data and that of failed runs
+    before them go. One publisher at a time."""
+    root = root.rstrip("/")
+    version = f"v{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    write(f"{root}/{version}")
+    fs, _ = _hadoop(spark, root)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fresh = path(f"{root}/CURRENT-{version}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    jvm = spark._jvm
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(path(f"{root}/CURRENT")), over)
+    versions = sorted(s.getPath().getName() for s in fs.listStatus(path(root)) if s.isDirectory() and s.getPath().getName().startswith("v"))
+    for old in versions[:max(0, versions.index(version) + 1 - keep)]:
+        fs.delete(path(f"{root}/{old}"), True)
+    return version
+
+
+def snapshot(spark: SparkSession, root: str) -> str | None:
+    """Folder of the published version, None before the first."""
+    fs, manifest = _hadoop(spark, f"{root.rstrip('/')}/CURRENT")
+    if not fs.exists(manifest):
+        return None
+    return f"{root.rstrip('/')}/{spark.read.text(manifest.toString()).first()[0].strip()}"
+
+
 def read_chart_docs(spark: SparkSession, path: str) -> DataFrame:
     schema = ("figure string, page int, data string, metadata struct<timestamp:string, description:string, "
               "frequency:string, title:string, chart_type:string, x_axis:struct<name:string,type:string,title:string>, "
