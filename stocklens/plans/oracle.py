@@ -479,3 +479,66 @@ PARETO_BANDS = """
   FROM (SELECT *, CAST(GREATEST(CEIL(cumulative_percentage / 10.0), 1) AS INTEGER) AS k FROM pareto)
 )
 """
+
+
+def _word(words: dict[str, str], key: str, default: str) -> str:
+    return "'" + words.get(key, default).replace("'", "''") + "'"
+
+
+def record_values(words: dict[str, dict[str, str]]) -> str:
+    """Every value of every record of the list-shaped figures, by language and localised key:
+    ``words`` are the languages' dictionaries. Written out by hand, figure by figure."""
+    top = "SELECT *, ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY {} ) AS seq FROM {} QUALIFY seq <= {}"
+    rounded = lambda c: f"(round_even(CAST({c} AS DOUBLE) * 100, 0) / 100)"
+    series = lambda actual, fc, month: (
+        f"SELECT *, ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY date, type) AS seq FROM ({actual} UNION ALL SELECT client_id, "
+        + ("strftime(date, '%Y-%m')" if month else "CAST(date AS VARCHAR)")
+        + f", {rounded('forecast')}, 'forecast', {rounded('lower_ci')}, {rounded('upper_ci')} FROM {fc})")
+    none = "CAST(NULL AS DOUBLE) AS lower_ci, CAST(NULL AS DOUBLE) AS upper_ci"
+    daily = f"SELECT client_id, CAST(date AS VARCHAR) AS date, {rounded('value')} AS value, 'actual' AS type, {none} FROM dsales"
+    monthly = f"SELECT client_id, strftime(month_start, '%Y-%m') AS date, {rounded('avg_invoice_value')} AS value, 'actual' AS type, {none} FROM monthly"
+    sold = "(SELECT * FROM pf WHERE sales_quantity > 0)"
+    line = [("date", "date", "date"), ("value", "value", "value"), ("type", "type", "type"), ("lower_ci", "lower_ci", "lower_ci"), ("upper_ci", "upper_ci", "upper_ci")]
+    stock = [("name", "x_axis.title", "Product"), ("current_stock", "series.stock", "Current Stock"), ("sales_quantity", "series.sales", "Sales")]
+    figures = {
+        "fig1": (top.format("sales_quantity DESC, product_id", "pf", 20), stock),
+        "fig3": (top.format("sales_amount DESC, product_id", "(SELECT *, sales_quantity * buy_price AS cogs, sales_amount - sales_quantity * buy_price AS margin FROM pf)", 20),
+                 [("name", "x_axis.title", "Product"), ("sales_amount", "series.revenue", "Revenue"), ("cogs", "series.cogs", "COGS"), ("margin", "series.margin", "Margin")]),
+        "fig4": (top.format("sales_quantity DESC, product_id", "pf", 20), stock),
+        "fig5": ("SELECT * FROM eff5", [("efficiency@efficiency_labels", "x_axis.title", "Efficiency Category"), ("total_stock", "series.stock", "Total Stock"),
+                                        ("total_sales", "series.sales", "Total Sales")]),
+        "fig6": ("SELECT *, rank AS seq FROM pb", [("name", "x_axis.title", "Product"), ("sales_quantity", "series.sales", "Sales Quantity"),
+                                                   ("cumulative_pct", "series.cumulative", "Cumulative %"), ("percentage_category", "", "percentage_category")]),
+        "fig7": (top.format("product_id", "pf WHERE sale_price > 0 AND sales_quantity > 0", 1e9),
+                 [("name", "common.product_name", "Product Name"), ("sale_price", "x_axis.title", "Sale Price"), ("sales_quantity", "y_axis.title", "Quantity Sold")]),
+        "fig9": (top.format("current_stock, product_id", "pf WHERE current_stock <= 10", 1e9), [("name", "x_axis.title", "Product"), ("current_stock", "y_axis.title", "Current Stock")]),
+        "fig10": (top.format("days_since_last_sale DESC, product_id", "stag", 1e9),
+                  [("name", "x_axis.title", "Product"), ("days_since_last_sale", "y_axis.title", "Days Since Last Sale"), ("days_category@stagnant_labels", "data_keys.category", "Stagnancy Period"),
+                   ("last_sale_date_str", "common.last_sale_date", "Last Sale"), ("current_stock", "common.current_stock", "Stock"), ("product_id", "common.product_id", "ID")]),
+        "fig11": (series(daily, "fcd", False), line),
+        "fig12": (series(monthly, "fcm", True), line),
+        "fig13": (top.format("sales_quantity, product_id", sold, 10), [("name", "y_axis.title", "Product"), ("sales_quantity", "x_axis.title", "Quantity Sold")]),
+        "fig14": (top.format("sales_quantity", "(SELECT client_id, sales_quantity, COUNT(*) AS product_count FROM pf WHERE sales_quantity > 0 GROUP BY ALL)", 15),
+                  [("sales_quantity", "columns.quantity", "Quantity Sold"), ("product_count", "columns.num_products", "Number of Products")]),
+        "fig15": (top.format("sales_quantity DESC, product_id", sold, 10), [("name", "y_axis.title", "Product"), ("sales_quantity", "x_axis.title", "Quantity Sold")]),
+        "fig17": ("SELECT *, rank AS seq FROM top_owed", [("user_id", "x_axis.title", "Supplier (ID)"), ("outstanding_amount", "y_axis.title", "Outstanding Amount")]),
+    }
+    parts = []
+    for fig, (rows, cols) in figures.items():
+        for lang, said in words.items():
+            for col, key, default in cols:
+                col, _, labels = col.partition("@")
+                value = f"CAST({col} AS VARCHAR)"
+                if labels:
+                    pairs = " ".join(f"WHEN '{k.split('.', 1)[1]}' THEN {_word(said, k, k)}" for k in said if k.startswith(labels + "."))
+                    value = f"CASE {col} {pairs} ELSE {col} END"
+                name = _word(said, key if key.startswith("common.") else f"{fig}.{key}", default) if key and fig not in ("fig11", "fig12") else f"'{default}'"
+                parts.append(f"SELECT client_id, '{fig}' AS figure, '{lang}' AS lang, CAST(seq AS BIGINT) AS seq, {name} AS key, {value} AS value FROM ({rows})")
+    return q(PARETO_BANDS + FEATURES + FC_DAILY + FC_MONTHLY + """
+, eff5 AS (
+  SELECT c.client_id, l.efficiency, l.label_order + 1 AS seq, COALESCE(x.total_stock, 0.0) AS total_stock, COALESCE(x.total_sales, 0.0) AS total_sales
+  FROM (SELECT DISTINCT client_id FROM pf) c CROSS JOIN labels l
+  LEFT JOIN (SELECT client_id, efficiency, SUM(current_stock) AS total_stock, SUM(sales_quantity) AS total_sales FROM pf WHERE efficiency <> 'N/A' GROUP BY ALL) x
+    ON x.client_id = c.client_id AND x.efficiency = l.efficiency),
+vals AS (""" + " UNION ALL ".join(parts) + """)
+SELECT client_id, figure, lang, seq, key, TRY_CAST(value AS DOUBLE) AS number, CASE WHEN TRY_CAST(value AS DOUBLE) IS NULL THEN value END AS text FROM vals""")

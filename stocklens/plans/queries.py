@@ -564,6 +564,22 @@ def q_chart_records(spark, sf_dir):
     return records(_r(spark, sf_dir))
 
 
+def _record_values_sql() -> str:
+    from stocklens.operators.i18n import load_dictionaries
+    return oracle.record_values({la: load_dictionaries()[la] for la in ("en", "ar")})
+
+
+@register("chart_record_values", _record_values_sql())
+def q_chart_record_values(spark, sf_dir):
+    """LOC-03/05/06: the records of every list-shaped figure in both languages, parsed back from
+    their JSON: each localised key with its number or text."""
+    from pyspark.sql import functions as F
+    from stocklens.operators.docs import records
+    parsed = records(_r(spark, sf_dir)).select("client_id", "figure", "lang", "seq", F.explode(F.from_json("record", "map<string,string>")).alias("key", "value"))
+    number = F.col("value").try_cast("double")
+    return parsed.select("client_id", "figure", "lang", "seq", "key", number.alias("number"), F.when(number.isNull(), F.col("value")).alias("text"))
+
+
 def _labels_sql() -> str:
     from stocklens.operators.i18n import load_dictionaries
     words = [(lang, k.split(".", 1)[1], v) for lang in ("en", "ar") for k, v in sorted(load_dictionaries()[lang].items())
