@@ -643,9 +643,10 @@ def q_feature_dates(spark, sf_dir):
 
 # --- customers as clients: small clients, on which every guard fires ---------------------
 
-def _customer_retail(spark, sf_dir) -> Retail:
+def _customer_retail(spark, sf_dir, faults: bool = False) -> Retail:
     """The driver's tables with every customer as a client of its own: its orders, the parts
-    it bought as its catalogue."""
+    it bought as its catalogue. With ``faults``, by client id modulo 5: 0 sold no quantity, 1
+    lists no prices, 2 took no money, 3 has no sales at all, 4 sold within a few days."""
     import os
     from pyspark.sql import functions as F
     from stocklens.plans.retail import TPCH_AS_OF
@@ -660,6 +661,13 @@ def _customer_retail(spark, sf_dir) -> Retail:
     products = bought.join(part, "p_partkey").select(
         F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), (F.col("p_retailprice") * 0.6).alias("buyPrice"),
         F.col("p_retailprice").alias("salePrice"), stock.alias("quantity"), "client_id")
+    if faults:
+        kind, own = F.col("client_id") % 5, details.columns
+        details = details.join(who, "invoice_id").filter(kind != 3).withColumns({
+            "quantity": F.when(kind == 0, 0.0).otherwise(F.col("quantity")), "totalPrice": F.when(kind == 2, 0.0).otherwise(F.col("totalPrice")),
+            "created_at": F.when(kind == 4, F.date_add(F.lit("2001-06-01").cast("date"), (F.col("id") % 100).cast("int")).cast("timestamp"))
+                           .otherwise(F.col("created_at").cast("timestamp"))}).select(*own)
+        products = products.withColumn("salePrice", F.when(kind == 1, 0.0).otherwise(F.col("salePrice")))
     lineitem = spark.read.parquet(os.path.join(sf_dir, "lineitem.parquet"))
     returned = lineitem.filter("l_returnflag = 'R'").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     deferreds = returned.select(
@@ -712,6 +720,56 @@ def q_customer_chart_status(spark, sf_dir):
     return _customer_retail(spark, sf_dir).chart_status
 
 
+def _faulty_status_sql() -> str:
+    sql = _customer_status_sql()
+    for old, new in (
+        ("l.l_quantity AS quantity, l.l_extendedprice AS total_price,",
+         "CASE WHEN i.client_id % 5 = 0 THEN 0.0 ELSE l.l_quantity END AS quantity, CASE WHEN i.client_id % 5 = 2 THEN 0.0 ELSE l.l_extendedprice END AS total_price,"),
+        ("l.l_extendedprice - (p.p_retailprice * 0.6) * l.l_quantity AS net_profit",
+         "CASE WHEN i.client_id % 5 = 2 THEN 0.0 ELSE l.l_extendedprice END - (p.p_retailprice * 0.6) * CASE WHEN i.client_id % 5 = 0 THEN 0.0 ELSE l.l_quantity END AS net_profit"),
+        ("CAST(l.l_shipdate AS TIMESTAMP) AS created_at, CAST(l.l_shipdate AS DATE) AS day",
+         "CAST(CASE WHEN i.client_id % 5 = 4 THEN DATE '2001-06-01' + CAST(l.l_linenumber AS INTEGER) ELSE CAST(l.l_shipdate AS DATE) END AS TIMESTAMP) AS created_at, "
+         "CASE WHEN i.client_id % 5 = 4 THEN DATE '2001-06-01' + CAST(l.l_linenumber AS INTEGER) ELSE CAST(l.l_shipdate AS DATE) END AS day"),
+        ("  JOIN part p ON l.l_partkey = p.p_partkey\n),", "  JOIN part p ON l.l_partkey = p.p_partkey WHERE i.client_id % 5 <> 3\n),"),
+        ("p.p_retailprice AS sale_price,", "CASE WHEN i.client_id % 5 = 1 THEN 0.0 ELSE p.p_retailprice END AS sale_price,"),
+    ):
+        assert old in sql, old
+        sql = sql.replace(old, new, 1)
+    return sql
+
+
+@register("faulty_chart_status", _faulty_status_sql())
+def q_faulty_chart_status(spark, sf_dir):
+    """GRD-01..11 on clients without sales, quantities, prices, income or history: every condition
+    that data can show fires."""
+    return _customer_retail(spark, sf_dir, faults=True).chart_status
+
+
+@register("forecast_gates", oracle.q(oracle.FEATURES + """
+, d AS (SELECT client_id, sale_date, ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY sale_date) AS t FROM feat),
+m AS (SELECT client_id, month_start, ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY month_start) AS t FROM monthly)
+SELECT client_id * 10 + 1 AS client_id, 'daily' AS series, strftime(sale_date + CAST(h AS INTEGER), '%Y-%m-%d') AS date FROM d, range(1, 15) g(h) WHERE t = 360
+UNION ALL
+SELECT client_id * 10 + 1, 'monthly', strftime(CAST(month_start + to_months(CAST(h AS INTEGER)) AS DATE), '%Y-%m') FROM m, range(1, 7) g(h) WHERE t = 36"""))
+def q_forecast_gates(spark, sf_dir):
+    """FCS-01: every client's series cut to 359 and 360 days, and to 35 and 36 months; only the longer
+    ones are forecast."""
+    from pyspark.sql import Window, functions as F
+    from stocklens.operators import forecast
+    from stocklens.operators.features import monthly_features
+    r = _r(spark, sf_dir)
+
+    def cut(df, date, n):
+        t = F.row_number().over(Window.partitionBy("client_id").orderBy(date))
+        both = df.withColumn("_t", t).withColumn("_k", F.explode(F.array(F.lit(0), F.lit(1))))
+        return both.filter(F.col("_t") < n + F.col("_k")).withColumn("client_id", F.col("client_id") * 10 + F.col("_k")).drop("_t", "_k")
+
+    daily = forecast.forecast_daily(cut(r.daily_features, "sale_date", 360))
+    monthly = forecast.forecast_monthly(monthly_features(cut(r.monthly_avg_invoice, "month_start", 36)))
+    return (daily.select("client_id", F.lit("daily").alias("series"), F.date_format("date", "yyyy-MM-dd").alias("date"))
+            .unionByName(monthly.select("client_id", F.lit("monthly").alias("series"), "date")))
+
+
 # --- dirty text derived from the whole tables (CLN-01..03, money) -----------------------
 
 @register("dirty_numbers", """
