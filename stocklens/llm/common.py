@@ -86,6 +86,21 @@ def publish(spark: SparkSession, name: str, parts) -> str:
     return name
 
 
+class Shared:
+    """A broadcast of ``value`` with the code of its class, so that executors need no install of
+    this package. ``value`` unpacks it: once in a task."""
+
+    def __init__(self, spark: SparkSession, value):
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return cloudpickle.loads(self._sent.value)
+
+    def destroy(self) -> None:
+        self._sent.destroy()
+
+
 def words_of(text: str) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, as UTF-8 bytes. ``bytes.lower``
     and ``bytes.split`` are exactly these ASCII rules."""

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from stocklens.llm.common import map_batches, mix, staged, text_of
+from stocklens.llm.common import Shared, map_batches, mix, staged, text_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -382,7 +382,7 @@ def find_matches(df: DataFrame, benchmark: DataFrame, text: str = "text", item_i
         if number:                              # one block at a time is on the driver and the workers
             found = staged(found, "matches")
             sent.destroy()
-        sent = spark.sparkContext.broadcast(Index(block, similarity, recall))
+        sent = Shared(spark, Index(block, similarity, recall))
 
         def finder(sent=sent):
             index = sent.value
@@ -419,7 +419,7 @@ def clean_rows(df: DataFrame, benchmark: DataFrame, text: str = "text", similari
         if number:
             out = staged(out, "clean")
             sent.destroy()
-        sent = df.sparkSession.sparkContext.broadcast(Index(block, similarity, recall))
+        sent = Shared(df.sparkSession, Index(block, similarity, recall))
 
         def run(batches, sent=sent):
             import pyarrow as pa

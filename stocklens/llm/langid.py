@@ -25,7 +25,7 @@ import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from stocklens.llm.common import MASK64, draw, map_batches, text_of
+from stocklens.llm.common import MASK64, Shared, draw, map_batches, text_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -263,7 +263,7 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 def calibrate(model: Model, rows: DataFrame) -> None:
     """Set the posterior's sharpness (least log loss) and each language's entropy ceiling."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    sent = Shared(rows.sparkSession, model)
 
     def score():
         m = sent.value
@@ -294,7 +294,7 @@ def calibrate(model: Model, rows: DataFrame) -> None:
 def detect(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns plus lang_pred, score, cross_entropy and rejected."""
     types = dict(df.dtypes)
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = Shared(df.sparkSession, model)
 
     def predictor():
         m = sent.value
@@ -316,7 +316,7 @@ def detect(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[s
 
 def accepted_rows(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """The rows of ``df`` whose language is known, all columns kept; nothing is shuffled."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = Shared(df.sparkSession, model)
 
     def run(batches):
         import pyarrow as pa

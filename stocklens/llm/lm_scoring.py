@@ -34,7 +34,7 @@ import xxhash
 from pyspark import SparkFiles, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from stocklens.llm.common import MASK64, WordIds, map_batches, mix, publish, staged, text_of, words_of
+from stocklens.llm.common import MASK64, Shared, WordIds, map_batches, mix, publish, staged, text_of, words_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -391,7 +391,7 @@ def score(df: DataFrame, trained: Trained, text: str = "text", keep: tuple[str,
     """``keep`` columns plus n_tokens, n_known, train_tokens, base_score and score."""
     sc = df.sparkSession.sparkContext
     model, counts = trained.model, trained.counts
-    sent, head = sc.broadcast(model), sc.broadcast(frequent(counts))
+    sent, head = Shared(df.sparkSession, model), sc.broadcast(frequent(counts))
     n, v = model.n_tokens, model.n_words
     types = dict(df.dtypes)
 

@@ -28,7 +28,6 @@ are not read.
 from __future__ import annotations
 
 import sys
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -148,9 +147,14 @@ class Tables:
         return out, state
 
 
-@lru_cache(maxsize=1)
+_BUILT: list[Tables] = []
+
+
 def tables() -> Tables:
-    return Tables()
+    """The tables, built once in a worker."""
+    if not _BUILT:
+        _BUILT.append(Tables())
+    return _BUILT[0]
 
 
 def kinds_of(symbols: str) -> np.ndarray:
