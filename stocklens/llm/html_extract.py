@@ -311,12 +311,18 @@ def tag_in(label: str) -> str:
     return re.split(r"[.#@]", label, maxsplit=1)[0]
 
 
-def around(path: tuple[str, ...]) -> bool:
+def around(path: tuple[str, ...], home: tuple[str, ...] = ()) -> bool:
     """Whether a path leads through a region that is no main text. Headers inside an article
-    belong to it."""
-    inside = False
-    for label in path:
+    belong to it. Names tell nothing of what contains the whole page, or the main container
+    ``home``."""
+    inside, whole = False, path[:len(home)] == home
+    for i, label in enumerate(path):
         tag = tag_in(label)
+        if tag in ("html", "body") or (whole and i < len(home)):
+            if tag in AROUND:
+                return True
+            inside = inside or tag in ("article", "main")
+            continue
         names = label[len(tag):].replace(".", " ").replace("#", " ").replace("@", " ")
         if tag in ("article", "main"):
             inside = True
@@ -353,6 +359,22 @@ def container(weights: list[tuple[tuple[str, ...], int]]) -> list[str]:
     return list(max(mass, key=lambda p: (mass[p], -len(p), p))) if mass else []
 
 
+def main_container(blocks: list[tuple[tuple[str, ...], str]]) -> tuple[str, ...]:
+    """The article or main element whose names, or those of what contains it, would wrongly leave
+    it out: the one with the most text, if that is more than all text that stays; else ()."""
+    stays, mass = 0, {}
+    for path, text in blocks:
+        depth = semantic(path)
+        if not around(path):
+            if depth is not None:
+                return ()
+            stays += len(text)
+        elif depth is not None and not any(tag_in(x) in AROUND for x in path[:depth]):
+            mass[path[:depth + 1]] = mass.get(path[:depth + 1], 0) + len(text)
+    best = max(mass, key=lambda p: (mass[p], -len(p), p), default=())
+    return best if best and mass[best] > stays else ()
+
+
 def read(page: str, wrapper: list | None) -> list[tuple[tuple[str, ...], str, bool]]:
     """(path, text, whether it is in a slot that differs between pages) of the blocks of a page
     outside menus and the like, without the constants of the settled wrapper."""
@@ -360,10 +382,11 @@ def read(page: str, wrapper: list | None) -> list[tuple[tuple[str, ...], str, bo
     found: dict[int, object] = {}
     if wrapper:
         match(wrapper_of(root[1], numbers=True), wrapper, found)
+    home = main_container(blocks)
     out = []
     for n, (path, text) in enumerate(blocks):
         known = found.get(n, 0)
-        if not around(path) and not (known and digest(text) in known):
+        if not around(path, home) and not (known and digest(text) in known):
             out.append((path, text, known is None))
     return out
 
@@ -426,38 +449,45 @@ def host_of(url: str):
 
 
 def structures(rows: DataFrame) -> DataFrame:
-    """(host, shape, part) of the structures of every host's pages, merged inside each task."""
+    """(host, shape, part, bare) of the structures of every host's pages, merged inside each task;
+    bare counts the pages without an article or main element."""
     def run(batches):
         held: dict[tuple[str, int], list] = {}
+        bare: dict[tuple[str, int], int] = {}
 
         def emit():
             return pa.RecordBatch.from_arrays(
                 [pa.array([h for h, _ in held], pa.string()), pa.array([x for _, x in held], pa.int64()),
-                 pa.array([pickle.dumps(w) for w in held.values()], pa.binary())], names=["host", "shape", "part"])
+                 pa.array([pickle.dumps(w) for w in held.values()], pa.binary()),
+                 pa.array([bare.get(at, 0) for at in held], pa.int64())], names=["host", "shape", "part", "bare"])
 
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = wrapper_of(parse(raw_script_safe(page))[0][1], digest(page))
+                root, blocks = parse(raw_script_safe(page))
+                own = wrapper_of(root[1], digest(page))
                 at = (host, expression(own))
                 held[at] = align(held[at], own) if at in held else own
+                if not any(semantic(path) is not None for path, _ in blocks):
+                    bare[at] = bare.get(at, 0) + 1
                 if len(held) >= HELD:
                     yield emit()
                     held.clear()
+                    bare.clear()
         if held:
             yield emit()
 
-    return rows.mapInArrow(run, "host string, shape long, part binary")
+    return rows.mapInArrow(run, "host string, shape long, part binary, bare long")
 
 
 def combine(parts: DataFrame, *group: str) -> DataFrame:
-    """(host, shape, part): the parts of each group as one."""
-    rows = parts.groupBy(*group).agg(F.min("shape").alias("shape"), F.collect_list(F.struct("shape", "part")).alias("parts"))
+    """(host, shape, part, bare): the parts of each group as one."""
+    rows = parts.groupBy(*group).agg(F.min("shape").alias("shape"), F.collect_list(F.struct("shape", "part")).alias("parts"), F.sum("bare").alias("bare"))
 
     def step(cols):
         own = [merged([(p["shape"], p["part"]) for p in ps]) for ps in cols["parts"]]
-        return {"host": cols["host"], "shape": [expression(w) for w in own], "part": [pickle.dumps(w) for w in own]}
+        return {"host": cols["host"], "shape": [expression(w) for w in own], "part": [pickle.dumps(w) for w in own], "bare": cols["bare"]}
 
-    return map_batches(rows.select("host", "parts"), lambda: step, "host string, shape long, part binary")
+    return map_batches(rows.select("host", "parts", "bare"), lambda: step, "host string, shape long, part binary, bare long")
 
 
 def wrappers(df: DataFrame, url: str = "url", page: str = "html", fan: int = FAN) -> DataFrame:
@@ -475,9 +505,9 @@ def wrappers(df: DataFrame, url: str = "url", page: str = "html", fan: int = FAN
             break
 
     def settle(cols):
-        return {"host": cols["host"], "wrapper": [pickle.dumps(settled(pickle.loads(p))) for p in cols["part"]]}
+        return {"host": cols["host"], "wrapper": [pickle.dumps(settled(pickle.loads(p))) for p in cols["part"]], "bare": cols["bare"]}
 
-    known = staged(map_batches(parts.select("host", "part"), lambda: settle, "host string, wrapper binary"), "wrappers")
+    known = staged(map_batches(parts.select("host", "part", "bare"), lambda: settle, "host string, wrapper binary, bare long"), "wrappers")
 
     def weigh():
         load = Loader()
@@ -490,10 +520,11 @@ def wrappers(df: DataFrame, url: str = "url", page: str = "html", fan: int = FAN
             return {"host": [h for h, _ in sums], "path": [list(p) for _, p in sums], "n": list(sums.values())}
         return step
 
-    mass = map_batches(rows.join(known, "host").select("host", "html", "wrapper"), weigh, "host string, path array<string>, n long")
+    # only hosts with a page that has no article or main element need a container of their own
+    mass = map_batches(rows.join(known.filter("bare > 0"), "host").select("host", "html", "wrapper"), weigh, "host string, path array<string>, n long")
     home = mass.groupBy("host", "path").agg(F.sum("n").alias("n"))
     best = home.groupBy("host").agg(F.max(F.struct("n", -F.size("path"), "path"))["path"].alias("root"))
-    return known.join(best, "host", "left")
+    return known.drop("bare").join(best, "host", "left")
 
 
 class Loader(dict):

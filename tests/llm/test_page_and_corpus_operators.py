@@ -340,6 +340,19 @@ def test_html_odd_rows(spark):
     assert html_extract.main_text(df.limit(0)).count() == 0
 
 
+def test_html_names_do_not_exclude_what_contains_the_main_text(spark):
+    """A sidebar class on the body, on a box around main, and an ad-like name of the article itself."""
+    body = "<p>First words of it.</p><div class='sidebar'>links</div><p>Last words of it.</p>"
+    rows = [(1, "http://a.org/", f"<body class='single right-sidebar'><article>{body}</article><footer>f</footer></body>"),
+            (2, "http://b.org/", f"<body><nav>menu</nav><div class='with-sidebar'><main>{body}</main></div></body>"),
+            (3, "http://c.org/", f"<body><article class='post ad-hoc'>{body}</article></body>"),
+            (4, "http://d.org/", "<body><p>The page has its text outside of any article, much of it.</p><div class='related'><article>teaser</article></div></body>"),
+            (5, "http://e.org/", f"<body><div class='with-sidebar'><main>{body}</main></div><div class='comments'><article>a reader says so</article></div></body>")]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "First words of it.\nLast words of it." for i in (1, 2, 3, 5))
+    assert got[4] == "The page has its text outside of any article, much of it."
+
+
 def kept_by_all_pairs(rows, percent):
     """The smallest id of every component over all pairs of texts."""
     sets = {}
