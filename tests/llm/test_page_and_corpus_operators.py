@@ -120,38 +120,32 @@ def test_license_training_on_an_empty_table(spark, docs):
     assert licenses.scan(docs.limit(3), scanner).count() == 3
 
 
-def raked(spark, tokens, labels, targets, budget=0.5):
-    """Keep probabilities of cells given as arrays, in their order."""
-    names = dict(zip(mixing.DIMS, labels))
-    rows = [(str(names["source"][i]), str(names["lang"][i]), int(names["topic"][i]), float(t)) for i, t in enumerate(tokens)]
-    cells = spark.createDataFrame(rows, "source string, lang string, topic long, tokens double")
-    want = targets and {d: {str(k): float(v) for k, v in enumerate(w)} for d, w in zip(mixing.DIMS, targets)}
-    got = {(r.source, r.lang, r.topic): r.p for r in mixing.rake(cells, want, budget).collect()}
-    return np.array([got[r[:3]] for r in rows])
-
-
-def test_raking_meets_the_marginals(spark):
+def test_raking_meets_the_marginals():
     rng = np.random.default_rng(0)
     tokens = rng.integers(1, 1000, 60).astype(float)
     labels = [np.arange(60) % 5, np.arange(60) // 5 % 3, np.arange(60) // 15]
     targets = [np.array([.3, .2, .2, .2, .1]), np.array([.5, .3, .2]), np.array([.25] * 4)]
-    p = raked(spark, tokens, labels, targets, 0.3)
+    p = mixing.rake(tokens, labels, targets, 0.3)
     assert ((p >= 0) & (p <= 1)).all()
     for lab, want in zip(labels, targets):
         got = np.bincount(lab, weights=p * tokens)
         assert got / got.sum() == pytest.approx(want, abs=1e-3)
 
 
-def test_a_rare_class_does_not_shrink_the_corpus(spark):
+def test_a_rare_class_does_not_shrink_the_corpus():
     """One document of its own source and language is kept, and so is half of the rest."""
     rng = np.random.default_rng(3)
     grid = [(i, j, k, rng.uniform(0.5, 2) * 1e6) for i in range(6) for j in range(3) for k in range(4)] + [(6, 3, 0, 100.0)]
     tokens = np.array([c[3] for c in grid])
     labels = [np.array([c[d] for c in grid]) for d in range(3)]
-    p = raked(spark, tokens, labels, None)
-    assert p[-1] == 1.0 and (p * tokens).sum() / tokens.sum() == pytest.approx(0.5, abs=1e-4)
-    named = spark.createDataFrame([("a", 1.0, .4), ("b", 100.0, .4), ("c", 100.0, .2)], "source string, have double, want double")
-    assert [r.quota for r in mixing.quotas(named, 61.0).orderBy("source").collect()] == pytest.approx([1, 40, 20])
+    have = [np.bincount(lab, weights=tokens) for lab in labels]
+    targets = [h ** mixing.TEMPER[d] / (h ** mixing.TEMPER[d]).sum() for d, h in zip(mixing.DIMS, have)]
+    p = mixing.rake(tokens, labels, targets)
+    assert p[-1] == 1.0 and (p * tokens).sum() / tokens.sum() == pytest.approx(0.5, abs=1e-6)
+    for lab, h, want in zip(labels, have, targets):
+        quota = mixing.quotas(h, want, 0.5 * tokens.sum())
+        assert np.bincount(lab, weights=p * tokens) == pytest.approx(quota, rel=1e-5)
+    assert mixing.quotas(np.array([1.0, 100, 100]), np.array([.4, .4, .2]), 61).tolist() == pytest.approx([1, 40, 20])
 
 
 def test_three_hundred_sources_meet_their_targets(spark):
@@ -167,12 +161,24 @@ def test_three_hundred_sources_meet_their_targets(spark):
         kept[r.source] = kept.get(r.source, 0.0) + r.n_tokens * r.probability
     assert len(kept) == 300 and sum(kept.values()) == pytest.approx(0.4 * total, rel=1e-3)
     assert max(kept.values()) == pytest.approx(min(kept.values()), rel=2e-3)
-    cells = {(r.source, r.lang, r.topic): r.p for r in plan.cells.collect()}
-    assert all(r.probability == cells[r.source, r.lang, r.topic] for r in got)
+    assert all(r.probability == plan.prob[r.source, r.lang, r.topic] for r in got)
     draws = {r.doc_id: r.u for r in df.select("doc_id", common_draw("keep", F.col("doc_id").cast("string"), F.col("text")).alias("u")).collect()}
     assert all(r.kept == (draws[r.doc_id] < r.probability) for r in got)
 
 
+def test_sources_without_a_name_share_their_targets(spark):
+    """With 40 of 300 sources named the others are kept at one rate that meets the sum of their targets."""
+    texts = [" ".join(f"w{k % 9}" for k in range(30)), " ".join(f"v{k % 7}" for k in range(30))]
+    rows = [(k * 100 + j, texts[j % 2], "en", f"s{k:03d}") for k in range(300) for j in range(8 if k < 40 else 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    plan = mixing.make_plan(df, targets={"source": {f"s{k:03d}": 1.0 for k in range(300)}}, budget=0.4, max_classes=40)
+    got = mixing.mixture(df, plan).collect()
+    tail = [r for r in got if r.source >= "s040"]
+    assert min(r.probability for r in tail) > 0
+    share = sum(r.n_tokens * r.probability for r in tail) / sum(r.n_tokens * r.probability for r in got)
+    assert share == pytest.approx(260 / 300, rel=1e-3)
+
+
 def test_mixture_marginals_and_sample(spark):
     got = QUERIES["op8_mix_sources"](spark, SF).toPandas()
     expected = (got.n_tokens * got.probability)
@@ -187,11 +193,10 @@ def test_mixing_odd_rows_and_given_targets(spark, docs):
     rows = [(i, "the words of one text " * (i % 7 + 1), "en" if i % 3 else None, f"s{i % 4}" if i % 5 else None) for i in range(400)]
     rows += [(900, None, "en", "s1"), (901, "", None, None), (None, "a text", "de", "s2"), (902, "big " * 50_000, "de", "s2")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"u": F.lit(1), "topic": F.lit("t")})
-    plan = mixing.make_plan(df, targets={"source": {"s1": 0.5, "s2": 0.25, "s3": 0.25}})
+    plan = mixing.make_plan(df, targets={"source": {"s1": 0.5, "s2": 0.25, "s3": 0.25}}, max_classes=3)
     out = mixing.mixture(df, plan).collect()
     assert len(out) == len(rows)
-    assert {r.source for r in plan.cells.collect()} == {"s0", "s1", "s2", "s3", "(null)"}
-    assert all(r.probability == 0 for r in out if r.source in (None, "s0"))           # no target, so nothing is wanted
+    assert plan.named["source"] <= {"s0", "s1", "s2", "s3", "(null)"} and len(plan.named["source"]) == 3
     kept = mixing.sample_rows(df, plan)
     assert kept.columns == df.columns
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(r.doc_id) for r in out if r.kept)
