@@ -63,7 +63,8 @@ def flatten_json(files: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     """LOC-01 on executors: (``keep``, key, text) for every leaf of nested JSON objects, keys joined
     by dots. Objects are opened level by level in a recursive query over VARIANT values, so any
     number of documents, of any depth, is flattened where it lies. Lists are leaves, as JSON
-    text; a null leaf has a null text; a document that is no JSON object gives no rows."""
+    text; a null leaf has a null text; a document that is no JSON object gives no rows. ``LIMIT
+    ALL`` lifts Spark's bound on the rows of a recursion."""
     view = f"nested_{uuid.uuid4().hex}"
     files.select(*keep, F.col(text).alias("__text")).createOrReplaceTempView(view)
     own, cols = ", ".join(f"`{k}`" for k in keep), "".join(f"t.`{k}`, " for k in keep)
@@ -72,7 +73,7 @@ WITH RECURSIVE t AS (
   SELECT {own}, CAST(NULL AS STRING) AS key, try_parse_json(__text) AS v FROM {view}
   UNION ALL
   SELECT {cols} concat_ws('.', t.key, e.key), e.value FROM t, LATERAL variant_explode(t.v) e WHERE schema_of_variant(t.v) LIKE 'OBJECT%')
-SELECT {own}, key, CAST(v AS STRING) AS text FROM t WHERE key IS NOT NULL AND schema_of_variant(v) NOT LIKE 'OBJECT%'""")
+SELECT {own}, key, CAST(v AS STRING) AS text FROM t WHERE key IS NOT NULL AND schema_of_variant(v) NOT LIKE 'OBJECT%' LIMIT ALL""")
 
 
 def translate(df: DataFrame, key: Column, lang: Column, table: DataFrame, default: Column,

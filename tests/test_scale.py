@@ -1,7 +1,8 @@
-"""What must hold for tables that grow: no catalogue, customer or part table is copied whole."""
+"""What must hold for tables that grow."""
 
 import pytest
 
+from stocklens.operators.i18n import flatten_json
 from stocklens.plans.queries import QUERIES
 from tests.test_plans import SF, plan
 
@@ -12,3 +13,15 @@ def test_growing_tables_are_not_broadcast(spark, name):
     for side in p.split("BroadcastExchange")[1:]:
         scan = next(line for line in side.splitlines() if "FileScan" in line)
         assert "n_nationkey" in scan, scan
+
+
+def test_nested_documents_beyond_the_recursion_row_limit(spark):
+    docs = spark.range(300).selectExpr("id", """concat('{"a":1,"b":{"c":"x","d":{"e":', id, '}}}') AS text""")
+    limit = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "500")
+    try:
+        rows = flatten_json(docs, keep=("id",)).collect()
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", limit)
+    assert sorted((r["id"], r["key"], r["text"]) for r in rows) == sorted(
+        row for i in range(300) for row in ((i, "a", "1"), (i, "b.c", "x"), (i, "b.d.e", str(i))))
