@@ -25,3 +25,9 @@ def test_nested_documents_beyond_the_recursion_row_limit(spark):
         spark.conf.set("spark.sql.cteRecursionRowLimit", limit)
     assert sorted((r["id"], r["key"], r["text"]) for r in rows) == sorted(
         row for i in range(300) for row in ((i, "a", "1"), (i, "b.c", "x"), (i, "b.d.e", str(i))))
+
+
+@pytest.mark.parametrize("name", ["chart_status", "customer_chart_status", "chart_records"])
+def test_charts_read_the_details_once(spark, name):
+    p = plan(QUERIES[name](spark, SF))
+    assert "stocklens-product_flow-" in p and "l_shipdate" not in p
