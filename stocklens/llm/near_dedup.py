@@ -12,9 +12,11 @@
    are finished. The nodes of the others meet by an exact prefix filter: of a set of n shingles,
    ordered rarest first, only the first n - ceil(t n) + 1 are keys, and two sets of similarity t
    share one of them. Shingles of common passages come last and make no keys. Nodes of different
-   components that share a key are compared as in 3, block by block inside tasks: first each node
-   with its most similar one, which merges a group that hangs together by linearly many pairs;
-   then all pairs that are left, verified inside the tasks, so that only links leave them. In the
+   components that share a key are compared as in 3, inside tasks: the nodes outside the key's
+   largest component are held, block by block, and the key's nodes pass them; nodes of the
+   largest component never meet each other. First each node is compared with its most similar one,
+   which merges a group that hangs together by linearly many pairs; then all pairs that are left,
+   verified inside the tasks, so that only links leave them, no more than join a run's components. In the
    end every two nodes that share a bucket are in one component, or share no key (so they are not
    linked), or have been compared.
 
@@ -49,7 +51,9 @@ BANDS, ROWS = 24, 6
 NO_BAND = 2e-5             # probability that a link at the threshold shares no band
 BATCH = 16                 # hashes compared between two looks at the posterior
 MISS = 1e-6                # posterior below which a pair is dropped
-BLOCK = 256                # nodes of a bucket in one block of step 4
+HELD = 1 << 20             # bytes of a block of held nodes in step 4
+PASSING = 1 << 22          # bytes of a part of the nodes that pass it
+TILE = 512                 # held and passing nodes that are compared at once
 ROUNDS = 2                 # rounds of best partners before all open pairs are verified
 _CHUNK = 4096
 
@@ -218,17 +222,28 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "comp")
 
 
-def bucket_runs(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, i, j, block, node, comp, keys, n_shingles, sig): the nodes of a key are dealt into
-    blocks of about BLOCK, and every two blocks i <= j meet in one run of at most about
-    2 * BLOCK rows. ``members``: (key, node, comp, keys)."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    rows = (members.join(sizes, "key")
+def bucket_runs(members: DataFrame, nodes: DataFrame, with_sets: bool = False) -> DataFrame:
+    """(key, i, j, held, met, outer, node, comp, keys, n_shingles, sig): runs in which all nodes
+    of a key that are in different components meet. The outer nodes, those outside the key's
+    largest component, are dealt into blocks of about HELD bytes, all its nodes into parts of about
+    PASSING bytes; block i is held while part j passes. A key whose outer nodes fit one block and
+    whose nodes fit one part travels once. ``members``: (key, node, comp, keys)."""
+    weight = F.lit(2 * BANDS * ROWS) + 8 * F.size("keys") + (8 * F.col("n_shingles") if with_sets else F.lit(0))
+    rows = members.join(nodes.select("node", "n_shingles", "sig"), "node").withColumn("weight", weight.cast("long"))
+    of_comp = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    sizes = of_comp.groupBy("key").agg(F.max(F.struct("n", "comp", "w")).alias("main"), F.sum("w").alias("w"))
+    cut = lambda w, size: F.greatest(F.ceil(w / size), F.lit(1)).cast("int")
+    sizes = sizes.select("key", F.col("main.comp").alias("main"), cut(F.col("w") - F.col("main.w"), HELD).alias("blocks"),
+                         cut(F.col("w"), PASSING).alias("parts"))
+    rows = (rows.join(sizes, "key").withColumn("outer", F.col("comp") != F.col("main"))
             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-            .join(nodes.select("node", "n_shingles", "sig"), "node"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                       "block", "node", "comp", "keys", "n_shingles", "sig")
+            .withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")))
+    passes = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("i"), F.col("part").alias("j")))
+    stays = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j")))
+    rows = rows.withColumn("run", F.explode(F.when(F.col("outer"), F.array_union(stays, passes)).otherwise(passes)))
+    i, j = F.col("run.i"), F.col("run.j")
+    return rows.select("key", i.alias("i"), j.alias("j"), (F.col("outer") & (F.col("block") == i)).alias("held"),
+                       (F.col("part") == j).alias("met"), "outer", "node", "comp", "keys", "n_shingles", "sig")
 
 
 def per_run(rows: DataFrame, fn, schema: str) -> DataFrame:
@@ -269,22 +284,25 @@ def per_run(rows: DataFrame, fn, schema: str) -> DataFrame:
     return dealt.sortWithinPartitions("key", "i", "j").mapInArrow(run, schema)
 
 
-def open_pairs(run: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+def open_pairs(run: dict[str, np.ndarray], percent: int):
     """Rows of the pairs of a run that are in different components and that neither size nor
-    signatures rule out. Of the keys that two nodes share the first one has the pair."""
-    i, j, block, node, comp, size = (run[c] for c in ("i", "j", "block", "node", "comp", "n_shingles"))
-    x, y = (g.ravel() for g in np.meshgrid(np.flatnonzero(block == i), np.flatnonzero(block == j), indexing="ij"))
-    ok = (comp[x] != comp[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
-    if len(i) and i[0] == j[0]:
-        ok &= node[x] < node[y]
-    x, y = x[ok], y[ok]
-    if not len(x):
-        return x, y
-    rule, sig = least_matches(percent / 100), run["sig"]
-    alive = np.concatenate([k + surviving(sig[x[k:k + 4096]], sig[y[k:k + 4096]], rule) for k in range(0, len(x), 4096)])
-    x, y, keys, key = x[alive], y[alive], run["keys"], run["key"][0]
-    first = np.fromiter((np.intersect1d(keys[p], keys[q], assume_unique=True)[0] == key for p, q in zip(x.tolist(), y.tolist())), dtype=bool, count=len(x))
-    return x[first], y[first]
+    signatures rule out, tile by tile. Of the keys that two nodes share the first one has the
+    pair; of two outer nodes the smaller one is held."""
+    node, comp, size, outer, sig, keys = (run[c] for c in ("node", "comp", "n_shingles", "outer", "sig", "keys"))
+    rule, held, met = least_matches(percent / 100), np.flatnonzero(run["held"]), np.flatnonzero(run["met"])
+    for k in range(0, len(held), TILE):
+        for m in range(0, len(met), TILE):
+            p, q = held[k:k + TILE, None], met[None, m:m + TILE]
+            x, y = np.nonzero((comp[p] != comp[q]) & (~outer[q] | (node[p] < node[q]))
+                              & (100 * np.minimum(size[p], size[q]) >= percent * np.maximum(size[p], size[q])))
+            if not len(x):
+                continue
+            x, y = held[k + x], met[m + y]
+            alive = np.concatenate([c + surviving(sig[x[c:c + 4096]], sig[y[c:c + 4096]], rule) for c in range(0, len(x), 4096)])
+            x, y, key = x[alive], y[alive], run["key"][0]
+            first = np.fromiter((np.intersect1d(keys[a], keys[b], assume_unique=True)[0] == key for a, b in zip(x.tolist(), y.tolist())), dtype=bool, count=len(x))
+            if first.any():
+                yield x[first], y[first]
 
 
 def _ordered(node, x, y):
@@ -316,42 +334,52 @@ def prefixes(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def best_partners(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(a, b): each node of a run with the open partner of most equal hashes."""
     def best(run):
-        x, y = open_pairs(run, percent)
-        if not len(x):
-            return None
-        sig = run["sig"]
-        same = np.concatenate([(sig[x[k:k + 4096]] == sig[y[k:k + 4096]]).sum(axis=1) for k in range(0, len(x), 4096)])
-        who, at = np.concatenate([x, y]), np.tile(np.arange(len(x)), 2)
-        order = np.lexsort((-same[at], who))
-        first = np.flatnonzero(np.concatenate([[True], who[order][1:] != who[order][:-1]]))
-        take = np.unique(at[order][first])
-        return _ordered(run["node"], x[take], y[take])
+        sig, most, at = run["sig"], np.full(len(run["node"]), -1), np.full(len(run["node"]), -1)
+        for x, y in open_pairs(run, percent):
+            same = np.concatenate([(sig[x[k:k + 4096]] == sig[y[k:k + 4096]]).sum(axis=1) for k in range(0, len(x), 4096)])
+            for who, other in ((x, y), (y, x)):
+                order = np.lexsort((-same, who))
+                order = order[np.flatnonzero(np.concatenate([[True], who[order][1:] != who[order][:-1]]))]
+                order = order[same[order] > most[who[order]]]
+                most[who[order]], at[who[order]] = same[order], other[order]
+        take = np.flatnonzero(at >= 0)
+        return _ordered(run["node"], take, at[take]) if len(take) else None
 
     return per_run(bucket_runs(members, nodes), best, "a long, b long").distinct()
 
 
 def all_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): every link among the open pairs, verified inside the tasks on full sets. Only
-    nodes that have an open pair in their run travel with their sets."""
+    """(a, b): links that join what the links among the open pairs join, verified inside the tasks
+    on full sets. Only nodes that have an open pair in a run of their key travel with their sets."""
     def busy(run):
-        x, y = open_pairs(run, percent)
-        if not len(x):
-            return None
-        own = np.unique(np.concatenate([x, y]))
-        return tuple(run[c][own] for c in ("key", "i", "j", "block", "node", "comp", "keys"))
+        own = np.zeros(len(run["node"]), dtype=bool)
+        for x, y in open_pairs(run, percent):
+            own[x] = own[y] = True
+        return tuple(run[c][own] for c in ("key", "node", "comp", "keys")) if own.any() else None
 
     def verify(run):
-        x, y = open_pairs(run, percent)
-        sets_, ok = run["hashes"], np.zeros(len(x), dtype=bool)
-        for k, (p, q) in enumerate(zip(x.tolist(), y.tolist())):
-            a, b = sets_[p], sets_[q]
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            ok[k] = 100 * both >= percent * (len(a) + len(b) - both)
-        return _ordered(run["node"], x[ok], y[ok]) if ok.any() else None
-
-    rows = staged(per_run(bucket_runs(members, nodes), busy, "key long, i int, j int, block int, node long, comp long, keys array<long>"), "busy")
-    rows = rows.join(nodes.select("node", "n_shingles", "sig"), "node").join(sets, "node")
-    return per_run(rows, verify, "a long, b long").distinct()
+        sets_, comp, up, linked = run["hashes"], run["comp"].tolist(), {}, []
+
+        def top(c):
+            while c in up:
+                up[c], c = up.get(up[c], up[c]), up[c]
+            return c
+
+        for x, y in open_pairs(run, percent):
+            for p, q in zip(x.tolist(), y.tolist()):
+                u, v = top(comp[p]), top(comp[q])
+                if u == v:                                   # joined by an earlier link of this run
+                    continue
+                a, b = sets_[p], sets_[q]
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    up[max(u, v)] = min(u, v)
+                    linked.append((p, q))
+        return _ordered(run["node"], *np.array(linked).T) if linked else None
+
+    rows = staged(per_run(bucket_runs(members, nodes), busy, "key long, node long, comp long, keys array<long>")
+                  .dropDuplicates(["key", "node"]), "busy")
+    return per_run(bucket_runs(rows, nodes, with_sets=True).join(sets, "node"), verify, "a long, b long").distinct()
 
 
 def shingle_sets(df: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:

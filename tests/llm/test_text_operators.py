@@ -411,3 +411,18 @@ def test_links_of_open_buckets_are_found_at_the_bound(spark, percent):
             want |= {i: i, i + 1: i + (k % 2)}
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()
     assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_runs_of_a_large_group_carry_each_node_once(spark):
+    """One key of 3,000 nodes, 200 of them outside its largest component."""
+    ids = spark.range(3000).withColumnRenamed("id", "node")
+    one = F.lit(7).cast("long")
+    members = ids.select(one.alias("key"), "node", F.when(F.col("node") < 200, F.col("node")).otherwise(5000).alias("comp"), F.array(one).alias("keys"))
+    nodes = ids.select("node", F.lit(9).cast("long").alias("n_shingles"), F.lit(bytearray(2 * near_dedup.BANDS * near_dedup.ROWS)).alias("sig"))
+    assert near_dedup.bucket_runs(members, nodes).count() == 3000
+
+
+def test_links_are_found_across_blocks_parts_and_tiles(spark, monkeypatch):
+    for name, size in (("HELD", 4_000), ("PASSING", 6_000), ("TILE", 3)):
+        monkeypatch.setattr(near_dedup, name, size)
+    test_links_of_open_buckets_are_found_at_the_bound(spark, 80)
