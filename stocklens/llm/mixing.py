@@ -7,8 +7,10 @@ tokens meet all of them (a class with less than its target is kept whole, the ot
 it cannot give); then each document is kept with its cell's probability, by a hash
 of its id and text.
 
-Topics come from spherical k-means over hashed word frequencies, fitted on about
-``sample`` documents, drawn by a hash of their id; every document is assigned.
+Topics come from spherical k-means over hashed word frequencies, fitted on all documents: one
+pass makes their vectors, which rest as Parquet, and every step of the fit is a pass over them that
+returns at most TOPICS x WIDTH sums. Vectors and centroids are rounded to integers, so sums and
+products are exact and the model does not depend on the order or the partitions of the rows.
 
 The cell table is bounded: at most ``max_classes`` sources and languages are named (the
 largest by tokens). The others share one class, ``other``, whose target is the sum of theirs, so
@@ -36,7 +38,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TOPICS = 8
 WIDTH = 512                # hashed word features
-SAMPLE = 2_000             # documents that fit the topics
+LOG_STEPS = 2_048          # log frequencies are kept in steps of 1 / LOG_STEPS
+UNIT = 32_767              # entries of unit vectors are kept in steps of 1 / UNIT
 MAX_CLASSES = 4_096        # named sources, and named languages
 BUDGET = 0.5               # share of all tokens to keep, if classes with a target have that many
 # Default targets: token shares to this power. A class that has less than its share is kept whole.
@@ -45,56 +48,122 @@ DIMS = ("source", "lang", "topic")
 NULL, OTHER = "(null)", "other"
 
 
+def frequencies(ids: np.ndarray) -> bytes:
+    """Hashed word counts of a text: log(1 + count) in LOG_STEPS, 16 bits each."""
+    counts = np.bincount((ids & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH)
+    return np.rint(np.log1p(counts) * LOG_STEPS).astype("<u2").tobytes()
+
+
+def matrix(rows: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), dtype=kind).reshape(len(rows), WIDTH).astype(np.float64)
+
+
 class TopicModel:
     """idf weights and unit centroids over hashed word features."""
 
     def __init__(self, idf: np.ndarray, centroids: np.ndarray):
-        self.idf, self.centroids = idf, centroids
+        self.idf, self.centroids = idf, np.rint(centroids * UNIT)
 
-    def vector(self, ids: np.ndarray) -> np.ndarray:
-        v = np.log1p(np.bincount((ids & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH)) * self.idf
-        n = np.linalg.norm(v)
-        return v / n if n else v
+    def units(self, logs: np.ndarray) -> np.ndarray:
+        """Unit vectors of rows of ``frequencies``, in UNIT steps; zero where there are no words."""
+        v = logs * self.idf
+        n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return np.rint(v / np.where(n, n, 1) * UNIT)
 
-    def topic(self, ids: np.ndarray) -> int:
-        return int((self.centroids @ self.vector(ids)).argmax()) if len(ids) else 0
+    def nearest(self, units: np.ndarray) -> np.ndarray:
+        return (units @ self.centroids.T).argmax(axis=1)
 
+    def topics(self, rows: list[bytes]) -> list[int]:
+        return [k for i in range(0, len(rows), 1024) for k in self.nearest(self.units(matrix(rows[i:i + 1024], "<u2"))).tolist()]
 
-def fit_topics(df: DataFrame, doc_id: str, text: str, sample: int = SAMPLE, rounds: int = 20) -> TopicModel:
-    """Spherical k-means with deterministic farthest-point starts."""
-    share = sample / max(1, df.count())
-    own = F.col(doc_id).cast("string")
 
-    def vectors():
+def word_rows(df: DataFrame, schema: str, *keep) -> DataFrame:
+    """``keep`` columns, the number of words and the ``frequencies`` of every text."""
+    def counter():
         words = WordIds()
 
         def step(cols):
-            out = [np.bincount((words.of(words_of(t)) & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH)
-                   for t in cols["text"]]
-            return {"h": cols["h"], "v": out}
+            ids = [words.of(words_of(t)) for t in cols.pop("text")]
+            return cols | {"tokens": [len(i) for i in ids], "v": [frequencies(i) for i in ids]}
         return step
 
-    picked = df.filter(draw("topics", own, text_of(text)) < share).select(
-        F.xxhash64(own, text_of(text)).alias("h"), text_of(text).alias("text")).dropDuplicates(["h"])     # copies count once
-    rows = sorted(map_batches(picked, vectors, "h long, v array<long>").collect(), key=lambda r: (r["h"], r["v"]))
-    counts = np.array([r["v"] for r in rows], dtype=np.float64).reshape(len(rows), WIDTH)
-    idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))) + 0.1
-    x = np.log1p(counts) * idf
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    x = (x / np.where(norm, norm, 1))[norm[:, 0] > 0]
-    if not len(x):
-        return TopicModel(idf, np.eye(TOPICS, WIDTH))
-    centroids = [x[0]]
-    while len(centroids) < TOPICS:
-        centroids.append(x[(np.array(centroids) @ x.T).max(axis=0).argmin()])
-    c = np.array(centroids)
+    return map_batches(df.select(*keep), counter, f"{schema}, tokens long, v binary")
+
+
+def _sums(rows: DataFrame, name: str, kind: str, fn) -> np.ndarray:
+    """TOPICS x WIDTH sums of ``fn`` (rows of one batch -> sums in whole numbers) over all batches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((TOPICS, WIDTH))
+        for batch in batches:
+            held = batch.column(0).to_pylist()
+            for i in range(0, len(held), 1024):
+                total += fn(matrix(held[i:i + 1024], kind))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at].astype(np.int64))], names=["at", "n"])
+
+    out = np.zeros(TOPICS * WIDTH)
+    for r in rows.select(name).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out.reshape(TOPICS, WIDTH)
+
+
+def _farthest(x: DataFrame, chosen: np.ndarray) -> np.ndarray:
+    """The vector least similar to its most similar chosen one (of equal ones the smallest h)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            hs, held = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for i in range(0, len(held), 1024):
+                near = (matrix(held[i:i + 1024], "<i2") @ chosen.T).max(axis=1)
+                k = int(np.lexsort((hs[i:i + 1024], near))[0])
+                found = (int(near[k]), int(hs[i + k]), held[i + k])
+                best = found if best is None else min(best, found)
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array([c]) for c in best], names=["near", "h", "x"])
+
+    return matrix([x.select("h", "x").mapInArrow(run, "near long, h long, x binary").orderBy("near", "h").first()["x"]], "<i2")
+
+
+def fit_topics(rows: DataFrame, rounds: int = 20) -> TopicModel:
+    """Spherical k-means over all rows (h, v) with deterministic farthest-point starts; it ends
+    when no centroid moves. Rows of equal h count once."""
+    once = staged(rows.select("h", "v").dropDuplicates(["h"]), "frequencies")
+    n = once.count()
+
+    def holding(logs):
+        out = np.zeros((TOPICS, WIDTH))
+        out[0] = (logs > 0).sum(axis=0)
+        return out
+
+    idf = np.log((1 + n) / (1 + _sums(once, "v", "<u2", holding)[0])) + 0.1
+    plain = TopicModel(idf, np.eye(TOPICS, WIDTH))
+
+    def unit():
+        def step(cols):
+            kept = [(h, u) for i in range(0, len(cols["h"]), 1024) for h, u in zip(
+                cols["h"][i:i + 1024], plain.units(matrix(cols["v"][i:i + 1024], "<u2")).astype("<i2")) if u.any()]
+            return {"h": [h for h, _ in kept], "x": [u.tobytes() for _, u in kept]}
+        return step
+
+    x = staged(map_batches(once, unit, "h long, x binary"), "units")
+    first = x.orderBy("h").first()
+    if first is None:
+        return plain
+    c = matrix([first["x"]], "<i2")
+    while len(c) < TOPICS:
+        c = np.concatenate([c, _farthest(x, c)])
+    model = TopicModel(idf, c / UNIT)
     for _ in range(rounds):
-        best = (c @ x.T).argmax(axis=0)
-        for k in range(TOPICS):
-            m = x[best == k].sum(axis=0)
-            if np.linalg.norm(m):
-                c[k] = m / np.linalg.norm(m)
-    return TopicModel(idf, c)
+        def members(units, model=model):
+            return np.eye(TOPICS)[model.nearest(units)].T @ units
+
+        m = _sums(x, "x", "<i2", members)
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        new = TopicModel(idf, np.where(size > 0, m / np.where(size > 0, size, 1), model.centroids / UNIT))
+        if (new.centroids == model.centroids).all():
+            break
+        model = new
+    return model
 
 
 def quotas(have: np.ndarray, want: np.ndarray, size: float) -> np.ndarray:
@@ -159,23 +228,23 @@ class Plan:
 
 def make_plan(df: DataFrame, targets: dict[str, dict] | None = None, budget: float = BUDGET,
               doc_id: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang",
-              max_classes: int = MAX_CLASSES, sample: int = SAMPLE) -> Plan:
+              max_classes: int = MAX_CLASSES) -> Plan:
     """Count the tokens of all documents by cell and rake them to the targets (by default the
     token shares, tempered)."""
-    topics = fit_topics(df, doc_id, text, sample)
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NULL))
+    seen = staged(word_rows(df, "h long, source string, lang string", F.xxhash64(F.col(doc_id).cast("string"), text_of(text)).alias("h"),
+                            key(source).alias("source"), key(lang).alias("lang"), text_of(text).alias("text")), "words")
+    topics = fit_topics(seen)
     sent = Shared(df.sparkSession, topics)
 
-    def counter():
-        model, words = sent.value, WordIds()
+    def assign():
+        model = sent.value
 
         def step(cols):
-            ids = [words.of(words_of(t)) for t in cols.pop("text")]
-            return cols | {"topic": [model.topic(i) for i in ids], "tokens": [len(i) for i in ids]}
+            return cols | {"topic": model.topics(cols.pop("v"))}
         return step
 
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NULL))
-    rows = map_batches(df.select(key(source).alias("source"), key(lang).alias("lang"), text_of(text).alias("text")),
-                       counter, "source string, lang string, topic long, tokens long")
+    rows = map_batches(seen.select("source", "lang", "tokens", "v"), assign, "source string, lang string, topic long, tokens long")
     cells = staged(rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")), "cells")
     named = {d: [r[d] for r in cells.groupBy(d).agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), d)
                  .limit(max_classes).collect()] for d in ("source", "lang")}
@@ -206,7 +275,7 @@ def make_plan(df: DataFrame, targets: dict[str, dict] | None = None, budget: flo
 def _decide(plan: Plan, words: WordIds, texts, sources, langs):
     """Topic, token count and keep probability of each row."""
     ids = [words.of(words_of(t or "")) for t in texts]
-    topic = [plan.topics.topic(i) for i in ids]
+    topic = plan.topics.topics([frequencies(i) for i in ids])
     p = [plan.prob.get(plan.cell(s, la, t), 0.0) for s, la, t in zip(sources, langs, topic)]
     return topic, [len(i) for i in ids], p
 

@@ -205,6 +205,24 @@ def test_mixing_odd_rows_and_given_targets(spark, docs):
     assert mixing.mixture(none, plan).count() == 0 and mixing.sample_rows(none, plan).count() == 0
 
 
+def test_topics_are_fitted_on_all_documents(spark):
+    """idf over all 3,000 documents, brute force; the same model from other partitions."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"t{i % 8}_{w}" for w in rng.integers(0, 60, 25)) for i in range(3000)]
+    df = spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    one, two = (mixing.make_plan(d).topics for d in (df.repartition(2), df.repartition(5, "text")))
+    ids = mixing.WordIds()
+    seen = np.array([np.bincount((ids.of(mixing.words_of(t)) & np.uint64(mixing.WIDTH - 1)).astype(int), minlength=mixing.WIDTH) > 0 for t in texts])
+    assert np.allclose(one.idf, np.log(3001 / (1 + seen.sum(axis=0))) + 0.1)
+    assert (one.centroids == two.centroids).all() and (one.idf == two.idf).all()
+    rows = [mixing.frequencies(ids.of(mixing.words_of(t))) for t in texts]
+    sims = one.units(mixing.matrix(rows, "<u2")) @ one.centroids.T / mixing.UNIT ** 2
+    own = [one.units(mixing.matrix(rows, "<u2"))[np.array(one.topics(rows)) == k].sum(axis=0) for k in range(mixing.TOPICS)]
+    for k, m in enumerate(own):                                # each centroid is the mean of its documents
+        assert np.allclose(m / np.linalg.norm(m), one.centroids[k] / mixing.UNIT, atol=2e-4)
+    assert sims.max(axis=1).min() > 0.2
+
+
 def test_url_filter_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{SF}/pages.parquet')")
