@@ -426,3 +426,12 @@ def test_links_are_found_across_blocks_parts_and_tiles(spark, monkeypatch):
     for name, size in (("HELD", 4_000), ("PASSING", 6_000), ("TILE", 3)):
         monkeypatch.setattr(near_dedup, name, size)
     test_links_of_open_buckets_are_found_at_the_bound(spark, 80)
+
+
+def test_large_batches_are_unpacked_in_pieces(spark):
+    """400 texts of 1 kB reach a task's function in lists of at most about 20 kB, all of them."""
+    def sizes():
+        return lambda cols: {"n": [len(cols["text"])] * len(cols["text"])}
+    df = spark.range(400).coalesce(1).select(F.repeat(F.lit("x"), 1000).alias("text"))
+    got = [r.n for r in common.map_batches(df, sizes, "n long", 20_000).collect()]
+    assert len(got) == 400 and max(got) <= 20
