@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -435,3 +436,21 @@ def test_large_batches_are_unpacked_in_pieces(spark):
     df = spark.range(400).coalesce(1).select(F.repeat(F.lit("x"), 1000).alias("text"))
     got = [r.n for r in common.map_batches(df, sizes, "n long", 20_000).collect()]
     assert len(got) == 400 and max(got) <= 20
+
+
+def test_lm_tasks_exchange_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    df = spark.range(0, 2000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    got = common.small_batches(lambda d: d.mapInArrow(sizes, "n long").collect())(df)
+    assert len(got) > 3 and max(r.n for r in got) < common.BATCH_BYTES + 100_000 and spark.conf.get(key) == before
+    keys = np.sort(common.mix(np.arange(1 << 19, dtype=np.uint64)))
+    out = list(lm_scoring._block_batches(lm_scoring.blocks(lm_scoring.WORD, keys, np.ones(len(keys), dtype=np.int64), 6)))
+    assert len(out) > 3 and max(b.nbytes for b in out) < 2 * lm_scoring.PIECE and sum(b.num_rows for b in out) == 64
+    back = [lm_scoring.unpack(k, c)[0] for b in out for k, c in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+    assert (np.concatenate(back) == keys).all()
