@@ -115,6 +115,25 @@ def test_license_scan_held_out_wording_and_odd_rows(spark, docs):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_license_training_uses_every_paragraph(spark, docs, monkeypatch):
+    seen, features = [], licenses.features
+    monkeypatch.setattr(licenses, "features", lambda df: seen.append(df.count()) or features(df))
+    licenses.train(docs.limit(0))
+    spans = seen[0]
+    rows = [(i, "\n".join(f"some words of line {i} {k} and more" for k in range(10))) for i in range(30)]
+    rows.append((30, "Released under the MIT License."))
+    licenses.train(spark.createDataFrame(rows, "doc_id long, text string"), negatives=20)
+    assert seen[1] == 0 and sum(seen[2:]) - spans == 300
+
+
+def test_license_threshold_is_reached_by_one_in_a_hundred(spark):
+    p = lambda *counts: spark.createDataFrame([(x,) for n, x in counts for _ in range(n)], "p double")
+    assert licenses.calibrated(p((990, 0.1), (10, 0.9))) == 0.5
+    assert licenses.calibrated(p((985, 0.1), (10, 0.7), (5, 0.9))) == pytest.approx(0.7001)
+    assert licenses.calibrated(p((970, 0.1), (30, 0.95))) == pytest.approx(0.9501)
+    assert licenses.calibrated(p((100, 0.4999))) == licenses.calibrated(p((1, 0.1)).limit(0)) == 0.5
+
+
 def test_license_training_on_an_empty_table(spark, docs):
     scanner = licenses.train(docs.limit(0))
     assert licenses.scan(docs.limit(3), scanner).count() == 3
