@@ -2,6 +2,7 @@
 
 import datetime as dt
 import zipfile
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +37,30 @@ def test_row_ranges_read_every_row_once(spark, tmp_path, size):
     assert df.rdd.getNumPartitions() == max(1, -(-1000 // size))
 
 
+@pytest.mark.parametrize("chunk", [7, 64, 300, 1 << 18])
+def test_rows_are_read_in_whole_stretches(spark, tmp_path, monkeypatch, chunk):
+    """Every range and every size of what is read at once gives the same rows; only sheets with
+    comments or CDATA need the event parser."""
+    monkeypatch.setattr(xlsx, "CHUNK", chunk)
+    text = ["sheetData row", "&lt;row r=&quot;3&quot;&gt; &lt;/sheetData&gt;", "", "x" * 500, "_x0041_ row"] * 4
+    row = lambda r, t: f'<x:row r="{r}"><x:c><x:v>{r}</x:v></x:c><x:c t="inlineStr"><x:is><x:t>{t}</x:t></x:is></x:c></x:row>'
+    rows = "".join(row(r + 2, t) for r, t in enumerate(text))
+    head = '<x:dimension ref="A1:B21"/><x:sheetData>' + row(1, "s")
+    workbook(f"{tmp_path}/a.xlsx", f"{head}{rows}</x:sheetData><x:after><x:row/></x:after>")
+    workbook(f"{tmp_path}/b.xlsx", f"{head}{rows}<!-- <x:row r=\"99\"> --></x:sheetData>")
+    workbook(f"{tmp_path}/c.xlsx", f"{head}{rows.replace('>sheetData row<', '><![CDATA[sheetData row]]><')}</x:sheetData>")
+    want = [(str(r + 2), t.replace("&lt;", "<").replace("&gt;", ">").replace("&quot;", '"').replace("_x0041_", "A")) for r, t in enumerate(text)]
+    pull = ElementTree.XMLPullParser
+    for name in "abc":
+        if name == "a":
+            monkeypatch.setattr(ElementTree, "XMLPullParser", None)
+        book = xlsx.Workbook(str(tmp_path), f"{tmp_path}/{name}.xlsx")
+        for size in (1, 6, 19, 100):
+            got = [tuple(str(v) for _, v in book.cells(e)) for n in range(2, 22, size) for e in book.rows(n, n + size)]
+            assert got == want
+        monkeypatch.setattr(ElementTree, "XMLPullParser", pull)
+
+
 def workbook(path, sheet, strings="", styles="", book=""):
     main = 'xmlns:x="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     with zipfile.ZipFile(path, "w") as z:
