@@ -126,6 +126,30 @@ def test_license_training_uses_every_paragraph(spark, docs, monkeypatch):
     assert seen[1] == 0 and sum(seen[2:]) - spans == 300
 
 
+def test_license_query_makes_the_features_of_a_paragraph_once(spark, tmp_path, monkeypatch):
+    rows = [(i, "\n".join(f"some words of line {i} {k} and more" for k in range(5))) for i in range(20)]
+    rows += [(None, None), (20, ""), (21, "Released under the MIT License.\nend"), (21, "Released under the MIT License.\nend")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    seen, features = [], licenses.features
+    monkeypatch.setattr(licenses, "features", lambda df: seen.append(df.count()) or features(df))
+    got = sorted(map(tuple, QUERIES["op5_license_scan"](spark, str(tmp_path)).collect()), key=str)
+    query, seen[:] = sum(seen), []
+    apart = sorted(map(tuple, licenses.scan(df, licenses.train(df)).collect()), key=str)
+    spans = seen[0]
+    assert query == spans + 104
+    assert got == apart and [r[:3] for r in got if r[2]] == [(21, ["mit"], 1)] * 2 and len(got) == 24
+
+
+def test_license_near_a_notice_is_a_shared_trigram(spark):
+    texts = ["released under the mit license", "Released under the", "under the", "the mit", "", "license mit the under released",
+             "It is released under the county's rules", "to deal in it", "a copy of this programme", "of of of of"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("words", licenses.tokens(F.col("t")))
+    ours = {r.g for r in licenses.notices(spark).select(F.explode(licenses.grams(F.col("words"), 3)).alias("g")).collect()}
+    for r in rows.withColumn("near", licenses.near_notice(spark)).collect():
+        assert r.near == any(" ".join(r.words[i:i + 3]) in ours for i in range(len(r.words) - 2)), r.t
+
+
 def test_license_threshold_is_reached_by_one_in_a_hundred(spark):
     p = lambda *counts: spark.createDataFrame([(x,) for n, x in counts for _ in range(n)], "p double")
     assert licenses.calibrated(p((990, 0.1), (10, 0.9))) == 0.5
