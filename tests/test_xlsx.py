@@ -114,3 +114,70 @@ def test_retail_sources_from_workbooks(spark, tmp_path):
     assert got == {g[0]: (float(g[5]), float(g[6]), g[7]) for g in GOLDEN_185} and r.deferreds.count() == 0
     with pytest.raises(FileNotFoundError):
         tables.read_spreadsheet(spark, f"{tmp_path}/none", "products")
+
+
+def test_columns_are_written_and_read_as_single_cells_are(tmp_path, monkeypatch):
+    """Arrow batches give the bytes and rows that cells written and parsed one by one give; of a range
+    only its own rows are inflated; many ranges share tasks."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    monkeypatch.setattr(xlsx, "STRETCH", 40)
+    n = 500
+    odd = [0.0, -0.0, 1.0, -2.5, 1e-5, 1e10, 123456789.123, 1e16, 1e300, float("inf"), float("nan"), 0.1, None]
+    text = ["plain", "", " padded ", "a&b<c>", "_x0041_", "bell\x07", "é 😀", "45000", None]
+    when = [dt.datetime(2024, 2, 29, 13, 5, 7), dt.datetime(1900, 2, 28), dt.datetime(1900, 3, 1, 0, 0, 0, 500_000), dt.datetime(9999, 12, 31), dt.datetime(1700, 1, 1), None]
+    data = {"i": [None if i % 7 == 3 else i - 9 for i in range(n)], "x": [odd[i % 13] if i < 200 else i * 1.25 for i in range(n)],
+            "s": [text[i % 9] if i < 300 else f"t{i}" for i in range(n)], "b": [[True, False, None][i % 3] for i in range(n)],
+            "d": [dt.date(1999, 1, 1) + dt.timedelta(days=i) for i in range(n)], "t": [when[i % 6] if i < 100 else when[0] + dt.timedelta(minutes=i) for i in range(n)]}
+    kinds = {"i": pa.int64(), "x": pa.float64(), "s": pa.string(), "b": pa.bool_(), "d": pa.date32(), "t": pa.timestamp("us")}
+    schema = T.StructType([T.StructField(c, k) for c, k in zip(data, (T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType(), T.DateType(), T.TimestampNTZType()), strict=True)])
+    table = pa.table({c: pa.array(v, kinds[c]) for c, v in data.items()})
+    xlsx.BatchWriter(f"{tmp_path}/b", schema, 200, False).write(iter(table.to_batches(max_chunksize=70)))
+    xlsx.Writer(f"{tmp_path}/r", schema, 200, False).write(zip(*data.values(), strict=True))
+
+    def sheets(folder):
+        return sorted(zipfile.ZipFile(f).read("xl/worksheets/sheet1.xml") for f in xlsx.workbooks(folder))
+    assert sheets(f"{tmp_path}/b") == sheets(f"{tmp_path}/r") and len(sheets(f"{tmp_path}/b")) == 3
+
+    columns = T.StructType([T.StructField(c, T.StringType()) for c in ("t", "x", "i", "s", "b", "d")])
+    reader = xlsx.Reader(f"{tmp_path}/b", columns, 30)
+    by_row = sorted(map(repr, (r for at, *ends in (r for p in reader.partitions() for r in p.ranges) for r in reader.tuples(xlsx.Workbook("", at), *ends))))
+    for tasks in (1, 4, 1_000):
+        monkeypatch.setattr(xlsx, "TASKS", tasks)
+        parts = reader.partitions()
+        assert len(parts) <= tasks
+        got = [tuple(r.values()) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        assert sorted(map(repr, got)) == by_row and len(got) == n
+    book = xlsx.Workbook("", next(r[0] for p in reader.partitions() for r in p.ranges if r[1] == 152))
+    from_mark = []
+    monkeypatch.setattr(xlsx.Inflated, "read", lambda self, size, read=xlsx.Inflated.read: from_mark.append(read(self, size)) or from_mark[-1])
+    assert [e.get("r") for e in book.rows(150, 153)] == ["150", "151", "152"]
+    assert from_mark[0].startswith(b'<row r="142"')               # the stretch that holds row 150
+
+
+def test_plain_cells_of_other_programs_are_read_as_columns(tmp_path):
+    """Empty, formula, error, boolean and date cells in plain rows; row by row or as columns."""
+    from pyspark.sql import types as T
+    row = '<row r="{0}" spans="1:4"><c s="1"><v>{0}.25</v></c><c t="{1}"><v>{2}</v></c><c/><c t="inlineStr"/></row>'
+    cells = [("n", "5 "), ("b", "1"), ("b", "0"), ("e", "#N/A"), ("str", "text"), ("d", "2024-01-01"), ("n", "1E5"), ("str", ""), ("inlineStr", "lost")]
+    body = "".join(row.format(i + 2, *c) for i, c in enumerate(cells)) + '<row r="60"><c s="1"><v>60</v></c></row><row r="61"><c s="1"></c><c><v>7</v></c></row>'
+    head = '<row r="1">' + "".join(f'<c t="inlineStr"><is><t>{c}</t></is></c>' for c in "abcd") + "</row>"
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    path = f"{tmp_path}/a.xlsx"
+    workbook(path, f'<dimension ref="A1:D61"/><sheetData>{head}{body}</sheetData>', styles='<x:cellXfs><x:xf numFmtId="0"/><x:xf numFmtId="22"/></x:cellXfs>')
+    with zipfile.ZipFile(path) as z:
+        parts = {f: z.read(f) for f in z.namelist()}
+    parts["xl/worksheets/first.xml"] = parts["xl/worksheets/first.xml"].replace(b"x:worksheet", b"worksheet").replace(b"xmlns:x=", b"xmlns=")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f, b in parts.items():
+            z.writestr(f, b)
+    assert main.encode() in parts["xl/worksheets/first.xml"]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("b", "a", "d", "c", "none")])
+    reader = xlsx.Reader(path, schema, 100)
+    book = xlsx.Workbook("", path)
+    stretch, = book.stretches(2)
+    assert book.columns(stretch, 1 << 40, {0: 0}, 1) is not None
+    got = [tuple(r.values()) for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert got == list(reader.tuples(book, 2, 1 << 40)) and len(got) == 11
+    assert [r[0] for r in got] == ["5", "true", "false", None, "text", "2024-01-01", "1E5", None, "", None, "7"]
+    assert got[0][1:] == ("1900-01-01 06:00:00", "", None, None) and got[9][1] is None
