@@ -152,7 +152,7 @@ def test_columns_are_written_and_read_as_single_cells_are(tmp_path, monkeypatch)
     from_mark = []
     monkeypatch.setattr(xlsx.Inflated, "read", lambda self, size, read=xlsx.Inflated.read: from_mark.append(read(self, size)) or from_mark[-1])
     assert [e.get("r") for e in book.rows(150, 153)] == ["150", "151", "152"]
-    assert from_mark[0].startswith(b'<row r="142"')               # the stretch that holds row 150
+    assert 110 < int(xlsx.ROW.match(from_mark[0])[1]) <= 150      # the stretch that holds row 150
 
 
 def test_plain_cells_of_other_programs_are_read_as_columns(tmp_path):
